@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship_package
+
 #: White space of the contracts: space and U+0009 to U+000D.
 BLANK = "[\\x20\\x09-\\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +54,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def broadcast(df: DataFrame, value):
+    """A broadcast variable for tasks over ``df``; the tasks can import this package."""
+    ship_package(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows

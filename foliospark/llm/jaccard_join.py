@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, materialize, small_enough
+from ..cluster import ship_package
+from .common import broadcast, connected_components, materialize, small_enough
 from .shingles import shingle_sets
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -51,7 +52,6 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     Each task sorts the 48-bit keys of its shingles and sends every range of keys as one
     compressed block to the task that counts that range.
     """
-    spark = docs.sparkSession
     total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = max(4, math.ceil(math.log2(max(1, total / (COUNT_AT_ONCE / 4)))))
 
@@ -110,7 +110,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 def _prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """doc_id, size, sig (of the whole set), grp (of size and prefix), rare and often: the prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = broadcast(docs, table)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -262,6 +262,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     identifier should repeat the text. Other input columns are not read. An empty
     table gives an empty result.
     """
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(_prefixes(docs, _frequent(docs)), "prefixes")
     named = found.where("size > 0 and doc_id is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,37 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op10_jaccard_join": op10_jaccard_join}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_token_files, with_crc32, write_token_files
+    from .word_tokens import default_path
+
+    path = scratch(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), path, default_path("word_bpe_49k.json"))
+    return with_crc32(read_token_files(spark, path))
+
+
+def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, pieces
+    from .word_tokens import default_path
+
+    return pack(pieces(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, sf_dir, "documents")
+    return language.identify_language(docs, language.fit(docs))
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_quality_classifier": op4_quality_classifier, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
 
 SQL = {
     "op2_exact_dedup": """
