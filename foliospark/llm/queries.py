@@ -27,6 +27,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import round_trip_digests
+    from .word_tokens import default_path
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, with_crc32, write_token_files
     from .word_tokens import default_path
@@ -50,7 +57,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit(docs))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_quality_classifier": op4_quality_classifier, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_quality_classifier": op4_quality_classifier, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
 
 SQL = {
     "op2_exact_dedup": """
