@@ -20,6 +20,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -57,7 +63,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit(docs))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_quality_classifier": op4_quality_classifier, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
 
 SQL = {
     "op2_exact_dedup": """
