@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tool_calls import calls_in, link_tool_calls, tool_schemas
+
+    calls, results = calls_in(table(spark, sf_dir, "conversations"))
+    linked = link_tool_calls(calls, results, tool_schemas(spark))
+    return linked.withColumn("errors", F.concat_ws(", ", "errors"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -63,9 +71,30 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit(docs))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
 
 SQL = {
+    "op1_tool_calls": """
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, min(text) AS text, min(length(coalesce(text, ''))) AS n, ['lookup', 'search', 'translate'][turn % 3 + 1] AS name
+            FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+        l AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.conv_id = c.conv_id AND b.turn = c.turn - 2)
+              UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+        r AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn),
+        e AS (SELECT c.*, l.level, r.turn AS result_turn, r.text AS content,
+            list_concat(
+              CASE WHEN c.text IS NULL THEN ['missing query'] ELSE [] END, CASE WHEN name = 'translate' THEN ['missing target'] ELSE [] END,
+              CASE WHEN name = 'lookup' AND (n % 60 < 1 OR n % 60 > 50) OR name = 'search' AND n % 60 > 40 THEN ['invalid limit'] ELSE [] END,
+              CASE WHEN c.text IS NOT NULL AND (name <> 'search' AND n < 1 OR name = 'search' AND n > 400) THEN ['invalid query'] ELSE [] END,
+              CASE WHEN name = 'translate' THEN ['unknown options'] ELSE [] END) AS errors
+            FROM c JOIN l USING (conv_id, turn) LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1)
+        SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn, name, CAST(level AS BIGINT) AS level, result_turn, len(errors) = 0 AS valid, array_to_string(errors, ', ') AS errors,
+            CAST(to_json({'arguments': CASE WHEN text IS NULL THEN to_json({'limit': n % 60, 'options': {'b': n % 2 = 0, 'z': n % 5}})
+                    ELSE to_json({'limit': n % 60, 'options': {'b': n % 2 = 0, 'z': n % 5}, 'query': text}) END,
+                'depends_on': ['call_' || conv_id || '_' || (turn - 2)], 'errors': errors, 'id': 'call_' || conv_id || '_' || turn, 'name': name,
+                'result': CASE WHEN result_turn IS NOT NULL THEN {'content': content, 'turn': result_turn} END, 'turn': turn, 'valid': len(errors) = 0}) AS VARCHAR) AS json
+        FROM e
+    """,
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS n FROM documents),
         w AS (SELECT doc_id, n, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id NULLS LAST) AS keep_id,
