@@ -186,14 +186,15 @@ def _predict(model: KernelLanguages, texts: pa.Array, letter: pa.Array) -> tuple
 def drop_unknown_language(docs: DataFrame, model: KernelLanguages) -> DataFrame:
     """The rows of ``docs`` in a learned language with a score of THRESHOLD or more, with all their columns."""
     shared = broadcast(docs, model)
-    at = docs.columns.index("text")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"))
+    names = docs.columns
+    at = names.index("text")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = _predict(shared.value, batch.column(at), batch.column(batch.num_columns - 1))
             keep = pa.array((np.array(lang, object) != "und") & (score >= THRESHOLD))
             part = batch.filter(keep)
-            yield pa.RecordBatch.from_arrays(part.columns[:-1], names=docs.columns)
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names)
 
     return rows.mapInArrow(kept, docs.schema)

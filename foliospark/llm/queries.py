@@ -41,6 +41,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    made = warc.describe(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "concurrent_to", "target_uri", "block_digest", "source_payload_digest", "content_length", F.sha2("content", 256).alias("content_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip_digests
     from .word_tokens import default_path
@@ -71,7 +78,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit(docs))
 
 
-QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_warc_derivatives": op5_warc_derivatives, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
 
 SQL = {
     "op1_tool_calls": """
