@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -15,233 +14,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
-from .lookup import IntTable
-
-#: The public pattern by which this kind of tokenizer splits a text into words (fixed value).
-WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: A space before white space or at the end: such a text isn't cut at its spaces.
-_LOOSE = re.compile(r" \s| \Z|[\x1c-\x1f]")
-#: Entries of the caches that a worker keeps for pieces between spaces and for words; when full, a cache starts anew.
-CACHE = 200_000
-#: Failing words of more bytes are merged one by one with a heap, shorter ones together.
-LONG = 256
-#: Characters of text whose unknown words are encoded together.
+from .bpe_tables import Merges
+from .word_store import LETTER, NUMBER, OTHER, SPACE, WordStore, code_points, contractions
+
+#: Characters of text encoded together.
 TOGETHER = 1 << 20
 _codecs: dict[str, ByteBPE] = {}
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteBPE:
-    """Tables of one vocabulary file, and the encoder's caches.
+def merges_of(spec: dict, symbols: list[str]) -> tuple[Merges, list[str]]:
+    """The merge tables of a vocabulary file over base symbols, and the names of all tokens by age."""
+    age = {c: i for i, c in enumerate(symbols)}
+    pairs, made = [], []
+    for m in spec["model"]["merges"]:
+        a, b = m.split(" ") if isinstance(m, str) else m
+        pairs.append((age[a], age[b]))
+        made.append(age.setdefault(a + b, len(age)))
+    return Merges(len(symbols), pairs, made), list(age)
 
-    Tokens are numbered by age: the 256 bytes, then one for each merge in order.
-    A sequence of tokens is what merging yields if each token is what its own bytes
-    merge to and every adjacent pair is compatible: no merge across their border
-    would have come before the merges that made them.
-    """
+
+class ByteBPE:
+    """Tables of one vocabulary file whose public pattern splits texts into words: contractions, runs of letters, numbers or other characters with a space before, and white space."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte = _byte_alphabet()
+        byte = byte_alphabet()
         vocab = spec["model"]["vocab"]
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.special = special
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         names = [c for c, _ in sorted(byte.items(), key=lambda x: x[1])]
-        age = {c: i for i, c in enumerate(names)}
-        left, right = list(range(256)), list(range(256))
-        self.merge: dict[tuple[int, int], int] = {}
-        for a, b in merges:
-            new = age.setdefault(a + b, len(left))
-            if new == len(left):
-                left.append(age[a])
-                right.append(age[b])
-                names.append(a + b)
-            self.merge.setdefault((age[a], age[b]), new)
-        self.left, self.right = np.array(left), np.array(right)
+        self.table, names = merges_of(spec, names)
         self.id_of = np.array([vocab[x] for x in names], np.uint32)
-        self.bytes_of = [bytes(byte[c] for c in x) for x in names]
-        n = len(names)
-        self.pair = IntTable(np.array([a * n + b for a, b in self.merge], np.int64), np.array(list(self.merge.values()), np.int64))
-        own = np.concatenate([np.ones(256, bool), self.compatible(self.left[256:], self.right[256:], np.arange(256, n))])
-        for t in range(256, n):
-            own[t] &= own[left[t]] and own[right[t]]
-        self._build_trie(own)
-        size = max(int(self.id_of.max()), *special.values(), 0) + 1
-        text = [b""] * size
-        for i, b in zip(self.id_of, self.bytes_of):
-            text[i] = b
-        for s, i in special.items():
-            text[i] = s.encode()
+        text = [b""] * (max(int(self.id_of.max()), *self.special.values(), 0) + 1)
+        for i, x in zip(self.id_of, names):
+            text[i] = bytes(byte[c] for c in x)
+        for x, i in self.special.items():
+            text[i] = x.encode()
         self.blob = np.frombuffer(b"".join(text), np.uint8)
         self.length = np.array([len(b) for b in text], np.int64)
         self.offset = np.concatenate(([0], np.cumsum(self.length)[:-1]))
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _build_trie(self, own: np.ndarray) -> None:
-        child: dict[int, int] = {}
-        token = [-1]
-        for t in np.flatnonzero(own).tolist():
-            node = 0
-            for b in self.bytes_of[t]:
-                k = node << 8 | b
-                node = child.get(k, 0)
-                if not node:
-                    node = child[k] = len(token)
-                    token.append(-1)
-            token[node] = t
-        self.edge, self.token = IntTable(np.array(list(child), np.int64), np.array(list(child.values()), np.int64)), np.array(token)
-
-    def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
-        """Whether each pair of tokens can stand side by side.
-
-        Undoes the merges of the two tokens along their border, the youngest first; the pair fails
-        when the border's parts have a merge older than what was undone last.
-        """
-        a, b = a.copy(), b.copy()
-        limit = np.full(len(a), 1 << 60) if limit is None else limit.copy()
-        good, live, n = np.ones(len(a), bool), np.arange(len(a)), len(self.left)
-        while len(live):
-            x, y = a[live], b[live]
-            new = self.pair.get(x * n + y)
-            clash = (new >= 0) & (new < limit[live])
-            good[live[clash]] = False
-            live, x, y = live[~clash], x[~clash], y[~clash]
-            undo_a = (x > y) & (x >= 256)
-            undo_b = ~undo_a & (y >= 256)
-            undo_a |= ~undo_b & (x >= 256)
-            done = ~undo_a & ~undo_b
-            limit[live] = np.where(undo_a, x, y + 1)
-            a[live] = np.where(undo_a, self.right[x], x)
-            b[live] = np.where(undo_b, self.left[y], y)
-            live = live[~done]
-        return good
-
-    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest matches of all words: word numbers and tokens, in order."""
-        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        end = np.cumsum([len(w) for w in words])
-        pos = np.concatenate(([0], end[:-1]))
-        live, who, what = np.flatnonzero(pos < end), [], []
-        while len(live):
-            best, stop = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
-            node, cur, go = np.zeros(len(live), np.int64), pos[live], np.arange(len(live))
-            while len(go):
-                to = self.edge.get(node[go] << 8 | raw[cur[go]])
-                go, to = go[to >= 0], to[to >= 0]
-                node[go] = to
-                cur[go] += 1
-                t = self.token[node[go]]
-                full = go[t >= 0]
-                best[full], stop[full] = t[t >= 0], cur[full]
-                go = go[cur[go] < end[live[go]]]
-            who.append(live)
-            what.append(best)
-            pos[live] = stop
-            live = live[stop < end[live]]
-        who, what = np.concatenate([*who, np.zeros(0, np.int64)]), np.concatenate([*what, np.zeros(0, np.int64)])
-        order = np.argsort(who, kind="stable")
-        return who[order], what[order]
-
-    def merged(self, word: bytes) -> list[int]:
-        """Exact merging: the oldest merge first, the leftmost of equals."""
-        part = list(word)
-        n = len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m, i, part[i], part[i + 1]) for i in range(n - 1) if (m := self.merge.get((part[i], part[i + 1]))) is not None]
-        heapq.heapify(queue)
-        while queue:
-            m, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if part[i] != a or j >= n or part[j] != b:
-                continue
-            part[i], part[j] = m, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (x := self.merge.get((m, part[after[j]]))) is not None:
-                    heapq.heappush(queue, (x, i, m, part[after[j]]))
-            h = before[i]
-            if h >= 0 and (x := self.merge.get((part[h], m))) is not None:
-                heapq.heappush(queue, (x, h, part[h], m))
-        return [p for p in part if p >= 0]
-
-    def merged_together(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merging of many words in step: each step applies the oldest merge that each word has."""
-        out: list = [None] * len(words)
-        part = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        n = len(self.left)
-        while len(part):
-            same = word[1:] == word[:-1]
-            new = np.full(len(part), 1 << 60)
-            at = np.flatnonzero(same)
-            m = self.pair.get(part[at] * n + part[at + 1])
-            new[at[m >= 0]] = m[m >= 0]
-            begin = np.flatnonzero(np.concatenate(([True], ~same)))
-            oldest = np.minimum.reduceat(new, begin)
-            size = np.diff(np.append(begin, len(part)))
-            over = oldest == 1 << 60
-            for b, k in zip(begin[over].tolist(), size[over].tolist()):
-                out[word[b]] = part[b : b + k]
-            take = (new == np.repeat(oldest, size)) & (new < 1 << 60)
-            at = np.flatnonzero(take)
-            if len(at):  # of overlapping merges, as in aaa, every other one counts from the left
-                fresh = np.concatenate(([True], (np.diff(at) > 1) | (new[at[1:]] != new[at[:-1]])))
-                place = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-                at = at[place % 2 == 0]
-            part = part.copy()
-            part[at] = new[at]
-            keep = ~np.repeat(over, size)
-            keep[at + 1] = False
-            part, word = part[keep], word[keep]
-        return out
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Speculate, verify every adjacent pair, and merge exactly the words that fail."""
-        who, what = self.propose(words)
-        cut = np.searchsorted(who, np.arange(len(words) + 1))
-        near = np.flatnonzero(who[1:] == who[:-1])
-        bad = np.zeros(len(words), bool)
-        bad[who[near[~self.compatible(what[near], what[near + 1])]]] = True
-        raw = self.id_of[what].tobytes()
-        out = [raw[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        wrong = np.flatnonzero(bad).tolist()
-        short = [i for i in wrong if len(words[i]) <= LONG]
-        for i, t in zip(short, self.merged_together([words[i] for i in short])):
-            out[i] = self.id_of[t].tobytes()
-        for i in wrong:
-            if len(words[i]) > LONG:
-                out[i] = self.id_of[self.merged(words[i])].tobytes()
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if new:
-            self.words.update(zip(new, self.encode_words([w.encode() for w in new])))
+        self.store = WordStore(self.table, self.id_of)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without special tokens. Words never reach over a space that a non-space follows, so most texts are looked up by the pieces between spaces."""
-        self.words, self.pieces = _trimmed(self.words), _trimmed(self.pieces)
-        cut = [None if _LOOSE.search(t) else t.split(" ") for t in texts]
-        new = list(set().union(*(c[1:] for c in cut if c)) - self.pieces.keys())
-        find = WORD.findall
-        parts = [find(" " + p) for p in new]
-        heads = [find(t if c is None else c[0]) for t, c in zip(texts, cut)]
-        self._learn(set().union(*parts, *heads))
-        get = self.words.__getitem__
-        self.pieces.update((p, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for p, ws in zip(new, parts))
-        piece = self.pieces.__getitem__
-        return [b"".join(map(get, h)) + (b"".join(map(piece, c[1:])) if c else b"") for h, c in zip(heads, cut)]
+        """Ids of texts without special tokens."""
+        cp, bounds = code_points(texts)
+        return self.store.texts(cp, bounds, *self.split(cp, bounds))
+
+    def split(self, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that the pattern finds in texts: where they begin and end.
+
+        Letters, numbers and other characters form runs, each with a space right before it. Of
+        white space before a run the last character stands alone unless it
+        is such a space, and what is before it is one word; so is white space at the end. An
+        apostrophe that begins a run without a space can begin a contraction.
+        """
+        n = len(cp)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kind = _KIND[cp]
+        edge = np.zeros(n + 1, bool)
+        edge[bounds] = True
+        head = np.concatenate(([True], kind[1:] != kind[:-1])) | edge[:-1]  # runs of one kind
+        last = np.concatenate((head[1:], [True]))
+        blank = kind == SPACE
+        more = blank & last & ~edge[1:]  # the last white space before a run in the same text
+        prefix = more & (cp == 0x20)
+        start = head.copy()
+        start[more] = True
+        start[np.flatnonzero(prefix) + 1] = False
+        quote = np.flatnonzero((cp == 0x27) & head & ~np.concatenate(([False], prefix[:-1])) & last)
+        if len(quote):
+            long = contractions(cp, quote, bounds[np.searchsorted(bounds, quote, side="right")])
+            quote, long = quote[long > 0], long[long > 0]
+            start[quote + 1] = False
+            rest = quote + 1 + long
+            start[rest[rest < n]] = True
+        begin = np.flatnonzero(start)
+        return begin, np.append(begin[1:], n)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; the strings of special tokens become these."""
@@ -269,12 +126,16 @@ class ByteBPE:
             return raw.decode(errors="replace").encode()
 
 
-def _trimmed(cache: dict[str, bytes]) -> dict[str, bytes]:
-    """The cache, or its short entries, which come again more often, when it is full."""
-    if len(cache) <= CACHE:
-        return cache
-    cache = {k: v for k, v in cache.items() if len(k) <= 8}
-    return cache if len(cache) <= CACHE // 2 else {}
+def _kinds() -> np.ndarray:
+    """The kind of every code point, by the classes of the pattern."""
+    kind = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for k, c in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        kind[np.frombuffer("".join(regex.findall(c, every)).encode("utf-32-le"), np.uint32)] = k
+    return kind
+
+
+_KIND = _kinds()
 
 
 def codec(path: str) -> ByteBPE:

@@ -20,7 +20,7 @@ SLICE = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(max(n, SLICE + 1), base, np.uint64)
@@ -29,7 +29,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
@@ -80,17 +80,17 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
     end = word.copy()
     end[:-1] &= ~word[1:] | edge[1:-1]
     ws, we = np.flatnonzero(start), np.flatnonzero(end) + 1
-    power, inverse = _power_tables(len(raw) + 1)
+    power, inverse = power_tables(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
-    h = _mix((total[we] - total[ws]) * inverse[ws] + (we - ws).astype(np.uint64) * _STEP)
+    h = mix((total[we] - total[ws]) * inverse[ws] + (we - ws).astype(np.uint64) * _STEP)
     count = np.searchsorted(ws, off)  # words before each text
     n = len(h)
     if n >= WORDS:
         s = h[: n - WORDS + 1].copy()
         for k in range(1, WORDS):
             s = s * _STEP + h[k : n - WORDS + 1 + k]
-        s = _mix(s)
+        s = mix(s)
     for i in range(len(part)):
         a, b = count[i], count[i + 1]
         if b - a >= WORDS:
@@ -101,6 +101,6 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
             with np.errstate(over="ignore"):
                 for y in h[a:b]:
                     x = x * _STEP + y
-                yield _mix(np.array([x + _BASE], np.uint64))
+                yield mix(np.array([x + _BASE], np.uint64))
         else:
             yield none

@@ -1,20 +1,21 @@
-"""Encoding with a word-end BPE tokenizer, a chunk between white space at a time."""
+"""Encoding with a word-end BPE tokenizer."""
 
 from __future__ import annotations
 
+import json
 import os
-import re
-import struct
+import unicodedata
 
 import numpy as np
 
-#: Distinct chunks whose ids a worker keeps; when full, it starts anew.
-CACHE = 300_000
-#: Bytes of text whose unknown chunks are encoded together.
+from .byte_bpe import byte_alphabet, merges_of
+from .word_store import LETTER, NUMBER, OTHER, SPACE, WordStore, code_points, contractions
+
+#: Characters of text encoded together.
 TOGETHER = 1 << 20
-#: Separators that str.split() takes for white space and the tokenizer's patterns don't.
-_ODD = re.compile("[\x1c-\x1f]")
-_encoders: dict[str, ChunkEncoder] = {}
+#: Texts with other characters are left to the library, whose lower-casing and composition may differ there.
+LATIN = 0x250
+_encoders: dict[str, WordEncoder] = {}
 
 
 def default_path(name: str) -> str:
@@ -23,13 +24,27 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
+def _latin() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of Latin code points; kind 255 for those that only the library handles."""
+    kind, lower = np.full(LATIN + 1, 255, np.uint8), np.zeros(LATIN + 1, np.uint32)
+    for c in range(LATIN):
+        low = chr(c).lower()
+        if len(low) == 1 and unicodedata.is_normalized("NFC", chr(c)) and unicodedata.is_normalized("NFC", low) and (c >= 0x20 or c in (9, 10, 11, 12, 13)) and not 0x7F <= c < 0xA0:
+            group = unicodedata.category(low)[0]
+            kind[c] = SPACE if low.isspace() else LETTER if group == "L" else NUMBER if group == "N" else OTHER
+            lower[c] = ord(low)
+    return kind, lower
+
+
+_KIND, _LOWER = _latin()
+
+
+class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer's pattern never matches white space and nothing in its normaliser acts across
-    it, so the ids of a text are those of its chunks between white space. Chunks
-    repeat far more often than texts do: each distinct one is encoded by the
-    library once and then looked up.
+    The public pattern of this kind of tokenizer finds contractions, runs of letters, single numbers and runs
+    of other characters; white space is dropped. Latin texts are lower-cased and split into such words on whole arrays, and
+    distinct words are merged once; texts with other characters or special tokens go to the library.
     """
 
     def __init__(self, path: str):
@@ -39,7 +54,13 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = [c for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+        end = spec["model"]["end_of_word_suffix"]
+        table, names = merges_of(spec, names + [c + end for c in names])
+        self.store = WordStore(table, np.array([spec["model"]["vocab"][x] for x in names], np.uint32), end_mark=256)
+        self.special = [t["content"] for t in spec["added_tokens"]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -52,19 +73,38 @@ class ChunkEncoder:
         return out
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if _ODD.search(t) else t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = list(set().union(*(c for c in chunks if c)) - self.known.keys())
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            self.known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
-
-
-def encoder(path: str) -> ChunkEncoder:
+        cp, bounds = code_points(texts)
+        strange = np.concatenate(([0], np.cumsum(_KIND[np.minimum(cp, LATIN)] == 255)))[bounds]
+        odd = [bool(s) or any(x in t for x in self.special) for s, t in zip(np.diff(strange), texts)]
+        if any(odd):
+            own = iter(self._together([t for t, o in zip(texts, odd) if not o]))
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else next(own) for t, o in zip(texts, odd)]
+        low = _LOWER[cp]
+        return self.store.texts(low, bounds, *self.split(low, _KIND[cp], bounds))
+
+    @staticmethod
+    def split(cp: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of lower-cased texts: where they begin and end."""
+        n = len(cp)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        edge = np.zeros(n + 1, bool)
+        edge[bounds] = True
+        start = np.concatenate(([True], kind[1:] != kind[:-1])) | edge[:-1] | (kind == NUMBER)
+        quote = np.flatnonzero((cp == 0x27) & start & np.concatenate((start[1:], [True])))
+        if len(quote):
+            long = contractions(cp, quote, bounds[np.searchsorted(bounds, quote, side="right")])
+            quote, long = quote[long > 0], long[long > 0]
+            start[quote + 1] = False
+            rest = quote + 1 + long
+            start[rest[rest < n]] = True
+        at = np.flatnonzero(start)
+        word = kind[at] != SPACE
+        return at[word], np.append(at[1:], n)[word]
+
+
+def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = WordEncoder(path)
     return _encoders[path]
