@@ -12,10 +12,21 @@ from ..cluster import ship_package
 
 #: White space of the contracts: space and U+0009 to U+000D.
 BLANK = "[\\x20\\x09-\\x0D]"
+#: Rows and bytes of texts that go to a Python worker at a time; Spark's own settings are kept where they are lower.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits for Arrow batches to BATCH: rows here hold whole texts, and the default of 10,000 rows a batch takes hundreds of MB in each worker."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,8 +66,9 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def broadcast(df: DataFrame, value):
-    """A broadcast variable for tasks over ``df``; the tasks can import this package."""
+    """A broadcast variable for tasks over ``df``; the tasks can import this package and get batches of bounded size."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(value)
 
 

@@ -26,7 +26,7 @@ MOST_FREQUENT = 1 << 22
 #: Bits of the table of frequent shingles that goes to every executor (16 MB, whatever the input).
 ORDER_BITS = 27
 #: Shingles that a task counting frequencies holds at a time, and that a block of texts to verify has.
-COUNT_AT_ONCE, BLOCK = 1 << 22, 1 << 18
+COUNT_AT_ONCE, BLOCK = 1 << 20, 1 << 18
 #: Most identifiers (8 bytes each) that are broadcast to pick candidates out of the texts; beyond that the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -53,7 +53,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     compressed block to the task that counts that range.
     """
     total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    bits = max(4, math.ceil(math.log2(max(1, total / (COUNT_AT_ONCE / 4)))))
+    bits = max(4, math.ceil(math.log2(max(1, total / COUNT_AT_ONCE))))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
