@@ -68,9 +68,8 @@ class KernelLanguages:
             return
         self._index()
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None], 1.0, -1.0)
-        x = np.vstack([p for p in self._normal(texts)])
         z = np.vstack([p for p in self._normal(marks)])
-        kmm, knm = z @ z.T, x @ z.T
+        kmm, knm = z @ z.T, np.vstack([p @ z.T for p in self._normal(texts)])
         values, vectors = np.linalg.eigh(kmm.astype(float))
         good = values > 1e-8 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])  # landmarks to the space that they span
