@@ -36,7 +36,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     uses none, else one more than the greatest level it uses; null on a cycle), result_turn, valid, errors, and
     json, the call with its result as canonical JSON: keys sorted at every depth, no white space.
     Conversations sorted by (level, turn) are in topological order. No step gathers a conversation:
-    levels are found by joining calls with the calls they use, a level a round.
+    levels are found by joining calls with the calls they use (see :func:`_levels`).
 
     Nulls and ties: a call without conv_id or call_id, and a result that answers no call,
     link with nothing and are left out. Of calls with one identifier the one of the
@@ -67,24 +67,42 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: a round for each level, until no further call has all that it uses."""
+    """conv_id, call_id, level; no row for calls on a cycle or behind one.
+
+    Chains of calls that use one other each are followed by doubling: each round a call points
+    as far again as it did, so a chain of n calls takes log2(n) rounds. Calls that
+    use several others get their level once all of those have one, a round for each such call in a row.
+    """
     key = ["conv_id", "call_id"]
     known = calls.select(*key)
     uses = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("used")).join(known.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi")
-    uses = materialize(uses, "uses")
-    done = materialize(known.join(uses, key, "left_anti").withColumn("level", F.lit(0)), "level")
-    all_levels, last = done, done
-    open_uses = uses
-    while True:
-        # what a call still waits for; it gets its level when the last of this is known
-        met = open_uses.join(last.select("conv_id", F.col("call_id").alias("used"), F.col("level").alias("at")), ["conv_id", "used"], "left")
-        ready = met.groupBy(*key).agg(F.max("at").alias("at"), F.count_if(F.col("at").isNull()).alias("open")).where("open = 0").select(*key, (F.col("at") + 1).alias("level"))
-        last = materialize(ready, "level")
+    uses = materialize(uses.select(*key, "used"), "uses")
+    users = materialize(uses.groupBy(*key).agg(F.min("used").alias("to"), F.count("*").alias("n")), "users")
+    # n_to: how many calls the call pointed at uses itself; at 1 the way goes on
+    way = users.where("n = 1").join(users.select("conv_id", F.col("call_id").alias("to"), F.col("n").alias("n_to")), ["conv_id", "to"], "left")
+    way = materialize(way.select(*key, "to", F.lit(1).alias("steps"), F.coalesce("n_to", F.lit(0)).alias("n_to")), "way")
+    before = None
+    while (left := way.where("n_to = 1").count()) not in (0, before):  # on a cycle it stays the same
+        before = left
+        ahead = way.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("n_to").alias("n_next"))
+        on = way.where("n_to = 1").join(ahead, ["conv_id", "to"]).select(*key, F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("n_next").alias("n_to"))
+        way = materialize(way.where("n_to <> 1").union(on), "way")
+    last = materialize(known.join(users, key, "left_anti").withColumn("level", F.lit(0)), "level")
+    levels, rounds = last, 0
+    reached = way.where("n_to <> 1").select("conv_id", F.col("call_id").alias("used"), "to", "steps")
+    several = uses.join(users.where("n > 1"), key, "left_semi").join(reached, ["conv_id", "used"], "left")
+    waiting = materialize(several.select(*key, F.coalesce("to", "used").alias("used"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.lit(None).cast("int").alias("at")), "waiting")
+    while waiting.limit(1).count():
+        met = waiting.join(last.select("conv_id", F.col("call_id").alias("used"), "level"), ["conv_id", "used"], "left").withColumn("at", F.coalesce("at", F.col("level") + F.col("steps")))
+        met = materialize(met.select(*key, "used", "steps", "at"), "waiting")
+        last = materialize(met.groupBy(*key).agg(F.max("at").alias("level"), F.count_if(F.col("at").isNull()).alias("open")).where("open = 0").drop("open"), "level")
         if not last.limit(1).count():
-            return all_levels
-        all_levels = all_levels.union(last)
-        left = met.where("at is null").select("conv_id", "used", "call_id")
-        open_uses = materialize(left.join(last.select(*key), key, "left_anti"), "uses")
+            break
+        rounds += 1
+        levels = levels.union(last) if rounds % 16 else materialize(levels.union(last), "level")
+        waiting = met.join(last.select(*key), key, "left_anti")
+    behind = way.where("n_to > 1").join(levels.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return levels.union(way.where("n_to = 0").select(*key, F.col("steps").alias("level"))).union(behind)
 
 
 #: Tools of the calls that :func:`calls_in` reads out of conversations.

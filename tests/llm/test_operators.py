@@ -114,6 +114,26 @@ def test_tool_calls_order_validate_and_link(spark):
     assert not tool_calls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count()
 
 
+def test_levels_of_chains_branches_and_cycles(spark):
+    rng, uses = np.random.default_rng(1), {}
+    for conv in range(8):
+        for i in range(40):
+            several = rng.integers(0, i, 2).tolist() if i and rng.random() < 0.15 else [i - 1] if i and rng.random() < 0.95 else []
+            uses[conv, f"c{i}"] = {f"c{j}" for j in several}
+    uses[0, "c3"] = {"c5"}  # c3 to c5 are a cycle or hang on one where they use each other
+    uses[1, "c7"] = {"c7"}
+    uses[2, "c9"] = {"c9", "c1", "gone"}
+    want: dict = {}
+    for _ in range(200):
+        for (conv, call), used in uses.items():
+            used = [u for u in used if (conv, u) in uses]
+            if all((conv, u) in want for u in used):
+                want[conv, call] = max((want[conv, u] + 1 for u in used), default=0)
+    calls = spark.createDataFrame([(conv, call, sorted(used)) for (conv, call), used in uses.items()], "conv_id long, call_id string, depends_on array<string>")
+    got = [(r["conv_id"], r["call_id"], r["level"]) for r in rows(tool_calls._levels(calls))]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
 # op2
 
 
