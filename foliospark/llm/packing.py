@@ -19,8 +19,8 @@ from .word_tokens import encoder
 WIDTH, END_ID = 4096, 1
 #: Patterns are made of up to DEPTH lengths, in steps of UNIT tokens.
 DEPTH, UNIT = 4, 64
-#: Each length is numbered in so many separate ranges, so that a very common one is not a single task.
-SALTS = 128
+#: Rows of a length are numbered in runs of at most about RUN rows, and of no more than one in LEAST_RUNS of all rows, so that a very common length is not a single task.
+RUN, LEAST_RUNS = 1_000_000, 1024
 
 
 def pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,17 +186,21 @@ def pack(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """Give each row of :func:`pieces` its sequence_id and its offset there.
 
     Only the histogram of lengths (at most ``width`` rows) is seen by the driver.
-    Rows of each length are numbered, within salted ranges and the ranges'
-    offsets, and looked up in the plan, whose size depends on ``width`` alone.
+    Rows of each length are dealt into runs of about RUN rows, fewer where the table is
+    small, numbered within their run behind the runs before, and looked up in the
+    plan, whose size depends on ``width`` alone.
 
     Every row is placed, repeated ones too; ties in length are numbered by doc_id and
     piece (nulls first). Sequences have no gaps, and an empty table gives an empty
     result.
     """
     spark = rows.sparkSession
-    rows = materialize(rows, "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    rows = materialize(rows, "pieces")
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
+    run = min(RUN, max(1, sum(histogram.values()) // LEAST_RUNS))
+    runs = spark.createDataFrame([(n, -(-c // run)) for n, c in histogram.items()], "of long, runs long")
+    rows = rows.join(F.broadcast(runs), F.col("length") == F.col("of")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("runs")))
     counts = materialize(rows.groupBy("length", "salt").count(), "lengths")
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
     steps, taken, base = [], Counter(), 0
     for times, lengths in plan(histogram, width):
         offset = 0
@@ -208,9 +212,9 @@ def pack(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     columns = ["of_length", "lo", "hi", "times", "base", "at"]
     steps = spark.createDataFrame(pa.table([pa.array([s[i] for s in steps], pa.int64()) for i in range(6)], names=columns))
     order = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("count").over(order), F.lit(0)).alias("first"))  # at most width * SALTS rows
+    first = counts.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(F.sum("count").over(order), F.lit(0)).alias("first"))  # a row for each run
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    numbered = numbered.join(F.broadcast(first), (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("k", F.col("k") + F.col("first"))
+    numbered = numbered.join(first, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("k", F.col("k") + F.col("first"))
     placed = numbered.join(F.broadcast(steps), (F.col("length") == F.col("of_length")) & (F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi")))
     within = F.col("k") - F.col("lo")
     return placed.select(
