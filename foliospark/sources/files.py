@@ -9,7 +9,10 @@ SUFFIXES = ("png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp", "pdf")
 
 
 def binary_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """path, modificationTime, length, content, kind (pdf, image or null) of files with a known suffix."""
+    """path, modificationTime, length, content, kind (pdf, image or null) of files with a known suffix.
+
+    Spark's file sources pass over empty files, so those never become documents.
+    """
     reader = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read).format("binaryFile")
     files = reader.option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.element_at(F.split("path", "\\."), -1))
@@ -18,8 +21,10 @@ def binary_files(spark: SparkSession, path: str, stream: bool = False) -> DataFr
 
 
 def rejected(files: DataFrame) -> DataFrame:
-    """Empty files, which can't become documents, with the reason."""
-    return files.where("length = 0").select("path", F.lit("empty file").alias("reason"))
+    """Files that don't begin like a PDF or an image and can't become documents, with the reason."""
+    head = lambda at, *bytes_: F.substring("content", at, len(bytes_[0])).isin(*[F.lit(b) for b in bytes_])
+    known = head(1, b"%PDF", b"\x89PNG", b"II*\x00", b"MM\x00*") | head(1, b"\xff\xd8\xff") | head(1, b"BM") | (head(1, b"RIFF") & head(9, b"WEBP"))
+    return files.where(~F.coalesce(known, F.lit(False))).select("path", F.lit("neither image nor PDF").alias("reason"))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
