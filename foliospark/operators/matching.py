@@ -40,9 +40,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, v: s + v)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two integer arrays; 0 for arrays of different lengths and zero vectors."""
-    norm = dot(a, a) * dot(b, b)
+def cosine(a: Column, b: Column, norm: Column | None = None) -> Column:
+    """The cosine of two integer arrays; 0 for arrays of different lengths and zero vectors.
+
+    ``norm`` is the product of their squared lengths, where these are known already.
+    """
+    norm = dot(a, a) * dot(b, b) if norm is None else norm
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / F.sqrt(norm)).otherwise(0.0)
 
 
@@ -62,8 +65,9 @@ def rounded(score: Column, digits: int = 4) -> Column:
 
 
 def similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Geometric similarity of two signatures, given as aspect, colour and density."""
-    s = WEIGHTS[0] * aspect_score(a["aspect"], b["aspect"]) + WEIGHTS[1] * colour_score(a["colour"], b["colour"]) + WEIGHTS[2] * cosine(a["density"], b["density"])
+    """Geometric similarity of two signatures, given as aspect, colour, density and, if known, the density's squared length as norm."""
+    norm = a["norm"] * b["norm"] if "norm" in a and "norm" in b else None
+    s = WEIGHTS[0] * aspect_score(a["aspect"], b["aspect"]) + WEIGHTS[1] * colour_score(a["colour"], b["colour"]) + WEIGHTS[2] * cosine(a["density"], b["density"], norm)
     return rounded(s)
 
 
@@ -85,8 +89,12 @@ def score_pairs(pages: DataFrame, templates: DataFrame, angles: bool = False) ->
     turns = [(0, False), (90, False), (90, True), (180, False), (270, False), (270, True)] if angles else [(0, False)]
     small = templates.select("template_id", F.col("aspect").alias("t_aspect"), F.col("colour").alias("t_colour"), F.col("density").alias("t_density"))
     small = small.select("template_id", "t_colour", F.explode(F.array(*[side(a, i, n) for n, (a, i) in enumerate(turns)])).alias("t"))
-    pairs = pages.crossJoin(small)
-    score = similarity({"aspect": F.col("aspect"), "colour": F.col("colour"), "density": F.col("density")}, {"aspect": F.col("t.aspect"), "colour": F.col("t_colour"), "density": F.col("t.density")})
+    small = small.withColumn("t_norm", dot(F.col("t.density"), F.col("t.density")))
+    pairs = pages.withColumn("p_norm", dot(F.col("density"), F.col("density"))).crossJoin(small)
+    score = similarity(
+        {"aspect": F.col("aspect"), "colour": F.col("colour"), "density": F.col("density"), "norm": F.col("p_norm")},
+        {"aspect": F.col("t.aspect"), "colour": F.col("t_colour"), "density": F.col("t.density"), "norm": F.col("t_norm")},
+    )
     return pairs.select("doc_id", "page", "template_id", "t.variant", "t.angle", score.alias("score"))
 
 
