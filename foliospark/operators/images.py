@@ -59,19 +59,20 @@ def sharpen(a: np.ndarray, strength: float = 1.0) -> np.ndarray:
 
 
 def equalise(a: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
-    """Local contrast: clipped histograms of a grid of tiles, interpolated between their centres."""
+    """Local contrast: clipped histograms of a grid of equal tiles, interpolated between their centres; the image is mirrored at its end to fill them."""
     g = grey(a)
     h, w = g.shape
-    ys, xs = (np.linspace(0, s, grid + 1).astype(int) for s in (h, w))
+    full = np.pad(g, ((0, -h % grid), (0, -w % grid)), mode="reflect" if min(h, w) > grid else "edge")
+    th, tw = full.shape[0] // grid, full.shape[1] // grid
     table = np.zeros((grid, grid, 256))
     for i in range(grid):
         for j in range(grid):
-            tile = g[ys[i] : max(ys[i + 1], ys[i] + 1), xs[j] : max(xs[j + 1], xs[j] + 1)]
+            tile = full[i * th : (i + 1) * th, j * tw : (j + 1) * tw]
             n = np.bincount(tile.ravel(), minlength=256).astype(float)
             top = max(1.0, clip * n.sum() / 256)
             n = np.minimum(n, top) + np.maximum(n - top, 0).sum() / 256
             table[i, j] = np.cumsum(n) / n.sum() * 255
-    ty, tx = (np.clip((np.arange(s) + 0.5) / s * grid - 0.5, 0, grid - 1) for s in (h, w))
+    ty, tx = (np.clip((np.arange(s) + 0.5) / t - 0.5, 0, grid - 1) for s, t in ((h, th), (w, tw)))
     y0, x0 = ty.astype(int), tx.astype(int)
     y1, x1 = np.minimum(y0 + 1, grid - 1), np.minimum(x0 + 1, grid - 1)
     fy, fx = (ty - y0)[:, None], (tx - x0)[None]
