@@ -245,6 +245,13 @@ def label_to_name(spark, sf):
     return _some_values(spark, sf).where("v is not null and not startswith(v, 'ß')").select("v", tx.label_to_name(F.col("v")).alias("name"))
 
 
+@query(f"""WITH {VALUES_SQL} SELECT v, substr(coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(replace(v, '_', ' '), '[ \\t\\n\\r]+'), lambda w: w <> ''), lambda w: CASE WHEN starts_with(w, 'ß') THEN 'SS' ELSE upper(substr(w, 1, 1)) END || substr(w, 2)), ' '), ''), 1, 80) AS name
+    FROM vals WHERE v IS NOT NULL""")
+def label_to_name_all(spark, sf):
+    """All values: a first sharp s becomes SS."""
+    return _some_values(spark, sf).where("v is not null").select("v", tx.label_to_name(F.col("v")).alias("name"))
+
+
 # Lines of orders with labels, and of parts with codes; a page holds the lines of one order or part.
 
 FORM_SQL = """form AS (SELECT o_orderkey AS doc_id, 0 AS page, unnest([0, 1, 2, 3, 4]) AS line, unnest([['Fecha', strftime(o_orderdate, '%d/%m/%Y')], ['Importe', 'Total:', CAST(o_orderkey % 997 AS VARCHAR), '€'],
@@ -342,6 +349,15 @@ def affine_params(spark, sf):
     return r.select("k", "a", "b", "c", "d", *[F.round(p[x], 6).alias(x) for x in ("scale_x", "scale_y", "shear", "angle")])
 
 
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, 1 + (l_orderkey % 5) / 16.0::DOUBLE AS a, (l_orderkey % 3) / 32.0::DOUBLE AS b, (l_orderkey % 4) / 64.0::DOUBLE AS c, 1 - (l_orderkey % 7) / 32.0::DOUBLE AS d FROM lineitem)
+    SELECT k, n, round(sqrt(a * a + c * c), 6) AS scale_x, round((a * d - b * c) / sqrt(a * a + c * c), 6) AS scale_y, round((a * b + c * d) / (a * a + c * c), 6) AS shear, round(degrees(atan2(c, a)), 6) AS angle FROM r""")
+def affine_params_all(spark, sf):
+    """A matrix for every line of an order."""
+    r = read(spark, sf, "lineitem").selectExpr("l_orderkey as k", "l_linenumber as n", "1 + (l_orderkey % 5) / 16D as a", "(l_orderkey % 3) / 32D as b", "(l_orderkey % 4) / 64D as c", "1 - (l_orderkey % 7) / 32D as d")
+    p = affine_parts(F.array(F.array("a", "b"), F.array("c", "d")))
+    return r.select("k", "n", *[F.round(p[x], 6).alias(x) for x in ("scale_x", "scale_y", "shear", "angle")])
+
+
 # Anchors
 
 

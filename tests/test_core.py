@@ -53,6 +53,13 @@ def test_types_of_values(spark):
     assert values(spark, list(known), text.guess_type(F.col("v"))) == list(known.values())
 
 
+def test_names_and_matrices_leave_no_row_out(spark, sf, duck):
+    q, name = queries.QUERIES, lambda v: spark.createDataFrame([(v,)], "v string").select(text.label_to_name(F.col("v"))).first()[0]
+    assert q["label_to_name_all"](spark, sf).count() == q["name_to_key"](spark, sf).count() == duck.execute(f"WITH {queries.VALUES_SQL} SELECT count(*) FROM vals WHERE v IS NOT NULL").fetchone()[0]
+    assert name("ßa_ßb") == "SSa SSb"
+    assert q["affine_params_all"](spark, sf).count() == duck.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+
+
 def test_keys_of_names(spark):
     assert values(spark, ["Fecha de emisión", "***", "a" * 40], text.name_to_key(F.col("v"))) == ["fecha_de_emision", "campo", "a" * 30]
 
