@@ -12,15 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
-from .common import connected_components, materialize
+from .common import connected_components, materialize, small_enough
 
 COSINE = 0.95
 #: The chance, for a pair just at COSINE, that no band of its codes agrees.
 MISS = 1e-4
 #: Code bits that estimates are made from, and standard errors that their confidence bounds are wide.
 BITS, SIGMAS = 512, 6.0
-#: Codes compared with one another at a time; longer runs of equal bands are compared with leaders.
+#: Codes compared with one another at a time; the codes of longer runs of equal bands all go into one canopy.
 RUN = 1024
+#: Most keys of long runs that are broadcast; beyond that the join shuffles.
+BROADCAST_KEYS = 1_000_000
 #: Vectors in a block of a canopy.
 BLOCK = 1024
 SEED = 20240607
@@ -92,6 +94,24 @@ def _codes(reps: DataFrame, k: int, n_bands: int) -> DataFrame:
     return reps.select("rep", "vec").mapInArrow(coded, "rep long, code binary, factor double, keys array<long>")
 
 
+def _candidates(keyed: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the codes of each key which are close enough for a link.
+
+    Keys of up to RUN codes are compared within a task. Codes of longer runs are all
+    tied to the smallest one by a join, so that no task gathers such a run; the
+    canopy's pairs of blocks then tell which of them link.
+    """
+    long = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("root")).where(F.col("n") > RUN).select("key", "root")
+    long = materialize(long, "runs")
+    short, edges = keyed, None
+    if not long.isEmpty():
+        tied = keyed.join(F.broadcast(long) if small_enough(long, BROADCAST_KEYS) else long, "key", "left")
+        edges = tied.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")).distinct()
+        short = tied.where("root is null")
+    near = short.repartition("key").sortWithinPartitions("key").select("key", "rep", "code").mapInArrow(_near, "a long, b long")
+    return near.union(edges) if edges is not None else near
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges that connect the codes of each run of equal keys which are close enough for a link.
 
@@ -206,8 +226,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     k, n_bands = bands(reps.count())
     codes = materialize(_codes(reps, k, n_bands), "codes")
     keyed = codes.select("rep", "code", F.explode("keys").alias("key"))
-    edges = keyed.repartition("key").sortWithinPartitions("key").select("key", "rep", "code").mapInArrow(_near, "a long, b long")
-    canopy = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("canopy"))
+    canopy = connected_components(_candidates(keyed)).select(F.col("node").alias("rep"), F.col("component").alias("canopy"))
     size = canopy.groupBy("canopy").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
     dealt = canopy.join(size, "canopy").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nb")))
     pairs = dealt.select("rep", "canopy", "i", F.explode(F.expr("transform(sequence(0L, nb - 1), j -> struct(least(i, j) as p, greatest(i, j) as q))")).alias("k")).select("rep", "canopy", "i", "k.p", "k.q")

@@ -196,6 +196,18 @@ def test_long_runs_of_codes_stay_connected(monkeypatch):
     assert set(components(range(60), zip(edges["a"], edges["b"])).values()) == {0}
 
 
+def test_long_runs_are_tied_by_a_join(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(embedding_dedup, "RUN", 8)
+    keyed = spark.createDataFrame([(i, bytearray(rng.bytes(64)), 7 if i < 40 else 1000 + i // 4) for i in range(3, 80)], "rep long, code binary, key long")
+    assert sorted((r["a"], r["b"]) for r in embedding_dedup._candidates(keyed).collect()) == [(3, i) for i in range(4, 40)]
+    for most in (0, 100):
+        monkeypatch.setattr(embedding_dedup, "BROADCAST_KEYS", most)
+        near = keyed.select("rep", F.lit(bytearray(64)).alias("code"), "key")
+        edges = [(r["a"], r["b"]) for r in embedding_dedup._candidates(near).collect()]
+        assert components(range(3, 80), edges) == {i: 3 if i < 40 else i // 4 * 4 for i in range(3, 80)}
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 64))
