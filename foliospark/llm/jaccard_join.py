@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -108,15 +108,24 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return table
 
 
+def _sig(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
+def _mark(text: Column) -> Column:
+    """Tells the texts of an identifier apart."""
+    return F.unhex(F.md5(text))
+
+
 def _prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, size, sig (of the whole set), grp (of size and prefix), rare and often: the prefix."""
+    """doc_id, mark (of the text), size, sig (of the whole set), grp (of size and prefix), rare and often: the prefix."""
     shared = broadcast(docs, table)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             size, sig, grp, rare, often = [], [], [], [], []
-            for x in shingle_sets(batch.column(1)):
+            for x in shingle_sets(batch.column(2)):
                 n = len(x)
                 k = ((x >> np.uint64(16)) & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
                 late = (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
@@ -126,12 +135,12 @@ def _prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 size.append(n)
                 rare.append(a)
                 often.append(b)
-                sig.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if n else None)
+                sig.append(_sig(x) if n else None)
                 grp.append(int.from_bytes(hashlib.blake2b(n.to_bytes(8, "little") + a.tobytes() + b.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None)
             lists = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32), np.concatenate([*xs, np.zeros(0, np.int64)])) for xs in (rare, often)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(grp, pa.int64()), *lists], names=["doc_id", "size", "sig", "grp", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(grp, pa.int64()), *lists], names=["doc_id", "mark", "size", "sig", "grp", "rare", "often"])
 
-    return docs.mapInArrow(prefixes, "doc_id long, size long, sig binary, grp long, rare array<long>, often array<long>")
+    return docs.select("doc_id", _mark(F.col("text")).alias("mark"), "text").mapInArrow(prefixes, "doc_id long, mark binary, size long, sig binary, grp long, rare array<long>, often array<long>")
 
 
 def _rare_pairs(docs: DataFrame) -> DataFrame:
@@ -225,16 +234,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, k in zip(a, keep) if k], pa.int64()), "b": pa.array([v for v, k in zip(b, keep) if k], pa.int64())})
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, hashes) of the documents in ``ids``."""
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, hashes) of the classes in ``wanted`` (rep, sig, name: an identifier that has the set, or null)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], names=["rep", "hashes"])
+            found = [x for x in shingle_sets(batch.column(0)) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([_sig(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "hashes"])
 
-    ids = ids.select(F.col("rep").alias("doc_id"))
+    ids = wanted.where("name is not null").select(F.col("name").alias("doc_id")).distinct()
     picked = docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
-    return materialize(picked.mapInArrow(sets, "rep long, hashes binary").dropDuplicates(["rep"]), "sets")
+    if not wanted.where("name is null").isEmpty():
+        picked = picked.select("text").union(docs.where("doc_id is null").select("text"))
+    found = picked.select("text").mapInArrow(sets, "sig binary, hashes binary").dropDuplicates(["sig"])  # an identifier can have other texts, too
+    return materialize(found.join(wanted.select("rep", "sig"), "sig").select("rep", "hashes"), "sets")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,16 +270,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links, itself included.
 
     Nulls and ties: a null or blank text has an empty set and links with nothing; texts
-    with equal sets are linked. A row with a null identifier never links others; its
-    component_id is that of the rows with its set, or null. Rows that repeat an
-    identifier should repeat the text. Other input columns are not read. An empty
-    table gives an empty result.
+    with equal sets are linked. Rows are linked by their sets, so a row with a null
+    identifier links like any other, and rows that repeat an identifier over different
+    texts are linked each by its own; component_id is null where no row of a component
+    has an identifier. Other input columns are not read. An empty table gives an empty result.
     """
+    found, component = _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return found.select("doc_id", "size", "sig").join(component, F.col("sig") == F.col("s"), "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("of_class", F.when(F.col("size") == 0, F.col("doc_id"))).alias("component_id")
+    )
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, size, sig) and classes of equal sets (s, root: equal in a component, of_class: its smallest identifier)."""
     ship_package(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(_prefixes(docs, _frequent(docs)), "prefixes")
-    named = found.where("size > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("grp").alias("grp")), "classes")
+    named = found.where("size > 0")
+    classes = named.groupBy("sig").agg(F.min("doc_id").alias("name"), F.first("size").alias("size"), F.first("grp").alias("grp"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     member = classes.select("grp", "rep")
     pairs = (
         _rare_pairs(named).join(member.select(F.col("grp").alias("ga"), F.col("rep").alias("a")), "ga")
@@ -275,20 +296,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = materialize(pairs, "pairs")
     canopies = classes.join(_canopies(named, classes), "grp").select("rep", "size", "canopy")
     canopies = materialize(canopies, "canopies")
-    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(canopies.select("rep")).distinct())
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(canopies.select("rep")).distinct()
+    sets = _sets_of(docs, materialize(classes.join(compared, "rep").select("rep", "sig", "name"), "compared"))
     verified = (
         pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b").mapInArrow(_verify, "a long, b long")
     )
     forest = _blocks(canopies).join(sets, "rep").groupBy("canopy", "b", "p", "q").applyInArrow(_within, "a long, b long")
     linked = connected_components(verified.union(forest))
-    component = classes.join(linked, classes.rep == linked.node, "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("of_class"))
-    return found.select("doc_id", "size", "sig").join(component, F.col("sig") == F.col("s"), "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("of_class", F.when(F.col("size") == 0, F.col("doc_id"))).alias("component_id")
-    )
+    linked = materialize(linked.join(classes.select(F.col("rep").alias("node"), "name"), "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("name").alias("least"))
+    linked = linked.join(least, "component").select("node", "component", "least")
+    return found, classes.join(linked, classes.rep == linked.node, "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("root"), F.coalesce("least", "name").alias("of_class"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    """One row of each component with all its columns, of the smallest identifier if there is one; rows without words all stay.
+
+    Rows are told apart by identifier and text, so a row without an identifier, or with one that stands on other texts too, counts by itself.
+    """
+    found, component = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = found.where("size > 0").join(component, F.col("sig") == F.col("s")).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "n")).alias("k"))
+    first = materialize(first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"), "k.n"), "kept")
+    blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (_mark(docs["text"]) == F.col("kept_mark"))
+    kept = docs.where(~blank).join(first.where("n = 1"), same, "left_semi").union(docs.where(blank))
+    again = first.where("n > 1")
+    if not again.isEmpty():  # rows that repeat identifier and text
+        one = docs.where(~blank).join(again, same, "left_semi").withColumn("kept_mark", _mark(F.col("text"))).dropDuplicates(["doc_id", "kept_mark"])
+        kept = kept.union(one.drop("kept_mark"))
+    return kept

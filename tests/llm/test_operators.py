@@ -490,3 +490,18 @@ def test_jaccard_brute_force(spark, monkeypatch, block):
     kept = jaccard_join.one_of_each(docs(spark, data).where("doc_id is not null"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and len(kept.columns) == 9
     assert not jaccard_join.jaccard_components(docs(spark, [])).count()
+
+
+@pytest.mark.parametrize("canopies", [False, True])
+def test_near_copies_by_row_not_by_identifier(spark, monkeypatch, canopies):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2 if canopies else 8)
+    base = [[f"{k}v{i}" for i in range(60)] for k in "abcd"]
+    text = lambda k, n=0: " ".join(base[k][: 60 - n])
+    # 5 stands on two texts, each with a near copy; two near texts have no identifier, one resembles 9, one nothing
+    data = [(5, text(0)), (3, text(0, 2)), (5, text(1)), (4, text(1, 2)), (None, text(2)), (None, text(2, 2)), (9, text(3)), (None, text(3, 2)), (None, "quite alone"), (7, "twice"), (7, "twice"), (None, None), (8, " ")]
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs(spark, data)).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 3), (3, 3), (5, 4), (4, 4), (None, None), (None, None), (9, 9), (None, 9), (None, None), (7, 7), (7, 7), (None, None), (8, 8)], key=repr)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(docs(spark, data)).collect()]
+    of_c = [x for x in kept if x in [(None, text(2)), (None, text(2, 2))]]
+    assert len(of_c) == 1
+    assert sorted(kept, key=repr) == sorted([(3, text(0, 2)), (4, text(1, 2)), *of_c, (9, text(3)), (None, "quite alone"), (7, "twice"), (None, None), (8, " ")], key=repr)
