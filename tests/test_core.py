@@ -1,5 +1,7 @@
 """The core queries against SQL, and small cases with known values."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,16 @@ def test_codes_and_values(spark, line, want):
     assert [(r["key"], r["sample_text"], r["data_type"]) for r in lines.code_values(page).orderBy("ordinal").collect()] == want
 
 
+def test_templates_of_any_number_have_fields(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(400))
+    for i in (602, 700_000):
+        spark.createDataFrame([(i, text)], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame([(i, text)], "item_id long, text string").write.mode("append").parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r for r in queries.QUERIES["process_pages"](spark, str(tmp_path)).collect() if r["page"] == 0]
+    assert {r["doc_id"]: r["template_id"] for r in got} == {602: 602, 700_000: 700_000}
+    assert {r["doc_id"]: set(json.loads(r["data"])) for r in got} == {602: {"date"}, 700_000: {"name", "code"}}
+
+
 def test_combined_and_accepted_scores(spark):
     one = spark.range(1)
     assert one.select(matching.combined(F.lit(0.6), F.lit(0.0)), matching.combined(F.lit(0.6), F.lit(1.0))).first() == (0.6, 0.84)
