@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..cluster import ship_package
 from .common import broadcast, connected_components, materialize, small_enough
-from .shingles import shingle_sets
+from .shingles import Set, common, from_bytes, numbered, shingle_sets, to_bytes
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -65,7 +65,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([int(s)], pa.int64()), "keys": pa.array([_pack(k[cut[s] : cut[s + 1]])], pa.binary())})
 
         for batch in batches:
-            for x in shingle_sets(batch.column(0)):
+            for x, _ in shingle_sets(batch.column(0)):
                 held.append(x >> np.uint64(16))
                 n += len(x)
                 if n >= COUNT_AT_ONCE:
@@ -108,8 +108,8 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return table
 
 
-def _sig(x: np.ndarray) -> bytes:
-    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+def _sig(x: Set) -> bytes:
+    return hashlib.blake2b(to_bytes(x), digest_size=16).digest()
 
 
 def _mark(text: Column) -> Column:
@@ -125,7 +125,8 @@ def _prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
         bits = shared.value
         for batch in batches:
             size, sig, grp, rare, often = [], [], [], [], []
-            for x in shingle_sets(batch.column(2)):
+            for both in shingle_sets(batch.column(2)):
+                x = both[0]
                 n = len(x)
                 k = ((x >> np.uint64(16)) & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
                 late = (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
@@ -135,7 +136,7 @@ def _prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 size.append(n)
                 rare.append(a)
                 often.append(b)
-                sig.append(_sig(x) if n else None)
+                sig.append(_sig(both) if n else None)
                 grp.append(int.from_bytes(hashlib.blake2b(n.to_bytes(8, "little") + a.tobytes() + b.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None)
             lists = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32), np.concatenate([*xs, np.zeros(0, np.int64)])) for xs in (rare, often)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(grp, pa.int64()), *lists], names=["doc_id", "mark", "size", "sig", "grp", "rare", "often"])
@@ -192,13 +193,14 @@ def _within(table: pa.Table) -> pa.Table:
     """A spanning forest of the links in one pair of blocks."""
     reps = table.column("rep").to_numpy()
     first = np.asarray(table.column("first").to_pylist(), bool)
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+    sets = [from_bytes(x.as_py()) for x in table.column("hashes")]
     apart = table.column("b")[0].as_py() % 2 or table.column("p")[0].as_py() != table.column("q")[0].as_py()
     order = np.argsort(reps, kind="stable")
     reps, first, sets = reps[order], first[order], [sets[i] for i in order]
-    size = np.array([len(x) for x in sets])
+    size = np.array([len(x) for x, _ in sets])
     owner = np.repeat(np.arange(len(sets)), size)
-    _, token, lists = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    token = numbered(*(np.concatenate(half) for half in zip(*sets)))
+    lists = np.bincount(token)
     keep = lists[token] > 1
     token, owner = token[keep], owner[keep]
     by = owner[np.argsort(token, kind="stable")]
@@ -228,9 +230,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         keep = []
         for x, y in zip(batch.column("ha"), batch.column("hb")):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            x, y = from_bytes(x.as_py()), from_bytes(y.as_py())
+            both = common(x, y)
+            keep.append(100 * both >= PERCENT * (len(x[0]) + len(y[0]) - both))
         yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, k in zip(a, keep) if k], pa.int64()), "b": pa.array([v for v, k in zip(b, keep) if k], pa.int64())})
 
 
@@ -239,8 +241,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for x in shingle_sets(batch.column(0)) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([_sig(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "hashes"])
+            found = [x for x in shingle_sets(batch.column(0)) if len(x[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([_sig(x) for x in found], pa.binary()), pa.array([to_bytes(x) for x in found], pa.binary())], names=["sig", "hashes"])
 
     ids = wanted.where("name is not null").select(F.col("name").alias("doc_id")).distinct()
     picked = docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
@@ -265,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by block inside tasks that return a spanning forest of the links. The order of
     shingles only moves work between both ways: no link is lost.
 
-    Sets hold 64-bit hashes of shingles. Returns one row per input row: doc_id,
+    Sets hold 128-bit digests of shingles (see :mod:`.shingles` for what that leaves to chance). Returns one row per input row: doc_id,
     n_shingles (size of the set) and component_id, the smallest identifier reachable by
     links, itself included.
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 from .bpe_tables import Merges
-from .shingles import mix, power_tables
-
-#: Distinct words that a worker keeps the ids of (some 50 bytes each); when full, it starts anew.
-KEPT = 1_500_000
+from .shingles import mix
+
+#: Distinct words, and ids and letters of words, that a worker keeps (some 100 bytes a word); when full, it starts anew.
+KEPT, KEPT_MORE = 1_000_000, 10_000_000
+#: Words of more code points are encoded in each batch and not kept.
+LONGEST = 64
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -35,8 +39,28 @@ def utf8(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(lead, first, part), n
 
 
+def word_hashes(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word, of its code points and length; different words can share one."""
+    n = len(cp) + 1
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    total = np.zeros(n, np.uint64)
+    np.cumsum(mix(cp.astype(np.uint64) + np.uint64(_BASE)) * _powers[0][: len(cp)], out=total[1:])
+    return mix((total[end] - total[begin]) * _powers[1][begin] + (end - begin).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def differing(a: np.ndarray, a_begin: np.ndarray, b: np.ndarray, b_begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether words of equal sizes (none empty) in two arrays of code points differ."""
+    if not len(size):
+        return np.zeros(0, bool)
+    return np.logical_or.reduceat(a[ranges(a_begin, size)] != b[ranges(b_begin, size)], np.cumsum(size) - size)
+
+
 class WordStore:
-    """Ids of distinct words by a 64-bit hash of their code points and length."""
+    """Ids of distinct words, found by a hash and compared letter by letter: a word whose hash stands for another word is encoded by itself."""
 
     def __init__(self, table: Merges, id_of: np.ndarray, end_mark: int = 0):
         """``end_mark`` is added to the last byte of a word to give its symbol."""
@@ -44,8 +68,10 @@ class WordStore:
         self._clear()
 
     def _clear(self) -> None:
-        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.hash, self.slot = np.zeros(0, np.uint64), none  # of the words kept, by hash
+        self.flat, self.begin, self.count = np.zeros(0, np.uint32), none, none  # ids by slot
+        self.letters, self.at, self.size = np.zeros(0, np.uint32), none, none  # letters by slot
 
     def _encode(self, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = end - begin
@@ -57,22 +83,44 @@ class WordStore:
 
     def ids(self, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, each cp[begin:end] and not empty, one after another, and how many each has."""
-        power, inverse = power_tables(len(cp) + 1)
-        total = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * power[: len(cp)], out=total[1:])
-        h = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.hash) > KEPT:
+        if len(self.hash) > KEPT or len(self.flat) + len(self.letters) > KEPT_MORE:
             self._clear()
+        size = end - begin
+        u, first, back = np.unique(word_hashes(cp, begin, end), return_index=True, return_inverse=True)
+        own = first[back]
+        alone = size != size[own]  # not the word that its hash stands for
+        own[alone] = np.flatnonzero(alone)
+        alone |= differing(cp, begin, cp, begin[own], size)
         at = np.searchsorted(self.hash, u)
-        new = np.flatnonzero((at == len(self.hash)) | (self.hash[np.minimum(at, max(0, len(self.hash) - 1))] != u)) if len(self.hash) else np.arange(len(u))
-        if len(new):
-            ids, count = self._encode(cp, begin[first[new]], end[first[new]])
-            slot = len(self.count) + np.arange(len(new))
+        known = np.flatnonzero(self.hash[np.minimum(at, len(self.hash) - 1)] == u) if len(self.hash) else np.zeros(0, np.int64)
+        slot = np.full(len(u), -1)
+        slot[known] = self.slot[at[known]]
+        good = self.size[slot[known]] == size[first[known]]
+        like = known[good]
+        good[good] = ~differing(cp, begin[first[like]], self.letters, self.at[slot[like]], size[first[like]])
+        if not good.all():
+            other = np.zeros(len(u), bool)
+            other[known[~good]] = True
+            alone |= other[back]
+        new = np.flatnonzero(slot < 0)
+        single = np.flatnonzero(alone)
+        todo = np.concatenate([first[new], single])
+        place = len(self.count) + np.arange(len(todo))
+        slot[new] = place[: len(new)]
+        word = slot[back]
+        word[single] = place[len(new) :]
+        if len(todo):
+            ids, count = self._encode(cp, begin[todo], end[todo])
+            short = size[todo] <= LONGEST
+            short[len(new) :] = False
+            letters = np.where(short, size[todo], 0)
+            self.at = np.concatenate([self.at, len(self.letters) + np.cumsum(letters) - letters])
+            self.size = np.concatenate([self.size, letters])
+            self.letters = np.concatenate([self.letters, cp[ranges(begin[todo[short]], size[todo[short]])]])
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
             self.flat, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.count, count])
-            self.hash, self.slot = np.insert(self.hash, at[new], u[new]), np.insert(self.slot, at[new], slot)
-        word = self.slot[np.searchsorted(self.hash, u)][back]
+            kept = new[short[: len(new)]]
+            self.hash, self.slot = np.insert(self.hash, at[kept], u[kept]), np.insert(self.slot, at[kept], slot[kept])
         count = self.count[word]
         return self.flat[ranges(self.begin[word], count)], count
 

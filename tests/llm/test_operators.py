@@ -15,11 +15,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliospark.llm import embedding_dedup, exact_dedup, jaccard_join, language, packing, quality, queries, token_files, tool_calls, warc
-from foliospark.llm.byte_bpe import codec, decode, encode, round_trip_digests
+from foliospark.llm import embedding_dedup, exact_dedup, jaccard_join, language, packing, quality, queries, token_files, tool_calls, warc, word_store
+from foliospark.llm.byte_bpe import ByteBPE, codec, decode, encode, round_trip_digests
 from foliospark.llm.common import connected_components, scratch
-from foliospark.llm.shingles import shingle_sets
-from foliospark.llm.word_tokens import default_path, encoder
+from foliospark.llm.shingles import _ascending, common, from_bytes, numbered, shingle_sets, to_bytes
+from foliospark.llm.word_tokens import WordEncoder, default_path, encoder
 
 WORDS, BYTES = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, norm string, sha string, payload string, size long"
@@ -458,8 +458,65 @@ def test_shingle_sets():
 
     texts = ODD + ["a b c d e", "a b c d", "A b C d e f g", "one two\tthree\nfour  five six"]
     sets = list(shingle_sets(pa.array(texts)))
-    assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
-    assert sets[-4].tolist() != sets[-3].tolist() and len(np.intersect1d(sets[-4], sets[-2])) == 1
+    assert [len(s) for s, _ in sets] == [len(shingles(t)) for t in texts]
+    assert sets[-4][0].tolist() != sets[-3][0].tolist() and common(sets[-4], sets[-2]) == 1
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            assert common(sets[i], sets[j]) == len(shingles(x) & shingles(y))
+
+
+def test_digests_that_agree_in_one_half():
+    x = (np.array([1, 5, 5, 9], np.uint64), np.array([2, 3, 4, 7], np.uint64))
+    y = (np.array([1, 5, 9], np.uint64), np.array([2, 4, 8], np.uint64))
+    assert common(x, y) == 2 == common(y, x)
+    number = numbered(*(np.concatenate([a, b]) for a, b in zip(x, y)))
+    assert number[0] == number[4] and number[2] == number[5] and len(set(number.tolist())) == 5
+    up = _ascending(np.array([9, 5, 5, 5, 1], np.uint64), np.array([7, 4, 3, 4, 2], np.uint64))
+    assert [h.tolist() for h in up] == [h.tolist() for h in x] and [h.tolist() for h in from_bytes(to_bytes(x))] == [h.tolist() for h in x]
+
+
+def thue_morse():
+    """Two words of 4,096 letters that have the same polynomial hash modulo 2^64, whatever its odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_polynomial_hash():
+    import pyarrow as pa
+
+    a, b = thue_morse()
+    texts = [a + " " + b, b, a, b + " " + a + " " + a]
+    for path, own in ((WORDS, encoder(WORDS)), (BYTES, codec(BYTES))):
+        for some in (texts, texts[::-1], texts[1:2]):
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [library_of(path).encode(t, add_special_tokens=False).ids for t in some]
+    assert [codec(BYTES).decode(x).decode() for x in codec(BYTES).encode(texts)] == texts
+    sets = list(shingle_sets(pa.array([a, b, a + " w x y z", b + " w x y z"])))
+    assert not any(common(sets[i], sets[j]) for i in range(4) for j in range(i))
+
+
+def test_words_that_share_hashes_are_compared(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 90))) for _ in range(60)) for _ in range(12)]
+    monkeypatch.setattr(word_store, "word_hashes", lambda cp, begin, end: ((end - begin) % 5 + cp[begin] % 3).astype(np.uint64))
+    for path, own in ((WORDS, WordEncoder(WORDS)), (BYTES, ByteBPE(BYTES))):
+        for t in texts:
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t, t])] == 2 * [library_of(path).encode(t, add_special_tokens=False).ids]
+
+
+def test_documents_of_equal_polynomial_hash(spark):
+    a, b = thue_morse()
+    data = [(1, a), (2, b), (3, a + " w x y z"), (4, b + " w x y z"), (5, b + " W x\ty z"), (6, b + " " + a)]
+    df = docs(spark, data)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6)]
+    digests = {r.doc_id: r for r in round_trip_digests(df, BYTES).collect()}
+    path = scratch(spark, "tokens")
+    token_files.write_token_files(df, path, WORDS)
+    files = {r.doc_id: r for r in token_files.with_crc32(token_files.read_token_files(spark, path)).collect()}
+    for i, t in data:
+        assert digests[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        assert digests[i].ids_sha256 == hashlib.sha256(np.array(library_of(BYTES).encode(t).ids, "<u4").tobytes()).hexdigest()
+        assert files[i].ids_crc32 == zlib.crc32(np.array(library_of(WORDS).encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    check_packing(data, rows(packing.pack(packing.pieces(df, WORDS))))
 
 
 @pytest.mark.parametrize("block", [1 << 18, 2000])
