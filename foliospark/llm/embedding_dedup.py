@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..cluster import ship_package
 from .common import connected_components, materialize, small_enough
@@ -45,48 +46,54 @@ def rotation(dim: int, bits: int) -> np.ndarray:
     return _turns[dim, bits]
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1).astype(np.float64)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]  # very large or small components neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _kind(vectors: DataFrame, vector_col: str) -> str:
+    """The form of components: floats stay floats, other numbers are kept as doubles."""
+    return "<f4" if vectors.select(F.col(vector_col)).schema[0].dataType.elementType == FloatType() else "<f8"
+
+
 def _factor(y: np.ndarray) -> np.ndarray:
     """The inner product of each rotated vector with its code, which corrects the estimates made from the code."""
     return np.abs(y).sum(1) / math.sqrt(y.shape[1])
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, sig and vec (little-endian floats) of vectors that can link."""
-    v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and size(v) > 0")
+    """vec_id, sig and vec (little-endian components) of vectors that can link."""
+    v, kind = F.col("v"), _kind(vectors, vector_col)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = rows.where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<f4") + np.float32(0)
+            cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(kind) + 0  # no negative zeros
             raw = [flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "sig", "vec"])
 
     return rows.mapInArrow(packed, "vec_id long, sig binary, vec binary")
 
 
-def _codes(reps: DataFrame, k: int, n_bands: int) -> DataFrame:
+def _codes(reps: DataFrame, k: int, n_bands: int, kind: str) -> DataFrame:
     """rep, code (at least BITS bits), factor, and the keys of the bands."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = (1 << np.arange(k, dtype=np.int64))[::-1]
+        weight, width = (1 << np.arange(k, dtype=np.int64))[::-1], np.dtype(kind).itemsize
         for batch in batches:
             vec, rep = batch.column("vec").to_pylist(), batch.column("rep").to_numpy()
             size = np.array([len(x) for x in vec])
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
-                x = _unit([vec[i] for i in at]).astype(np.float32)
-                bit = x @ rotation(s // 4, max(BITS, k * n_bands)).T > 0
-                y = x @ rotation(s // 4, BITS).T
+                x, dim = _unit([vec[i] for i in at], kind).astype(np.float32), int(s) // width
+                bit = x @ rotation(dim, max(BITS, k * n_bands)).T > 0
+                y = x @ rotation(dim, BITS).T
                 part = bit[:, : k * n_bands].reshape(len(at), n_bands, k) @ weight
-                key = (part + (np.arange(n_bands, dtype=np.int64) << 40) + (int(s // 4) << 50)).ravel()  # k is below 40, bands below 1024
+                key = (part + (np.arange(n_bands, dtype=np.int64) << 40) + (dim << 50)).ravel()  # k is below 40, bands below 1024
                 lists = pa.ListArray.from_arrays(np.arange(0, len(key) + 1, n_bands, dtype=np.int32), key)
                 code = [c.tobytes() for c in np.packbits(y > 0, axis=1)]
                 yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(code, pa.binary()), pa.array(_factor(y).astype(float)), lists], names=["rep", "code", "factor", "keys"])
@@ -98,8 +105,8 @@ def _candidates(keyed: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the codes of each key which are close enough for a link.
 
     Keys of up to RUN codes are compared within a task. Codes of longer runs are all
-    tied to the smallest one by a join, so that no task gathers such a run; the
-    canopy's pairs of blocks then tell which of them link.
+    tied to the smallest one by a join, so that no task gathers such a run and none of its
+    pairs is torn apart; the canopy's pairs of blocks then tell which of them link.
     """
     long = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("root")).where(F.col("n") > RUN).select("key", "root")
     long = materialize(long, "runs")
@@ -113,12 +120,7 @@ def _candidates(keyed: DataFrame) -> DataFrame:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect the codes of each run of equal keys which are close enough for a link.
-
-    Runs of up to RUN codes are compared pair by pair, connected ones no more. In longer
-    runs codes are compared with leaders, and leaders are connected up to three times
-    the distance, so that by the triangle inequality no pair is torn apart.
-    """
+    """Edges that connect the codes of each run of equal keys which are close enough for a link; a run has at most RUN codes."""
     key, run = None, []
     for batch in batches:
         for k, r, c in zip(batch.column("key").to_pylist(), batch.column("rep").to_pylist(), batch.column("code").to_pylist()):
@@ -131,38 +133,30 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(run)
 
 
+def near_codes(bits: int) -> float:
+    """The most bits in which the codes of a pair at COSINE differ, but for a chance of SIGMAS standard errors."""
+    p = math.acos(COSINE) / math.pi
+    return bits * p + SIGMAS * math.sqrt(bits * p * (1 - p))
+
+
 def _edges(run: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Edges that connect codes within the distance of a link; codes connected already are not compared again."""
     rep = np.array([r for r, _ in run])
     code = np.frombuffer(b"".join(c for _, c in run), np.uint8).reshape(len(run), -1)
     code = np.pad(code, ((0, 0), (0, -code.shape[1] % 8))).view(np.uint64)
-    n = code.shape[1] * 64
-    p = math.acos(COSINE) / math.pi
-    bound = n * p + SIGMAS * math.sqrt(n * p * (1 - p))
+    bound = near_codes(code.shape[1] * 64)
     out: list[tuple[int, int]] = []
-    label, leaders = np.arange(len(rep)), []
-    if len(rep) <= RUN:
-        for i in range(len(rep) - 1):
-            far = np.bitwise_count(code[i + 1 :] ^ code[i]).sum(1)
-            for j in np.flatnonzero((far <= bound) & (label[i + 1 :] != label[i])) + i + 1:
-                if label[j] != label[i]:
-                    out.append((int(rep[i]), int(rep[j])))
-                    label[label == label[j]] = label[i]
-    else:
-        rest = np.arange(len(rep))
-        while len(rest):
-            i, rest = rest[0], rest[1:]
-            near = np.bitwise_count(code[rest] ^ code[i]).sum(1) <= bound
-            out += [(int(rep[i]), int(r)) for r in rep[rest[near]]]
-            rest = rest[~near]
-            for j in leaders:
-                if np.bitwise_count(code[i] ^ code[j]).sum() <= 3 * bound:
-                    out.append((int(rep[j]), int(rep[i])))
-                    break  # the leaders before are connected to j or too far from it
-            leaders.append(i)
+    label = np.arange(len(rep))
+    for i in range(len(rep) - 1):
+        far = np.bitwise_count(code[i + 1 :] ^ code[i]).sum(1)
+        for j in np.flatnonzero((far <= bound) & (label[i + 1 :] != label[i])) + i + 1:
+            if label[j] != label[i]:
+                out.append((int(rep[i]), int(rep[j])))
+                label[label == label[j]] = label[i]
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def _link(table: pa.Table) -> pa.Table:
+def _link(table: pa.Table, kind: str = "<f4") -> pa.Table:
     """The links of one pair of blocks: for each vector how many vectors it is linked to, and a spanning forest.
 
     Inner products are estimated from the codes of one side and the rotated vectors of
@@ -171,7 +165,7 @@ def _link(table: pa.Table) -> pa.Table:
     order = np.argsort(table.column("rep").to_numpy(), kind="stable")
     table = table.take(pa.array(order))
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-    x = _unit(table.column("vec").to_pylist())
+    x = _unit(table.column("vec").to_pylist(), kind)
     f = table.column("factor").to_numpy()
     y = (x.astype(np.float32) @ rotation(x.shape[1], BITS).T)
     d = y.shape[1]
@@ -216,7 +210,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
     Returns one row per input row: vec_id, n_links, component_id, kept. A vector that is
     null, empty or zero, or holds null or non-finite components, links with nothing, and
-    vectors of different lengths don't link. Repeated rows and equal vectors link with
+    vectors of different lengths don't link. Floats and doubles are read as they are. Repeated rows and equal vectors link with
     one another. A row with a null identifier links with nothing, has a null component_id
     and isn't kept. Other input columns are not read; an empty table gives an empty result.
     """
@@ -224,13 +218,14 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = materialize(_valid(vectors, id_col, vector_col), "vectors")
     reps = materialize(rows.groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "distinct")
     k, n_bands = bands(reps.count())
-    codes = materialize(_codes(reps, k, n_bands), "codes")
+    kind = _kind(vectors, vector_col)
+    codes = materialize(_codes(reps, k, n_bands, kind), "codes")
     keyed = codes.select("rep", "code", F.explode("keys").alias("key"))
     canopy = connected_components(_candidates(keyed)).select(F.col("node").alias("rep"), F.col("component").alias("canopy"))
     size = canopy.groupBy("canopy").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
     dealt = canopy.join(size, "canopy").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nb")))
     pairs = dealt.select("rep", "canopy", "i", F.explode(F.expr("transform(sequence(0L, nb - 1), j -> struct(least(i, j) as p, greatest(i, j) as q))")).alias("k")).select("rep", "canopy", "i", "k.p", "k.q")
-    found = pairs.join(reps.select("rep", "copies", "vec"), "rep").join(codes.select("rep", "code", "factor"), "rep").groupBy("canopy", "p", "q").applyInArrow(_link, "a long, b long, links long")
+    found = pairs.join(reps.select("rep", "copies", "vec"), "rep").join(codes.select("rep", "code", "factor"), "rep").groupBy("canopy", "p", "q").applyInArrow(lambda t: _link(t, kind), "a long, b long, links long")
     found = materialize(found, "links")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("b is not null"))

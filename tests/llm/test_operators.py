@@ -15,10 +15,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliospark.llm import embedding_dedup, exact_dedup, jaccard_join, language, packing, quality, queries, token_files, tool_calls, warc, word_store
+from foliospark.llm import common, embedding_dedup, exact_dedup, jaccard_join, language, packing, quality, queries, token_files, tool_calls, warc, word_store
 from foliospark.llm.byte_bpe import ByteBPE, codec, decode, encode, round_trip_digests
 from foliospark.llm.common import connected_components, scratch
-from foliospark.llm.shingles import _ascending, common, from_bytes, numbered, shingle_sets, to_bytes
+from foliospark.llm.shingles import _ascending, common as shared, from_bytes, numbered, shingle_sets, to_bytes
 from foliospark.llm.word_tokens import WordEncoder, default_path, encoder
 
 WORDS, BYTES = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
@@ -71,7 +71,9 @@ def test_query_equals_sql(spark, sf, name):
     same(queries.QUERIES[name](spark, sf), sql(name, sf))
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("hub", [1000, 5])
+def test_connected_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB_EDGES", hub)
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)]
     want = components({x for p in pairs for x in p}, pairs)
@@ -187,13 +189,28 @@ def test_embedding_dedup_brute_force(spark):
     assert not embedding_dedup.near_duplicate_vectors(df.limit(0)).count()
 
 
-def test_long_runs_of_codes_stay_connected(monkeypatch):
-    rng = np.random.default_rng(1)
-    centre = rng.integers(0, 256, 64, dtype=np.uint8)
-    codes = [centre ^ np.packbits(rng.random(512) < 0.04) for _ in range(60)]
+@pytest.mark.parametrize("bits", [512, 1024, 4096])
+def test_chains_of_codes_stay_connected(spark, monkeypatch, bits):
+    """Codes that wander off from one another in long runs: every pair within the bound ends in one component."""
     monkeypatch.setattr(embedding_dedup, "RUN", 8)
-    edges = embedding_dedup._edges([(i, c.tobytes()) for i, c in enumerate(codes)]).to_pydict()
-    assert set(components(range(60), zip(edges["a"], edges["b"])).values()) == {0}
+    rng, bound = np.random.default_rng(bits), embedding_dedup.near_codes(bits)
+    rows_, code = [], rng.integers(0, 256, bits // 8, dtype=np.uint8)
+    for i in range(90):
+        code = code ^ np.packbits(rng.random(bits) < (0.4 if i % 9 else 1.7) * bound / bits)
+        rows_.append((1000 - i, bytearray(code.tobytes()), i // 45 if i % 2 else 10 + i // 6))
+    edges = [(r["a"], r["b"]) for r in embedding_dedup._candidates(spark.createDataFrame(rows_, "rep long, code binary, key long")).collect()]
+    component = components([r for r, _, _ in rows_], edges)
+    bit = {r: np.unpackbits(np.frombuffer(bytes(c), np.uint8)) for r, c, _ in rows_}
+    pairs = [(a, b) for a, _, ka in rows_ for b, _, kb in rows_ if a < b and ka == kb and (bit[a] != bit[b]).sum() <= bound]
+    assert len(pairs) > 20 and all(component[a] == component[b] for a, b in pairs)
+
+
+def test_vectors_of_doubles(spark):
+    """Doubles are not rounded to floats: these differ beyond a float's digits, or overflow one."""
+    side = float(np.sqrt(1 - 0.95**2))
+    data = [(1, [1.0, 0.0]), (2, [0.95, side * (1 + 1e-9)]), (3, [0.95, side * (1 - 1e-9)]), (4, [1e300, 0.0]), (5, [1e-300, 0.0])]
+    got = {r["vec_id"]: r["n_links"] for r in rows(embedding_dedup.near_duplicate_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")))}
+    assert got == {1: 3, 2: 1, 3: 4, 4: 3, 5: 3}
 
 
 def test_long_runs_are_tied_by_a_join(spark, monkeypatch):
@@ -459,16 +476,16 @@ def test_shingle_sets():
     texts = ODD + ["a b c d e", "a b c d", "A b C d e f g", "one two\tthree\nfour  five six"]
     sets = list(shingle_sets(pa.array(texts)))
     assert [len(s) for s, _ in sets] == [len(shingles(t)) for t in texts]
-    assert sets[-4][0].tolist() != sets[-3][0].tolist() and common(sets[-4], sets[-2]) == 1
+    assert sets[-4][0].tolist() != sets[-3][0].tolist() and shared(sets[-4], sets[-2]) == 1
     for i, x in enumerate(texts):
         for j, y in enumerate(texts):
-            assert common(sets[i], sets[j]) == len(shingles(x) & shingles(y))
+            assert shared(sets[i], sets[j]) == len(shingles(x) & shingles(y))
 
 
 def test_digests_that_agree_in_one_half():
     x = (np.array([1, 5, 5, 9], np.uint64), np.array([2, 3, 4, 7], np.uint64))
     y = (np.array([1, 5, 9], np.uint64), np.array([2, 4, 8], np.uint64))
-    assert common(x, y) == 2 == common(y, x)
+    assert shared(x, y) == 2 == shared(y, x)
     number = numbered(*(np.concatenate([a, b]) for a, b in zip(x, y)))
     assert number[0] == number[4] and number[2] == number[5] and len(set(number.tolist())) == 5
     up = _ascending(np.array([9, 5, 5, 5, 1], np.uint64), np.array([7, 4, 3, 4, 2], np.uint64))
@@ -491,7 +508,7 @@ def test_words_of_equal_polynomial_hash():
             assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [library_of(path).encode(t, add_special_tokens=False).ids for t in some]
     assert [codec(BYTES).decode(x).decode() for x in codec(BYTES).encode(texts)] == texts
     sets = list(shingle_sets(pa.array([a, b, a + " w x y z", b + " w x y z"])))
-    assert not any(common(sets[i], sets[j]) for i in range(4) for j in range(i))
+    assert not any(shared(sets[i], sets[j]) for i in range(4) for j in range(i))
 
 
 def test_words_that_share_hashes_are_compared(monkeypatch):
