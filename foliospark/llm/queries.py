@@ -85,20 +85,25 @@ SQL = {
         WITH RECURSIVE c AS (
             SELECT conv_id, turn, min(text) AS text, min(length(coalesce(text, ''))) AS n, ['lookup', 'search', 'translate'][turn % 3 + 1] AS name
             FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-        l AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.conv_id = c.conv_id AND b.turn = c.turn - 2)
-              UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+        d AS (SELECT conv_id, turn, turn - 2 AS used FROM c UNION ALL SELECT conv_id, turn, turn - 4 FROM c WHERE turn % 4 = 0),
+        u AS (SELECT d.* FROM d SEMI JOIN c ON c.conv_id = d.conv_id AND c.turn = d.used),
+        w AS (SELECT conv_id, turn, 0 AS level FROM c ANTI JOIN u USING (conv_id, turn)
+              UNION SELECT u.conv_id, u.turn, w.level + 1 FROM w JOIN u ON u.conv_id = w.conv_id AND u.used = w.turn),
+        l AS (SELECT conv_id, turn, max(level) AS level FROM w GROUP BY ALL),
         r AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn),
         e AS (SELECT c.*, l.level, r.turn AS result_turn, r.text AS content,
             list_concat(
               CASE WHEN c.text IS NULL THEN ['missing query'] ELSE [] END, CASE WHEN name = 'translate' THEN ['missing target'] ELSE [] END,
-              CASE WHEN name = 'lookup' AND (n % 60 < 1 OR n % 60 > 50) OR name = 'search' AND n % 60 > 40 THEN ['invalid limit'] ELSE [] END,
+              CASE WHEN n % 7 = 0 OR name = 'lookup' AND (n % 60 < 1 OR n % 60 > 50) OR name = 'search' AND n % 60 > 40 THEN ['invalid limit'] ELSE [] END,
               CASE WHEN c.text IS NOT NULL AND (name <> 'search' AND n < 1 OR name = 'search' AND n > 400) THEN ['invalid query'] ELSE [] END,
-              CASE WHEN name = 'translate' THEN ['unknown options'] ELSE [] END) AS errors
+              CASE WHEN name = 'translate' THEN ['unknown options'] WHEN n % 11 = 0 THEN ['invalid options'] ELSE [] END) AS errors,
+            '{"limit":' || CASE WHEN n % 7 = 0 THEN to_json(CAST(n % 60 AS VARCHAR)) ELSE to_json(n % 60) END || ',"options":' || CASE WHEN n % 11 = 0 THEN 'true' ELSE to_json({'b': n % 2 = 0, 'z': n % 5}) END
+                || CASE WHEN c.text IS NULL THEN '' ELSE ',"query":' || to_json(c.text) END || '}' AS arguments,
+            CASE WHEN c.turn % 4 = 0 THEN list_sort(['call_' || conv_id || '_' || (turn - 2), 'call_' || conv_id || '_' || (turn - 4)]) ELSE ['call_' || conv_id || '_' || (turn - 2)] END AS depends_on
             FROM c JOIN l USING (conv_id, turn) LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1)
         SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, turn, name, CAST(level AS BIGINT) AS level, result_turn, len(errors) = 0 AS valid, array_to_string(errors, ', ') AS errors,
-            CAST(to_json({'arguments': CASE WHEN text IS NULL THEN to_json({'limit': n % 60, 'options': {'b': n % 2 = 0, 'z': n % 5}})
-                    ELSE to_json({'limit': n % 60, 'options': {'b': n % 2 = 0, 'z': n % 5}, 'query': text}) END,
-                'depends_on': ['call_' || conv_id || '_' || (turn - 2)], 'errors': errors, 'id': 'call_' || conv_id || '_' || turn, 'name': name,
+            CAST(to_json({'arguments': CAST(arguments AS JSON),
+                'depends_on': depends_on, 'errors': errors, 'id': 'call_' || conv_id || '_' || turn, 'name': name,
                 'result': CASE WHEN result_turn IS NOT NULL THEN {'content': content, 'turn': result_turn} END, 'turn': turn, 'valid': len(errors) = 0}) AS VARCHAR) AS json
         FROM e
     """,

@@ -7,24 +7,44 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A tool's arguments: field, kind (string, integer, number, boolean), required, least and greatest number or length.
+#: A tool's arguments: field, kind (string, integer, number, boolean, object, array), required, least and greatest number or length.
 SCHEMA = "name string, fields array<struct<field:string,kind:string,required:boolean,low:double,high:double>>"
 
 
 def _problems() -> F.Column:
-    """What is wrong with the arguments (map a, null if they are no JSON object) of a tool with these fields."""
-    value = "element_at(a, f.field)"
-    number = f"try_cast({value} as double)"
+    """What is wrong with the arguments (a: a map of variants, null if they are no JSON object) of a tool with these fields."""
+    kind, value = "schema_of_variant(element_at(a, f.field))", "element_at(a, f.field)"
+    absent = f"({value} is null or {kind} = 'VOID')"
+    number, within = f"try_cast({value} as double)", "(f.low is null or {0} >= f.low) and (f.high is null or {0} <= f.high)"
+    length = {"string": f"char_length(try_cast({value} as string))", "array": f"size(try_cast({value} as array<variant>))", "object": f"size(try_cast({value} as map<string,variant>))"}
     fits = f"""case f.kind
-        when 'string' then (f.low is null or char_length({value}) >= f.low) and (f.high is null or char_length({value}) <= f.high)
-        when 'boolean' then {value} in ('true', 'false')
-        else {number} is not null and (f.kind = 'number' or {number} = floor({number})) and (f.low is null or {number} >= f.low) and (f.high is null or {number} <= f.high) end"""
+        when 'string' then {kind} = 'STRING' and {within.format(length['string'])}
+        when 'boolean' then {kind} = 'BOOLEAN'
+        when 'object' then startswith({kind}, 'OBJECT<') and {within.format(length['object'])}
+        when 'array' then startswith({kind}, 'ARRAY<') and {within.format(length['array'])}
+        else ({kind} in ('BIGINT', 'DOUBLE') or startswith({kind}, 'DECIMAL')) and abs({number}) < double('Infinity') and (f.kind = 'number' or {number} = floor({number})) and {within.format(number)} end"""
     return F.expr(f"""case when fields is null then array('unknown tool') when a is null then array('no object') else concat(
-        transform(filter(fields, f -> f.required and {value} is null), f -> concat('missing ', f.field)),
-        transform(filter(fields, f -> {value} is not null and not ({fits})), f -> concat('invalid ', f.field)),
+        transform(filter(fields, f -> f.required and {absent}), f -> concat('missing ', f.field)),
+        transform(filter(fields, f -> not {absent} and not ({fits})), f -> concat('invalid ', f.field)),
         transform(array_sort(filter(map_keys(a), k -> not exists(fields, f -> f.field = k))), k -> concat('unknown ', k))) end""")
 
 
+def canonical_numbers(json: str) -> str:
+    """JSON text in which equal numbers are written alike, as an expression over a column of JSON without white space.
+
+    A number with a fraction or an exponent is read as a double: a whole one below 2^53 is written without either, any
+    other in the shortest form of doubles. Numbers of digits only stay. Strings are told apart
+    by their quotes, once escaped ones are hidden behind control characters, which JSON text never holds.
+    """
+    backslash, quote = r"r'\\'", r"r'\"'"  # as they stand escaped in JSON text
+    hidden = f"replace(replace({json}, {backslash}, '\\u0001'), {quote}, '\\u0002')"
+    double = "cast(t as double)"
+    token = f"if(t rlike '^-?[0-9]' and t rlike '[.eE]', if({double} = floor({double}) and abs({double}) < 9007199254740992, string(bigint({double})), string({double})), t)"
+    outside = f"array_join(transform(regexp_extract_all(p, '[-+.0-9eE]+|[^-+.0-9eE]+', 0), t -> {token}), '')"
+    fixed = f"array_join(transform(split({hidden}, '\"'), (p, i) -> if(i % 2 = 0 and p rlike '[.eE]', {outside}, p)), '\"')"
+    return f"if({json} rlike '[0-9][.eE]', replace(replace({fixed}, '\\u0002', {quote}), '\\u0001', {backslash}), {json})"
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """Join calls to their results, order calls after the calls that they use, validate their arguments, and serialise.
 
@@ -41,7 +61,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     Nulls and ties: a call without conv_id or call_id, and a result that answers no call,
     link with nothing and are left out. Of calls with one identifier the one of the
     earliest turn counts, then the smallest arguments; of its results likewise. Calls used that don't exist
-    are ignored. Arguments that are null or no JSON object are serialised as null and invalid. Other
+    are ignored. Arguments are read as JSON values of their own types: "5" is no integer, 7 no string, and 5.0 an integer.
+    A field that is null counts as absent. Arguments that are null, no JSON object, or that repeat a key are invalid and
+    serialised as null. Numbers are written as :func:`canonical_numbers` says, so 1, 1.0 and 1e0 all become 1. Other
     columns are not read; empty tables give an empty result.
     """
     key = ["conv_id", "call_id"]
@@ -50,11 +72,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     answers = results.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"))
     level = _levels(calls.select(*key, "depends_on"))
     linked = calls.join(answers.hint("shuffle_hash"), key, "left").join(level, key, "left").join(F.broadcast(schemas.select(F.col("name").alias("tool"), "fields")), F.col("name") == F.col("tool"), "left")
-    checked = linked.withColumn("a", F.expr("case when startswith(ltrim(arguments), '{') then from_json(arguments, 'map<string,string>') end")).withColumn("errors", _problems())
+    checked = linked.withColumn("parsed", F.try_parse_json("arguments")).withColumn("a", F.expr("try_variant_get(parsed, '$', 'map<string,variant>')")).withColumn("errors", _problems())
     checked = checked.withColumn("valid", F.size("errors") == 0)
     line = F.to_json(
         F.struct(
-            F.when(F.col("a").isNotNull(), F.try_parse_json("arguments")).alias("arguments"),
+            F.when(F.col("a").isNotNull(), F.expr("try_parse_json(" + canonical_numbers("to_json(parsed)") + ")")).alias("arguments"),
             "depends_on", "errors",
             F.col("call_id").alias("id"),
             "name",
@@ -107,9 +129,9 @@ def _levels(calls: DataFrame) -> DataFrame:
 
 #: Tools of the calls that :func:`calls_in` reads out of conversations.
 TOOLS = [
-    ("lookup", [("limit", "integer", False, 1.0, 50.0), ("query", "string", True, 1.0, None), ("options", "string", False, None, None)]),
-    ("search", [("limit", "integer", True, 0.0, 40.0), ("query", "string", True, None, 400.0), ("options", "string", False, None, None)]),
-    ("translate", [("limit", "integer", False, None, None), ("query", "string", True, 1.0, None), ("target", "string", True, 2.0, 2.0)]),
+    ("lookup", [("limit", "integer", False, 1.0, 50.0), ("query", "string", True, 1.0, None), ("options", "object", False, None, None)]),
+    ("search", [("limit", "integer", True, 0.0, 40.0), ("query", "string", True, None, 400.0), ("options", "object", False, None, None)]),
+    ("translate", [("limit", "number", False, None, None), ("query", "string", True, 1.0, None), ("target", "string", True, 2.0, 2.0)]),
 ]
 
 
@@ -118,13 +140,21 @@ def tool_schemas(spark: SparkSession) -> DataFrame:
 
 
 def calls_in(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations: each user turn is a call, which uses the user turn before; the reply is its result."""
+    """Calls and results of plain conversations: each user turn is a call, which uses the user turn before and every fourth turn the one before that, too; the reply is its result.
+
+    Some limits are strings and some options no objects, as models write them.
+    """
     name = F.element_at(F.array(*[F.lit(t) for t, _ in TOOLS]), (F.pmod("turn", F.lit(3)) + 1).cast("int"))
     size = F.char_length(F.coalesce("text", F.lit("")))
-    arguments = F.to_json(F.struct(F.col("text").alias("query"), F.struct((size % 5).alias("z"), (size % 2 == 0).alias("b")).alias("options"), (size % 60).alias("limit")))
+    options = F.when(size % 11 == 0, F.to_json(F.struct(F.lit(True).alias("options")))).otherwise(F.to_json(F.struct(F.struct((size % 5).alias("z"), (size % 2 == 0).alias("b")).alias("options"))))
+    limit = F.when(size % 7 == 0, F.to_json(F.struct((size % 60).cast("string").alias("limit")))).otherwise(F.to_json(F.struct((size % 60).alias("limit"))))
+    query = F.when(F.col("text").isNotNull(), F.to_json(F.struct(F.col("text").alias("query"))))
+    inner = lambda j: F.substr(j, F.lit(2), F.char_length(j) - 2)
+    arguments = F.concat(F.lit("{"), F.concat_ws(", ", inner(query), inner(options), inner(limit)), F.lit("}"))
+    used = lambda back: F.concat(F.lit("call_"), "conv_id", F.lit("_"), F.col("turn") - back)
     calls = conversations.where("role = 'user'").select(
-        "conv_id", F.concat(F.lit("call_"), "conv_id", F.lit("_"), "turn").alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"),
-        F.array(F.concat(F.lit("call_"), "conv_id", F.lit("_"), F.col("turn") - 2)).alias("depends_on"),
+        "conv_id", used(0).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"),
+        F.when(F.col("turn") % 4 == 0, F.array(used(2), used(4))).otherwise(F.array(used(2))).alias("depends_on"),
     )
-    results = conversations.where("role = 'assistant'").select("conv_id", F.concat(F.lit("call_"), "conv_id", F.lit("_"), F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = conversations.where("role = 'assistant'").select("conv_id", used(1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

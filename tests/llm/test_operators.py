@@ -103,7 +103,7 @@ def test_tool_calls_order_validate_and_link(spark):
         "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>",
     ).withColumn("level", F.lit("clash")).withColumn("errors", F.lit("clash"))
     results = spark.createDataFrame([(1, "a", 9, "late"), (1, "a", 1, "first"), (3, "a", 1, "none"), (None, None, 1, "x")], "conv_id long, call_id string, turn long, content string")
-    schemas = spark.createDataFrame([("t", [("n", "integer", True, 0.0, 10.0), ("s", "string", False, None, None)])], tool_calls.SCHEMA)
+    schemas = spark.createDataFrame([("t", [("n", "integer", True, 0.0, 10.0), ("s", "object", False, None, None)])], tool_calls.SCHEMA)
     got = {(r["conv_id"], r["call_id"]): r for r in rows(tool_calls.link_tool_calls(calls, results, schemas))}
     assert {k: r["level"] for k, r in got.items()} == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 0, (1, "x"): None, (1, "y"): None, (2, "a"): 0}
     assert got[1, "a"]["valid"] and got[1, "a"]["result_turn"] == 1
@@ -116,6 +116,30 @@ def test_tool_calls_order_validate_and_link(spark):
     assert not tool_calls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count()
 
 
+def test_arguments_by_json_type_and_canonical_numbers(spark):
+    fields = [("n", "integer", False, 0.0, 10.0), ("s", "string", False, None, 3.0), ("b", "boolean", False, None, None), ("x", "number", False, None, None), ("o", "object", False, None, None), ("l", "array", False, 1.0, 2.0), ("r", "boolean", True, None, None)]
+    cases = [
+        ('{"r": true, "n": "5", "s": 7}', ["invalid n", "invalid s"], '{"n":"5","r":true,"s":7}'),
+        ('{"r": "true", "s": {"x": 1}, "b": 1}', ["invalid s", "invalid b", "invalid r"], '{"b":1,"r":"true","s":{"x":1}}'),
+        ('{"r": false, "n": 5, "n": 6}', ["no object"], "null"),
+        ('{"r": true, "n": 5.0, "x": 1e0, "o": {}, "l": [1]}', [], '{"l":[1],"n":5,"o":{},"r":true,"x":1}'),
+        ('{"r": true, "n": 1.5, "x": "1", "o": [], "l": {"a": 1}}', ["invalid n", "invalid x", "invalid o", "invalid l"], '{"l":{"a":1},"n":1.5,"o":[],"r":true,"x":"1"}'),
+        ('{"r": null, "n": null, "l": [1, 2, 3], "s": "four"}', ["missing r", "invalid s", "invalid l"], '{"l":[1,2,3],"n":null,"r":null,"s":"four"}'),
+        ('{"r": true, "x": 1e400}', ["invalid x"], None),
+        (r'{"r": true, "o": {"z": [2e3, -0.0, 1.50, 1.5e-7, 12345678901234567890123], "a": "1e0 \" 2.0 \\"}}', [], r'{"o":{"a":"1e0 \" 2.0 \\","z":[2000,0,1.5,1.5E-7,12345678901234567890123]},"r":true}'),
+        ("[1]", ["no object"], "null"), ("5", ["no object"], "null"), ("", ["no object"], "null"), ('{"r": tru', ["no object"], "null"),
+        ('{"r": true, "s": "' + 'long \\\\ \\" ' * 30_000 + '", "x": 1.0}', ["invalid s"], None),
+    ]
+    calls = spark.createDataFrame([(1, str(i), i, "t", a, None) for i, (a, _, _) in enumerate(cases)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {int(r["call_id"]): r for r in rows(tool_calls.link_tool_calls(calls, results, spark.createDataFrame([("t", fields)], tool_calls.SCHEMA)))}
+    for i, (arguments, errors, json_) in enumerate(cases):
+        assert sorted(got[i]["errors"]) == sorted(errors) and got[i]["valid"] == (not errors), arguments[:80]
+        if json_ is not None:
+            assert got[i]["json"].startswith('{"arguments":' + json_ + ',"depends_on"'), (got[i]["json"][:200], json_)
+    assert json.loads(got[12]["json"])["arguments"] == json.loads(cases[12][0])
+
+
 def test_levels_of_chains_branches_and_cycles(spark):
     rng, uses = np.random.default_rng(1), {}
     for conv in range(8):
