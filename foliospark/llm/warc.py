@@ -6,10 +6,12 @@ import base64
 import gzip
 import hashlib
 import html
+import itertools
 import json
 import re
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +21,20 @@ from ..cluster import ship_package
 
 #: The date of records built from pages, which carry none.
 DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>", re.I | re.S)
-_LINE = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-z][^>]*>|<![^>]*>|<\?[^>]*>", re.I)
+#: Elements whose contents are no text, and tags that begin or end a line.
+SKIPPED = ("script", "style", "noscript", "template")
+LINES = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
+_NAME = re.compile(r"/?([a-z][a-z0-9]*)", re.I | re.A)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I | re.A) for name in (*SKIPPED, "title")}
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
+_HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HUGE = re.compile(r"&#(?:[0-9]{20,}|[xX][0-9a-fA-F]{20,});?")
 _CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
+#: What stands between two records of a file.
+BETWEEN = "\r\n\r\nWARC/1."
+
+#: Most bytes of a record's headers, and of a record read from a file; what is larger counts as broken.
+HEAD, LARGEST = 1 << 18, 1 << 30
 
 Headers = list[tuple[str, str]]
 
@@ -45,53 +54,166 @@ def build_record(headers: Headers, block: bytes) -> bytes:
 
 
 def _fields(head: bytes) -> Headers:
-    out: Headers = []
+    out: list[tuple[str, list[str]]] = []
     for line in head.decode("utf-8", "replace").split("\r\n"):
         if line[:1] in (" ", "\t") and out:  # a folded line
-            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+            out[-1][1].append(line.strip())
         elif ":" in line:
             k, _, v = line.partition(":")
-            out.append((k.strip(), v.strip()))
-    return out
+            out.append((k.strip(), [v.strip()]))
+    return [(k, " ".join(v)) for k, v in out]
 
 
 def value(headers: Headers, name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def _ends(raw: bytes, at: int = 0) -> tuple[int, int] | None:
+    """Where the block of the record at ``at`` begins and ends by its headers; None if they say nothing or take over HEAD bytes."""
+    head = raw.find(b"\r\n\r\n", at, at + HEAD)
+    if head < 0 or not raw.startswith(b"WARC/", at):
+        return None
+    size = value(_fields(raw[at:head].partition(b"\r\n")[2]), "Content-Length") or ""
+    return (head + 4, head + 4 + int(size)) if re.fullmatch("[0-9]{1,18}", size) else None
+
+
 def parse_record(raw: bytes) -> tuple[Headers, bytes] | None:
     """Headers and block of a record, or None if it is none."""
-    head, mark, rest = raw.partition(b"\r\n\r\n")
-    if not mark or not head.startswith(b"WARC/"):
-        return None
-    headers = _fields(head.partition(b"\r\n")[2])
-    try:
-        size = int(value(headers, "Content-Length") or "")
-    except ValueError:
+    ends = _ends(raw)
+    if ends is None or ends[1] > len(raw):
         return None
-    return (headers, rest[:size]) if 0 <= size <= len(rest) else None
+    return _fields(raw[: ends[0] - 4].partition(b"\r\n")[2]), raw[ends[0] : ends[1]]
 
 
-def split_records(data: bytes) -> Iterator[bytes]:
-    """The records of a WARC file, plain or compressed; what follows a broken record is left out."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def split_records(parts: Iterable[bytes]) -> Iterator[tuple[bytes | None, bytes | None]]:
+    """Records, and bytes that are none, from the parts that BETWEEN cuts a file into, as pairs of which one is None.
+
+    A part that ends before its record does goes on in the next one, for that record holds BETWEEN
+    itself. Behind a broken record reading goes on at the next that begins.
+    """
+    mark, held, size, need = BETWEEN.encode(), [], 0, 0
+    for part in itertools.chain(parts, (None,)):
+        if held and part is not None and size < need:
+            held += [mark, part]
+            unknown, size = need == size + 1, size + len(mark) + len(part)
+            if unknown:
+                held = [b"".join(held)]
+                need = _need(held[0])
+            continue
+        if held:
+            yield from _whole(b"".join(held))
+        if part is not None:
+            held = [mark[4:] + part if re.match(rb"[0-9]+\r\n", part) else part]  # BETWEEN ends before the version's last digit
+            size, need = len(held[0]), _need(held[0])
+
+
+def _need(raw: bytes) -> int:
+    """How many bytes the record takes that begins here, as far as its headers can be read."""
+    ends = _ends(raw)
+    if ends:
+        return ends[1] if ends[1] <= LARGEST else 0
+    return 0 if b"\r\n\r\n" in raw else len(raw) + 1
+
+
+def _whole(raw: bytes) -> Iterator[tuple[bytes | None, bytes | None]]:
     at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        size = value(_fields(data[at:end].partition(b"\r\n")[2]), "Content-Length") if end >= 0 else None
-        if size is None or not size.isdigit() or end + 4 + int(size) > len(data):
-            return
-        stop = end + 4 + int(size)
-        yield data[at:stop] + b"\r\n\r\n"
-        at = stop + 4 if data.startswith(b"\r\n\r\n", stop) else stop
+    while at < len(raw):
+        ends = _ends(raw, at)
+        if ends and ends[1] <= len(raw):
+            yield raw[at : ends[1]] + b"\r\n\r\n", None
+            at = ends[1]
+            continue
+        following = raw.find(b"WARC/1.", at + 1)
+        following = len(raw) if following < 0 else following
+        if raw[at:following].strip():
+            yield None, raw[at:following]
+        at = following
+
+
+def _text(raw: str) -> str:
+    """Character references resolved."""
+    return html.unescape(_HUGE.sub("\ufffd", raw))
+
+
+def read_page(page: str) -> tuple[str, list[str], str | None]:
+    """Text, links and title of a page, in one pass from left to right.
+
+    Comments, SKIPPED elements and tags are left out, from where one begins to its end or, for comments and
+    elements never closed, the end of the page; tags of LINES begin a line. A tag ends at the next ``>``; where there is none, what is left is text.
+    """
+    out, links, title, at, n = [], [], None, 0, len(page)
+    title_at = title_end = None
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        out.append(page[at:i])
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = n if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, i + 1)
+        end = page.find(">", i + 1) if name or page[i + 1 : i + 2] in ("!", "?") else -2
+        if end == -1:  # no tag ends any more
+            out.append(page[i:])
+            at = n
+            break
+        if end == -2:
+            out.append("<")
+            at = i + 1
+            continue
+        at = end + 1
+        tag = name[1].lower() if name else ""
+        if tag in LINES:
+            out.append("\n")
+        if name and page[i + 1] != "/":
+            if tag in SKIPPED:
+                close = _CLOSE[tag].search(page, at)
+                at = close.end() if close else n
+            elif tag == "a":
+                href = _HREF.search(page, name.end(), end)
+                if href:
+                    links.append(_text(href[1] or href[2] or href[3] or ""))
+            elif tag == "title" and title_at is None:
+                close = _CLOSE["title"].search(page, at)
+                title_at, title_end = (at, close.start()) if close else (-1, -1)
+                title = _BLANK.sub(" ", read_page(page[at:title_end])[0].replace("\n", " ")).strip() if close else None
+    out.append(page[at:])
+    text = _text("".join(out))
+    return "\n".join(x for line in text.split("\n") if (x := _BLANK.sub(" ", line).strip())), links, title
 
 
 def plain_text(page: str) -> str:
-    """The text of a page: no comments, scripts and tags, a line for each block, entities resolved."""
-    text = _DROP.sub("", page)
-    text = html.unescape(_TAG.sub("", _LINE.sub("\n", text)))
-    return "\n".join(x for line in text.split("\n") if (x := _BLANK.sub(" ", line).strip()))
+    """The text of a page: no comments, scripts and tags, a line for each block, references resolved."""
+    return read_page(page)[0]
+
+
+def _chunked(body: bytes) -> bytes:
+    """A body without its chunked transfer coding; as it is where that is broken."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at, at + 4096)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(b"[0-9a-fA-F]{1,15}", size):
+            return body
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def _decoded(http: Headers, payload: bytes) -> bytes:
+    """A payload without gzip or deflate coding; as it is where that is broken or another."""
+    coding = (value(http, "Content-Encoding") or "").strip().lower()
+    try:
+        if coding in ("gzip", "x-gzip"):
+            return gzip.decompress(payload)
+        if coding == "deflate":
+            return zlib.decompress(payload) if payload[:1] == b"\x78" else zlib.decompress(payload, -15)
+    except (OSError, EOFError, zlib.error):
+        pass
+    return payload
 
 
 def response_record(page_id: int | None, url: str | None, page: str | None) -> bytes:
@@ -118,26 +240,29 @@ def derive(raw: bytes) -> list[bytes]:
     head, mark, body = block.partition(b"\r\n\r\n")
     http = _fields(head.partition(b"\r\n")[2]) if mark else []
     payload = body if mark else block
+    if (value(http, "Transfer-Encoding") or "").strip().lower() == "chunked":
+        payload = _chunked(payload)
+    content = _decoded(http, payload)
     charset = _CHARSET.search(value(http, "Content-Type") or "")
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = content.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        page = content.decode("utf-8", "replace")
     of = value(source, "WARC-Record-ID") or record_id(digest(raw))
     shared = [("WARC-Refers-To", of)] + [(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := value(source, k))]
     shared += [("WARC-Refers-To-Target-URI", v) for v in [value(source, "WARC-Target-URI")] if v] + [("WARC-Refers-To-Date", v) for v in [value(source, "WARC-Date")] if v]
     text_id = record_id(f"conversion/{of}")
-    title = _TITLE.search(page)
+    text, links, title = read_page(page)
     about = {
         "conversion": text_id,
-        "html": {"links": [html.unescape(a or b or c) for a, b, c in _HREF.findall(_DROP.sub("", page))], "title": _BLANK.sub(" ", html.unescape(_TAG.sub("", title[1]))).strip() if title else None},
+        "html": {"links": links, "title": title},
         "http": {"headers": [list(h) for h in http], "status": head.split(b"\r\n", 1)[0].decode("utf-8", "replace") if mark else None},
         "payload": {"digest": digest(payload), "length": len(payload), "matches": value(source, "WARC-Payload-Digest") in (None, digest(payload))},
         "source": {"headers": [list(h) for h in source]},
     }
     block = json.dumps(about, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()
     metadata = build_record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id(f"metadata/{of}")), *shared, ("WARC-Concurrent-To", text_id), ("Content-Type", "application/json")], block)
-    conversion = build_record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *shared, ("WARC-Source-Payload-Digest", value(source, "WARC-Payload-Digest") or digest(payload)), ("Content-Type", "text/plain; charset=utf-8")], plain_text(page).encode())
+    conversion = build_record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *shared, ("WARC-Source-Payload-Digest", value(source, "WARC-Payload-Digest") or digest(payload)), ("Content-Type", "text/plain; charset=utf-8")], text.encode("utf-8", "replace"))
     return [metadata, conversion]
 
 
@@ -173,10 +298,32 @@ def derivatives(records: DataFrame) -> DataFrame:
     return _records(records, lambda _, raw: derive(raw) if raw is not None else [], "page_id", "record")
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """record and rejected of WARC files (plain or .gz), a row for each record or run of bytes that is none.
+
+    Spark's text source cuts the files at BETWEEN, so a plain file is read in splits by many tasks and a
+    compressed one as a stream; no task holds more than a record. Bytes are passed on as they are.
+    """
+    ship_package(spark)
+    parts = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((p, x.as_py()) for batch in batches for p, x in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for _, of_file in itertools.groupby(rows, key=lambda r: r[0]):
+            for record, rejected in split_records(x for _, x in of_file):
+                yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary()), pa.array([rejected], pa.binary())], names=["record", "rejected"])
+
+    return parts.mapInArrow(run, "record binary, rejected binary")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files (plain or .gz): page_id (null) and record. One task reads a file whole."""
-    files = spark.read.format("binaryFile").load(path).select(F.lit(None).cast("long").alias("page_id"), "content")
-    return _records(files, lambda _, data: list(split_records(data)), "page_id", "content")
+    """The records of WARC files (plain or .gz): page_id (null) and record."""
+    return _read(spark, path).where("record is not null").select(F.lit(None).cast("long").alias("page_id"), "record")
+
+
+def rejected_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The bytes of WARC files that belong to no record: rejected."""
+    return _read(spark, path).where("rejected is not null").select("rejected")
 
 
 def describe(records: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Small fixtures: brute force, round trips, nulls, ties, empty tables and clashing names."""
 
+import base64
 import gzip
 import hashlib
+import html.parser
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -344,11 +347,105 @@ def test_warc_derivatives(spark):
     assert not warc.derivatives(broken).count() and not warc.responses(df.limit(0)).count()
 
 
+class PlainPage(html.parser.HTMLParser):
+    """The rules of a page's text once more, over the library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.skip, self.links, self.titles, self.open = [], [], [], [], None
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.out += ["\n"] * (tag in warc.LINES and not self.skip)
+        if tag in warc.SKIPPED:
+            self.skip.append(tag)
+        if tag == "a" and not self.skip:
+            self.links += [v or "" for k, v in attrs if k == "href"][:1]
+        if tag == "title":
+            self.open = ""
+
+    def handle_endtag(self, tag):
+        self.out += ["\n"] * (tag in warc.LINES and not self.skip)
+        if tag in self.skip:
+            self.skip.remove(tag)
+        if tag == "title" and self.open is not None:
+            self.titles.append(self.open)
+            self.open = None
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data)
+        if self.open is not None:
+            self.open += data
+
+    def text(self):
+        lines = (re.sub("[ \t\r\f\v\xa0]+", " ", x).strip() for x in "".join(self.out).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+
+def test_derivatives_of_all_pages_by_another_parser(spark, sf):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    made = rows(warc.describe(warc.derivatives(warc.responses(spark.read.parquet(f"{sf}/pages.parquet")))))
+    assert len(made) == 2 * len(pages)
+    for r in made:
+        page = pages[r["page_id"]]
+        plain = PlainPage(page.html or "")
+        source = hashlib.sha1((page.html or "").encode()).digest()
+        assert r["source_payload_digest"] in (None, "sha1:" + base64.b32encode(source).decode()) and r["target_uri"] == (page.url or None)
+        if r["warc_type"] == "conversion":
+            assert r["content"] == plain.text() and r["block_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(plain.text().encode()).digest()).decode()
+        else:
+            about = json.loads(r["content"])
+            assert about["html"]["links"] == plain.links and about["html"]["title"] == (" ".join(plain.titles[0].split()) if plain.titles else None)
+            assert about["payload"]["matches"] and about["conversion"] == r["concurrent_to"]
+
+
+def test_pages_in_one_pass():
+    """Long pages of tags, comments and elements that never end take time in proportion."""
+    cases = {
+        "<a x": "<a x" * 2_500_000, "<a ": "", "< ": "", "<!--": "", "<script>": "", "</": "", "<": "", "<title>": "", "<a href=": "", "<a href='": "", "&#": "", "&": "", "<p": "", "<!": "", "<a x>": "", "</title": "", "<title></title ": "",
+    }
+    began = time.time()
+    for piece in cases:
+        text, links, _ = warc.read_page(piece * (2_000_000 // len(piece)))
+        assert len(text) <= 2_000_000
+    warc.read_page(cases["<a x"])
+    assert time.time() - began < 60
+    assert warc.plain_text("a<b <c> 1 < 2 <3 &#" + "9" * 5000 + "; <") == "a 1 < 2 <3 \ufffd <"
+    assert warc.read_page("<TITLE>x <b>y</b>\n</TITLE><p data-href=no href='a'>k<a data-href=n HREF = 'q&amp;r'>l</a><a>m</a>") == ("x y\nkl" + "m", ["q&r"], "x y")
+
+
+def test_bodies_with_codings():
+    page = "<p>é" * 50
+    body = gzip.compress(page.encode())
+    chunked = b"".join(b"%x;x=y\r\n%b\r\n" % (len(body[i : i + 7]), body[i : i + 7]) for i in range(0, len(body), 7)) + b"0\r\n\r\n"
+    for http, block in (("Content-Encoding: gzip", body), ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked), ("Content-Encoding: deflate", zlib.compress(page.encode())), ("Content-Encoding: br", page.encode()), ("Transfer-Encoding: chunked", page.encode())):
+        raw = warc.build_record([("WARC-Type", "response")], f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{http}\r\n\r\n".encode() + block)
+        assert warc.parse_record(warc.derive(raw)[1])[1].decode() == "\n".join(["é"] * 50)
+
+
 def test_warc_file_round_trip(spark, tmp_path):
     raw = [warc.response_record(i, f"http://h/{i}", "<p>é" * i) for i in range(6)]
-    (tmp_path / "a.warc").write_bytes(b"".join(raw[:3]))
+    inner = warc.response_record(7, "http://h/7", "a page with\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\nWARC/1.0 inside")
+    first = warc.build_record([("WARC-Type", "resource")], b"WARC/1.1 begins the block")
+    none = warc.build_record([("WARC-Type", "resource")], b"")
+    (tmp_path / "a.warc").write_bytes(b"".join([*raw[:2], b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\nshort\r\n\r\n", inner, b"WARC/1.1\r\nno length\r\n\r\n", first, none, raw[2]]))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, raw[3:])))
-    assert sorted(bytes(r.record) for r in warc.read_warc(spark, str(tmp_path)).collect()) == sorted(raw)
+    (tmp_path / "c.warc").write_bytes(b"junk before " + raw[0][:-2])
+    got = [bytes(r.record) for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted([*raw, inner, first, none, raw[0]])
+    rejected = sorted(bytes(r.rejected).strip() for r in warc.rejected_warc(spark, str(tmp_path)).collect())
+    assert len(rejected) == 3 and rejected[0].startswith(b"WARC/1.1\r\nContent-Length: 99999999")
+    many = [warc.response_record(i, f"http://h/{i}", "word " * (i % 400)) for i in range(900)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/e.warc").write_bytes(b"".join(many))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        split = warc.read_warc(spark, str(tmp_path / "d"))
+        assert sorted(bytes(r.record) for r in split.collect()) == sorted(many) and split.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 # op6, op7, op9
