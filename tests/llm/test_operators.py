@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html.parser
 import json
+import math
 import random
 import re
 import time
@@ -14,6 +15,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -301,6 +303,60 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert a == b
 
 
+def test_quality_scores_by_a_plain_loop(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(df, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r for r in rows(quality.score_quality(df, model))}
+    seen = []
+    for r in df.collect():
+        raw = (r.text or "").encode()
+        size = [0, 0]
+        for k in (0, 1):
+            for i in range(0, len(raw), 768):
+                one = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model.dictionaries[k]), write_content_size=False, write_checksum=False, write_dict_id=False)
+                size[k] += len(one.compress(raw[i : i + 768]))
+        d = (size[1] - size[0]) / max(1, len(raw))
+        score = model.even if d == 0 else 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * (d - model.mean) / model.scale)))
+        assert abs(got[r.doc_id]["score"] - score) < 1e-12 and got[r.doc_id]["predicted"] == (score >= 0.3)
+        seen.append((d, score))
+    seen = sorted(x for x in seen if x[0])
+    assert len(seen) > 100 and all(a[1] <= b[1] for a, b in zip(seen, seen[1:]))  # the score rises with the difference alone
+
+
+def test_language_by_dense_kernels():
+    rng = np.random.default_rng(3)
+    parts = {"a": ["the ", "and ", "ing "], "b": ["der ", "und ", "sch"], "c": ["el ", "que ", "ñ "]}
+    pick = lambda k: "".join(rng.choice(parts[k], rng.integers(3, 30)).tolist()).encode()
+    langs = [str(x) for x in rng.choice(list(parts), 90)]
+    texts = [pick(k) for k in langs]
+    model = language.KernelLanguages(texts, langs)
+    grams = lambda t: {(n, t.lower()[i : i + n]) for n in language.LENGTHS for i in range(len(t) - n + 1)}
+    marks = [i for k in sorted(parts) for i in [j for j, x in enumerate(langs) if x == k][: language.LANDMARKS]]
+    counted = Counter(g for i in marks for g in grams(texts[i]))
+    known = {g for g, n in counted.items() if n >= 2}
+    kernel = lambda x, y: len(x & y) / np.sqrt(max(1, len(x)) * max(1, len(y)))
+    own = [grams(t) & known for t in texts]
+    knm = np.array([[kernel(x, own[i]) for i in marks] for x in own])
+    kmm = knm[marks]
+    y = np.where(np.array(langs)[:, None] == np.array(sorted(parts))[None], 1.0, -1.0)
+    w = np.diag([1 / langs.count(k) for k in langs])
+    # ridge in the landmarks' space: alpha minimises |W(Knm a - y)|^2 + ridge a' Kmm a
+    alpha = np.linalg.lstsq(knm.T @ w @ knm + language.RIDGE * kmm, knm.T @ w @ y, rcond=1e-10)[0]
+    fresh = [pick(k) for k in "abcabcabc"] + [b"zzz", b""]
+    f = np.array([[kernel(grams(t) & known, own[i]) for i in marks] for t in fresh]) @ alpha
+    lang, score = model.predict(fresh)
+    assert np.allclose(score, np.clip((f.max(1) + 1) / 2, 0, 1), atol=2e-3)
+    assert [x for x, s in zip(lang, np.sort(f, 1)) if s[-1] - s[-2] > 0.01] == [sorted(parts)[i] for i, s in zip(f.argmax(1), np.sort(f, 1)) if s[-1] - s[-2] > 0.01]
+
+
+def test_languages_of_held_out_rows_are_not_read(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    other = df.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang"))).withColumn("text", F.when(held, F.lit("other")).otherwise(F.col("text")))
+    a, b = (language.fit(x) for x in (df, other))
+    assert a.langs == b.langs and np.array_equal(a.matrix, b.matrix) and np.array_equal(a.grams, b.grams)
+
+
 def test_language_held_out_accuracy(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     got = language.identify_language(df, model := language.fit(df)).join(df.select("doc_id", "lang"), "doc_id").where("held_out")
