@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from .common import broadcast, is_held_out
 
-#: Documents of each language that the regression learns from; the first LANDMARKS of them are landmarks too.
-FIT_ROWS, LANDMARKS = 400, 50
+#: Documents of each language that the regression learns from; the first LANDMARKS of them are landmarks too, fewer where there would be
+#: over MOST_LANDMARKS of all languages (but one of each), so that the dense matrix of landmarks by n-grams stays at a few hundred MB.
+FIT_ROWS, LANDMARKS, MOST_LANDMARKS = 400, 50, 400
 #: Longer documents are not used to learn from; every document is scored whole.
 FIT_BYTES = 1 << 16
 #: The spectrum: n-grams of 1 to 4 bytes of UTF-8.
@@ -55,9 +56,9 @@ class KernelLanguages:
         if not self.langs:
             return
         seen: dict[str, int] = {}
-        marks = []
+        marks, most = [], max(1, min(LANDMARKS, MOST_LANDMARKS // len(self.langs)))
         for t, lang in zip(texts, langs):
-            if seen.setdefault(lang, 0) < LANDMARKS:
+            if seen.setdefault(lang, 0) < most:
                 marks.append(t)
                 seen[lang] += 1
         own = [np.unique(np.concatenate([_grams(_LOWER[np.frombuffer(t, np.uint8)], n) for n in LENGTHS])) for t in marks]
@@ -144,7 +145,7 @@ class KernelLanguages:
 def fit(docs: DataFrame) -> KernelLanguages:
     """Learn from about FIT_ROWS documents of each language, chosen by a hash of doc_id, none of them held out."""
     named = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text rlike '\\\\p{L}'").where(~is_held_out(F.col("doc_id"))).where(F.octet_length("text") <= FIT_BYTES)
-    counts = docs.where("lang is not null").groupBy("lang").count().select(F.col("lang").alias("l"), F.col("count").alias("n"))
+    counts = named.groupBy("lang").count().select(F.col("lang").alias("l"), F.col("count").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     some = named.join(F.broadcast(counts), F.col("lang") == F.col("l")).where(draw * F.col("n") < F.lit(3 * FIT_ROWS << 30))
     first = Window.partitionBy("lang").orderBy(draw, "doc_id", "text")
