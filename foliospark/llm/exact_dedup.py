@@ -8,11 +8,8 @@ from pyspark.sql.window import Window
 
 from .common import BLANK, materialize
 
-#: Rows looked at to find texts with very many copies.
-SAMPLE_ROWS = 20_000
-#: Copies in that sample from which a text is spread over SALTS ranges; at most SAMPLE_ROWS / HOT_COPIES texts are.
-HOT_COPIES = 20
-SALTS = 256
+#: A text on more rows than this, and than one in MOST_HOT of all rows, is hot: its rows are spread over runs of about that size.
+HOT_ROWS, MOST_HOT = 1000, 100_000
 #: Characters of the text that splitters carry; the digest and the full text decide behind them.
 PREFIX = 32
 
@@ -27,10 +24,10 @@ def exact_dedup(docs: DataFrame, payload: tuple[str, ...] = (), id_col: str = "d
     sorted rows. Of equal texts the longest original (code points) stays, then the
     smallest identifier.
 
-    A text with very many copies would be one run in one task. Such texts are found
-    in a bounded sample and their rows spread over SALTS runs; the runs' heads, at most
-    SALTS for each of at most SAMPLE_ROWS / HOT_COPIES texts, are sorted and
-    compared once more. The sample decides only how rows are spread.
+    A text with very many copies would be one run in one task. The copies of every text are counted
+    first, by a hash and with partial sums; rows of hot texts are spread over as many runs as bound their
+    length, by a hash of identifier and place in the input (which is to come from files, so that a repeated task reads
+    rows in the same order). The runs' heads are sorted and compared once more. At most MOST_HOT texts are hot, and the hash decides only how rows are spread.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256,
     and ``payload``, a struct of the named input columns, if any are named.
@@ -49,16 +46,15 @@ def exact_dedup(docs: DataFrame, payload: tuple[str, ...] = (), id_col: str = "d
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"),
         *([F.struct(*[F.col(f"`{c}`") for c in payload]).alias("payload")] if payload else []),
     ).withColumn("sha", F.sha2("norm", 256))
-    total = docs.count()
-    share = min(1.0, SAMPLE_ROWS / max(1, total))
+    most = max(HOT_ROWS, docs.count() // MOST_HOT)
     hot = (
-        docs.select(text_col).sample(fraction=share, seed=7).select(F.sha2(norm, 256).alias("hot_sha"))
-        .groupBy("hot_sha").count().where(F.col("count") >= HOT_COPIES).select("hot_sha")
+        docs.select(F.xxhash64(norm).alias("hot")).groupBy("hot").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        .select("hot", F.ceil(F.col("n") / most).cast("int").alias("salts"))
     )
-    hot = spark.createDataFrame([(r[0],) for r in hot.collect()], "hot_sha string")  # at most SAMPLE_ROWS / HOT_COPIES digests, give or take the draw
+    hot = materialize(hot, "hot")
     keyed = (
-        rows.join(F.broadcast(hot), F.col("sha") == F.col("hot_sha"), "left")
-        .withColumn("salt", F.when(F.col("hot_sha").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))
+        rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(hot), F.xxhash64("norm") == F.col("hot"), "left")  # MOST_HOT rows at most
+        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "place"), F.col("salts")), F.lit(0))).drop("place")
         .withColumn("prefix", F.substring("norm", 1, PREFIX))
     )
     order = [F.col("chars").desc(), F.col("doc_id").asc_nulls_last()]
@@ -67,18 +63,19 @@ def exact_dedup(docs: DataFrame, payload: tuple[str, ...] = (), id_col: str = "d
     along = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = ranged.select(
-        "doc_id", "sha", "prefix", "chars", "hot_sha",
+        "doc_id", "sha", "prefix", "chars", "hot", "salt",
         F.row_number().over(run).alias("place"),
         F.first("doc_id").over(along).alias("run_keep"),
         F.count(F.lit(1)).over(whole).alias("run_size"),
         "norm", *(["payload"] if payload else []),
-    ).withColumn("norm", F.when(F.col("hot_sha").isNotNull() & (F.col("place") == 1), F.col("norm")))
+    ).withColumn("norm", F.when(F.col("hot").isNotNull() & (F.col("place") == 1), F.col("norm")))
     runs = materialize(runs, "runs")
     heads = runs.where("norm is not null").repartitionByRange("prefix", "sha")
-    of_text = Window.partitionBy("prefix", "sha", "norm").orderBy(*order)
+    of_text = Window.partitionBy("prefix", "sha", "norm").orderBy(*order, "salt")
     texts = heads.select(
         F.col("sha").alias("text_sha"),
         F.col("doc_id").alias("text_keep"),
+        F.col("salt").alias("text_salt"),
         F.row_number().over(of_text).alias("place"),
         F.sum("run_size").over(of_text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("text_size"),
     ).where("place = 1").drop("place")
@@ -89,7 +86,7 @@ def exact_dedup(docs: DataFrame, payload: tuple[str, ...] = (), id_col: str = "d
         "doc_id",
         keep.alias("keep_id"),
         F.when(is_hot, F.col("text_size")).otherwise(F.col("run_size")).cast("long").alias("group_size"),
-        ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"),
+        ((F.col("place") == 1) & (~is_hot | (F.col("salt") == F.col("text_salt")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
         *(["payload"] if payload else []),
     )
