@@ -321,11 +321,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = found.where("size > 0").join(component, F.col("sig") == F.col("s")).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "n")).alias("k"))
     first = materialize(first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"), "k.n"), "kept")
-    blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (_mark(docs["text"]) == F.col("kept_mark"))
-    kept = docs.where(~blank).join(first.where("n = 1"), same, "left_semi").union(docs.where(blank))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns of any names
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    blank = ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    same = doc_id.cast("long").eqNullSafe(F.col("kept_id")) & (_mark(text) == F.col("kept_mark"))
+    kept = plain.where(~blank).join(first.where("n = 1"), same, "left_semi").union(plain.where(blank))
     again = first.where("n > 1")
     if not again.isEmpty():  # rows that repeat identifier and text
-        one = docs.where(~blank).join(again, same, "left_semi").withColumn("kept_mark", _mark(F.col("text"))).dropDuplicates(["doc_id", "kept_mark"])
-        kept = kept.union(one.drop("kept_mark"))
-    return kept
+        one = plain.where(~blank).join(again, same, "left_semi").withColumn("id", doc_id.cast("long")).withColumn("mark", _mark(text)).dropDuplicates(["id", "mark"])
+        kept = kept.union(one.drop("id", "mark"))
+    return kept.toDF(*docs.columns)

@@ -169,7 +169,7 @@ def test_levels_of_chains_branches_and_cycles(spark):
 
 
 def test_exact_dedup_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_COPIES", 5)
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
     data = list(enumerate(ODD)) + [(100 + i, "hot text") for i in range(40)] + [(200, "ho t\ntext"), (201, "hottext"), (None, "a"), (3, "a"), (300, "A")]
     got = rows(exact_dedup.exact_dedup(docs(spark, data)))
     groups = defaultdict(list)
@@ -181,6 +181,9 @@ def test_exact_dedup_odd_rows(spark, monkeypatch):
         best = min(groups[norm])
         assert r["group_size"] == len(groups[norm]) and r["keep_id"] == (None if best[1] else best[2])
     assert sum(r["kept"] for r in got) == len(groups)
+    same_id = docs(spark, [(7, "hot text")] * 60 + [(None, "other hot")] * 60)  # rows that repeat identifier and text are spread as well
+    got = rows(exact_dedup.exact_dedup(same_id))
+    assert [(r["group_size"], r["kept"]) for r in got].count((60, True)) == 2 and len(got) == 120
     kept = exact_dedup.drop_copies(docs(spark, data))
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and kept.count() == len(groups)
     assert not exact_dedup.exact_dedup(docs(spark, [])).count()
