@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks of the supported languages and what is left without the marks.
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüýÿñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝŸÑÇ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYYNC"
+def _decomposing() -> tuple[str, str]:
+    """All letters that are one letter with marks (nonspacing ones), and that letter."""
+    marked, plain = [], []
+    for i in range(0xA0, 0x30000):
+        parts = unicodedata.normalize("NFD", chr(i))
+        base = [c for c in parts if unicodedata.category(c) != "Mn"]
+        if parts != chr(i) and len(base) == 1 and base[0] != chr(i):
+            marked.append(chr(i))
+            plain.append(base[0])
+    return "".join(marked), "".join(plain)
+
+
+MARKED, PLAIN = _decomposing()
 
 # Words that label a value, by kind of field. Later kinds win.
 LABELS = {
-    "nombre": "nombre, apellidos, apellido, razón social, razon social, titular, cliente, paciente, alumno, empleado",
-    "dni": "dni, nif, nie, cif, documento, identificación, identificacion, id, pasaporte, nº, n.º, núm, num",
-    "fecha": "fecha, fecha de nacimiento, fecha nacimiento, fecha emisión, fecha emision, fecha expedición, fecha expedicion, fecha validez, fecha inicio, fecha fin, nacido, f. nacimiento",
-    "direccion": "dirección, direccion, domicilio, calle, población, poblacion, provincia, código postal, codigo postal, cp, localidad, municipio, residencia",
-    "telefono": "teléfono, telefono, tlf, tfno, móvil, movil, contacto, tel, fax",
-    "email": "email, correo, e-mail, mail, correo electrónico, correo electronico",
-    "importe": "importe, total, subtotal, base imponible, iva, irpf, neto, bruto, cantidad, precio, coste, costo, saldo, cuota, cuantía, cuantia, importe total, total factura, a pagar, a ingresar, import",
-    "banco": "iban, bic, swift, cuenta, entidad, oficina, dc, ccc, cuenta corriente, número de cuenta, numero de cuenta, titular cuenta, banco, caja",
-    "referencia": "referencia, ref, nº expediente, expediente, nº factura, factura nº, factura no, albarán, albaran, pedido, código, codigo, matrícula, matricula, registro",
-    "firma": "firma, firmado, fdo, sello, conforme, recibí, recibi",
+    "nombre": ["nombre", "apellidos", "apellido", "razón social", "razon social", "titular", "cliente", "paciente", "alumno", "empleado"],
+    "dni": ["dni", "nif", "nie", "cif", "documento", "identificación", "identificacion", "id", "pasaporte", "nº", "n.º", "núm", "num"],
+    "fecha": [
+        "fecha", "fecha de nacimiento", "fecha nacimiento", "fecha emisión", "fecha emision", "fecha expedición", "fecha expedicion",
+        "fecha validez", "fecha inicio", "fecha fin", "nacido", "f. nacimiento",
+    ],
+    "direccion": ["dirección", "direccion", "domicilio", "calle", "población", "poblacion", "provincia", "código postal", "codigo postal", "cp", "localidad", "municipio", "residencia"],
+    "telefono": ["teléfono", "telefono", "tlf", "tfno", "móvil", "movil", "contacto", "tel", "fax"],
+    "email": ["email", "correo", "e-mail", "mail", "correo electrónico", "correo electronico"],
+    "importe": [
+        "importe", "total", "subtotal", "base imponible", "iva", "irpf", "neto", "bruto", "cantidad", "precio", "coste", "costo", "saldo", "cuota",
+        "cuantía", "cuantia", "importe total", "total factura", "a pagar", "a ingresar", "import",
+    ],
+    "banco": ["iban", "bic", "swift", "cuenta", "entidad", "oficina", "dc", "ccc", "cuenta corriente", "número de cuenta", "numero de cuenta", "titular cuenta", "banco", "caja"],
+    "referencia": [
+        "referencia", "ref", "nº expediente", "expediente", "nº factura", "factura nº", "factura no", "albarán", "albaran", "pedido", "código", "codigo",
+        "matrícula", "matricula", "registro",
+    ],
+    "firma": ["firma", "firmado", "fdo", "sello", "conforme", "recibí", "recibi"],
 }
-KEYWORDS = {word.strip(): kind for kind, words in LABELS.items() for word in words.split(",")}
+KEYWORDS = {word: kind for kind, words in LABELS.items() for word in words}
 
 # Short words that are no codes.
-STOPWORDS = "EL LA LOS LAS UN UNA UNOS UNAS DE DEL Y E O U EN A AL SE ES SU SUS LE LO NA POR CON SIN QUE NO SI ETA SB LN N RO AC".split()
+STOPWORDS = [
+    "EL", "LA", "LOS", "LAS", "UN", "UNA", "UNOS", "UNAS", "DE", "DEL", "Y", "E", "O", "U", "EN", "A", "AL", "SE", "ES", "SU", "SUS", "LE", "LO", "NA",
+    "POR", "CON", "SIN", "QUE", "NO", "SI", "ETA", "SB", "LN", "N", "RO", "AC",
+]
 
 # Shapes of values, in the order in which they are tried.
 SHAPES = [

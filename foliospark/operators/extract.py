@@ -6,28 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.geometry import band, contains_centre, div_round
+from ..functions.geometry import band, contains_centre
+from ..storage import small_enough
+
+#: Most fields of all templates that are sent to every task; beyond that the join shuffles.
+BROADCAST_FIELDS = 200_000
+
+
+def page_words(words: DataFrame, *more: str) -> DataFrame:
+    """doc_id, page, ws: the words of each page in reading order, and further columns that are the same for all words of a page. A page has a bounded number of words."""
+    row = F.struct(band(F.col("y")).alias("band"), "x", "word_no", "text", "conf", "y", "w", "h")
+    return words.groupBy("doc_id", "page").agg(*[F.first(c).alias(c) for c in more], F.array_sort(F.collect_list(row)).alias("ws"))
 
 
 def extract_fields(words: DataFrame, fields: DataFrame, padded: bool = True) -> DataFrame:
     """One row for each page and field of its template.
 
     words: doc_id, page, template_id, word_no, text, conf, box columns. fields: template_id, key, fx, fy, fw, fh.
-    Words and fields meet by template, then by region. The value joins the words in reading order; it is empty
-    and the box null where no word lies in the region. A template's fields are few, the join is left to the optimiser.
+    The value joins the words in reading order; it is empty and the box null where no word lies in the region.
+    """
+    return fields_of_pages(page_words(words, "template_id"), fields, padded)
+
+
+def fields_of_pages(pages: DataFrame, fields: DataFrame, padded: bool = True) -> DataFrame:
+    """The same for pages (doc_id, page, template_id, ws).
+
+    Words are gathered by page once, which is the only shuffle: a page meets the list of its template's fields, which is
+    sent to all tasks if there are at most BROADCAST_FIELDS of them, and each field filters the page's words.
     """
-    pages = words.select("doc_id", "page", "template_id").distinct()
     box = F.struct(F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fw").alias("w"), F.col("fh").alias("h"))
-    inside = words.join(fields, "template_id").where(contains_centre(F.struct("x", "y", "w", "h"), box, padded))
-    found = inside.groupBy("doc_id", "page", "key").agg(
-        F.array_sort(F.collect_list(F.struct(band(F.col("y")).alias("band"), "x", "word_no", "text"))).alias("ws"),
-        F.sum("conf").alias("total"), F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"),
-    )
-    return pages.join(fields.select("template_id", "key"), "template_id").join(found, ["doc_id", "page", "key"], "left").select(
+    lists = fields.groupBy(F.col("template_id").alias("_t")).agg(F.collect_list(F.struct("key", box.alias("box"))).alias("fs"))
+    met = pages.join(F.broadcast(lists) if small_enough(fields, BROADCAST_FIELDS) else lists, F.col("template_id") == F.col("_t"))
+    each = met.select("doc_id", "page", "ws", F.explode("fs").alias("f")).select("doc_id", "page", "f.key", F.filter("ws", lambda w: contains_centre(w, F.col("f.box"), padded)).alias("ws"))
+    some, n = F.size("ws") > 0, F.size("ws")
+    low = lambda c: F.array_min(F.transform("ws", lambda w: w[c]))
+    far = lambda c, s: F.array_max(F.transform("ws", lambda w: w[c] + w[s]))
+    total = F.aggregate("ws", F.lit(0.0), lambda s, w: s + w["conf"])
+    return each.select(
         "doc_id", "page", "key",
-        F.coalesce(F.trim(F.array_join(F.transform("ws", lambda s: s["text"]), " ")), F.lit("")).alias("value"),
-        F.coalesce(div_round(10 * F.col("total"), F.col("n")) / 10, F.lit(0.0)).alias("confidence"),
-        F.coalesce("n", F.lit(0)).alias("n_words"), "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h"),
+        F.trim(F.array_join(F.transform("ws", lambda w: w["text"]), " ")).alias("value"),
+        F.when(some, F.floor((20 * total + n) / (2 * n)) / 10).otherwise(0.0).alias("confidence"),
+        n.cast("long").alias("n_words"), low("x").alias("x"), low("y").alias("y"), (far("x", "w") - low("x")).alias("w"), (far("y", "h") - low("y")).alias("h"),
     )
 
 

@@ -19,14 +19,14 @@ def group_lines(words: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
 
     Words are taken by y, then x; a word starts a line when its y is ``tolerance`` or more away from
     the first y of the current line. That depends on where the line began, so a page's words,
-    a bounded number, are folded.
+    a bounded number, are folded; the fold keeps only the places where lines begin.
     """
     pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "h", "conf", "text"))).alias("ws"))
-    fold = F.expr(f"""aggregate(ws, struct(cast(null as bigint) as y0, cast(array() as array<array<{WORD}>>) as done, cast(array() as array<{WORD}>) as cur),
-        (s, v) -> if(s.y0 is not null and abs(v.y - s.y0) < {tolerance}, struct(s.y0 as y0, s.done as done, concat(s.cur, array(v)) as cur),
-            struct(v.y as y0, if(s.y0 is null, s.done, concat(s.done, array(s.cur))) as done, array(v) as cur)),
-        s -> concat(s.done, array(s.cur)))""")
-    return pages.select("doc_id", "page", F.posexplode(fold).alias("line", "ws"))
+    starts = F.expr(f"""aggregate(ws, named_struct('y0', cast(null as bigint), 'at', 1, 'starts', cast(array() as array<int>)),
+        (s, v) -> if(s.y0 is not null and abs(v.y - s.y0) < {tolerance}, named_struct('y0', s.y0, 'at', s.at + 1, 'starts', s.starts),
+            named_struct('y0', v.y, 'at', s.at + 1, 'starts', concat(s.starts, array(s.at)))), s -> s.starts)""")
+    cut = pages.select("doc_id", "page", "ws", starts.alias("starts")).select("doc_id", "page", "ws", "starts", F.posexplode("starts").alias("line", "start"))
+    return cut.select("doc_id", "page", "line", F.expr("slice(ws, start, coalesce(get(starts, line + 1), size(ws) + 1) - start)").alias("ws"))
 
 
 def line_texts(lines: DataFrame) -> DataFrame:
@@ -45,11 +45,14 @@ def _joined(ws: str) -> str:
 
 
 def unique_keys(bases: Column) -> Column:
-    """The keys of one list in order: each the base itself or with the first free of _2, _3, ..."""
-    return F.aggregate(
-        bases, F.array().cast("array<string>"),
-        lambda used, base: F.concat(used, F.array(F.element_at(F.filter(F.transform(F.sequence(F.lit(1), F.size(used) + 1), lambda i: F.when(i == 1, base).otherwise(F.concat(base, F.lit("_"), i.cast("string")))), lambda k: ~F.array_contains(used, k)), 1))),
-    )
+    """The keys of one list in order: each the base itself or with the first free of _2, _3, ...
+
+    No more numbers are tried than keys so far begin with the base.
+    """
+    numbered = lambda base, i: F.when(i == 1, base).otherwise(F.concat(base, F.lit("_"), i.cast("string")))
+    like = lambda used, base: F.size(F.filter(used, lambda u: F.startswith(u, base)))
+    free = lambda used, base: F.element_at(F.filter(F.transform(F.sequence(F.lit(1), like(used, base) + 1), lambda i: numbered(base, i)), lambda k: ~F.array_contains(used, k)), 1)
+    return F.aggregate(bases, F.array().cast("array<string>"), lambda used, base: F.concat(used, F.array(free(used, base))))
 
 
 def labelled_values(lines: DataFrame) -> DataFrame:

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship_package
 from ..config import EngineConfig
 from ..functions.geometry import PAGE, div_round
+from ..storage import small_enough
 
 GRID = 8
 CELLS = GRID * GRID
 #: Similarity weighs aspect, colour and density.
 WEIGHTS = (0.25, 0.20, 0.55)
+#: Angles that a template is tried at; at 90 and 270 degrees also with the inverse aspect.
+TURNS = [(0, False), (90, False), (90, True), (180, False), (270, False), (270, True)]
+#: Most templates that are sent to every task, and pages scored at a time.
+MOST_TEMPLATES, AT_ONCE = 10_000, 16
 
 
 def density_cells(words: DataFrame) -> DataFrame:
@@ -79,14 +89,14 @@ def combined(geometric: Column, visual: Column, config: EngineConfig = EngineCon
 def score_pairs(pages: DataFrame, templates: DataFrame, angles: bool = False) -> DataFrame:
     """doc_id, page, template_id, variant, angle, score of every page with every template.
 
-    The templates, a list kept by hand, are the small side. With ``angles`` each is also
+    Every pair is returned, so this is for few templates; :func:`best_of_templates` keeps the best only. With ``angles`` each is also
     turned by quarters, at 90 and 270 degrees once more with the inverse aspect.
     """
     def side(angle: int, inverse: bool, variant: int) -> Column:
         aspect = F.when(F.col("t_aspect") > 0, F.floor(F.lit(1e8) / F.col("t_aspect") + 0.5).cast("long")) if inverse else F.col("t_aspect")
         return F.struct(F.lit(variant).alias("variant"), F.lit(angle).alias("angle"), aspect.alias("aspect"), rotated(F.col("t_density"), angle // 90).alias("density"))
 
-    turns = [(0, False), (90, False), (90, True), (180, False), (270, False), (270, True)] if angles else [(0, False)]
+    turns = TURNS if angles else TURNS[:1]
     small = templates.select("template_id", F.col("aspect").alias("t_aspect"), F.col("colour").alias("t_colour"), F.col("density").alias("t_density"))
     small = small.select("template_id", "t_colour", F.explode(F.array(*[side(a, i, n) for n, (a, i) in enumerate(turns)])).alias("t"))
     small = small.withColumn("t_norm", dot(F.col("t.density"), F.col("t.density")))
@@ -104,6 +114,65 @@ def best_template(pairs: DataFrame) -> DataFrame:
     return pairs.where("score > 0").groupBy("doc_id", "page").agg(best.alias("b")).select("doc_id", "page", "b.*")
 
 
+def best_of_templates(pages: DataFrame, templates: DataFrame, angles: bool = False) -> DataFrame:
+    """:func:`best_template` of :func:`score_pairs`, without pairs.
+
+    Up to MOST_TEMPLATES templates (600 bytes each) go to every task, which scores a batch of pages with all of them by
+    products of matrices and passes on the best of each page; nothing is shuffled. More templates go through the pairs.
+    """
+    if not small_enough(templates, MOST_TEMPLATES):
+        return best_template(score_pairs(pages, templates, angles))
+    ship_package(pages.sparkSession)
+    sides = [(r.template_id, r.aspect, list(r.colour or []), list(r.density or [])) for r in templates.select("template_id", "aspect", "colour", "density").orderBy("template_id").collect()]
+    shared = pages.sparkSession.sparkContext.broadcast(_Sides(sides, TURNS if angles else TURNS[:1]))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(i, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *shared.value.best(*(some.column(k).to_pylist() for k in (2, 3, 4)))], names=["doc_id", "page", "template_id", "angle", "score"])
+
+    found = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), F.col("aspect").cast("long"), F.col("colour").cast("array<long>"), F.col("density").cast("array<long>"))
+    return found.mapInArrow(best, "doc_id long, page long, template_id long, angle int, score double").where("template_id is not null")
+
+
+class _Sides:
+    """Templates, turned in all ways that are tried, as matrices; ordered so that the first of equal scores counts."""
+
+    def __init__(self, templates: list[tuple], turns: list[tuple[int, bool]]):
+        rows = [(a, inverse, t) for a, inverse in turns for t in templates]
+        self.ids, self.angles = [t[0] for *_, t in rows], [a for a, *_ in rows]
+        turned = [np.rot90(np.arange(CELLS).reshape(GRID, GRID), a // 90).ravel() for a, *_ in rows]
+        self.aspect = np.array([(np.floor(1e8 / t[1] + 0.5) if inverse else t[1]) if t[1] and t[1] > 0 else 0 for _, inverse, t in rows], float)
+        self.colour, self.has_colour = _matrix([t[2] for *_, t in rows], 3)
+        self.density, self.has_density = _matrix([[t[3][k] for k in at] if len(t[3]) == CELLS else [] for at, (*_, t) in zip(turned, rows)], CELLS)
+        self.norm = (self.density**2).sum(1)
+
+    def best(self, aspects: list, colours: list, densities: list) -> list[pa.Array]:
+        if not self.ids or not aspects:
+            return [pa.nulls(len(aspects), pa.int64()), pa.nulls(len(aspects), pa.int32()), pa.nulls(len(aspects), pa.float64())]
+        a = np.array([x or 0 for x in aspects], float)[:, None]
+        colour, has_colour = _matrix(colours, 3)
+        density, has_density = _matrix(densities, CELLS)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            shape = np.where((a > 0) & (self.aspect > 0), np.minimum(a, self.aspect) / np.maximum(a, self.aspect), 0.0)
+            far = ((colour[:, None, :] - self.colour[None]) ** 2).sum(2)
+            tone = np.where(has_colour[:, None] & self.has_colour, 1 - np.sqrt(far) / np.sqrt(195_075.0), 0.0)
+            norm = (density**2).sum(1)[:, None] * self.norm
+            fill = np.where(has_density[:, None] & self.has_density & (norm > 0), density @ self.density.T / np.sqrt(norm), 0.0)
+        score = np.floor((WEIGHTS[0] * shape + WEIGHTS[1] * tone + WEIGHTS[2] * fill) * 10_000 + 0.5) / 10_000
+        k = score.argmax(1)
+        top = score[np.arange(len(k)), k]
+        none = top <= 0
+        return [pa.array([self.ids[i] for i in k], pa.int64(), mask=none), pa.array([self.angles[i] for i in k], pa.int32(), mask=none), pa.array(top, pa.float64(), mask=none)]
+
+
+def _matrix(lists: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``width`` numbers, zeros for lists that are null or of another length, and which are not."""
+    good = np.array([x is not None and len(x) == width for x in lists], bool)
+    return np.array([x if g else [0] * width for x, g in zip(lists, good)], float).reshape(len(lists), width), good
+
+
 def accepted(score: Column, visual: Column, config: EngineConfig = EngineConfig()) -> Column:
     """Whether a match counts: without a visual score it must be nearly perfect."""
     return ~(((visual <= config.visual_floor) & (score < config.blind_threshold)) | ((visual > config.visual_floor) & (score < config.match_threshold)))

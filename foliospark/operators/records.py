@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import EngineConfig
+from ..storage import materialize
 
 
 def field_count(data: Column) -> Column:
@@ -48,13 +49,16 @@ def with_counts(parents: DataFrame, children: DataFrame, fk: str, name: str) ->
 
 
 def append_with_ids(table: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """New rows behind the greatest id; ids are dense within range partitions, whose offsets come from their counts."""
+    """New rows behind the greatest id, in ``order``: dense within range partitions, whose offsets come from their counts.
+
+    The ranked rows are written once, so that counts and ranks are of the same partitions.
+    """
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     placed = new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = placed.groupBy("_part").count()
-    before = sizes.select(F.col("_part"), F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part")
-    return table.unionByName(ranked.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("before") + F.col("r")).select(table.columns))
+    ranked = materialize(placed.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "ranked")
+    sizes = ranked.groupBy("_part").agg(F.max("_r").alias("n"))  # a row for each partition
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return table.unionByName(ranked.join(F.broadcast(before), "_part").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("before") + F.col("_r")).select(table.columns))
 
 
 def updated(table: DataFrame, changes: DataFrame, key: str, keep_zero: tuple[str, ...] = ()) -> DataFrame:

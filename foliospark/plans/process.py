@@ -6,33 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators.extract import extract_fields
+from ..operators.extract import fields_of_pages, page_words
 from ..operators.lines import code_values, group_lines, labelled_values, merge_suggestions, TABLE_TOLERANCE
-from ..operators.matching import accepted, best_template, score_pairs, signatures
-from ..operators.records import average_confidence, needs_review, status
+from ..operators.matching import accepted, best_of_templates
+from ..operators.records import needs_review, status
+from ..storage import materialize
 
 
-def match_pages(pages: DataFrame, templates: DataFrame, config: EngineConfig = EngineConfig(), angles: bool = True) -> DataFrame:
-    """doc_id, page, template_id (null where no match is accepted), angle, score."""
-    best = best_template(score_pairs(pages, templates, angles))
-    ok = accepted(F.col("score"), F.lit(0.0), config)
+def match_pages(pages: DataFrame, templates: DataFrame, config: EngineConfig = EngineConfig(), angles: bool = True, universal: int | None = None) -> DataFrame:
+    """doc_id, page, template_id, angle, score: the best template; where no match is accepted the ``universal`` one (or null) with score 0."""
+    best = best_of_templates(pages, templates, angles)
+    ok = F.coalesce(accepted(F.col("score"), F.lit(0.0), config), F.lit(False))
     found = pages.select("doc_id", "page").join(best, ["doc_id", "page"], "left")
-    return found.select("doc_id", "page", F.when(ok, F.col("template_id")).alias("template_id"), F.when(ok, F.col("angle")).otherwise(0).alias("angle"), F.when(ok, F.col("score")).otherwise(0.0).alias("score"))
+    return found.select("doc_id", "page", F.when(ok, F.col("template_id")).otherwise(F.lit(universal)).cast("long").alias("template_id"), F.when(ok, F.col("angle")).otherwise(0).alias("angle"), F.when(ok, F.col("score")).otherwise(0.0).alias("score"))
 
 
-def process(words: DataFrame, pages: DataFrame, templates: DataFrame, fields: DataFrame, template_id: int | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+def process(words: DataFrame, pages: DataFrame, templates: DataFrame, fields: DataFrame, template_id: int | None = None, config: EngineConfig = EngineConfig(), universal: int | None = None) -> DataFrame:
     """A record for each page: template, score, values, average confidence and status.
 
-    A template given by the caller skips the search and the acceptance rule; pages
-    without an accepted one have no fields and need a review.
+    A template given by the caller skips the search and the acceptance rule. Pages without an accepted one get the ``universal``
+    template; without fields they need a review. Words are gathered by page once; matching and values read that.
     """
     if template_id is None:
-        match = match_pages(pages, templates, config)
+        match = match_pages(pages, templates, config, universal=universal)
     else:
         match = pages.select("doc_id", "page", F.lit(template_id).cast("long").alias("template_id"), F.lit(0).alias("angle"), F.lit(1.0).alias("score"))
-    values = extract_fields(words.join(match.where("template_id is not null"), ["doc_id", "page"]), fields)
-    data = values.groupBy("doc_id", "page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("data"))
-    rows = match.join(data, ["doc_id", "page"], "left").join(average_confidence(values), ["doc_id", "page"], "left")
+    match = materialize(match, "match")
+    values = fields_of_pages(page_words(words).join(match.where("template_id is not null").select("doc_id", "page", "template_id"), ["doc_id", "page"]), fields)
+    read = values.groupBy("doc_id", "page").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("data"),
+        F.avg(F.when(F.col("value") != "", F.col("confidence"))).alias("avg_confidence"),
+    )
+    rows = match.join(read, ["doc_id", "page"], "left")
     rows = rows.withColumn("data", F.coalesce("data", F.create_map().cast("map<string,string>"))).withColumn("avg_confidence", F.coalesce("avg_confidence", F.lit(0.0)))
     has = F.col("template_id").isNotNull()
     review = needs_review(F.col("data"), has, F.col("score"), F.col("avg_confidence"), ~has, config)

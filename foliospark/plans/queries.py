@@ -15,6 +15,7 @@ from ..cluster import ship_package
 from ..config import EngineConfig
 from ..functions import text as tx
 from ..functions.geometry import PAGE, affine_parts, band_sql, border_of, same_region, to_border, to_image, transformed
+from ..storage import scratch
 from ..operators import anchors, extract, images, layout, lines, matching, records, retrieval, transforms
 from ..streaming import jobs
 from . import process
@@ -154,21 +155,35 @@ BEST_SQL = "(SELECT doc_id, page, template_id, CAST(angle AS INTEGER) AS angle,
 
 @query(f"{_matching_sql(ONE)} SELECT *, score >= 0.85 AS accepted FROM {BEST_SQL}")
 def best_template(spark, sf):
-    best = matching.best_template(matching.score_pairs(_pages(words(spark, sf)), _templates(spark, sf)))
+    best = matching.best_of_templates(_pages(words(spark, sf)), _templates(spark, sf))
     return best.withColumn("accepted", matching.accepted(F.col("score"), F.lit(0.0)))
 
 
 @query(f"{_matching_sql(ALL)} SELECT * FROM {BEST_SQL}")
 def best_template_multi_angle(spark, sf):
-    return matching.best_template(matching.score_pairs(_pages(words(spark, sf)), _templates(spark, sf), angles=True))
+    return matching.best_of_templates(_pages(words(spark, sf)), _templates(spark, sf), angles=True)
 
 
-@query()
+PROCESS_SQL = f"""{_matching_sql(ALL)}, best AS {BEST_SQL}, {FIELDS_SQL},
+    m AS (SELECT s.doc_id, s.page, CASE WHEN b.score >= 0.85 THEN b.template_id END AS template_id, CASE WHEN b.score >= 0.85 THEN b.angle ELSE 0 END AS angle, CASE WHEN b.score >= 0.85 THEN b.score ELSE 0.0 END AS score
+        FROM sig_s s LEFT JOIN best b USING (doc_id, page)),
+    inside AS (SELECT w.*, key FROM words w JOIN m USING (doc_id, page) JOIN fields f ON f.template_id = m.template_id % 3
+        AND 100 * (2 * x + w) BETWEEN 200 * fx - 2 * greatest(8 * fw, 60000) AND 200 * (fx + fw) + 2 * greatest(8 * fw, 60000)
+        AND 100 * (2 * y + h) BETWEEN 200 * fy - 2 * greatest(15 * fh, 100000) AND 200 * (fy + fh) + 2 * greatest(15 * fh, 100000)),
+    found AS (SELECT doc_id, page, key, string_agg(text, ' ' ORDER BY {band_sql('y')}, x, word_no) AS value, (20 * sum(conf) + count(*)) // (2 * count(*)) / 10 AS confidence FROM inside GROUP BY doc_id, page, key),
+    v AS (SELECT m.doc_id, m.page, f.key, coalesce(value, '') AS value, confidence FROM m JOIN fields f ON f.template_id = m.template_id % 3 LEFT JOIN found ON found.doc_id = m.doc_id AND found.page = m.page AND found.key = f.key),
+    a AS (SELECT doc_id, page, string_agg(key || '=' || value, '; ' ORDER BY key) AS data, coalesce(avg(CASE WHEN value <> '' THEN confidence END), 0.0) AS conf, bool_or(trim(value) <> '') AS has_value FROM v GROUP BY ALL)
+    SELECT m.*, coalesce(data, '') AS data, round(coalesce(conf, 0.0), 4) AS avg_confidence, CASE WHEN m.template_id IS NULL OR m.score < 0.55 OR NOT coalesce(has_value, false) OR coalesce(conf, 0) < 40 THEN 'review' ELSE 'done' END AS status FROM m LEFT JOIN a USING (doc_id, page)"""
+
+
+@query(PROCESS_SQL)
 def process_pages(spark, sf):
     w = words(spark, sf)
     f = fields(spark).withColumnRenamed("template_id", "third")
     f = read(spark, sf, "benchmark").select(F.col("item_id").alias("template_id")).distinct().join(F.broadcast(f), F.pmod("template_id", F.lit(3)) == F.col("third")).drop("third")
-    return process.process(w, _pages(w), _templates(spark, sf), f).withColumn("data", F.to_json("data"))
+    done = process.process(w, _pages(w), _templates(spark, sf), f)
+    pairs = F.transform(F.array_sort(F.map_entries("data")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return done.withColumn("data", F.array_join(pairs, "; ")).withColumn("avg_confidence", F.round("avg_confidence", 4))
 
 
 @query(f"{WORDS} SELECT doc_id, page, string_agg(text, ' ' ORDER BY {band_sql('y')}, x, word_no) AS text FROM words GROUP BY ALL")
@@ -223,7 +238,7 @@ def guess_data_type(spark, sf):
     return _some_values(spark, sf).where("v is not null").select("v", tx.guess_type(F.col("v")).alias("data_type"))
 
 
-UNMARK = f"translate({{0}}, '{tx.MARKED}', '{tx.PLAIN}')"
+UNMARK = "strip_accents({0})"
 KEY_SQL = "coalesce(nullif(substr(trim(regexp_replace(" + UNMARK.format("lower({0})") + ", '[^a-z0-9]+', '_', 'g'), '_'), 1, 30), ''), 'campo')"
 
 
@@ -239,18 +254,28 @@ def name_to_key(spark, sf):
     return _some_values(spark, sf).where("v is not null").select("v", tx.name_to_key(F.col("v")).alias("key"))
 
 
-@query(f"""WITH {VALUES_SQL} SELECT v, substr(coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(replace(v, '_', ' '), '[ \\t\\n\\r]+'), lambda w: w <> ''), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' '), ''), 1, 80) AS name
-    FROM vals WHERE v IS NOT NULL AND NOT starts_with(v, 'ß')""")
+NAME_SQL = f"""WITH {VALUES_SQL} SELECT v, substr(coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(replace(v, '_', ' '), '[ \\t\\n\\r]+'), lambda w: w <> ''), lambda w: CASE WHEN starts_with(w, 'ß') THEN 'SS' ELSE upper(substr(w, 1, 1)) END || substr(w, 2)), ' '), ''), 1, 80) AS name
+    FROM vals WHERE v IS NOT NULL"""
+
+
+@query(NAME_SQL)
 def label_to_name(spark, sf):
-    # upper-casing of the sharp s differs between engines
-    return _some_values(spark, sf).where("v is not null and not startswith(v, 'ß')").select("v", tx.label_to_name(F.col("v")).alias("name"))
+    """A first sharp s becomes SS."""
+    return _some_values(spark, sf).where("v is not null").select("v", tx.label_to_name(F.col("v")).alias("name"))
 
 
-@query(f"""WITH {VALUES_SQL} SELECT v, substr(coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(replace(v, '_', ' '), '[ \\t\\n\\r]+'), lambda w: w <> ''), lambda w: CASE WHEN starts_with(w, 'ß') THEN 'SS' ELSE upper(substr(w, 1, 1)) END || substr(w, 2)), ' '), ''), 1, 80) AS name
-    FROM vals WHERE v IS NOT NULL""")
+@query(NAME_SQL)
 def label_to_name_all(spark, sf):
-    """All values: a first sharp s becomes SS."""
-    return _some_values(spark, sf).where("v is not null").select("v", tx.label_to_name(F.col("v")).alias("name"))
+    return label_to_name(spark, sf)
+
+
+@query("""WITH c AS (SELECT i, chr(CAST(i AS INTEGER)) AS v FROM (SELECT unnest(range(32, 1160)) AS i UNION ALL SELECT unnest(range(7680, 8192))))
+    SELECT i, v, strip_accents(v) AS plain, regexp_replace(strip_accents(lower(v)), '[^\\pL\\pN]', '', 'g') = '' AS dropped FROM c WHERE NOT i BETWEEN 127 AND 159""")
+def unmarked_letters(spark, sf):
+    """Every Latin, Greek and Cyrillic letter, in its own words a table of code points."""
+    i = spark.range(32, 1160).union(spark.range(7680, 8192)).where("not id between 127 and 159").withColumnRenamed("id", "i")
+    c = i.withColumn("v", F.expr("decode(unhex(lpad(hex(i), 4, '0')), 'UTF-16BE')"))
+    return c.select("i", "v", tx.unmarked(F.col("v")).alias("plain"), (tx.normal_value(F.col("v")) == "").alias("dropped"))
 
 
 # Lines of orders with labels, and of parts with codes; a page holds the lines of one order or part.
@@ -342,12 +367,12 @@ def region_transform(spark, sf):
     return r.select("k", "n", *[F.col(f"{a}.{c}").alias(a + c) for a in "ob" for c in "xywh"])
 
 
-@query("""WITH r AS (SELECT DISTINCT l_orderkey % 97 AS k, 1 + (l_orderkey % 5) / 16.0::DOUBLE AS a, (l_orderkey % 3) / 32.0::DOUBLE AS b, (l_orderkey % 4) / 64.0::DOUBLE AS c, 1 - (l_orderkey % 7) / 32.0::DOUBLE AS d FROM lineitem)
-    SELECT k, a, b, c, d, round(sqrt(a * a + c * c), 6) AS scale_x, round((a * d - b * c) / sqrt(a * a + c * c), 6) AS scale_y, round((a * b + c * d) / (a * a + c * c), 6) AS shear, round(degrees(atan2(c, a)), 6) AS angle FROM r""")
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, 1 + (l_orderkey % 5) / 16.0::DOUBLE AS a, (l_orderkey % 3) / 32.0::DOUBLE AS b, (l_orderkey % 4) / 64.0::DOUBLE AS c, 1 - (l_orderkey % 7) / 32.0::DOUBLE AS d FROM lineitem)
+    SELECT k, n, a, b, c, d, round(sqrt(a * a + c * c), 6) AS scale_x, round((a * d - b * c) / sqrt(a * a + c * c), 6) AS scale_y, round((a * b + c * d) / (a * a + c * c), 6) AS shear, round(degrees(atan2(c, a)), 6) AS angle FROM r""")
 def affine_params(spark, sf):
-    r = read(spark, sf, "lineitem").selectExpr("l_orderkey % 97 as k", "1 + (l_orderkey % 5) / 16D as a", "(l_orderkey % 3) / 32D as b", "(l_orderkey % 4) / 64D as c", "1 - (l_orderkey % 7) / 32D as d").distinct()
+    r = read(spark, sf, "lineitem").selectExpr("l_orderkey as k", "l_linenumber as n", "1 + (l_orderkey % 5) / 16D as a", "(l_orderkey % 3) / 32D as b", "(l_orderkey % 4) / 64D as c", "1 - (l_orderkey % 7) / 32D as d")
     p = affine_parts(F.array(F.array("a", "b"), F.array("c", "d")))
-    return r.select("k", "a", "b", "c", "d", *[F.round(p[x], 6).alias(x) for x in ("scale_x", "scale_y", "shear", "angle")])
+    return r.select("k", "n", "a", "b", "c", "d", *[F.round(p[x], 6).alias(x) for x in ("scale_x", "scale_y", "shear", "angle")])
 
 
 @query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, 1 + (l_orderkey % 5) / 16.0::DOUBLE AS a, (l_orderkey % 3) / 32.0::DOUBLE AS b, (l_orderkey % 4) / 64.0::DOUBLE AS c, 1 - (l_orderkey % 7) / 32.0::DOUBLE AS d FROM lineitem)
@@ -549,9 +574,7 @@ def job_states(spark, sf):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def job_stream_counts(spark, sf):
     """The events arrive as a stream and are counted; the batches' counts are added up."""
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/folio").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     events = read(spark, sf, "events")
     stream = jobs.document_stream(spark, sf, events.schema, names="events.parquet")
     jobs.run_jobs(stream, lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), f"{base}/out", f"{base}/checkpoint").awaitTermination()
