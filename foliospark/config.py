@@ -25,3 +25,18 @@ class EngineConfig:
     price_in: float = 0.27
     price_out: float = 1.10
     euro: float = 0.93
+    #: Back-ends that answer prompts, in the order of their priority; the local one is always there.
+    hosted_enabled: bool = False
+    hosted_key: str = ""
+    hosted_url: str = ""
+    remote_url: str = ""
+    remote_key: str = ""
+    local_url: str = "http://localhost"
+
+
+def generation_backend(config: EngineConfig) -> tuple[str, str, dict[str, str]]:
+    """Name, address and headers of the back-end that answers prompts: the hosted one if it is enabled and has a key, else a remote one, else the local one."""
+    if config.hosted_enabled and config.hosted_key:
+        return "hosted", config.hosted_url.rstrip("/"), {"Authorization": f"Bearer {config.hosted_key}", "Content-Type": "application/json"}
+    headers = {"Authorization": f"Bearer {config.remote_key}"} if config.remote_key else {}
+    return ("remote", config.remote_url.rstrip("/"), headers) if config.remote_url else ("local", config.local_url.rstrip("/"), headers)

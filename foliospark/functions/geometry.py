@@ -109,3 +109,63 @@ def snapped(angle: Column) -> Column:
     """The nearest quarter turn if it is within 20 degrees, else 0."""
     near = F.round(angle / 90) * 90
     return F.when(F.abs(angle - near) <= 20, F.pmod(near.cast("int"), F.lit(360))).otherwise(0)
+
+
+def _box(x: Column, y: Column, w: Column, h: Column) -> Column:
+    return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), w.cast("long").alias("w"), h.cast("long").alias("h"))
+
+
+def rebased(box: Column, old: Column, new: Column) -> Column:
+    """A box relative to an old border, relative to a new one: its place in the image stays."""
+    return to_border(to_image(box, old), new)
+
+
+def pixel_crop(box: Column, width: Column, height: Column) -> Column:
+    """left, top, right, bottom in pixels: cut off to whole pixels, inside the image, one pixel wide and high at least."""
+    at = lambda v, side: F.floor(v * side / PAGE).cast("long")
+    inside = lambda v, least, most: F.greatest(F.lit(least) if isinstance(least, int) else least, F.least(v, most))
+    left, top = inside(at(box["x"], width), 0, width - 1), inside(at(box["y"], height), 0, height - 1)
+    right, bottom = at(box["x"] + box["w"], width), at(box["y"] + box["h"], height)
+    return F.struct(left.alias("left"), top.alias("top"), inside(right, left + 1, width).alias("right"), inside(bottom, top + 1, height).alias("bottom"))
+
+
+def preview_crop(box: Column) -> Column:
+    """A box with a margin of 40 % of its sides all around, for a preview; null for an empty one."""
+    x, y = (F.greatest(F.lit(0), box[p] - div_round(4 * box[s], F.lit(10))) for p, s in ("xw", "yh"))
+    w, h = (F.least(F.lit(PAGE), div_round(18 * box[s], F.lit(10))) for s in "wh")
+    return F.when((box["w"] > 0) & (box["h"] > 0), _box(x, y, w, h))
+
+
+def dragged(box: Column, corner: Column, px: Column, py: Column, least: int = 1000) -> Column:
+    """A box after one corner (nw, ne, sw, se) was dragged to a point: the opposite one stays and sides keep ``least``."""
+    west, north = corner.isin("nw", "sw"), corner.isin("nw", "ne")
+    right, bottom = box["x"] + box["w"], box["y"] + box["h"]
+    x, y = F.when(west, F.least(px, right - least)).otherwise(box["x"]), F.when(north, F.least(py, bottom - least)).otherwise(box["y"])
+    return _box(x, y, F.when(west, right - x).otherwise(F.greatest(F.lit(least), px - box["x"])), F.when(north, bottom - y).otherwise(F.greatest(F.lit(least), py - box["y"])))
+
+
+def clamped(box: Column) -> Column:
+    """Every number of a box within the page."""
+    return _box(*[F.least(F.lit(PAGE), F.greatest(F.lit(0), box[c])) for c in "xywh"])
+
+
+def accepted_region(found: Column, want_w: Column, want_h: Column) -> Column:
+    """A region that a search for a patch found, at the patch's own size (0: unknown) around the centre found; null where it can't be right.
+
+    It must have positive sides, at most 0.12 of the page's area, and no side above four times the patch's plus 0.05.
+    """
+    area = found["w"].cast("double") * found["h"] <= 0.12 * PAGE * PAGE
+    side = lambda c, want: (want <= 0) | (found[c] <= 4 * want + 5000)
+    own = lambda c, want: F.when(want > 0, want).otherwise(found[c])
+    at = lambda p, s, want: F.greatest(F.lit(0), F.floor((2 * found[p] + found[s] - own(s, want) + 1) / 2))
+    good = (found["w"] > 0) & (found["h"] > 0) & area & side("w", want_w) & side("h", want_h)
+    return F.when(good, _box(at("x", "w", want_w), at("y", "h", want_h), own("w", want_w), own("h", want_h)))
+
+
+def cardinal(by_ratio: Column, by_text: Column, confidence: Column) -> Column:
+    """The quarter turn that sets a page upright, from its proportions and from the orientation of its text.
+
+    Where both agree on the axis the text decides if it is known with a confidence of 1, otherwise with one of 2.
+    """
+    ratio, text = F.pmod(by_ratio, F.lit(360)), F.pmod(by_text, F.lit(360))
+    return F.when(confidence >= F.when(ratio % 180 == text % 180, 1.0).otherwise(2.0), text).otherwise(ratio)

@@ -81,3 +81,33 @@ def shift(pairs: DataFrame) -> DataFrame:
     moved = pairs.groupBy("doc_id", "page").agg(F.median(F.col("src_x") - F.col("dst_x")).alias("dx"), F.median(F.col("src_y") - F.col("dst_y")).alias("dy"), F.max(F.greatest("width", "height")).alias("side"))
     use = ((F.abs("dx") >= 1) | (F.abs("dy") >= 1)) & (F.greatest(F.abs("dx"), F.abs("dy")) <= 0.15 * F.col("side"))
     return moved.select("doc_id", "page", F.when(use, F.col("dx")).alias("dx"), F.when(use, F.col("dy")).alias("dy"))
+
+
+def anchor_pairs(located: DataFrame) -> DataFrame:
+    """doc_id, page, src_x, src_y, dst_x, dst_y: the centres of found anchors in the template's sample and on the page (twice the centre of each, so that numbers stay whole)."""
+    centre = lambda b: ((2 * F.col(f"{b}.x") + F.col(f"{b}.w")), (2 * F.col(f"{b}.y") + F.col(f"{b}.h")))
+    (sx, sy), (dx, dy) = centre("source"), centre("target")
+    return located.where("found and source is not null and target is not null").select("doc_id", "page", sx.alias("src_x"), sy.alias("src_y"), dx.alias("dst_x"), dy.alias("dst_y"))
+
+
+def text_orientation(tried: DataFrame) -> DataFrame:
+    """doc_id, page, angle, score: the angle at which the greatest share of weight of text anchors (angle, found, weight) is found; ties go to the smaller angle."""
+    weight = F.greatest(F.lit(0.0), F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight")))
+    share = tried.withColumn("wt", weight).groupBy("doc_id", "page", "angle").agg(F.coalesce(F.sum(F.when(F.col("found"), F.col("wt")).otherwise(0.0)) / F.nullif(F.sum("wt"), F.lit(0.0)), F.lit(0.0)).alias("score"))
+    return share.groupBy("doc_id", "page").agg(F.max_by(F.struct("angle", "score"), F.struct("score", -F.col("angle"))).alias("b")).select("doc_id", "page", "b.angle", (F.floor(F.col("b.score") * 10_000 + 0.5) / 10_000).alias("score"))
+
+
+def best_candidate(items: DataFrame, candidates: list, score, *key: str) -> DataFrame:
+    """key, candidate, score: of several candidates (such as angles) the one with the highest score by a function of the candidate's column, the first of equals."""
+    tried = items.withColumn("c", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("candidate")) for n, c in enumerate(candidates)]))).withColumn("score", score(F.col("c.candidate")))
+    return tried.groupBy(*key).agg(F.max_by(F.struct("c.candidate", "score"), F.struct("score", -F.col("c.n"))).alias("b")).select(*key, "b.candidate", "b.score")
+
+
+def upper_median(values: Column) -> Column:
+    """The element behind the middle of a list in order, null for an empty one."""
+    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def located_summary(located: DataFrame) -> DataFrame:
+    """doc_id, page, n_found, n, all_found of located anchors."""
+    return located.groupBy("doc_id", "page").agg(F.count_if("found").alias("n_found"), F.count("*").alias("n"), F.bool_and("found").alias("all_found"))

@@ -62,3 +62,10 @@ def better_values(values: DataFrame, again: DataFrame) -> DataFrame:
         "doc_id", "page", "key", F.when(taken, F.col("new_value")).otherwise(F.col("value")).alias("value"),
         F.when(taken, F.col("new_confidence")).otherwise(F.col("confidence")).alias("confidence"), F.coalesce(taken & (F.col("value") != F.col("new_value")), F.lit(False)).alias("replaced"),
     )
+
+
+def text_in_regions(words: DataFrame, fields: DataFrame) -> DataFrame:
+    """doc_id, page, key, value: the words whose centres lie in each field of the page's template, without padding, from top to bottom by their exact y, then x."""
+    read = words.withColumn("band", F.col("y"))
+    pages = read.groupBy("doc_id", "page").agg(F.first("template_id").alias("template_id"), F.array_sort(F.collect_list(F.struct("band", "x", "word_no", "text", "conf", "y", "w", "h"))).alias("ws"))
+    return fields_of_pages(pages, fields, padded=False).select("doc_id", "page", "key", "value")

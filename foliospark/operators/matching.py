@@ -181,3 +181,16 @@ def accepted(score: Column, visual: Column, config: EngineConfig = EngineConfig(
 def anchor_corrected(base: Column, anchor: Column, config: EngineConfig = EngineConfig()) -> Column:
     """The score of a template with anchors."""
     return rounded((1 - config.anchor_weight) * base + config.anchor_weight * anchor)
+
+
+def anchor_selection(chosen: DataFrame, tried: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """doc_id, page, template_id, score: templates with anchors may replace the chosen one.
+
+    chosen: doc_id, page, template_id, score (null and 0 if none); tried: doc_id, page, template_id, base (geometric
+    similarity), anchor (anchor score). A template's score is the weighted mean of its base, for the chosen one its score,
+    and its anchors; the highest counts if it is above the chosen score, the smaller template of equals.
+    """
+    c = chosen.select("doc_id", "page", F.col("template_id").alias("c_id"), F.coalesce("score", F.lit(0.0)).alias("c_score"))
+    both = tried.join(c, ["doc_id", "page"]).withColumn("all", anchor_corrected(F.when(F.col("template_id") == F.col("c_id"), F.col("c_score")).otherwise(F.col("base")), F.col("anchor"), config))
+    best = both.where("all > c_score").groupBy("doc_id", "page").agg(F.max_by(F.struct("template_id", "all"), F.struct("all", -F.col("template_id"))).alias("b"))
+    return c.join(best, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("b.template_id", "c_id").alias("template_id"), F.coalesce("b.all", "c_score").alias("score"))

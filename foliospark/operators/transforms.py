@@ -33,3 +33,85 @@ def fit_similarity(pairs: DataFrame, config: EngineConfig = EngineConfig()) -> D
         "doc_id", "page", "n", F.when(~sane, "none").when(c("n") == 1, "translation").otherwise("similarity").alias("kind"), "scale", F.degrees(F.atan2("b", "a")).alias("angle"),
         (c("m_dst_x") - c("a") * c("m_src_x") + c("b") * c("m_src_y")).alias("dx"), (c("m_dst_y") - c("b") * c("m_src_x") - c("a") * c("m_src_y")).alias("dy"), F.when(c("n") > 1, c("residual")).otherwise(0.0).alias("residual"),
     )
+
+
+#: A pair is left out whose residual under the first fit is above this many pixels and this many times the (upper) median.
+OFF, OFF_TIMES = 3.0, 2.0
+_SUMS = {"sx": "p.src_x", "sy": "p.src_y", "sxx": "p.src_x * p.src_x", "sxy": "p.src_x * p.src_y", "syy": "p.src_y * p.src_y", "su": "p.dst_x", "sv": "p.dst_y", "sxu": "p.src_x * p.dst_x", "syu": "p.src_y * p.dst_x", "sxv": "p.src_x * p.dst_y", "syv": "p.src_y * p.dst_y"}
+_MINORS = {"m11": "syy * m - sy * sy", "m12": "sx * sy - sxy * m", "m13": "sxy * sy - syy * sx", "m22": "sxx * m - sx * sx", "m23": "sxy * sx - sxx * sy", "m33": "sxx * syy - sxy * sxy"}
+_AFFINE = {
+    "a": "(m11 * sxu + m12 * syu + m13 * su) / det", "b": "(m12 * sxu + m22 * syu + m23 * su) / det", "tx": "(m13 * sxu + m23 * syu + m33 * su) / det",
+    "c": "(m11 * sxv + m12 * syv + m13 * sv) / det", "d": "(m12 * sxv + m22 * syv + m23 * sv) / det", "ty": "(m13 * sxv + m23 * syv + m33 * sv) / det",
+}
+_SIMILAR = {"ra": "(m * (sxu + syv) - (sx * su + sy * sv)) / spread", "rb": "(m * (sxv - syu) - (sx * sv - sy * su)) / spread"}
+#: Squares of a pair's residuals under the affine transform, and under the similarity.
+_OFF_AFFINE = "(a * p.src_x + b * p.src_y + tx - p.dst_x) * (a * p.src_x + b * p.src_y + tx - p.dst_x) + (c * p.src_x + d * p.src_y + ty - p.dst_y) * (c * p.src_x + d * p.src_y + ty - p.dst_y)"
+_OFF_SIMILAR = "(ra * p.src_x - rb * p.src_y + rx - p.dst_x) * (ra * p.src_x - rb * p.src_y + rx - p.dst_x) + (rb * p.src_x + ra * p.src_y + ry - p.dst_y) * (rb * p.src_x + ra * p.src_y + ry - p.dst_y)"
+
+
+def _sane(config: EngineConfig) -> str:
+    """Whether an affine transform can be that of the same form: no mirror image, scales of 0.1 to 6, bounded anisotropy, shear and, from four pairs on, residual."""
+    return f"""coalesce(sy_ > 0 and sx_ between 0.1 and 6.0 and sy_ between 0.1 and 6.0 and greatest(sx_, sy_) <= {config.anchor_max_anisotropy} * least(sx_, sy_)
+        and abs(a * b + c * d) <= {config.anchor_max_shear} * sx_ * sx_ and (m < 4 or off_a <= {config.anchor_fit_max_error}), false)"""
+
+
+def _kind(config: EngineConfig) -> str:
+    return f"case when m = 1 then 'translation' when {_sane(config)} then 'affine' when sqrt(ra * ra + rb * rb) between 0.25 and 4.0 and (m < 3 or off_r <= {config.anchor_fit_max_error}) then 'similarity' else 'none' end"
+
+
+_PARTS = {"sx_": "sqrt(a * a + c * c)", "sy_": "(a * d - b * c) / nullif(sqrt(a * a + c * c), 0)"}
+_RESULT = {
+    "scale": "case kind when 'affine' then (sx_ + sy_) / 2 when 'similarity' then sqrt(ra * ra + rb * rb) when 'translation' then 1 end", "angle": "case kind when 'affine' then degrees(atan2(c, a)) when 'similarity' then degrees(atan2(rb, ra)) when 'translation' then 0 end",
+    "residual": "case kind when 'affine' then off_a when 'similarity' then off_r when 'translation' then 0 end",
+}
+
+
+def fit_anchors(pairs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """doc_id, page, n, n_used, kind, scale, angle, residual and matrix of the transform that carries pairs of points (src_x, src_y to dst_x, dst_y).
+
+    Three pairs or more: the least-squares affine transform; pairs far off it (see OFF) are left out once and it is fitted
+    again. If it isn't sane, and for two pairs, the least-squares similarity, unless its scale or residual is out of bounds: then
+    kind is ``none``. One pair gives a translation. A page's anchors are few; they are gathered and fitted by sums over them.
+    """
+    point = F.struct(*[F.col(c).cast("double").alias(c) for c in ("src_x", "src_y", "dst_x", "dst_y")])
+    pages = pairs.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(point)).alias("ps"), F.count("*").alias("n"))
+    first = _fitted(pages)
+    off = "transform(ps, p -> sqrt(" + _OFF_AFFINE + "))"
+    first = first.withColumn("off", F.expr(f"if(a is null, null, {off})")).withColumn("most", F.expr(f"greatest({OFF}D, {OFF_TIMES}D * get(array_sort(off), cast(floor(size(off) / 2) as int)))"))
+    used = first.select("doc_id", "page", "n", F.expr("if(off is null, ps, filter(ps, (p, i) -> off[i] <= most))").alias("ps"))
+    fit = _fitted(used)
+    mean = lambda e: f"sqrt(aggregate(ps, 0D, (s, p) -> s + {e}) / m) / nullif(extent, 0)"
+    side = lambda c: f"(array_max(transform(ps, p -> p.{c})) - array_min(transform(ps, p -> p.{c})))"
+    fit = fit.withColumn("extent", F.expr(f"sqrt({side('dst_x')} * {side('dst_x')} + {side('dst_y')} * {side('dst_y')})"))
+    fit = fit.withColumn("off_a", F.expr(mean(_OFF_AFFINE))).withColumn("off_r", F.expr(mean(_OFF_SIMILAR)))
+    fit = fit.withColumns({k: F.expr(v) for k, v in _PARTS.items()}).withColumn("kind", F.expr(_kind(config)))
+    fit = fit.withColumns({k: F.expr(v).cast("double") for k, v in _RESULT.items()})
+    matrix = F.expr("case kind when 'affine' then array(array(a, b, tx), array(c, d, ty)) when 'similarity' then array(array(ra, -rb, rx), array(rb, ra, ry)) when 'translation' then array(array(1D, 0D, su - sx), array(0D, 1D, sv - sy)) end")
+    return fit.select("doc_id", "page", "n", F.col("m").cast("long").alias("n_used"), "kind", "scale", "angle", "residual", matrix.alias("matrix"))
+
+
+def _fitted(pages: DataFrame) -> DataFrame:
+    """With both transforms of the points ps: null where they say nothing."""
+    out = pages.withColumns({k: F.expr(f"aggregate(ps, 0D, (s, p) -> s + {e})") for k, e in _SUMS.items()}).withColumn("m", F.size("ps").cast("double"))
+    out = out.withColumns({k: F.expr(e) for k, e in _MINORS.items()})
+    out = out.withColumn("det", F.expr("if(m >= 3, nullif(sxx * m11 + sxy * m12 + sx * m13, 0), null)")).withColumn("spread", F.expr("nullif(m * (sxx + syy) - sx * sx - sy * sy, 0)"))
+    out = out.withColumns({k: F.expr(e) for k, e in (_AFFINE | _SIMILAR).items()})
+    return out.withColumn("rx", F.expr("(su - ra * sx + rb * sy) / m")).withColumn("ry", F.expr("(sv - rb * sx - ra * sy) / m"))
+
+
+def fit_sql(points: str, config: EngineConfig = EngineConfig()) -> str:
+    """The same in SQL over points with a number i, as table expressions that end in ``fitted``."""
+    alias = lambda d: ", ".join(f"{e} AS {k}" for k, e in d.items())
+
+    def fitted(name: str, source: str) -> str:
+        sums = ", ".join(f"sum({e}) AS {k}" for k, e in _SUMS.items())
+        return f"""{name}0 AS (SELECT doc_id, page, CAST(count(*) AS DOUBLE) AS m, {sums}, sqrt(pow(max(p.dst_x) - min(p.dst_x), 2) + pow(max(p.dst_y) - min(p.dst_y), 2)) AS extent FROM {source} p GROUP BY doc_id, page),
+            {name}1 AS (SELECT *, {alias(_MINORS)} FROM {name}0), {name}2 AS (SELECT *, CASE WHEN m >= 3 THEN nullif(sxx * m11 + sxy * m12 + sx * m13, 0) END AS det, nullif(m * (sxx + syy) - sx * sx - sy * sy, 0) AS spread FROM {name}1),
+            {name}3 AS (SELECT *, {alias(_AFFINE)}, {alias(_SIMILAR)} FROM {name}2), {name} AS (SELECT *, (su - ra * sx + rb * sy) / m AS rx, (sv - rb * sx - ra * sy) / m AS ry FROM {name}3)"""
+
+    return f"""WITH pts AS ({points}), {fitted('f', 'pts')}, o AS (SELECT p.*, a IS NULL AS plain, sqrt({_OFF_AFFINE}) AS off FROM pts p JOIN f USING (doc_id, page)),
+        med AS (SELECT doc_id, page, count(*) AS n, list_sort(list(off))[len(list(off)) // 2 + 1] AS mid FROM o GROUP BY ALL),
+        used AS (SELECT o.*, n FROM o JOIN med USING (doc_id, page) WHERE plain OR off <= greatest({OFF}, {OFF_TIMES} * mid)), {fitted('g', 'used')},
+        e AS (SELECT doc_id, page, any_value(n) AS n, sqrt(sum({_OFF_AFFINE}) / any_value(m)) / nullif(any_value(extent), 0) AS off_a, sqrt(sum({_OFF_SIMILAR}) / any_value(m)) / nullif(any_value(extent), 0) AS off_r FROM used p JOIN g USING (doc_id, page) GROUP BY ALL),
+        h AS (SELECT *, {alias(_PARTS)} FROM g JOIN e USING (doc_id, page)), k AS (SELECT *, {_kind(config)} AS kind FROM h),
+        fitted AS (SELECT doc_id, page, n, CAST(m AS BIGINT) AS n_used, kind, {alias(_RESULT)} FROM k)"""

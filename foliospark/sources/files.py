@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = ("png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp", "pdf")
 
 
+def is_accepted(name: Column) -> Column:
+    """Whether a file's name ends in a suffix of SUFFIXES, in any case."""
+    return F.lower(F.element_at(F.split(name, "\\."), -1)).isin(*SUFFIXES)
+
+
 def binary_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """path, modificationTime, length, content, kind (pdf, image or null) of files with a known suffix.
 

@@ -10,7 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
@@ -49,6 +49,11 @@ class OfflineProvider:
         return out
 
 
+def installed(name: Column, models: Column) -> Column:
+    """Whether a model is among those listed, by its whole name or what is before the colon."""
+    return F.exists(models, lambda m: (m == name) | (F.split_part(m, F.lit(":"), F.lit(1)) == name))
+
+
 def embed(df: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
     """With the column embedding; null texts have an empty one."""
     ship_package(df.sparkSession)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def document_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100, names: str = "*") -> DataFrame:
-    """The Parquet files that arrive in a folder under matching names."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(path)
+def document_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100, names: str = "*", delete: bool = False) -> DataFrame:
+    """The Parquet files that arrive in a folder under matching names; with ``delete`` a file is removed once its batch is done."""
+    return spark.readStream.schema(schema).option("cleanSource", "delete" if delete else "off").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(path)
 
 
 def run_jobs(documents: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
