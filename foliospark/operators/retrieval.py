@@ -51,8 +51,13 @@ def prompts(questions: DataFrame, fields: DataFrame, hints: DataFrame, shots: Da
     ).alias("prompt"))
 
 
-def parse_answer(raw) -> F.Column:
+def bare_json(raw: F.Column) -> F.Column:
+    """A model's answer without the fences of a code block."""
+    return F.regexp_replace(F.regexp_replace(F.trim(raw), "^```[a-zA-Z]*\\s*", ""), "\\s*```$", "")
+
+
+def parse_answer(raw: F.Column) -> F.Column:
     """The values of a model's JSON answer as a map of strings: fences stripped, {"value": ...} unwrapped; null for anything but an object."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), "^```[a-zA-Z]*\\s*", ""), "\\s*```$", "")
+    bare = bare_json(raw)
     flat = F.when(F.startswith(bare, F.lit("{")), F.from_json(bare, "map<string,string>"))
     return F.transform_values(flat, lambda _, v: F.coalesce(F.when(F.startswith(v, F.lit("{")), F.get_json_object(v, "$.value")), v, F.lit("")))

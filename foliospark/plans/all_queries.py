@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL; importing the modules registers them."""
 
-from . import queries, region_queries, store_queries
+from . import model_queries, queries, region_queries, store_queries
 from .queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "queries", "region_queries", "store_queries"]
+__all__ = ["QUERIES", "SQL", "model_queries", "queries", "region_queries", "store_queries"]

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..operators.answers import model_suggestions
 from ..operators.extract import fields_of_pages, page_words
 from ..operators.lines import code_values, group_lines, labelled_values, merge_suggestions, TABLE_TOLERANCE
 from ..operators.matching import accepted, best_of_templates
 from ..operators.records import needs_review, status
+from ..sources.providers import Provider
 from ..storage import materialize
 
 
@@ -44,8 +46,19 @@ def process(words: DataFrame, pages: DataFrame, templates: DataFrame, fields: Da
     return rows.withColumn("status", status(review, F.lit(None).cast("string")))
 
 
-def suggest_fields(words: DataFrame) -> DataFrame:
-    """Labelled values, then the code values that overlap none of them."""
-    first = labelled_values(group_lines(words)).select("doc_id", "page", "ordinal", "key", "box")
-    second = code_values(group_lines(words, TABLE_TOLERANCE)).select("doc_id", "page", "ordinal", "key", "box")
-    return merge_suggestions(first, second)
+def suggest_fields(words: DataFrame, provider: Provider | None = None) -> DataFrame:
+    """Fields suggested for each page: doc_id, page, place, key, box, origin (0 or, from the table rows, 1), source.
+
+    Those of a model come first; a page for which it has none, or without a provider every page, has labelled values. The
+    code values that overlap none of them follow. source is ``model`` or ``rules``, with ``+table`` where a page has code values.
+    """
+    words = materialize(words.select("doc_id", "page", "word_no", "text", "conf", "x", "y", "w", "h"), "words")
+    first = labelled_values(group_lines(words)).select("doc_id", "page", "ordinal", "key", "box", F.lit("rules").alias("source"))
+    if provider is not None:
+        model = materialize(model_suggestions(words, provider).select("doc_id", "page", "ordinal", "key", "box", F.lit("model").alias("source")), "suggested")
+        first = model.unionByName(first.join(model.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti"))
+    first = materialize(first, "first")
+    second = materialize(code_values(group_lines(words, TABLE_TOLERANCE)).select("doc_id", "page", "ordinal", "key", "box"), "second")
+    by_page = first.groupBy("doc_id", "page").agg(F.min("source").alias("source")).join(second.groupBy("doc_id", "page").agg(F.count("*").alias("n")), ["doc_id", "page"], "full")
+    by_page = by_page.select("doc_id", "page", F.concat(F.coalesce("source", F.lit("rules")), F.when(F.col("n") > 0, "+table").otherwise("")).alias("source"))
+    return merge_suggestions(first.drop("source"), second).join(by_page, ["doc_id", "page"])

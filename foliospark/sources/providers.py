@@ -40,15 +40,28 @@ class OfflineProvider:
         return out
 
     def answer(self, prompts: list[str]) -> list[str]:
+        """Values of the keys that a prompt asks for; without keys all that stand in lines as ``label: value``, as suggestions if the prompt asks for fields."""
         out = []
         for p in prompts:
-            keys = re.findall(r'^- "(.*?)":', p.partition("SEEN:")[0], re.M)
             text = p.rpartition("TEXT:\n")[2]
-            found = {k: m[1].strip() if (m := re.search(rf"(?im)^{re.escape(k)}\s*:\s*(.*)$", text)) else "" for k in keys}
-            out.append(json.dumps(found, ensure_ascii=False))
+            keys = re.findall(r'^- "(.*?)":', p.partition("SEEN:")[0], re.M)
+            lines = re.findall(r"(?m)^([^:\n]{1,40}?)[ \t]*:[ \t]*(\S.*)$", text)
+            if keys:
+                said = {k: m[1].strip() if (m := re.search(rf"(?im)^{re.escape(k)}\s*:\s*(.*)$", text)) else "" for k in keys}
+            elif '"fields"' in p:
+                said = {"fields": [{"label": k, "value": v.strip(), "data_type": "text"} for k, v in lines]}
+            else:
+                said = {"datos": {re.sub(r"\W+", "_", k.lower()).strip("_"): v.strip() for k, v in lines}}
+            out.append(json.dumps(said, ensure_ascii=False))
         return out
 
 
+def backend_of(enabled: Column, key: Column, remote_url: Column) -> Column:
+    """Which back-end answers prompts, as :func:`foliospark.config.generation_backend` chooses."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    return F.when(enabled & some(key), "hosted").when(some(remote_url), "remote").otherwise("local")
+
+
 def installed(name: Column, models: Column) -> Column:
     """Whether a model is among those listed, by its whole name or what is before the colon."""
     return F.exists(models, lambda m: (m == name) | (F.split_part(m, F.lit(":"), F.lit(1)) == name))
