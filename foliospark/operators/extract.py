@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.geometry import band, contains_centre
+from ..functions.geometry import band, contains_centre, transformed
 from ..storage import small_enough
 
 #: Most fields of all templates that are sent to every task; beyond that the join shuffles.
@@ -69,3 +69,15 @@ def text_in_regions(words: DataFrame, fields: DataFrame) -> DataFrame:
     read = words.withColumn("band", F.col("y"))
     pages = read.groupBy("doc_id", "page").agg(F.first("template_id").alias("template_id"), F.array_sort(F.collect_list(F.struct("band", "x", "word_no", "text", "conf", "y", "w", "h"))).alias("ws"))
     return fields_of_pages(pages, fields, padded=False).select("doc_id", "page", "key", "value")
+
+
+def transformed_fields(pages: DataFrame, fields: DataFrame, padded: bool = True) -> DataFrame:
+    """The values of fields whose regions each page's transform carries onto it: pages (doc_id, page, template_id, ws, matrix, width, height in pixels), fields as above.
+
+    A region becomes the box around its transformed corners; a page without a matrix takes the regions as they are.
+    """
+    box = F.struct(*[F.col(f"f{c}").cast("double").alias(c) for c in "xywh"])
+    met = pages.join(F.broadcast(fields) if small_enough(fields, BROADCAST_FIELDS) else fields, "template_id")
+    moved = F.when(F.col("matrix").isNotNull(), transformed(box, F.col("matrix"), F.col("width"), F.col("height"))).otherwise(F.struct(*[F.col(f"f{c}").alias(c) for c in "xywh"]))
+    hits = met.withColumn("box", moved).withColumn("ws", F.filter("ws", lambda w: contains_centre(w, F.col("box"), padded)))
+    return hits.select("doc_id", "page", "key", F.trim(F.array_join(F.transform("ws", lambda w: w["text"]), " ")).alias("value"), F.size("ws").cast("long").alias("n_words"))

@@ -218,25 +218,46 @@ def per_image(image: Column, f: Callable[[np.ndarray], dict], result: str) -> Co
     return run(image)
 
 
-def filtered(image: Column, steps: list[str]) -> Column:
-    """The named filters one after another; unknown names are passed over."""
-    known = [FILTERS[s] for s in steps if s in FILTERS]
+#: Filters that a page goes through by default, and named chains of filters for several readings.
+DEFAULT = ["grayscale", "clahe", "sharpen"]
+VARIANTS = {
+    "grayscale": ["grayscale"],
+    "binary": ["binary_otsu"],
+    "clahe": ["clahe"],
+    "denoise_clahe": ["denoise", "clahe"],
+    "adaptive": ["adaptive"],
+    "sharpen_binary": ["sharpen", "binary_otsu"],
+    "morph_clean": ["morphology"],
+}
 
-    def run(a: np.ndarray) -> dict:
-        for step in known:
-            a = step(a)
-        return _row(a)
 
-    return per_image(image, run, IMAGE)
+def _through(a: np.ndarray, steps: list[str]) -> dict:
+    for step in steps:
+        a = FILTERS[step](a) if step in FILTERS else a
+    return _row(a)
 
 
-def variants(df: DataFrame, image: str, names: dict[str, list[str]]) -> DataFrame:
-    """A row for each named chain of filters: variant and the filtered image."""
-    parts = [df.withColumn("variant", F.lit(n)).withColumn(image, filtered(F.col(image), steps)) for n, steps in names.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def filtered(image: Column, steps: list[str] | None = None) -> Column:
+    """The named filters one after another, by default DEFAULT; unknown names are passed over."""
+    return per_image(image, lambda a: _through(a, DEFAULT if steps is None else steps), IMAGE)
+
+
+def variants(df: DataFrame, image: str, names: dict[str, list[str]] | None = None) -> DataFrame:
+    """A row for each named chain of filters, by default VARIANTS: variant and the filtered image. The images are read once."""
+    chains = VARIANTS if names is None else names
+
+    @F.pandas_udf(IMAGE)
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for variant, b in batches:
+            out = []
+            for n, h, w, c, d in zip(variant, b["height"], b["width"], b["channels"], b["data"]):
+                try:
+                    out.append(_through(_array(int(h), int(w), int(c), d), chains[n]))
+                except (ValueError, TypeError):
+                    out.append({})
+            yield pd.DataFrame(out, columns=["height", "width", "channels", "data"])
+
+    return df.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in chains]))).withColumn(image, run("variant", image))
 
 
 def image_quality(image: Column) -> Column:

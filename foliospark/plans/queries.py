@@ -186,6 +186,28 @@ def process_pages(spark, sf):
     return done.withColumn("data", F.array_join(pairs, "; ")).withColumn("avg_confidence", F.round("avg_confidence", 4))
 
 
+UNIVERSAL = -1
+
+
+@query(PROCESS_SQL.replace("CASE WHEN b.score >= 0.85 THEN b.template_id END AS template_id", f"CASE WHEN b.score >= 0.85 THEN b.template_id ELSE {UNIVERSAL} END AS template_id"))
+def process_stream(spark, sf):
+    """Documents arrive as a stream and every batch goes through the process; pages that no template fits get the universal one."""
+    base = scratch(spark, "stream")
+    f = fields(spark).withColumnRenamed("template_id", "third")
+    f = read(spark, sf, "benchmark").select(F.col("item_id").alias("template_id")).distinct().join(F.broadcast(f), F.pmod("template_id", F.lit(3)) == F.col("third")).drop("third")
+    templates = _templates(spark, sf)
+
+    def records_of(batch):
+        w = layout.words_from_text(batch)
+        done = process.process(w, _pages(w), templates, f, universal=UNIVERSAL)
+        pairs = F.transform(F.array_sort(F.map_entries("data")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+        return done.withColumn("data", F.array_join(pairs, "; ")).withColumn("avg_confidence", F.round("avg_confidence", 4))
+
+    stream = jobs.document_stream(spark, sf, read(spark, sf, "documents").schema, names="documents.parquet")
+    jobs.run_jobs(stream, records_of, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
 @query(f"{WORDS} SELECT doc_id, page, string_agg(text, ' ' ORDER BY {band_sql('y')}, x, word_no) AS text FROM words GROUP BY ALL")
 def document_text(spark, sf):
     return layout.document_text(words(spark, sf))
@@ -422,9 +444,14 @@ def value_window(spark, sf):
     return anchors.find_values(_forms(spark, sf), wanted).withColumn("box", F.to_json("box"))
 
 
-@query()
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 1000 AS DOUBLE) AS sx, CAST(l_suppkey % 1000 AS DOUBLE) AS sy, l_partkey % 1000 * 1.5::DOUBLE + 10 + l_linenumber % 3 AS tx, l_suppkey % 1000 * 1.5::DOUBLE - 20 AS ty FROM lineitem),
+    s AS (SELECT doc_id, count(*) AS n, avg(sx) AS mx, avg(sy) AS my, avg(tx) AS ux, avg(ty) AS uy, sum(sx * sx + sy * sy) AS ss, sum(tx * tx + ty * ty) AS tt, sum(sx * tx + sy * ty) AS dot, sum(sx * ty - sy * tx) AS crs, greatest(max(tx) - min(tx), max(ty) - min(ty)) AS extent FROM p GROUP BY 1),
+    v AS (SELECT *, ss - n * (mx * mx + my * my) AS vs, tt - n * (ux * ux + uy * uy) AS vt, dot - n * (mx * ux + my * uy) AS a0, crs - n * (mx * uy - my * ux) AS b0 FROM s),
+    f AS (SELECT *, CASE WHEN n > 1 AND vs > 0 THEN a0 / vs ELSE 1.0 END AS a, CASE WHEN n > 1 AND vs > 0 THEN b0 / vs ELSE 0.0 END AS b FROM v), g AS (SELECT *, sqrt(a * a + b * b) AS scale, sqrt(greatest(0.0, vt - (a * a + b * b) * vs) / n) / greatest(extent, 1e-9) AS residual FROM f)
+    SELECT doc_id, 0 AS page, n, CASE WHEN NOT (scale BETWEEN 0.25 AND 4.0 AND (n < 3 OR residual <= 0.15)) THEN 'none' WHEN n = 1 THEN 'translation' ELSE 'similarity' END AS kind, round(scale, 5) AS scale, round(degrees(atan2(b, a)), 5) + 0.0 AS angle, round(ux - a * mx + b * my, 5) + 0.0 AS dx, round(uy - b * mx - a * my, 5) + 0.0 AS dy, CASE WHEN n > 1 THEN round(residual, 4) ELSE 0.0 END AS residual FROM g""")
 def fit_transform(spark, sf):
-    return transforms.fit_similarity(read(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "0 as page", "cast(l_partkey % 1000 as double) as src_x", "cast(l_suppkey % 1000 as double) as src_y", "l_partkey % 1000 * 1.5 + 10 as dst_x", "l_suppkey % 1000 * 1.5 - 20 as dst_y"))
+    fit = transforms.fit_similarity(read(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "0 as page", "cast(l_partkey % 1000 as double) as src_x", "cast(l_suppkey % 1000 as double) as src_y", "l_partkey % 1000 * 1.5D + 10 + l_linenumber % 3 as dst_x", "l_suppkey % 1000 * 1.5D - 20 as dst_y"))
+    return fit.select("doc_id", "page", "n", "kind", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("scale", 5), ("angle", 5), ("dx", 5), ("dy", 5), ("residual", 4))])
 
 
 # Retrieval
@@ -583,8 +610,8 @@ def job_stream_counts(spark, sf):
 
 @query()
 def image_quality(spark, sf):
-    """Texts as grey images, a byte to a pixel, 64 to a row."""
-    d = read(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("data"))
-    d = d.withColumn("height", F.ceil(F.length("data") / 64).cast("int")).where("height > 0").withColumn("data", F.expr("concat(data, substring(unhex(repeat('00', 64)), 1, height * 64 - length(data)))"))
-    d = d.withColumn("image", F.struct("height", F.lit(64).alias("width"), F.lit(1).alias("channels"), "data"))
+    """Texts as grey images, a byte to a pixel, 64 to a row; nulls for documents without text."""
+    d = read(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    d = d.withColumn("height", F.ceil(F.length("data") / 64).cast("int")).withColumn("data", F.expr("concat(data, substring(unhex(repeat('00', 64)), 1, height * 64 - length(data)))"))
+    d = d.withColumn("image", F.when(F.col("height") > 0, F.struct("height", F.lit(64).alias("width"), F.lit(1).alias("channels"), "data")))
     return d.select("doc_id", images.image_quality(images.filtered(F.col("image"), ["grayscale", "clahe", "sharpen"])).alias("q")).select("doc_id", "q.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.geometry import band_sql
 from ..operators import anchors, extract, lines, matching, transforms
 from .queries import CONFIG, FIELDS_SQL, ONE, BEST_SQL, REGIONS, WORDS, _forms, _matching_sql, _pages, _regions, _templates, fields, query, read, words
 
@@ -82,6 +83,21 @@ def text_in_regions(spark, sf):
     return extract.text_in_regions(words(spark, sf).withColumn("template_id", F.pmod(F.col("doc_id") + F.col("page"), F.lit(3))), fields(spark))
 
 
+@query(f"""{WORDS}, {FIELDS_SQL}, p AS (SELECT DISTINCT doc_id, page, 1.25::DOUBLE AS a, (doc_id % 3) / 32.0::DOUBLE AS b, CAST(page % 5 * 16 AS DOUBLE) AS tx, -(doc_id % 2) / 64.0::DOUBLE AS c, 0.75::DOUBLE AS d, -8.0::DOUBLE AS ty, doc_id % 4 > 0 AS moved FROM words),
+    q AS (SELECT p.*, f.key, f.fx, f.fy, f.fw, f.fh, fx * 1024 / 100000.0::DOUBLE AS x0, (fx + fw) * 1024 / 100000.0::DOUBLE AS x1, fy * 2048 / 100000.0::DOUBLE AS y0, (fy + fh) * 2048 / 100000.0::DOUBLE AS y1 FROM p JOIN fields f ON f.template_id = (doc_id + page) % 3),
+    r AS (SELECT *, CAST(floor(least(a * x0 + b * y0 + tx, a * x0 + b * y1 + tx, a * x1 + b * y0 + tx, a * x1 + b * y1 + tx) / 1024 * 100000 + 0.5) AS BIGINT) AS lx, CAST(floor(greatest(a * x0 + b * y0 + tx, a * x0 + b * y1 + tx, a * x1 + b * y0 + tx, a * x1 + b * y1 + tx) / 1024 * 100000 + 0.5) AS BIGINT) AS hx,
+        CAST(floor(least(c * x0 + d * y0 + ty, c * x0 + d * y1 + ty, c * x1 + d * y0 + ty, c * x1 + d * y1 + ty) / 2048 * 100000 + 0.5) AS BIGINT) AS ly, CAST(floor(greatest(c * x0 + d * y0 + ty, c * x0 + d * y1 + ty, c * x1 + d * y0 + ty, c * x1 + d * y1 + ty) / 2048 * 100000 + 0.5) AS BIGINT) AS hy FROM q),
+    b AS (SELECT doc_id, page, key, CASE WHEN moved THEN lx ELSE fx END AS bx, CASE WHEN moved THEN ly ELSE fy END AS by_, CASE WHEN moved THEN hx - lx ELSE fw END AS bw, CASE WHEN moved THEN hy - ly ELSE fh END AS bh FROM r),
+    i AS (SELECT b.doc_id, b.page, b.key, string_agg(text, ' ' ORDER BY {band_sql('y')}, x, word_no) AS value, count(*) AS n FROM b JOIN words w ON w.doc_id = b.doc_id AND w.page = b.page AND 100 * (2 * x + w) BETWEEN 200 * bx - 2 * greatest(8 * bw, 60000) AND 200 * (bx + bw) + 2 * greatest(8 * bw, 60000)
+        AND 100 * (2 * y + h) BETWEEN 200 * by_ - 2 * greatest(15 * bh, 100000) AND 200 * (by_ + bh) + 2 * greatest(15 * bh, 100000) GROUP BY ALL)
+    SELECT b.doc_id, b.page, b.key, coalesce(value, '') AS value, coalesce(n, 0) AS n_words FROM b LEFT JOIN i USING (doc_id, page, key)""")
+def transformed_fields(spark, sf):
+    """Fields on pages that a transform carries the template onto."""
+    w = extract.page_words(words(spark, sf).withColumn("template_id", F.pmod(F.col("doc_id") + F.col("page"), F.lit(3))), "template_id")
+    matrix = F.expr("if(doc_id % 4 > 0, array(array(1.25D, (doc_id % 3) / 32D, cast(page % 5 * 16 as double)), array(-(doc_id % 2) / 64D, 0.75D, -8D)), null)")
+    return extract.transformed_fields(w.select("doc_id", "page", "template_id", "ws", matrix.alias("matrix"), F.lit(1024).alias("width"), F.lit(2048).alias("height")), fields(spark))
+
+
 JITTER = "(word_no * 7919 + doc_id * 31) % 2600"
 
 
@@ -157,11 +173,11 @@ MOVED = f"""SELECT doc_id, page, i, src_x, src_y, CASE WHEN form = 0 THEN 2 * sr
     CASE WHEN form = 0 THEN src_y - 20 WHEN form = 1 THEN src_y ELSE 0.25 * src_x + 1.5 * src_y - 7 END + CASE WHEN off AND form = 3 THEN -700 ELSE 0 END AS dst_y FROM ({POINTS})"""
 
 
-@query(f"{transforms.fit_sql(MOVED)} SELECT doc_id, page, n, n_used, kind, round(scale, 3) AS scale, round(angle, 2) AS angle, round(residual, 3) AS residual FROM fitted")
+@query(f"{transforms.fit_sql(MOVED)} SELECT doc_id, page, n, n_used, kind, round(scale, 3) AS scale, round(angle, 2) + 0.0 AS angle, round(residual, 3) AS residual FROM fitted")
 def fit_anchors(spark, sf):
     """Affine or similarity transforms of located anchors, some of them far off."""
     fit = transforms.fit_anchors(_points(spark, sf), CONFIG)
-    return fit.select("doc_id", "page", "n", "n_used", "kind", *[F.round(c, d).alias(c) for c, d in (("scale", 3), ("angle", 2), ("residual", 3))])
+    return fit.select("doc_id", "page", "n", "n_used", "kind", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("scale", 3), ("angle", 2), ("residual", 3))])
 
 
 def _points(spark, sf):

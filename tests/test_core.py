@@ -38,6 +38,25 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert sorted_rows(got.columns, rows) == sorted_rows(names, want.fetchall())
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from foliospark import storage
+
+    conf = Some(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        storage.shared_dir(Some(conf=conf, sparkContext=Some(master="spark://host:7077", getConf=lambda: conf)))
+
+
+def test_back_end_of_a_configuration():
+    from foliospark.config import EngineConfig, generation_backend
+
+    assert generation_backend(EngineConfig()) == ("local", "http://localhost", {})
+    assert generation_backend(EngineConfig(remote_url="http://r/", remote_key="k")) == ("remote", "http://r", {"Authorization": "Bearer k"})
+    hosted = EngineConfig(hosted_enabled=True, hosted_key="h", hosted_url="http://h/", remote_url="http://r")
+    assert generation_backend(hosted)[:2] == ("hosted", "http://h") and generation_backend(EngineConfig(hosted_enabled=True, remote_url="http://r"))[0] == "remote"
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

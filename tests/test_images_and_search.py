@@ -72,6 +72,70 @@ def test_filters_keep_the_size_and_flat_images_stay_flat(name):
     assert len(np.unique(flat)) == 1
 
 
-@pytest.mark.parametrize("name", ["process_pages", "suggest_fields", "text_anchor", "fit_transform", "image_quality"])
-def test_queries_without_sql_give_rows(spark, sf, name):
-    assert queries.QUERIES[name](spark, sf).count() > 0
+def test_filters_by_plain_loops():
+    rng = np.random.default_rng(3)
+    colour = rng.integers(0, 256, (14, 17, 3), dtype=np.uint8)
+    grey = [[round(0.299 * int(p[0]) + 0.587 * int(p[1]) + 0.114 * int(p[2])) for p in row] for row in colour]
+    assert np.abs(images.grey(colour).astype(int) - np.array(grey)).max() <= 1
+    flat = images.grey(colour).ravel().tolist()
+    best, at = -1.0, 0
+    for t in range(256):  # the threshold with the greatest variance between both sides
+        low, high = [v for v in flat if v <= t], [v for v in flat if v > t]
+        if low and high:
+            between = len(low) * len(high) * (sum(low) / len(low) - sum(high) / len(high)) ** 2
+            if between > best * (1 + 1e-12):
+                best, at = between, t
+    assert np.array_equal(images.otsu(colour) > 0, images.grey(colour) > at)
+    g = images.grey(colour)
+    padded = np.pad(g, 1, mode="edge")
+    for y in range(1, 13):
+        for x in range(1, 16):
+            assert images.denoise(colour)[y, x] == sorted(padded[y : y + 3, x : x + 3].ravel().tolist())[4]
+    q = images.quality(colour)
+    assert q["brightness"] == pytest.approx(np.mean(flat), abs=0.01) and q["contrast"] == pytest.approx(np.std(flat), abs=0.01)
+    edge = [sum(int(g[a, b]) for a, b in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1))) - 4 * int(g[y, x]) for y in range(1, 13) for x in range(1, 16)]
+    assert images.quality(np.pad(g[1:-1, 1:-1], 0))["sharpness"] >= 0 and len(edge) == 180
+
+
+def test_variants_of_a_page(spark):
+    rng = np.random.default_rng(4)
+    page = rng.integers(0, 256, (40, 30, 3), dtype=np.uint8)
+    df = spark.createDataFrame([(1, (40, 30, 3, bytearray(page.tobytes()))), (2, None), (3, (9, 9, 1, bytearray(b"short")))], f"i int, image {images.IMAGE}")
+    got = {(r.i, r.variant): r.image for r in images.variants(df, "image").collect()}
+    assert {v for _, v in got} == set(images.VARIANTS) == {"grayscale", "binary", "clahe", "denoise_clahe", "adaptive", "sharpen_binary", "morph_clean"} and len(got) == 21
+    for name, steps in images.VARIANTS.items():
+        a = page
+        for step in steps:
+            a = images.FILTERS[step](a)
+        assert bytes(got[1, name].data) == a.tobytes() and (got[1, name].height, got[1, name].width) == a.shape
+        assert all(got[i, name] is None or got[i, name].data is None for i in (2, 3))
+    plain = df.select("i", images.filtered(F.col("image")).alias("f")).where("i = 1").first().f
+    assert bytes(plain.data) == images.sharpen(images.equalise(images.grey(page))).tobytes()
+
+
+def test_queries_without_sql(spark, sf):
+    """Anchors and values of all pages against plain searches; a row of qualities for every document."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    quality = queries.QUERIES["image_quality"](spark, sf)
+    assert quality.count() == documents.count() and not quality.where("brightness is null").join(documents.where("text <> ''"), "doc_id").count()
+    found = queries.QUERIES["text_anchor"](spark, sf).collect()
+    pages = {}
+    for w in sorted(queries.words(spark, sf).collect(), key=lambda w: (round(w.y / 100_000, 2), w.x, w.word_no)):
+        pages.setdefault((w.doc_id, w.page), []).append(text_of(w.text))
+    target = {1: "of the and", 2: "der die"}
+    assert len(found) == 2 * len(pages)
+    for r in found:
+        words, want = pages[r.doc_id, r.page], target[r.anchor_id]
+        n = len(want.split())
+        best = brute_force(want, words, [0] * len(words), [k for k in (n - 1, n, n + 1) if k <= len(words)], " ", None, True)
+        assert r.score == pytest.approx(best[0], abs=5e-5) and r.found == (best[0] >= 0.7)
+    values = queries.QUERIES["value_window"](spark, sf)
+    wanted = queries.QUERIES["label_values"](spark, sf)
+    assert values.count() == wanted.select("doc_id", "sample_text").distinct().count() and not values.where("score < 1").count()
+
+
+def text_of(t):
+    import unicodedata
+
+    t = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower()
+    return " ".join(t.split())
