@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..cluster import ship_package
 from .common import broadcast, connected_components, materialize, small_enough
-from .shingles import Set, common, from_bytes, numbered, shingle_sets, to_bytes
+from .shingles import Set, common, numbered, shingle_sets, to_bytes
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -27,8 +27,8 @@ MOST_FREQUENT = 1 << 22
 ORDER_BITS = 27
 #: Shingles that a task counting frequencies holds at a time, and that a block of texts to verify has.
 COUNT_AT_ONCE, BLOCK = 1 << 20, 1 << 18
-#: Most identifiers (8 bytes each) that are broadcast to pick candidates out of the texts; beyond that the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Most classes (some 50 bytes each) that are broadcast to pick candidates out of the texts; beyond that the join shuffles.
+BROADCAST_IDS = 1_000_000
 
 
 def least_overlap(a, b):
@@ -193,7 +193,7 @@ def _within(table: pa.Table) -> pa.Table:
     """A spanning forest of the links in one pair of blocks."""
     reps = table.column("rep").to_numpy()
     first = np.asarray(table.column("first").to_pylist(), bool)
-    sets = [from_bytes(x.as_py()) for x in table.column("hashes")]
+    sets = [x for part in table.column("text").chunks for x in shingle_sets(part)]
     apart = table.column("b")[0].as_py() % 2 or table.column("p")[0].as_py() != table.column("q")[0].as_py()
     order = np.argsort(reps, kind="stable")
     reps, first, sets = reps[order], first[order], [sets[i] for i in order]
@@ -226,30 +226,27 @@ def _within(table: pa.Table) -> pa.Table:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, ta, tb: their texts) that link; each text's set is made once a batch."""
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        sides = []
+        for rep, text in (("a", "ta"), ("b", "tb")):
+            _, first, at = np.unique(batch.column(rep).to_numpy(), return_index=True, return_inverse=True)
+            sets = list(shingle_sets(batch.column(text).take(pa.array(first))))
+            sides.append([sets[i] for i in at.tolist()])
         keep = []
-        for x, y in zip(batch.column("ha"), batch.column("hb")):
-            x, y = from_bytes(x.as_py()), from_bytes(y.as_py())
+        for x, y in zip(*sides):
             both = common(x, y)
             keep.append(100 * both >= PERCENT * (len(x[0]) + len(y[0]) - both))
-        yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, k in zip(a, keep) if k], pa.int64()), "b": pa.array([v for v, k in zip(b, keep) if k], pa.int64())})
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, hashes) of the classes in ``wanted`` (rep, sig, name: an identifier that has the set, or null)."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x for x in shingle_sets(batch.column(0)) if len(x[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([_sig(x) for x in found], pa.binary()), pa.array([to_bytes(x) for x in found], pa.binary())], names=["sig", "hashes"])
-
-    ids = wanted.where("name is not null").select(F.col("name").alias("doc_id")).distinct()
-    picked = docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
-    if not wanted.where("name is null").isEmpty():
-        picked = picked.select("text").union(docs.where("doc_id is null").select("text"))
-    found = picked.select("text").mapInArrow(sets, "sig binary, hashes binary").dropDuplicates(["sig"])  # an identifier can have other texts, too
-    return materialize(found.join(wanted.select("rep", "sig"), "sig").select("rep", "hashes"), "sets")
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of the classes in ``wanted`` (rep, and name and mark of a row that has the set)."""
+    keys = wanted.select("rep", "name", F.col("mark").alias("of_text"))
+    marked = docs.select("doc_id", "text", _mark(F.col("text")).alias("mark"))
+    found = marked.join(F.broadcast(keys) if small_enough(keys, BROADCAST_IDS) else keys, F.col("doc_id").eqNullSafe(F.col("name")) & (F.col("mark") == F.col("of_text")))
+    return materialize(found.groupBy("rep").agg(F.first("text").alias("text")), "texts")  # rows can repeat identifier and text
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,7 +262,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     would yield a number of pairs that grows with the square of their length; these
     connect groups into canopies instead, whose distinct sets are compared block
     by block inside tasks that return a spanning forest of the links. The order of
-    shingles only moves work between both ways: no link is lost.
+    shingles only moves work between both ways: no link is lost. Candidates travel as texts,
+    which are smaller than their sets, and tasks make the sets that they compare.
 
     Sets hold 128-bit digests of shingles (see :mod:`.shingles` for what that leaves to chance). Returns one row per input row: doc_id,
     n_shingles (size of the set) and component_id, the smallest identifier reachable by
@@ -288,7 +286,8 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ship_package(docs.sparkSession)
     found = materialize(_prefixes(docs, _frequent(docs)), "prefixes")
     named = found.where("size > 0")
-    classes = named.groupBy("sig").agg(F.min("doc_id").alias("name"), F.first("size").alias("size"), F.first("grp").alias("grp"))
+    classes = named.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("k"), F.first("size").alias("size"), F.first("grp").alias("grp"))
+    classes = classes.select("sig", F.col("k.doc_id").alias("name"), F.col("k.mark").alias("mark"), "size", "grp")
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     member = classes.select("grp", "rep")
     pairs = (
@@ -299,12 +298,12 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     canopies = classes.join(_canopies(named, classes), "grp").select("rep", "size", "canopy")
     canopies = materialize(canopies, "canopies")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(canopies.select("rep")).distinct()
-    sets = _sets_of(docs, materialize(classes.join(compared, "rep").select("rep", "sig", "name"), "compared"))
+    texts = _texts_of(docs, materialize(classes.join(compared, "rep").select("rep", "name", "mark"), "compared"))
     verified = (
-        pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b").mapInArrow(_verify, "a long, b long")
+        pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").mapInArrow(_verify, "a long, b long")
     )
-    forest = _blocks(canopies).join(sets, "rep").groupBy("canopy", "b", "p", "q").applyInArrow(_within, "a long, b long")
+    forest = _blocks(canopies).join(texts, "rep").groupBy("canopy", "b", "p", "q").applyInArrow(_within, "a long, b long")
     linked = connected_components(verified.union(forest))
     linked = materialize(linked.join(classes.select(F.col("rep").alias("node"), "name"), "node"), "linked")
     least = linked.groupBy("component").agg(F.min("name").alias("least"))

@@ -125,11 +125,6 @@ def to_bytes(x: Set) -> bytes:
     return x[0].tobytes() + x[1].tobytes()
 
 
-def from_bytes(raw) -> Set:
-    both = np.frombuffer(raw, np.uint64)
-    return both[: len(both) // 2], both[len(both) // 2 :]
-
-
 def _sets(texts: pa.Array) -> Iterator[Set]:
     part = texts.cast(pa.large_string()).fill_null("")
     _, offs, data = part.buffers()
