@@ -9,7 +9,8 @@ from ..functions.geometry import band_sql
 from ..operators import anchors, extract, lines, matching, transforms
 from .queries import CONFIG, FIELDS_SQL, ONE, BEST_SQL, REGIONS, WORDS, _forms, _matching_sql, _pages, _regions, _templates, fields, query, read, words
 
-BOX = F.struct("x", "y", "w", "h")
+def _box():
+    return F.struct("x", "y", "w", "h")
 
 
 def _flat(df, keys: list[str], *boxes: str):
@@ -25,7 +26,7 @@ NEW = "500 + n % 3 * 700 AS nx, 900 + n % 4 * 300 AS ny, 50000 + k % 17 * 1000 A
 def rebase_fields(spark, sf):
     r = _regions(spark, sf).selectExpr("*", *[e.replace(" AS ", " as ") for e in (OLD + ", " + NEW).split(", ")])
     border = lambda p: F.struct(*[F.col(p + c).alias(c) for c in "xywh"])
-    return _flat(r.withColumn("b", g.rebased(BOX, border("o"), border("n"))), ["k", "n"], "b")
+    return _flat(r.withColumn("b", g.rebased(_box(), border("o"), border("n"))), ["k", "n"], "b")
 
 
 @query(f"""SELECT k, n, w > 0 AND h > 0 AND w::DOUBLE * h / 100000 / 100000 BETWEEN 0.15 AND 0.995 AS valid FROM (SELECT k, n, w * 2 - 20000 AS w, h * 3 - 30000 AS h FROM ({REGIONS}))""")
@@ -39,14 +40,14 @@ def border_valid(spark, sf):
     SELECT k, n, l AS "left", t AS top, greatest(l + 1, least(CAST(floor((x + w) * pw / 100000) AS BIGINT), pw)) AS "right", greatest(t + 1, least(CAST(floor((y + h) * ph / 100000) AS BIGINT), ph)) AS bottom FROM c""")
 def pixel_crops(spark, sf):
     r = _regions(spark, sf).selectExpr("k", "n", "2 * x - 20000 as x", "2 * y - 20000 as y", "w", "h", "90 + k % 40 as pw", "120 + n as ph")
-    return r.select("k", "n", g.pixel_crop(BOX, F.col("pw"), F.col("ph")).alias("c")).select("k", "n", "c.*")
+    return r.select("k", "n", g.pixel_crop(_box(), F.col("pw"), F.col("ph")).alias("c")).select("k", "n", "c.*")
 
 
 @query(f"""WITH r AS (SELECT k, n, x, y, CASE WHEN k % 5 = 0 THEN 0 ELSE w END AS w, h FROM ({REGIONS}))
     SELECT k, n, CASE WHEN w > 0 THEN greatest(0, x - (8 * w + 10) // 20) END AS cx, CASE WHEN w > 0 THEN greatest(0, y - (8 * h + 10) // 20) END AS cy, CASE WHEN w > 0 THEN least(100000, (36 * w + 10) // 20) END AS cw, CASE WHEN w > 0 THEN least(100000, (36 * h + 10) // 20) END AS ch FROM r""")
 def preview_crops(spark, sf):
     r = _regions(spark, sf).withColumn("w", F.when(F.col("k") % 5 == 0, 0).otherwise(F.col("w")))
-    return _flat(r.withColumn("c", g.preview_crop(BOX)), ["k", "n"], "c")
+    return _flat(r.withColumn("c", g.preview_crop(_box())), ["k", "n"], "c")
 
 
 @query(f"""WITH r AS (SELECT *, ['nw', 'ne', 'sw', 'se'][k % 4 + 1] AS c, (k * 37) % 110000 - 5000 AS px, (n * 13001) % 110000 - 5000 AS py FROM ({REGIONS})),
@@ -55,7 +56,7 @@ def preview_crops(spark, sf):
     SELECT k, n, dx, dy, dw, dh, least(100000, greatest(0, dx)) AS cx, least(100000, greatest(0, dy)) AS cy, least(100000, greatest(0, dw)) AS cw, least(100000, greatest(0, dh)) AS ch FROM d""")
 def dragged_boxes(spark, sf):
     corner = F.element_at(F.array(*[F.lit(c) for c in ("nw", "ne", "sw", "se")]), (F.col("k") % 4 + 1).cast("int"))
-    r = _regions(spark, sf).withColumn("d", g.dragged(BOX, corner, F.col("k") * 37 % 110_000 - 5000, F.col("n") * 13_001 % 110_000 - 5000))
+    r = _regions(spark, sf).withColumn("d", g.dragged(_box(), corner, F.col("k") * 37 % 110_000 - 5000, F.col("n") * 13_001 % 110_000 - 5000))
     return _flat(r.withColumn("c", g.clamped(F.col("d"))), ["k", "n"], "d", "c")
 
 
@@ -64,7 +65,7 @@ def dragged_boxes(spark, sf):
     SELECT k, n, CASE WHEN ok THEN greatest(0, CAST(floor((2 * x + w - aw + 1) / 2) AS BIGINT)) END AS ax, CASE WHEN ok THEN greatest(0, CAST(floor((2 * y + h - eh + 1) / 2) AS BIGINT)) END AS ay, CASE WHEN ok THEN aw END AS aw, CASE WHEN ok THEN eh END AS ah FROM a""")
 def accepted_regions(spark, sf):
     r = _regions(spark, sf).withColumn("ew", F.when(F.col("k") % 6 == 0, 0).otherwise(2000 + F.col("k") % 9 * 2000)).withColumn("eh", 3000 + F.col("n") * 1000)
-    return _flat(r.withColumn("a", g.accepted_region(BOX, F.col("ew"), F.col("eh"))), ["k", "n"], "a")
+    return _flat(r.withColumn("a", g.accepted_region(_box(), F.col("ew"), F.col("eh"))), ["k", "n"], "a")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_partkey % 4) * 90 - 90 AS ratio, (l_suppkey % 4) * 90 AS txt, l_quantity % 30 / 10 AS conf, CAST(l_partkey % 720 - 360 AS DOUBLE) AS a FROM lineitem)

@@ -38,6 +38,15 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert sorted_rows(got.columns, rows) == sorted_rows(names, want.fetchall())
 
 
+def test_entry_can_be_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=300)
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace as Some
 
