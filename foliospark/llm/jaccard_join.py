@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..cluster import ship_package
 from .common import broadcast, connected_components, materialize, small_enough
 from .shingles import Set, common, numbered, shingle_sets, to_bytes
+from .word_store import ranges
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -27,6 +28,8 @@ MOST_FREQUENT = 1 << 22
 ORDER_BITS = 27
 #: Shingles that a task counting frequencies holds at a time, and that a block of texts to verify has.
 COUNT_AT_ONCE, BLOCK = 1 << 20, 1 << 18
+#: A set with more candidates than MANY, as many of which are connected, is compared with FEW of these first.
+MANY, FEW = 64, 8
 #: Most classes (some 50 bytes each) that are broadcast to pick candidates out of the texts; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -190,7 +193,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def _within(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links in one pair of blocks."""
+    """A spanning forest of the links in one pair of blocks: sets that are connected already are not compared."""
     reps = table.column("rep").to_numpy()
     first = np.asarray(table.column("first").to_pylist(), bool)
     sets = [x for part in table.column("text").chunks for x in shingle_sets(part)]
@@ -206,22 +209,38 @@ def _within(table: pa.Table) -> pa.Table:
     by = owner[np.argsort(token, kind="stable")]
     begin = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(lists)))))
     cut = np.searchsorted(owner, np.arange(len(sets) + 1))
-    label, out = np.arange(len(sets)), []
-    for x in range(len(sets)):
-        t = token[cut[x] : cut[x + 1]]
-        lo, n = begin[t], begin[t + 1] - begin[t]
-        if not n.sum():
-            continue
-        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        inter = np.bincount(by[at], minlength=len(sets))
-        linked = 100 * inter >= PERCENT * (size[x] + size - inter)
-        linked &= (inter > 0) & (label != label[x])
-        if apart:
-            linked &= first != first[x]
-        for y in np.flatnonzero(linked):
+    label, out, mark = np.arange(len(sets)), [], np.zeros(len(lists), bool)
+
+    def others(x: int) -> np.ndarray:
+        """The sets that x isn't connected to and can be linked with."""
+        unlike = label != label[x]
+        return np.flatnonzero(unlike & (first != first[x])) if apart else np.flatnonzero(unlike)
+
+    def compare(x: int, ys: np.ndarray, t: np.ndarray) -> None:
+        """Connect x, whose shingles t are marked, to those of ys that it links with."""
+        own, postings = cut[ys + 1] - cut[ys], begin[t + 1] - begin[t]
+        if own.sum() <= postings.sum():
+            inter = np.bincount(np.repeat(np.arange(len(ys)), own), weights=mark[token[ranges(cut[ys], own)]], minlength=len(ys)).astype(np.int64)
+        else:
+            inter = np.bincount(by[ranges(begin[t], postings)], minlength=len(sets))[ys]
+        for y in ys[(inter > 0) & (100 * inter >= PERCENT * (size[x] + size[ys] - inter))].tolist():
             if label[y] != label[x]:
                 out.append((int(reps[x]), int(reps[y])))
                 label[label == label[y]] = label[x]
+
+    for x in range(len(sets)):
+        t, ys = token[cut[x] : cut[x + 1]], others(x)
+        if not len(t) or not len(ys):
+            continue
+        mark[t] = True
+        if len(ys) > MANY:  # near copies of one another are connected by now: a few of the largest component say whether x is one of them
+            joined = np.bincount(label[ys], minlength=len(sets))
+            if joined.max() > MANY:
+                compare(x, ys[label[ys] == joined.argmax()][:FEW], t)
+                ys = others(x)
+        if len(ys):
+            compare(x, ys, t)
+        mark[t] = False
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
