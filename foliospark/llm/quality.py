@@ -12,70 +12,67 @@ from pyspark.sql import functions as F
 
 from .common import broadcast, is_held_out
 
-#: Labelled documents of each class that build its dictionary, and as many more that calibrate the score.
+#: Labelled documents of each class in either half; each half builds dictionaries that the other half is measured with.
 FIT_ROWS = 1500
 #: Longer documents are not used to fit, so at most 2 * FIT_ROWS * FIT_BYTES (98 MB) of a class go to the driver; every document is scored whole.
 FIT_BYTES = 1 << 15
-DICTIONARY_BYTES = 1 << 15
+DICTIONARY_BYTES = 112_640
 LEVEL = 3
 #: A text is compressed in pieces of so many bytes, so that the dictionary counts all along a long text.
-PIECE = 768
+PIECE = 512
 THRESHOLD = 0.3
 #: The score when a class has no labelled example.
 UNKNOWN = 0.5
 
 
 class CompressionClassifier:
-    """Two dictionaries, and the curve that turns the difference of compressed sizes into a score.
+    """Pairs of dictionaries, and the curve that turns the difference of compressed sizes into a score.
 
-    The difference is normalised by the text's length: bytes saved a byte. It alone decides. A logistic curve, which
-    rises with it, is fitted to the half of the labelled texts that built no dictionary. Texts without
+    The difference is normalised by the text's length: bytes saved a byte. It alone decides. Labelled texts are
+    dealt into halves, each of which builds a dictionary of good and one of bad texts, and is measured with the other half's. The
+    curve is the isotonic regression of the labels on these differences: it rises with the difference, which for other texts is the mean over both pairs of dictionaries. Texts without
     any difference, most of them too short to be compressed, have the share of good ones among such texts.
     """
 
     def __init__(self, good: list[bytes], bad: list[bytes]):
-        half = [(texts[::2], texts[1::2] or texts) for texts in (good, bad)]
         self.fitted = bool(good and bad)
         if not self.fitted:
             return
-        self.dictionaries = [_dictionary(texts) for texts, _ in half]
-        x = np.array([self.difference(t) for _, texts in half for t in texts])
-        y = np.repeat([1.0, 0.0], [len(texts) for _, texts in half])
+        halves = [(good[::2], bad[::2]), (good[1::2] or good, bad[1::2] or bad)]
+        self.dictionaries = [[_dictionary(texts) for texts in half] for half in halves]
+        x = np.array([self.differences(t)[1 - k] for k, half in enumerate(halves) for texts in half for t in texts])
+        y = np.concatenate([np.repeat([1.0, 0.0], [len(g), len(b)]) for g, b in halves])
         some = x != 0
-        self.mean, self.scale = (x[some].mean(), x[some].std() + 1e-9) if some.any() else (0.0, 1.0)
-        self.weights = _logistic(((x[some] - self.mean) / self.scale)[:, None], y[some])
         self.even = (y[~some].sum() + 2 * y.mean()) / ((~some).sum() + 2)  # two examples at the share of all, should there be none
+        self.at, self.share = _isotonic(x[some], y[some]) if some.any() else (np.zeros(1), np.full(1, y.mean()))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_compressors"}
 
-    def sizes(self, text) -> tuple[int, int]:
-        """The compressed size of the whole text with either dictionary."""
+    def differences(self, text) -> list[float]:
+        """For each pair of dictionaries how many bytes less that of good texts takes, for each byte of the text."""
         if "_compressors" not in self.__dict__:
-            self._compressors = []
-            for d in self.dictionaries:
-                z = zstandard.ZstdCompressionDict(d)
-                z.precompute_compress(level=LEVEL)
-                self._compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_content_size=False, write_checksum=False, write_dict_id=False))
-        good, bad = self._compressors
-        view, g, b = memoryview(text), 0, 0
-        for i in range(0, max(1, len(view)), PIECE):
-            piece = view[i : i + PIECE]
-            g += len(good.compress(piece))
-            b += len(bad.compress(piece))
-        return g, b
-
-    def difference(self, text) -> float:
-        """How many bytes less the dictionary of good texts takes, for each byte of the text."""
-        g, b = self.sizes(text)
-        return (b - g) / max(1, len(text))
+            self._compressors = [[_compressor(d) for d in pair] for pair in self.dictionaries]
+        view, out = memoryview(text), []
+        for good, bad in self._compressors:
+            saved = 0
+            for i in range(0, len(view), PIECE):
+                piece = view[i : i + PIECE]
+                saved += len(bad.compress(piece)) - len(good.compress(piece))
+            out.append(saved / max(1, len(view)))
+        return out
 
     def scores(self, texts: list) -> np.ndarray:
         if not self.fitted:
             return np.full(len(texts), UNKNOWN)
-        x = np.array([self.difference(t) for t in texts], float)
-        z = self.weights[0] + self.weights[1] * (x - self.mean) / self.scale
-        return np.where(x == 0, self.even, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        x = np.array([sum(self.differences(t)) / 2 for t in texts], float)
+        return np.where(x == 0, self.even, np.interp(x, self.at, self.share))
+
+
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    z = zstandard.ZstdCompressionDict(dictionary)
+    z.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -86,21 +83,17 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:].rjust(8, b" ")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Maximum likelihood with a small ridge, by damped Newton steps."""
-    a, ridge = np.column_stack([np.ones(len(x)), x]), 0.1
-    w = np.zeros(a.shape[1])
-    loss = lambda w: np.logaddexp(0, np.where(y == 1, -1, 1) * (a @ w)).sum() + ridge / 2 * w @ w
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
-        size = 1.0
-        while size > 1e-4 and loss(w + size * step) > loss(w):
-            size /= 2
-        w = w + size * step
-        if np.abs(size * step).max() < 1e-6:
-            break
-    return w
+def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the rising curve of shares of ones, by pooling neighbours that fall; each pool counts half a one and half a zero more, so that no share is 0 or 1."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []  # sum of x, ones, size
+    for a, b in zip(x[order].tolist(), y[order].tolist()):
+        pools.append([a, b, 1.0])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], last)]
+    at, ones, size = np.array(pools).T
+    return at / size, np.maximum.accumulate((ones + 0.5) / (size + 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionClassifier:
