@@ -1,14 +1,12 @@
-"""Helpers shared by the operators: tables, shared storage, connected components."""
+"""Helpers shared by the operators: tables, bounded batches, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
+from ..storage import materialize, scratch, shared_dir, small_enough  # noqa: F401
 
 #: White space of the contracts: space and U+0009 to U+000D.
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -30,36 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, notebooks on one machine) a temporary
-    folder is made once and put into the setting.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="folio-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/folio/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage in a way that outlives lost executors, and gives the
-    optimiser the true size of the result.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def is_held_out(doc_id: Column) -> Column:
     """Whether ``crc32`` of the identifier as text leaves 0 modulo 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -72,11 +40,6 @@ def broadcast(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 #: A node with more edges than this, and than one in MOST_HUBS of all ends of edges, has its edges spread over tasks.
 HUB_EDGES, MOST_HUBS = 1000, 100_000
 
