@@ -5,7 +5,6 @@ import gzip
 import hashlib
 import html.parser
 import json
-import math
 import random
 import re
 import time
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from foliospark.llm import common, embedding_dedup, exact_dedup, jaccard_join, language, packing, quality, queries, token_files, tool_calls, warc, word_store
 from foliospark.llm.byte_bpe import ByteBPE, codec, decode, encode, round_trip_digests
 from foliospark.llm.common import connected_components, scratch
-from foliospark.llm.shingles import _ascending, common as shared, from_bytes, numbered, shingle_sets, to_bytes
+from foliospark.llm.shingles import _ascending, common as shared, numbered, shingle_sets
 from foliospark.llm.word_tokens import WordEncoder, default_path, encoder
 
 WORDS, BYTES = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
@@ -154,6 +153,9 @@ def test_levels_of_chains_branches_and_cycles(spark):
     uses[0, "c3"] = {"c5"}  # c3 to c5 are a cycle or hang on one where they use each other
     uses[1, "c7"] = {"c7"}
     uses[2, "c9"] = {"c9", "c1", "gone"}
+    for i in range(4, 40):  # the last few of a chain
+        uses[3, f"c{i}"] = {f"c{i - 1}", f"c{i - 2}", f"c{i - 4}"}
+    uses[4, "c20"], uses[4, "c21"], uses[4, "c22"], uses[4, "c30"] = {"c21"}, {"c22"}, {"c20"}, {"c20", "c21", "c22"}  # behind a cycle
     want: dict = {}
     for _ in range(200):
         for (conv, call), used in uses.items():
@@ -281,6 +283,19 @@ def labelled(spark, n=240):
     return data, spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, _ in data] + [(None, 1, 0), (1, None, 0), (99999, 0, 0)], "doc_id long, quality int, toxic int")
 
 
+def test_isotonic_curve():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal(300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    at, share = quality._isotonic(x, y)
+    assert (np.diff(at) > 0).all() and (np.diff(share) >= 0).all() and 0 < share[0] and share[-1] < 1
+    order = np.argsort(x)
+    low = [max(min(y[order][i : j + 1].mean() for j in range(k, 300)) for i in range(k + 1)) for k in range(300)]  # the least-squares rising fit, by its definition
+    own = np.interp(x[order], at, share)
+    assert np.abs(own - np.array(low)).max() < 0.5 and np.abs(own - np.array(low)).mean() < 0.06
+    assert [a.tolist() for a in quality._isotonic(np.array([1.0]), np.array([1.0]))] == [[1.0], [0.75]]
+
+
 def test_quality_held_out(spark):
     data, labels = labelled(spark)
     df = docs(spark, data)
@@ -313,13 +328,21 @@ def test_quality_scores_by_a_plain_loop(spark, sf):
     seen = []
     for r in df.collect():
         raw = (r.text or "").encode()
-        size = [0, 0]
-        for k in (0, 1):
-            for i in range(0, len(raw), 768):
-                one = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model.dictionaries[k]), write_content_size=False, write_checksum=False, write_dict_id=False)
-                size[k] += len(one.compress(raw[i : i + 768]))
-        d = (size[1] - size[0]) / max(1, len(raw))
-        score = model.even if d == 0 else 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * (d - model.mean) / model.scale)))
+        saved = [0, 0]
+        for half in (0, 1):
+            for sign, d in zip((-1, 1), model.dictionaries[half]):
+                for i in range(0, len(raw), 512):
+                    one = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+                    saved[half] += sign * len(one.compress(raw[i : i + 512]))
+        d = sum(x / max(1, len(raw)) for x in saved) / 2
+        right = next((k for k, at in enumerate(model.at) if at >= d), len(model.at))
+        if d == 0:
+            score = model.even
+        elif right in (0, len(model.at)):
+            score = model.share[min(right, len(model.at) - 1)]
+        else:
+            (x0, x1), (y0, y1) = model.at[right - 1 : right + 1], model.share[right - 1 : right + 1]
+            score = y0 + (y1 - y0) * (d - x0) / (x1 - x0)
         assert abs(got[r.doc_id]["score"] - score) < 1e-12 and got[r.doc_id]["predicted"] == (score >= 0.3)
         seen.append((d, score))
     seen = sorted(x for x in seen if x[0])
@@ -669,7 +692,7 @@ def test_digests_that_agree_in_one_half():
     number = numbered(*(np.concatenate([a, b]) for a, b in zip(x, y)))
     assert number[0] == number[4] and number[2] == number[5] and len(set(number.tolist())) == 5
     up = _ascending(np.array([9, 5, 5, 5, 1], np.uint64), np.array([7, 4, 3, 4, 2], np.uint64))
-    assert [h.tolist() for h in up] == [h.tolist() for h in x] and [h.tolist() for h in from_bytes(to_bytes(x))] == [h.tolist() for h in x]
+    assert [h.tolist() for h in up] == [h.tolist() for h in x]
 
 
 def thue_morse():
@@ -716,6 +739,32 @@ def test_documents_of_equal_polynomial_hash(spark):
     check_packing(data, rows(packing.pack(packing.pieces(df, WORDS))))
 
 
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("edits", [1, 3, 8])
+def test_blocks_brute_force(monkeypatch, apart, edits):
+    """The components of a pair of blocks of near copies, however few sets each one is compared with."""
+    import pyarrow as pa
+
+    rng, texts = random.Random(edits), []
+    for _ in range(6):
+        base = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for _ in range(rng.randint(1, 40)):
+            copy = list(base)
+            for _ in range(rng.randint(0, edits)):
+                copy[rng.randrange(60)] = f"e{rng.randrange(200)}"
+            texts.append(" ".join(copy))
+    reps, first = rng.sample(range(1000), len(texts)), [rng.random() < 0.5 for _ in texts]
+    table = pa.table({"rep": pa.array(reps, pa.int64()), "first": pa.array(first), "b": [1 if apart else 2] * len(texts), "p": [0] * len(texts), "q": [1 if apart else 0] * len(texts), "text": texts})
+    sets = [shingles(t) for t in texts]
+    links = [(reps[i], reps[j]) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and not (apart and first[i] == first[j])]
+    for many, few in ((64, 8), (3, 1), (0, 2)):
+        monkeypatch.setattr(jaccard_join, "MANY", many)
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        got = jaccard_join._within(table).to_pydict()
+        assert set(zip(got["a"], got["b"])) <= {p for a, b in links for p in ((a, b), (b, a))}
+        assert components(reps, zip(got["a"], got["b"])) == components(reps, links)
+
+
 @pytest.mark.parametrize("block", [1 << 18, 2000])
 def test_jaccard_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
