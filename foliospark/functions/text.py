@@ -122,6 +122,8 @@ def is_prose(value: Column) -> Column:
 
 
 def label_kind(word: Column) -> Column:
-    """The kind of field that a normalised label stands for, or null."""
-    table = F.create_map(*[F.lit(x) for pair in KEYWORDS.items() for x in pair])
-    return table[word]
+    """The kind of field that a normalised label stands for, or null: a look-up in a set for each kind."""
+    kinds: dict[str, list[str]] = {}
+    for label, kind in KEYWORDS.items():
+        kinds.setdefault(kind, []).append(label)
+    return F.coalesce(*[F.when(word.isin(labels), F.lit(kind)) for kind, labels in kinds.items()])

@@ -438,10 +438,13 @@ def text_anchor(spark, sf):
     return anchors.find_text_anchors(w, item).withColumn("box", F.to_json("box"))
 
 
-@query()
+@query("""WITH f AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%d/%m/%Y') AS d, CAST(o_orderkey % 997 AS VARCHAR) AS t, CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+    u AS (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS line, unnest([d, 'Total: ' || t || ' €', 'pedido: ' || k, 'de entrega ' || s, s || ' ' || p]) AS value, unnest([1, 1, 1, 1, 2]) AS a, unnest([1, 2, 2, 3, 3]) AS b, unnest([d, t, k, s, p]) AS last FROM f)
+    SELECT doc_id, CAST(0 AS BIGINT) AS page, value, 1.0::DOUBLE AS score, 2000 + 8000 * a AS x, 3000 + 3000 * line AS y, 8000 * (b - a) + 600 * length(last) AS w, 1500 AS h FROM u""")
 def value_window(spark, sf):
+    """Values of forms stand where they were read from; words without a letter or digit at their ends belong to no window."""
     wanted = label_values(spark, sf).select("doc_id", "page", F.col("sample_text").alias("value"))
-    return anchors.find_values(_forms(spark, sf), wanted).withColumn("box", F.to_json("box"))
+    return anchors.find_values(_forms(spark, sf), wanted).select("doc_id", "page", "value", "score", "box.x", "box.y", "box.w", "box.h")
 
 
 @query("""WITH p AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 1000 AS DOUBLE) AS sx, CAST(l_suppkey % 1000 AS DOUBLE) AS sy, l_partkey % 1000 * 1.5::DOUBLE + 10 + l_linenumber % 3 AS tx, l_suppkey % 1000 * 1.5::DOUBLE - 20 AS ty FROM lineitem),
