@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .common import BLANK, materialize
 
 #: A text on more rows than this, and than one in MOST_HOT of all rows, is hot: its rows are spread over runs of about that size.
-HOT_ROWS, MOST_HOT = 1000, 100_000
+HOT_ROWS, MOST_HOT = 256, 100_000
 #: Characters of the text that splitters carry; the digest and the full text decide behind them.
 PREFIX = 32
 
