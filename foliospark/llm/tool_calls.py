@@ -93,12 +93,13 @@ def _levels(calls: DataFrame) -> DataFrame:
 
     Chains of calls that use one other each are followed by doubling: each round a call points
     as far again as it did, so a chain of n calls takes log2(n) rounds. Calls that
-    use several others get their level once all of those have one, a round for each such call in a row.
+    use several others get their level once all of those have one, a round for each such call in a row; but what one of
+    these uses itself counts for nothing beside it (see :func:`_needed`), so a call that uses the last few of a chain is one of the chain.
     """
     key = ["conv_id", "call_id"]
     known = calls.select(*key)
     uses = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("used")).join(known.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi")
-    uses = materialize(uses.select(*key, "used"), "uses")
+    uses = materialize(_needed(materialize(uses.select(*key, "used"), "uses")), "needed")
     users = materialize(uses.groupBy(*key).agg(F.min("used").alias("to"), F.count("*").alias("n")), "users")
     # n_to: how many calls the call pointed at uses itself; at 1 the way goes on
     way = users.where("n = 1").join(users.select("conv_id", F.col("call_id").alias("to"), F.col("n").alias("n_to")), ["conv_id", "to"], "left")
@@ -127,6 +128,25 @@ def _levels(calls: DataFrame) -> DataFrame:
     return levels.union(way.where("n_to = 0").select(*key, F.col("steps").alias("level"))).union(behind)
 
 
+#: Calls that use at most so many others are freed of those that one of the others uses.
+FEW = 16
+
+
+def _needed(uses: DataFrame) -> DataFrame:
+    """Uses (conv_id, call_id, used) without those that change no level: of a call that uses a and b, where a uses b, b.
+
+    Calls all of whose uses would go, as can be on a cycle, keep them all.
+    """
+    key = ["conv_id", "call_id"]
+    n = uses.groupBy(*key).agg(F.count("*").alias("n"))
+    several = uses.join(n.where(f"n between 2 and {FEW}"), key)
+    few = uses.join(n.where(f"n <= {FEW}"), key, "left_semi").select("conv_id", F.col("call_id").alias("used"), F.col("used").alias("further"))
+    implied = several.join(few, ["conv_id", "used"]).where("used <> further").select(*key, F.col("further").alias("used")).distinct()
+    idle = several.join(implied, [*key, "used"], "left_semi")
+    all_idle = idle.groupBy(*key).agg(F.count("*").alias("idle"), F.first("n").alias("n")).where("idle = n").select(*key)
+    return uses.join(idle.join(all_idle, key, "left_anti").select(*key, "used"), [*key, "used"], "left_anti").select(*key, "used")
+
+
 #: Tools of the calls that :func:`calls_in` reads out of conversations.
 TOOLS = [
     ("lookup", [("limit", "integer", False, 1.0, 50.0), ("query", "string", True, 1.0, None), ("options", "object", False, None, None)]),
