@@ -24,18 +24,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/folio/{uuid.uuid4().hex}/{name}"
+    """A fresh path in the application's part of the shared folder."""
+    return f"{_own_part(spark)}/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def _own_part(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/folio/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark knows; nothing happens if it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application put into the shared folder.
+
+    Results of operators are read from there when they are computed, so call this once they have been written.
+    """
+    delete(spark, _own_part(spark))
+
+
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, or to ``path``, and read it back.
 
     This cuts the lineage in a way that outlives lost executors, and gives the
     optimiser the true size of the result.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or scratch(df.sparkSession, name)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
