@@ -78,9 +78,59 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit(docs))
 
 
-QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_warc_derivatives": op5_warc_derivatives, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_kdtree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_warc_derivatives": op5_warc_derivatives, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join, "op12_vector_codes": op12_vector_codes, "op13_kdtree_clusters": op13_kdtree_clusters}
+
+_INTEGER = """SELECT *, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_FAR = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Each round as a table of its own: entries by part, and the nearest of each vector's parts."""
+    ctes = [
+        f"k AS ({_INTEGER})",
+        f"p AS (SELECT vec_id, label, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS v FROM k, range({parts}) t(part))",
+        f"b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < {entries})",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS (SELECT a.vec_id, a.part, any_value(a.label) AS label, any_value(a.v) AS v, min({{'far': {_FAR}, 'entry': b.entry}}) AS near FROM p a JOIN b{r} b ON a.part = b.part GROUP BY a.vec_id, a.part)")
+        if r < rounds:
+            ctes.append(f"m{r} AS (SELECT part, entry, list(mean ORDER BY place) AS v FROM (SELECT part, near.entry AS entry, place, CAST(floor(sum(v[place]) / count(*)) AS BIGINT) AS mean FROM a{r}, range(1, len(v) + 1) t(place) GROUP BY ALL) GROUP BY ALL)")
+            ctes.append(f"b{r + 1} AS (SELECT b.part, b.entry, coalesce(m{r}.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} USING (part, entry))")
+    ctes += [
+        f"s AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})",
+        f"e AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', near.entry), '' ORDER BY part) AS code, CAST(sum(near.far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, s"
+
+
+def _clusters_sql(centroids: int = 40, rounds: int = 5) -> str:
+    ctes = [f"p AS (SELECT vec_id, v FROM ({_INTEGER}) WHERE len(v) = 64)", f"b0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM p QUALIFY c < {centroids})"]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS (SELECT a.vec_id, any_value(a.v) AS v, min({{'far': {_FAR}, 'c': b.c}}) AS near FROM p a, b{r} b GROUP BY a.vec_id)")
+        if r < rounds:
+            ctes.append(f"m{r} AS (SELECT c, list(mean ORDER BY place) AS v FROM (SELECT near.c AS c, place, CAST(floor(sum(v[place]) / count(*)) AS BIGINT) AS mean FROM a{r}, range(1, 65) t(place) GROUP BY ALL) GROUP BY ALL)")
+            ctes.append(f"b{r + 1} AS (SELECT b.c, coalesce(m{r}.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} USING (c))")
+    return f"""WITH {', '.join(ctes)}
+        SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, CAST(near.far AS BIGINT) AS distance, CAST(sum(near.far) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(near.far) OVER () AS BIGINT) AS inertia, sha256(array_to_string(b.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN b{rounds} b ON b.c = a.near.c"""
+
 
 SQL = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_kdtree_clusters": _clusters_sql(),
     "op1_tool_calls": """
         WITH RECURSIVE c AS (
             SELECT conv_id, turn, min(text) AS text, min(length(coalesce(text, ''))) AS n, ['lookup', 'search', 'translate'][turn % 3 + 1] AS name
