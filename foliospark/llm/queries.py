@@ -78,6 +78,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit(docs))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.fit(pages))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import vector_codes
 
@@ -90,7 +97,7 @@ def op13_kdtree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_warc_derivatives": op5_warc_derivatives, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join, "op12_vector_codes": op12_vector_codes, "op13_kdtree_clusters": op13_kdtree_clusters}
+QUERIES = {"op1_tool_calls": op1_tool_calls, "op2_exact_dedup": op2_exact_dedup, "op3_embedding_dedup": op3_embedding_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_warc_derivatives": op5_warc_derivatives, "op6_byte_bpe": op6_byte_bpe, "op7_token_files": op7_token_files, "op8_language_id": op8_language_id, "op9_pattern_packing": op9_pattern_packing, "op10_jaccard_join": op10_jaccard_join, "op11_html_text": op11_html_text, "op12_vector_codes": op12_vector_codes, "op13_kdtree_clusters": op13_kdtree_clusters}
 
 _INTEGER = """SELECT *, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
@@ -128,7 +135,18 @@ def _clusters_sql(centroids: int = 40, rounds: int = 5) -> str:
             CAST(sum(near.far) OVER () AS BIGINT) AS inertia, sha256(array_to_string(b.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN b{rounds} b ON b.c = a.near.c"""
 
 
+#: The article that these pages mark, block by block.
+_TEXT = """
+        WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') AS raw FROM pages),
+        b AS (SELECT page_id, url, unnest(raw) AS t, generate_subscripts(raw, 1) AS n FROM a),
+        c AS (SELECT page_id, url, n, regexp_replace(replace(t, '<br>', ' '), '<[^>]*>', '', 'g') AS t FROM b),
+        d AS (SELECT page_id, url, n, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM c),
+        e AS (SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY n) FILTER (WHERE t <> ''), '') AS text FROM d GROUP BY page_id, url)
+        SELECT page_id, url, text, length(text) AS n_chars FROM e
+    """
+
 SQL = {
+    "op11_html_text": _TEXT,
     "op12_vector_codes": _codes_sql(),
     "op13_kdtree_clusters": _clusters_sql(),
     "op1_tool_calls": """
