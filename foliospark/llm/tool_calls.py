@@ -11,6 +11,15 @@ from .common import materialize
 SCHEMA = "name string, fields array<struct<field:string,kind:string,required:boolean,low:double,high:double>>"
 
 
+#: Whether there are numbers that no JSON value of Spark holds: of more digits than a decimal, or beyond all doubles; strings are taken out first, escaped quotes before them.
+_BARE = r"""regexp_replace(replace(replace(arguments, r'\\', ''), r'\"', ''), '"[^"]*"', '')"""
+_BEYOND = rf"""(rlike(arguments, '[0-9]{{39}}|[eE][+]?[0-9]{{3}}|[0-9]{{30}}[0-9.]*[eE]') and exists(regexp_extract_all({_BARE}, '-?[0-9][-+.0-9eE]*', 0),
+    t -> if(t rlike '[.eE]', abs(try_cast(t as double)) = double('Infinity'), char_length(replace(t, '-', '')) > 38)))"""
+#: The arguments as one JSON value, or null. Spark's parser stops behind the first value, so the text is read in brackets and in braces: if more follows, one of these breaks.
+SINGLE = f"""case when try_variant_get(try_parse_json('{{"v":' || arguments || '}}'), '$', 'map<string,variant>') is not null
+    and size(try_variant_get(try_parse_json('[' || arguments || ']'), '$', 'array<variant>')) = 1 then try_variant_get(try_parse_json('[' || arguments || ']'), '$[0]', 'variant') end"""
+
+
 def _problems() -> F.Column:
     """What is wrong with the arguments (a: a map of variants, null if they are no JSON object) of a tool with these fields."""
     kind, value = "schema_of_variant(element_at(a, f.field))", "element_at(a, f.field)"
@@ -33,7 +42,7 @@ def canonical_numbers(json: str) -> str:
     """JSON text in which equal numbers are written alike, as an expression over a column of JSON without white space.
 
     A number with a fraction or an exponent is read as a double: a whole one below 2^53 is written without either, any
-    other in the shortest form of doubles. Numbers of digits only stay. Strings are told apart
+    other in the shortest form of doubles. Numbers of digits only, of which there are 38 at most, stay. Strings are told apart
     by their quotes, once escaped ones are hidden behind control characters, which JSON text never holds.
     """
     backslash, quote = r"r'\\'", r"r'\"'"  # as they stand escaped in JSON text
@@ -62,21 +71,22 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     link with nothing and are left out. Of calls with one identifier the one of the
     earliest turn counts, then the smallest arguments; of its results likewise. Calls used that don't exist
     are ignored. Arguments are read as JSON values of their own types: "5" is no integer, 7 no string, and 5.0 an integer.
-    A field that is null counts as absent. Arguments that are null, no JSON object, or that repeat a key are invalid and
-    serialised as null. Numbers are written as :func:`canonical_numbers` says, so 1, 1.0 and 1e0 all become 1. Other
+    A field that is null counts as absent. Arguments that are null, no JSON object or more than one value, or that repeat a key are invalid ("no object") and serialised as null. So are those with an
+    integer of more than 38 digits or a number beyond all doubles, anywhere in them ("number out of range", if nothing else is wrong). An escape of half a surrogate pair is read as ``?``. Numbers are written as :func:`canonical_numbers` says, so 1, 1.0 and 1e0 all become 1. Other
     columns are not read; empty tables give an empty result.
     """
     key = ["conv_id", "call_id"]
     calls = calls.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "arguments", "name", F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on"))).alias("c")).select(*key, "c.*")
     calls = materialize(calls, "calls")
     answers = results.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"))
-    level = _levels(calls.select(*key, "depends_on"))
+    level = _levels(calls.select(*key, "turn", "depends_on"))
     linked = calls.join(answers.hint("shuffle_hash"), key, "left").join(level, key, "left").join(F.broadcast(schemas.select(F.col("name").alias("tool"), "fields")), F.col("name") == F.col("tool"), "left")
-    checked = linked.withColumn("parsed", F.try_parse_json("arguments")).withColumn("a", F.expr("try_variant_get(parsed, '$', 'map<string,variant>')")).withColumn("errors", _problems())
+    checked = linked.withColumn("parsed", F.expr(SINGLE)).withColumn("a", F.expr("try_variant_get(parsed, '$', 'map<string,variant>')")).withColumn("errors", _problems()).withColumn("beyond", F.coalesce(F.expr(_BEYOND), F.lit(False)))
+    checked = checked.withColumn("errors", F.when(F.col("beyond") & (F.size("errors") == 0), F.array(F.lit("number out of range"))).otherwise(F.col("errors")))
     checked = checked.withColumn("valid", F.size("errors") == 0)
     line = F.to_json(
         F.struct(
-            F.when(F.col("a").isNotNull(), F.expr("try_parse_json(" + canonical_numbers("to_json(parsed)") + ")")).alias("arguments"),
+            F.when(F.col("a").isNotNull() & ~F.col("beyond"), F.expr("try_parse_json(" + canonical_numbers("to_json(parsed)") + ")")).alias("arguments"),
             "depends_on", "errors",
             F.col("call_id").alias("id"),
             "name",
@@ -98,8 +108,10 @@ def _levels(calls: DataFrame) -> DataFrame:
     """
     key = ["conv_id", "call_id"]
     known = calls.select(*key)
-    uses = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("used")).join(known.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi")
-    uses = materialize(_needed(materialize(uses.select(*key, "used"), "uses")), "needed")
+    turn = F.col("turn") if "turn" in calls.columns else F.lit(None).cast("long")
+    of_used = calls.select("conv_id", F.col("call_id").alias("used"), F.struct(turn.alias("turn"), F.char_length("call_id").alias("n"), "call_id").alias("place"))
+    uses = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("used")).join(of_used, ["conv_id", "used"])
+    uses = materialize(_needed(materialize(uses.select(*key, "used", "place"), "uses")), "needed")
     users = materialize(uses.groupBy(*key).agg(F.min("used").alias("to"), F.count("*").alias("n")), "users")
     # n_to: how many calls the call pointed at uses itself; at 1 the way goes on
     way = users.where("n = 1").join(users.select("conv_id", F.col("call_id").alias("to"), F.col("n").alias("n_to")), ["conv_id", "to"], "left")
@@ -133,18 +145,17 @@ FEW = 16
 
 
 def _needed(uses: DataFrame) -> DataFrame:
-    """Uses (conv_id, call_id, used) without those that change no level: of a call that uses a and b, where a uses b, b.
+    """Uses (conv_id, call_id, used, place: of the call used) without those that change no level: of a call that uses a and b, where a uses b and stands behind it, b.
 
-    Calls all of whose uses would go, as can be on a cycle, keep them all.
+    What goes is implied by a call farther behind, that perhaps by another one, but places only rise on that way, so it ends at
+    one that stays, on cycles too: who uses a cycle goes on using it.
     """
     key = ["conv_id", "call_id"]
     n = uses.groupBy(*key).agg(F.count("*").alias("n"))
-    several = uses.join(n.where(f"n between 2 and {FEW}"), key)
-    few = uses.join(n.where(f"n <= {FEW}"), key, "left_semi").select("conv_id", F.col("call_id").alias("used"), F.col("used").alias("further"))
-    implied = several.join(few, ["conv_id", "used"]).where("used <> further").select(*key, F.col("further").alias("used")).distinct()
-    idle = several.join(implied, [*key, "used"], "left_semi")
-    all_idle = idle.groupBy(*key).agg(F.count("*").alias("idle"), F.first("n").alias("n")).where("idle = n").select(*key)
-    return uses.join(idle.join(all_idle, key, "left_anti").select(*key, "used"), [*key, "used"], "left_anti").select(*key, "used")
+    several = uses.join(n.where(f"n between 2 and {FEW}").select(*key), key, "left_semi")
+    few = uses.join(n.where(f"n <= {FEW}"), key, "left_semi").select("conv_id", F.col("call_id").alias("used"), F.col("used").alias("further"), F.col("place").alias("further_place"))
+    implied = several.join(few, ["conv_id", "used"]).where("place > further_place").select(*key, F.col("further").alias("used")).distinct()
+    return uses.join(several.join(implied, [*key, "used"], "left_semi").select(*key, "used"), [*key, "used"], "left_anti").select(*key, "used")
 
 
 #: Tools of the calls that :func:`calls_in` reads out of conversations.

@@ -167,6 +167,49 @@ def test_levels_of_chains_branches_and_cycles(spark):
     assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
 
 
+def test_levels_beside_and_behind_cycles(spark):
+    rng, uses, rows_ = random.Random(4), {}, []
+    for conv in range(500):
+        n = rng.randrange(2, 30)
+        for i in range(n):
+            used = set(rng.sample(range(n), rng.choice((0, 1, 1, 2, 3, 4)) if n > 4 else rng.randrange(2)))
+            if rng.random() < 0.8:  # mostly earlier ones
+                used = {u for u in used if u < i}
+            uses[conv, f"c{i}"] = {f"c{u}" for u in used} | ({"gone"} if rng.random() < 0.05 else set())
+            rows_.append((conv, f"c{i}", i // 2 if conv % 2 else None, sorted(uses[conv, f"c{i}"])))
+    for conv, graph in ((1000, {"a": "bcd", "b": "c", "c": "b", "d": ""}), (1001, {"a": "bcde", "b": "c", "c": "d", "d": "b", "e": ""}), (1002, {"a": "ab", "b": ""})):
+        for call, used in graph.items():
+            uses[conv, call] = set(used)
+            rows_.append((conv, call, 1, list(used)))
+    want: dict = {}
+    waiting = dict(uses)
+    while waiting:
+        ready = {k: max((want[k[0], u] + 1 for u in used if (k[0], u) in uses), default=0) for k, used in waiting.items() if all((k[0], u) in want or (k[0], u) not in uses for u in used)}
+        if not ready:
+            break
+        want |= ready
+        waiting = {k: u for k, u in waiting.items() if k not in ready}
+    assert len(rows_) > 5000 and waiting and len(want) > 1000
+    got = rows(tool_calls._levels(spark.createDataFrame(rows_, "conv_id long, call_id string, turn int, depends_on array<string>")))
+    assert len(got) == len(want) and {(r["conv_id"], r["call_id"]): r["level"] for r in got} == want
+
+
+def test_arguments_are_one_value(spark):
+    big = "1" * 39
+    beyond = [f'{{"n":{big}}}', f'{{"n":[-{big}]}}', '{"n":1e400}', '{"n":-1E+309}', '{"n":' + "9" * 310 + ".0}", f'{{"v":{{"x":{big}}}}}', f'{{"o":{{"x":{big}}}}}']
+    none = ['{"n":3}{"n":4}', '{"n":3} x', '{"n":3}]', '{"n":3}}', '{"n":3},{"n":4}', '{"n":3}],[{"n":4}', '{"n":3},"w":{"n":4}', '{"n":3', "", " ", ",", ']"', '{"v":1},"v":{"n":3}']
+    some = {' {"n":3} \n': '{"n":3}', '{"s":"1e400 ' + big + '"}': '{"s":"1e400 ' + big + '"}', '{"s":"}{]["}': '{"s":"}{]["}', r'{"s":"\\\" 1e999"}': r'{"s":"\\\" 1e999"}', '{"n":' + "1" * 38 + "}": '{"n":' + "1" * 38 + "}", '{"n":1e308,"s":"e100"}': '{"n":1.0E308,"s":"e100"}', '{"v":1}': '{"v":1}'}
+    cases = none + beyond + list(some)
+    calls = spark.createDataFrame([(1, str(i), i, "t", a, None) for i, a in enumerate(cases)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    schema = spark.createDataFrame([("t", [(f, k, False, None, None) for f, k in (("n", "number"), ("s", "string"), ("v", "number"), ("o", "object"))])], tool_calls.SCHEMA)
+    got = {int(r["call_id"]): r for r in rows(tool_calls.link_tool_calls(calls, results, schema))}
+    assert got[cases.index(beyond[-1])]["errors"] == ["number out of range"]
+    for i, a in enumerate(cases):
+        assert (got[i]["errors"] == ["no object"]) == (a in none) and (got[i]["errors"] == []) == (a in some), (a, got[i]["errors"])
+        assert got[i]["json"].startswith('{"arguments":' + some.get(a, "null") + ',"depends_on"'), (a, got[i]["json"][:100])
+
+
 # op2
 
 
