@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import html
-import itertools
 import json
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..cluster import ship_package
+from ..storage import materialize, small_enough
 
 #: The date of records built from pages, which carry none.
 DATE = "2024-01-01T00:00:00Z"
@@ -30,11 +33,10 @@ _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HUGE = re.compile(r"&#(?:[0-9]{20,}|[xX][0-9a-fA-F]{20,});?")
 _CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
-#: What stands between two records of a file.
-BETWEEN = "\r\n\r\nWARC/1."
-
-#: Most bytes of a record's headers, and of a record read from a file; what is larger counts as broken.
-HEAD, LARGEST = 1 << 18, 1 << 30
+#: What stands between two records of a file, and how much of it belongs to the first and to the second one.
+BETWEEN, BEFORE, MARK = "\r\n\r\nWARC/1.", 4, b"WARC/1."
+#: Most records that span BETWEEN which are sent to all tasks; more are joined.
+MOST_SPANS = 1_000_000
 
 Headers = list[tuple[str, str]]
 
@@ -69,8 +71,8 @@ def value(headers: Headers, name: str) -> str | None:
 
 
 def _ends(raw: bytes, at: int = 0) -> tuple[int, int] | None:
-    """Where the block of the record at ``at`` begins and ends by its headers; None if they say nothing or take over HEAD bytes."""
-    head = raw.find(b"\r\n\r\n", at, at + HEAD)
+    """Where the block of the record at ``at`` begins and ends by its headers; None if they say nothing."""
+    head = raw.find(b"\r\n\r\n", at)
     if head < 0 or not raw.startswith(b"WARC/", at):
         return None
     size = value(_fields(raw[at:head].partition(b"\r\n")[2]), "Content-Length") or ""
@@ -85,34 +87,15 @@ def parse_record(raw: bytes) -> tuple[Headers, bytes] | None:
     return _fields(raw[: ends[0] - 4].partition(b"\r\n")[2]), raw[ends[0] : ends[1]]
 
 
-def split_records(parts: Iterable[bytes]) -> Iterator[tuple[bytes | None, bytes | None]]:
-    """Records, and bytes that are none, from the parts that BETWEEN cuts a file into, as pairs of which one is None.
-
-    A part that ends before its record does goes on in the next one, for that record holds BETWEEN
-    itself. Behind a broken record reading goes on at the next that begins.
-    """
-    mark, held, size, need = BETWEEN.encode(), [], 0, 0
-    for part in itertools.chain(parts, (None,)):
-        if held and part is not None and size < need:
-            held += [mark, part]
-            unknown, size = need == size + 1, size + len(mark) + len(part)
-            if unknown:
-                held = [b"".join(held)]
-                need = _need(held[0])
-            continue
-        if held:
-            yield from _whole(b"".join(held))
-        if part is not None:
-            held = [mark[4:] + part if re.match(rb"[0-9]+\r\n", part) else part]  # BETWEEN ends before the version's last digit
-            size, need = len(held[0]), _need(held[0])
-
-
 def _need(raw: bytes) -> int:
-    """How many bytes the record takes that begins here, as far as its headers can be read."""
-    ends = _ends(raw)
-    if ends:
-        return ends[1] if ends[1] <= LARGEST else 0
-    return 0 if b"\r\n\r\n" in raw else len(raw) + 1
+    """Up to where the last record reaches that begins in ``raw``, a part up to BETWEEN; 0 if none goes on behind the part. Headers can end just where BETWEEN begins."""
+    at = 0
+    while 0 <= at < len(raw):
+        ends = _ends(raw, at) or (_ends(raw + b"\r\n\r\n", at) if raw.find(b"\r\n\r\n", at) < 0 else None)
+        if ends and ends[1] > len(raw):
+            return ends[1]
+        at = ends[1] if ends else raw.find(MARK, at + 1)
+    return 0
 
 
 def _whole(raw: bytes) -> Iterator[tuple[bytes | None, bytes | None]]:
@@ -298,22 +281,141 @@ def derivatives(records: DataFrame) -> DataFrame:
     return _records(records, lambda _, raw: derive(raw) if raw is not None else [], "page_id", "record")
 
 
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """The parts that BETWEEN cuts WARC files into: file, split (where it begins in the file) and part, those of a split in order."""
+    ship_package(spark)
+    return spark.read.option("lineSep", BETWEEN).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("part"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
+    """File, split, the place within the split, and the bytes of each part, with the part of BETWEEN that belongs to it."""
+    now, at = None, 0
+    for batch in batches:
+        for file, split, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            first = (file, split) != now
+            if first:
+                now, at = (file, split), 0
+            raw = x.as_py()
+            if not (first and split == 0):  # a file begins with a part, all others have BETWEEN in front
+                at, raw = at + BEFORE, MARK + raw
+            yield file, split, at, raw
+            at += len(raw)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split its size (need is null), and for each part that may begin a record which goes on behind it, place and need."""
+    rows: list[tuple] = []
+    now, size = None, 0
+    for file, split, at, raw in _placed(batches):
+        if (file, split) != now:
+            if now:
+                rows.append((*now, size, None))
+            now = (file, split)
+        size = at + len(raw)
+        if need := _need(raw):
+            rows.append((file, split, at, need))
+        if len(rows) >= 10_000:
+            yield _measured(rows)
+            rows = []
+    if now:
+        rows.append((*now, size, None))
+    yield _measured(rows)
+
+
+def _measured(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "split", "at", "need"])
+
+
+def _spans(parts: DataFrame) -> DataFrame:
+    """What splits have to do with records that hold BETWEEN: file, split, base (where its first part stands in the file), first and until of the record.
+
+    A record stands inside another one, and is none, if it begins before that ends. Places alone are dealt by file and read in order, as a stream; a record
+    that would end behind its file is broken, and what follows it is read on its own.
+    """
+    rows = materialize(parts.mapInArrow(_measure, "file string, split long, at long, need long"), "places")
+    order = Window.partitionBy("file").orderBy("split")
+    sizes = rows.where("need is null")  # a row a split
+    bases = sizes.select("file", "split", F.coalesce(F.sum("at").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("at").over(Window.partitionBy("file")).alias("size"))
+    bases = materialize(bases, "splits")
+    may = rows.where("need is not null").join(bases, ["file", "split"]).select("file", (F.col("base") + F.col("at")).alias("first"), "split", "base", (F.col("base") + F.col("at") + F.col("need")).alias("until"), "size").where("until <= size").drop("size")
+    both = may.unionByName(bases.select("file", F.col("base").alias("first"), "split", "base", F.lit(None).cast("long").alias("until")))
+
+    def outermost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begin, end = None, 0, 0
+        for batch in batches:
+            out = []
+            for file, first, split, base, until in zip(*(c.to_pylist() for c in batch.columns)):
+                if file != now:
+                    now, begin, end = file, 0, 0
+                if until is None:
+                    if first < end:  # the split begins within a record
+                        out.append((file, split, base, begin, end))
+                elif first >= end:
+                    begin, end = first, until
+                    out.append((file, split, base, begin, end))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k else pa.string()) for k in range(5)], names=["file", "split", "base", "first", "until"])
+
+    dealt = both.repartition("file").sortWithinPartitions("file", "first", F.col("until").asc_nulls_first())
+    return materialize(dealt.mapInArrow(outermost, "file string, split long, base long, first long, until long"), "spans")
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
     """record and rejected of WARC files (plain or .gz), a row for each record or run of bytes that is none.
 
-    Spark's text source cuts the files at BETWEEN, so a plain file is read in splits by many tasks and a
-    compressed one as a stream; no task holds more than a record. Bytes are passed on as they are.
+    Spark's text source cuts files at BETWEEN, so a plain file is read in splits by many tasks and a
+    compressed one as a stream. A record whose block holds BETWEEN comes in several parts, perhaps in several splits, and a
+    part of it can look like a record. So a first pass finds out which records span parts (:func:`_spans`); where there are any, a second one gathers the
+    parts of each, and reads all other parts on their own. No task holds more than a record. Bytes are passed on as they are. Records are the same for any size of splits.
+    Empty files give no row; a record above 2 GB, Spark's limit for a value, ends the job.
     """
-    ship_package(spark)
-    parts = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("part"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((p, x.as_py()) for batch in batches for p, x in zip(batch.column(0).to_pylist(), batch.column(1)))
-        for _, of_file in itertools.groupby(rows, key=lambda r: r[0]):
-            for record, rejected in split_records(x for _, x in of_file):
-                yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary()), pa.array([rejected], pa.binary())], names=["record", "rejected"])
-
-    return parts.mapInArrow(run, "record binary, rejected binary")
+    parts = _parts(spark, path)
+    spans = _spans(parts)
+    if small_enough(spans, MOST_SPANS):
+        of_split: dict[tuple[str, int], list] = {}
+        for r in spans.orderBy("file", "split", "first").collect():
+            of_split.setdefault((r["file"], r["split"]), [r["base"], [], []])
+            of_split[r["file"], r["split"]][1].append(r["first"])
+            of_split[r["file"], r["split"]][2].append(r["until"])
+        if not of_split:
+            return parts.mapInArrow(lambda batches: (_told(_whole(raw)) for *_, raw in _placed(batches)), "record binary, rejected binary")
+        shared = spark.sparkContext.broadcast(of_split)
+
+        def place(file: str, split: int, at: int) -> tuple[int | None, int]:
+            """Where the record begins that the part belongs to, None if that holds no BETWEEN, and where the part stands in the file."""
+            base, firsts, ends = shared.value.get((file, split), (0, [], []))
+            k = bisect.bisect_right(firsts, base + at) - 1
+            return (firsts[k] if k >= 0 and base + at < ends[k] else None), base + at
+
+        rows = parts.mapInArrow(lambda batches: _with_places(batches, place), PLACED)
+    else:
+        of_split = spans.groupBy("file", "split").agg(F.first("base").alias("base"), F.array_sort(F.collect_list(F.struct("first", "until"))).alias("spans"))
+        own = F.expr("get(filter(spans, s -> s.first <= base + place and base + place < s.until), 0).first")
+        rows = parts.mapInArrow(lambda batches: _with_places(batches, lambda file, split, at: (None, at)), PLACED).join(of_split, ["file", "split"], "left")
+        rows = rows.withColumn("first", own).withColumn("place", F.col("base") + F.col("place"))
+    alone = rows.where("first is null").select("raw").mapInArrow(lambda batches: (_told(_whole(x.as_py())) for b in batches for x in b.column(0)), "record binary, rejected binary")
+    spanning = rows.where("first is not null").select("file", "first", "place", "raw")
+    return alone.union(spanning.groupBy("file", "first").applyInArrow(_gathered, "record binary, rejected binary"))
+
+
+PLACED = "file string, split long, first long, place long, raw binary"
+
+
+def _with_places(batches: Iterator[pa.RecordBatch], place: Callable[[str, int, int], tuple[int | None, int]]) -> Iterator[pa.RecordBatch]:
+    for file, split, at, raw in _placed(batches):
+        first, at = place(file, split, at)
+        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([split]), pa.array([first], pa.int64()), pa.array([at]), pa.array([raw], pa.binary())], names=["file", "split", "first", "place", "raw"])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The record of these parts, and what stands before it in its first and behind it in its last one."""
+    order = np.argsort(table.column("place").to_numpy(), kind="stable")
+    whole = b"\r\n\r\n".join(table.column("raw")[int(i)].as_py() for i in order)
+    return pa.Table.from_batches([_told(_whole(whole if b"\r\n\r\n" in whole else whole + b"\r\n\r\n"))])
+
+
+def _told(found: Iterator[tuple[bytes | None, bytes | None]]) -> pa.RecordBatch:
+    pairs = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["record", "rejected"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -573,6 +573,49 @@ def test_warc_file_round_trip(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def _warc_files(folder, seed):
+    """Files of records whose payloads hold records, headers that end at the mark, broken ones and junk; with the records that are real."""
+    rng, real = random.Random(seed), []
+    folder.mkdir()
+    for f in range(4):
+        out = []
+        for i in range(25):
+            inner = [warc.build_record([("WARC-Type", "resource"), ("N", f"{f}/{i}/{k}")], bytes(rng.randrange(97, 123) for _ in range(rng.randrange(300)))) for k in range(rng.choice((0, 0, 0, 1, 1, 2, 30)))]
+            block = rng.choice((b"", b"WARC/1.1\r\n", b"page ")) + b"".join(inner) + rng.choice((b"", b"\r\n\r\nWARC/1.1\r\nContent-Length: 5000\r\n\r\nx", b"tail" * rng.randrange(400)))
+            real.append(warc.build_record([("WARC-Type", "response"), ("N", f"{f}/{i}")], block))
+            out.append(real[-1])
+            if rng.random() < 0.05:
+                out.append(b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\nshort\r\n\r\n")
+        data = b"".join(out)
+        (folder / f"{f}.warc{'.gz' if f == 3 else ''}").write_bytes(gzip.compress(data) if f == 3 else data)
+    return real
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_warc_records_do_not_depend_on_splits(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_SPANS", most)
+    real = sorted(_warc_files(tmp_path / "w", most))
+    for size in ("134217728", "20000") if most > 3 else ("5000",):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")  # splits of several files in a task
+        try:
+            assert sorted(bytes(r.record) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == real, size
+            assert all(bytes(r.rejected).startswith(b"WARC/1.1\r\nContent-Length: 99999999") for r in warc.rejected_warc(spark, str(tmp_path / "w")).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_warc_odd_files(spark, tmp_path):
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "junk.warc").write_bytes(b"no record\r\n\r\n")
+    long = warc.build_record([("WARC-Type", "resource"), ("Long", "h" * 400_000)], b"a\r\n\r\nWARC/1.0 b")
+    bare = b"WARC/1.0\r\nContent-Length: 0\r\n\r\n"
+    (tmp_path / "long.warc").write_bytes(b"junk before " + long + bare + long)
+    assert sorted(bytes(r.record) for r in warc.read_warc(spark, str(tmp_path)).collect()) == sorted([long, long, bare + b"\r\n\r\n"])
+    assert sorted(bytes(r.rejected).strip() for r in warc.rejected_warc(spark, str(tmp_path)).collect()) == [b"junk before", b"no record"]
+
+
 # op6, op7, op9
 
 
