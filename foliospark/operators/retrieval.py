@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..cluster import ship_package
 from ..storage import small_enough
+from .retrieval_index import top_examples_indexed
 
 SHOT, QUESTION, HINTS = 800, 2000, 5
 #: Most queries that are sent to every task, and queries and examples scored at a time.
@@ -24,22 +25,15 @@ def top_examples(queries: DataFrame, examples: DataFrame, k: int, by_template: b
     Both have an id, a template and a vector. Examples without vector are skipped; one of another length scores 0 but
     stays in the ranking; ties go to the smaller id. With ``by_template`` only examples of the
     query's template count. Up to MOST_QUERIES queries go to all tasks, which score batches of examples by products of matrices and keep
-    the best k of every query, so that neither pairs nor examples are shuffled; more queries are joined.
+    the best k of every query, so that neither pairs nor examples are shuffled; more queries go through an index
+    (:func:`foliospark.operators.retrieval_index.top_examples_indexed`), with the same result.
     """
+    if not small_enough(queries, MOST_QUERIES):
+        return top_examples_indexed(queries, examples, k, by_template)[0]
     e = examples.where("size(vector) > 0").select(F.col("id").alias("example_id"), F.col("template").alias("e_template"), F.col("vector").cast("array<double>").alias("ev"))
     q = queries.select(F.col("id").alias("query_id"), F.col("template").alias("q_template"), F.col("vector").cast("array<double>").alias("qv"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "example_id")
-    scored = _best_in_tasks(q, e, k, by_template) if small_enough(q, MOST_QUERIES) else _joined(q, e, by_template)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _joined(q: DataFrame, e: DataFrame, by_template: bool) -> DataFrame:
-    e = e.withColumn("en", F.sqrt(F.aggregate("ev", F.lit(0.0), lambda s, v: s + v * v)))
-    q = q.withColumn("qn", F.sqrt(F.aggregate("qv", F.lit(0.0), lambda s, v: s + v * v)))
-    pairs = e.join(q, F.col("e_template") == F.col("q_template")) if by_template else e.crossJoin(q)
-    dot = F.aggregate(F.zip_with("ev", "qv", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    score = F.when((F.size("ev") == F.size("qv")) & (F.col("en") * F.col("qn") > 0), F.round(dot / (F.col("en") * F.col("qn")), 6)).otherwise(0.0)
-    return pairs.select("query_id", "example_id", score.alias("score"))
+    return _best_in_tasks(q, e, k, by_template).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _best_in_tasks(q: DataFrame, e: DataFrame, k: int, by_template: bool) -> DataFrame:
