@@ -11,16 +11,20 @@ from ..functions.sequences import window_search
 from ..functions.text import normal_anchor, normal_value
 
 
+#: The score from which a value counts as found.
+LEAST = 0.6
+
+
 def _ordered(words: DataFrame, norm: Column) -> DataFrame:
     """doc_id, page, ws: the words of each page in reading order; a page has a bounded number."""
     row = F.struct(band(F.col("y")).alias("band"), "x", "word_no", "y", "w", "h", norm.alias("norm"))
     return words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("ws"))
 
 
-def _searched(pairs: DataFrame, glue: str, target_first: bool) -> DataFrame:
+def _searched(pairs: DataFrame, glue: str, target_first: bool, least: float = 0.0) -> DataFrame:
     """With best (score, size, start) and the box of the best window, null where nothing scores."""
     part = lambda f: F.transform("ws", lambda v: v[f])
-    found = pairs.withColumn("best", window_search(F.col("target"), part("norm"), part("y"), F.col("sizes"), F.col("tol"), glue, target_first))
+    found = pairs.withColumn("best", window_search(F.col("target"), part("norm"), part("y"), F.col("sizes"), F.col("tol"), glue, target_first, least))
     found = found.withColumn("win", F.when(F.col("best.score") > 0, F.slice("ws", F.col("best.start") + 1, F.col("best.size"))))
     edge = lambda f, g: f(F.transform("win", g))
     x, y = edge(F.array_min, lambda v: v["x"]), edge(F.array_min, lambda v: v["y"])
@@ -42,7 +46,7 @@ def find_text_anchors(words: DataFrame, anchors: DataFrame, config: EngineConfig
 
 
 def find_values(words: DataFrame, values: DataFrame) -> DataFrame:
-    """Where on its page a value stands: doc_id, page, value, score, box, for values found with a score of 0.6 or more.
+    """Where on its page a value stands: doc_id, page, value, score, box, for values found with a score of LEAST or more.
 
     values: doc_id, page, value. A window lies on one row (its y spread is at most 1.2 times the upper median of heights)
     and has up to two words more than the value; one more than twice as long as the value counts 0.7 times.
@@ -53,8 +57,8 @@ def find_values(words: DataFrame, values: DataFrame) -> DataFrame:
     targets = values.distinct().withColumn("target", normal_value(F.col("value"))).where("target <> ''")
     tokens = F.filter(F.split("value", "[ \\t\\n\\r]+"), lambda t: normal_value(t) != "")
     pairs = pages.join(targets, ["doc_id", "page"]).withColumn("sizes", F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens)) + 2))
-    found = _searched(pairs, "", False)
-    return found.where("best.score >= 0.6").select("doc_id", "page", "value", F.round("best.score", 4).alias("score"), "box")
+    found = _searched(pairs, "", False, LEAST)
+    return found.where(F.col("best.score") >= LEAST).select("doc_id", "page", "value", F.round("best.score", 4).alias("score"), "box")
 
 
 def anchor_scores(located: DataFrame) -> DataFrame:

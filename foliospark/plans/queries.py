@@ -439,8 +439,14 @@ def text_anchor(spark, sf):
 
 
 @query("""WITH f AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%d/%m/%Y') AS d, CAST(o_orderkey % 997 AS VARCHAR) AS t, CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
-    u AS (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS line, unnest([d, 'Total: ' || t || ' €', 'pedido: ' || k, 'de entrega ' || s, s || ' ' || p]) AS value, unnest([1, 1, 1, 1, 2]) AS a, unnest([1, 2, 2, 3, 3]) AS b, unnest([d, t, k, s, p]) AS last FROM f)
-    SELECT doc_id, CAST(0 AS BIGINT) AS page, value, 1.0::DOUBLE AS score, 2000 + 8000 * a AS x, 3000 + 3000 * line AS y, 8000 * (b - a) + 600 * length(last) AS w, 1500 AS h FROM u""")
+    l AS (SELECT doc_id, unnest([['Fecha', d], ['Importe', 'Total:', t, '€'], ['Nº', 'pedido:', k], ['fecha', 'de', 'entrega', s], ['Estado', 'final:', s, p]]) AS ws, unnest(range(5)) AS line FROM f),
+    n AS (SELECT *, list_transform(ws, lambda x: regexp_replace(strip_accents(lower(x)), '[^\\p{L}\\p{N}]', '', 'g')) AS ns FROM l),
+    v AS (SELECT DISTINCT doc_id, unnest([d, 'Total: ' || t || ' €', 'pedido: ' || k, 'de entrega ' || s, s || ' ' || p]) AS value FROM f),
+    g AS (SELECT *, regexp_replace(strip_accents(lower(value)), '[^\\p{L}\\p{N}]', '', 'g') AS target, len(list_filter(regexp_split_to_array(value, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) AS tokens FROM v),
+    b AS (SELECT *, unnest(range(1, len(ns) + 1)) AS a FROM n), c AS (SELECT *, unnest(range(a, len(ns) + 1)) AS b FROM b),
+    m AS (SELECT g.doc_id, g.value, c.* EXCLUDE (doc_id) FROM g JOIN c ON c.doc_id = g.doc_id AND array_to_string(ns[a:b], '') = target AND b - a < greatest(1, tokens) + 2 WHERE target <> ''
+        QUALIFY row_number() OVER (PARTITION BY g.doc_id, g.value ORDER BY b - a, line, a) = 1)
+    SELECT doc_id, CAST(0 AS BIGINT) AS page, value, 1.0::DOUBLE AS score, 2000 + 8000 * (a - 1) AS x, 3000 + 3000 * line AS y, list_max(list_transform(range(a, b + 1), lambda i: 8000 * (i - a) + 600 * length(ws[i]))) AS w, 1500 AS h FROM m""")
 def value_window(spark, sf):
     """Values of forms stand where they were read from; words without a letter or digit at their ends belong to no window."""
     wanted = label_values(spark, sf).select("doc_id", "page", F.col("sample_text").alias("value"))

@@ -38,6 +38,45 @@ def test_best_window_brute_force(spread):
         assert sequences.best_window(*args) == pytest.approx(brute_force(*args))
 
 
+@pytest.mark.parametrize("glue,target_first", [(" ", True), ("", False)])
+def test_long_pages_against_brute_force(monkeypatch, glue, target_first):
+    rng, asked = random.Random(9), [0]
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            asked[0] += 1
+            return super().ratio()
+
+    monkeypatch.setattr(sequences, "SequenceMatcher", Counted)
+    page = ["".join(rng.choices("etaoinshrdlu", k=rng.choice((0, 1, 3, 5, 9)))) for _ in range(120)]
+    ys = [3 * (k // 10) for k in range(120)]
+    tried = 0
+    for spread, least in ((None, 0.0), (1.5, 0.6)):
+        for _ in range(25):
+            n, i = rng.randint(1, 4), rng.randrange(110)
+            said = glue.join(w for w in page[i : i + n] if w)
+            target = "".join(c for c in said if rng.random() < 0.9) + rng.choice(("", "", "x", "ta")) or "e"
+            sizes = list(range(1, n + 3))
+            want = brute_force(target, page, ys, sizes, glue, spread, target_first)
+            tried += sum(120 - k + 1 for k in sizes)
+            got = sequences.best_window(target, page, ys, sizes, glue, spread, target_first, least)
+            assert got == pytest.approx(want if want[0] >= least else (0.0, 0, 0)), (target, said)
+    assert asked[0] < 0.1 * tried  # the others were ruled out
+
+
+def test_no_ratio_is_above_its_bound():
+    rng = random.Random(2)
+    for _ in range(400):
+        glue = rng.choice((" ", ""))
+        words = ["".join(rng.choices("abcd", k=rng.randint(0, 5))) for _ in range(rng.randint(1, 7))]
+        target = "".join(rng.choices("abcd ", k=rng.randint(1, 12)))
+        page = sequences.Postings(words, glue)
+        for size in range(1, len(words) + 1):
+            for start, bound in enumerate(sequences._bounds(target, page, size)):
+                joined = glue.join(w for w in words[start : start + size] if w)
+                assert bound == 0 if not joined else max(SequenceMatcher(None, target, joined).ratio(), SequenceMatcher(None, joined, target).ratio()) <= bound + 1e-12
+
+
 def test_fitted_transforms(spark):
     turn, points = math.radians(30), [(0.0, 0.0), (10.0, 0.0), (0.0, 5.0), (7.0, 8.0)]
     moved = [(x, y, 2 * (math.cos(turn) * x - math.sin(turn) * y) + 3, 2 * (math.sin(turn) * x + math.cos(turn) * y) - 4) for x, y in points]
