@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,22 +91,38 @@ def score_pairs(pages: DataFrame, templates: DataFrame, angles: bool = False) ->
     """doc_id, page, template_id, variant, angle, score of every page with every template.
 
     Every pair is returned, so this is for few templates; :func:`best_of_templates` keeps the best only. With ``angles`` each is also
-    turned by quarters, at 90 and 270 degrees once more with the inverse aspect.
+    turned by quarters, at 90 and 270 degrees once more with the inverse aspect. Templates go to the tasks, MOST_TEMPLATES at a time.
     """
-    def side(angle: int, inverse: bool, variant: int) -> Column:
-        aspect = F.when(F.col("t_aspect") > 0, F.floor(F.lit(1e8) / F.col("t_aspect") + 0.5).cast("long")) if inverse else F.col("t_aspect")
-        return F.struct(F.lit(variant).alias("variant"), F.lit(angle).alias("angle"), aspect.alias("aspect"), rotated(F.col("t_density"), angle // 90).alias("density"))
-
-    turns = TURNS if angles else TURNS[:1]
-    small = templates.select("template_id", F.col("aspect").alias("t_aspect"), F.col("colour").alias("t_colour"), F.col("density").alias("t_density"))
-    small = small.select("template_id", "t_colour", F.explode(F.array(*[side(a, i, n) for n, (a, i) in enumerate(turns)])).alias("t"))
-    small = small.withColumn("t_norm", dot(F.col("t.density"), F.col("t.density")))
-    pairs = pages.withColumn("p_norm", dot(F.col("density"), F.col("density"))).crossJoin(small)
-    score = similarity(
-        {"aspect": F.col("aspect"), "colour": F.col("colour"), "density": F.col("density"), "norm": F.col("p_norm")},
-        {"aspect": F.col("t.aspect"), "colour": F.col("t_colour"), "density": F.col("t.density"), "norm": F.col("t_norm")},
-    )
-    return pairs.select("doc_id", "page", "template_id", "t.variant", "t.angle", score.alias("score"))
+    ship_package(pages.sparkSession)
+    turns, out = TURNS if angles else TURNS[:1], None
+    listed = templates.select("template_id", "aspect", "colour", "density").orderBy("template_id").toLocalIterator()
+    while sides := [(r.template_id, r.aspect, list(r.colour or []), list(r.density or [])) for r in itertools.islice(listed, MOST_TEMPLATES)]:
+        some = _scored(pages, Sides(sides, turns), len(sides))
+        out = some if out is None else out.union(some)
+    return out if out is not None else _scored(pages, Sides([], turns), 1)
+
+
+PAIRS = "doc_id long, page long, template_id long, variant int, angle int, score double"
+
+
+def _scored(pages: DataFrame, sides: Sides, each: int) -> DataFrame:
+    shared = pages.sparkSession.sparkContext.broadcast(sides)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(shared.value.ids)
+        for batch in batches:
+            for i in range(0, batch.num_rows if n else 0, AT_ONCE):
+                some = batch.slice(i, AT_ONCE)
+                score = shared.value.scores(*(some.column(k).to_pylist() for k in (2, 3, 4)))
+                row = pa.array(np.repeat(np.arange(some.num_rows), n))
+                tiled = lambda x, t: pa.array(np.tile(np.array(x), some.num_rows), t)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(row), some.column(1).take(row), tiled(shared.value.ids, pa.int64()), tiled(np.arange(n) // each, pa.int32()), tiled(shared.value.angles, pa.int32()), pa.array(score.ravel())], names=[c.split()[0] for c in PAIRS.split(", ")])
+
+    return _page_rows(pages).mapInArrow(scores, PAIRS)
+
+
+def _page_rows(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), F.col("aspect").cast("long"), F.col("colour").cast("array<long>"), F.col("density").cast("array<long>"))
 
 
 def best_template(pairs: DataFrame) -> DataFrame:
@@ -118,13 +135,16 @@ def best_of_templates(pages: DataFrame, templates: DataFrame, angles: bool = Fal
     """:func:`best_template` of :func:`score_pairs`, without pairs.
 
     Up to MOST_TEMPLATES templates (600 bytes each) go to every task, which scores a batch of pages with all of them by
-    products of matrices and passes on the best of each page; nothing is shuffled. More templates go through the pairs.
+    products of matrices and passes on the best of each page; nothing is shuffled. More templates go through
+    :func:`foliospark.operators.template_index.best_of_many_templates`, with the same winners.
     """
     if not small_enough(templates, MOST_TEMPLATES):
-        return best_template(score_pairs(pages, templates, angles))
+        from .template_index import best_of_many_templates
+
+        return best_of_many_templates(pages, templates, angles)[0]
     ship_package(pages.sparkSession)
     sides = [(r.template_id, r.aspect, list(r.colour or []), list(r.density or [])) for r in templates.select("template_id", "aspect", "colour", "density").orderBy("template_id").collect()]
-    shared = pages.sparkSession.sparkContext.broadcast(_Sides(sides, TURNS if angles else TURNS[:1]))
+    shared = pages.sparkSession.sparkContext.broadcast(Sides(sides, TURNS if angles else TURNS[:1]))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,42 +152,54 @@ def best_of_templates(pages: DataFrame, templates: DataFrame, angles: bool = Fal
                 some = batch.slice(i, AT_ONCE)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *shared.value.best(*(some.column(k).to_pylist() for k in (2, 3, 4)))], names=["doc_id", "page", "template_id", "angle", "score"])
 
-    found = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), F.col("aspect").cast("long"), F.col("colour").cast("array<long>"), F.col("density").cast("array<long>"))
-    return found.mapInArrow(best, "doc_id long, page long, template_id long, angle int, score double").where("template_id is not null")
+    return _page_rows(pages).mapInArrow(best, "doc_id long, page long, template_id long, angle int, score double").where("template_id is not null")
 
 
-class _Sides:
+class Sides:
     """Templates, turned in all ways that are tried, as matrices; ordered so that the first of equal scores counts."""
 
     def __init__(self, templates: list[tuple], turns: list[tuple[int, bool]]):
         rows = [(a, inverse, t) for a, inverse in turns for t in templates]
         self.ids, self.angles = [t[0] for *_, t in rows], [a for a, *_ in rows]
-        turned = [np.rot90(np.arange(CELLS).reshape(GRID, GRID), a // 90).ravel() for a, *_ in rows]
+        places = [turned(a) for a, *_ in rows]
         self.aspect = np.array([(np.floor(1e8 / t[1] + 0.5) if inverse else t[1]) if t[1] and t[1] > 0 else 0 for _, inverse, t in rows], float)
-        self.colour, self.has_colour = _matrix([t[2] for *_, t in rows], 3)
-        self.density, self.has_density = _matrix([[t[3][k] for k in at] if len(t[3]) == CELLS else [] for at, (*_, t) in zip(turned, rows)], CELLS)
+        self.colour, self.has_colour = matrix([t[2] for *_, t in rows], 3)
+        self.density, self.has_density = matrix([[t[3][k] for k in at] if len(t[3]) == CELLS else [] for at, (*_, t) in zip(places, rows)], CELLS)
         self.norm = (self.density**2).sum(1)
 
-    def best(self, aspects: list, colours: list, densities: list) -> list[pa.Array]:
-        if not self.ids or not aspects:
-            return [pa.nulls(len(aspects), pa.int64()), pa.nulls(len(aspects), pa.int32()), pa.nulls(len(aspects), pa.float64())]
+    def scores(self, aspects: list, colours: list, densities: list) -> np.ndarray:
+        """A row a page, a column a side."""
         a = np.array([x or 0 for x in aspects], float)[:, None]
-        colour, has_colour = _matrix(colours, 3)
-        density, has_density = _matrix(densities, CELLS)
+        colour, has_colour = matrix(colours, 3)
+        density, has_density = matrix(densities, CELLS)
         with np.errstate(divide="ignore", invalid="ignore"):
             shape = np.where((a > 0) & (self.aspect > 0), np.minimum(a, self.aspect) / np.maximum(a, self.aspect), 0.0)
             far = ((colour[:, None, :] - self.colour[None]) ** 2).sum(2)
             tone = np.where(has_colour[:, None] & self.has_colour, 1 - np.sqrt(far) / np.sqrt(195_075.0), 0.0)
             norm = (density**2).sum(1)[:, None] * self.norm
             fill = np.where(has_density[:, None] & self.has_density & (norm > 0), density @ self.density.T / np.sqrt(norm), 0.0)
-        score = np.floor((WEIGHTS[0] * shape + WEIGHTS[1] * tone + WEIGHTS[2] * fill) * 10_000 + 0.5) / 10_000
+        return np.floor((WEIGHTS[0] * shape + WEIGHTS[1] * tone + WEIGHTS[2] * fill) * 10_000 + 0.5) / 10_000
+
+    def winners(self, aspects: list, colours: list, densities: list) -> tuple[np.ndarray, np.ndarray]:
+        """The first side with the highest score of each page, and that score."""
+        score = self.scores(aspects, colours, densities)
         k = score.argmax(1)
-        top = score[np.arange(len(k)), k]
+        return k, score[np.arange(len(k)), k]
+
+    def best(self, aspects: list, colours: list, densities: list) -> list[pa.Array]:
+        if not self.ids or not aspects:
+            return [pa.nulls(len(aspects), pa.int64()), pa.nulls(len(aspects), pa.int32()), pa.nulls(len(aspects), pa.float64())]
+        k, top = self.winners(aspects, colours, densities)
         none = top <= 0
         return [pa.array([self.ids[i] for i in k], pa.int64(), mask=none), pa.array([self.angles[i] for i in k], pa.int32(), mask=none), pa.array(top, pa.float64(), mask=none)]
 
 
-def _matrix(lists: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+def turned(angle: int) -> np.ndarray:
+    """Which cell of a grid stands at each place once it is turned counter-clockwise."""
+    return np.rot90(np.arange(CELLS).reshape(GRID, GRID), angle // 90).ravel()
+
+
+def matrix(lists: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``width`` numbers, zeros for lists that are null or of another length, and which are not."""
     good = np.array([x is not None and len(x) == width for x in lists], bool)
     return np.array([x if g else [0] * width for x, g in zip(lists, good)], float).reshape(len(lists), width), good

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import retrieval_index
-from .queries import CONFIG, _topk_sql, _vectors, query
+from ..operators import retrieval_index, template_index
+from .queries import CONFIG, SQL, _pages, _templates, _topk_sql, _vectors, query, words
 
 
 @query(_topk_sql("").replace("q.vec_id % 20 = 0", "q.vec_id IS NOT NULL"))
@@ -17,3 +17,9 @@ def rag_topk_all(spark, sf):
 def rag_topk_all_by_template(spark, sf):
     v = _vectors(spark, sf)
     return retrieval_index.top_examples_indexed(v, v, CONFIG.top_k)[0]
+
+
+@query(SQL["best_template_multi_angle"])
+def best_of_many_templates(spark, sf):
+    """The best template of each page and angle through groups of templates."""
+    return template_index.best_of_many_templates(_pages(words(spark, sf)), _templates(spark, sf), angles=True)[0]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import retrieval, retrieval_index
+from foliospark.operators import matching, retrieval, retrieval_index, template_index
 
 VECTORS = "id long, template long, vector array<double>"
 
@@ -57,3 +57,44 @@ def test_no_cross_join_beyond_the_queries_that_tasks_hold(spark, monkeypatch):
     plan = retrieval.top_examples(frame, frame, 2)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert retrieval.top_examples(frame, frame, 2).where(F.col("rank") == 1).count() == 20
+
+
+PAGE = "doc_id long, page long, aspect long, colour array<long>, density array<long>"
+TEMPLATE = "template_id long, aspect long, colour array<long>, density array<long>"
+
+
+def _signature(rng, near):
+    density = [max(0, v + rng.randint(-300, 300)) for v in rng.choice(near)]
+    return (rng.choice([None, 0, 7000, 7071, 14142, 9000]), rng.choice([None, [], [255, 255, 255], [250, 248, 240], [10, 20, 30]]), rng.choice([density] * 12 + [None, [], [0] * 64, [1, 2]]))
+
+
+@pytest.mark.parametrize("angles", [False, True])
+@pytest.mark.parametrize("sample,block", [(20_000, 2048), (9, 11)])
+def test_templates_in_groups_win_as_in_pairs(spark, monkeypatch, angles, sample, block):
+    monkeypatch.setattr(template_index, "SAMPLE", sample)
+    monkeypatch.setattr(template_index, "BLOCK", block)
+    rng = random.Random(6)
+    near = [[rng.choice((0, 0, 3000, 10_000)) for _ in range(64)] for _ in range(9)]
+    templates = [(i, *_signature(rng, near)) for i in range(150)]
+    templates += [(300 + i, *templates[i][1:]) for i in range(20)] + [(None, *templates[0][1:])]  # ties
+    pages = spark.createDataFrame([(i, i % 2, *_signature(rng, near)) for i in range(90)], PAGE)
+    frame = spark.createDataFrame(templates, TEMPLATE)
+    found, read = template_index.best_of_many_templates(pages, frame, angles)
+    want = matching.best_template(matching.score_pairs(pages, frame.where("template_id is not null"), angles))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 60
+    assert read.groupBy("doc_id", "page", "grp").count().where("count > 1").isEmpty()
+    if not angles and sample > 9:
+        assert read.count() < 0.7 * 90 * read.select("grp").distinct().count()
+    assert not template_index.best_of_many_templates(pages.limit(0), frame, angles)[0].count() and not template_index.best_of_many_templates(pages, frame.limit(0), angles)[0].count()
+
+
+def test_pairs_in_several_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    near = [[rng.choice((0, 5000)) for _ in range(64)] for _ in range(3)]
+    pages = spark.createDataFrame([(i, 0, *_signature(rng, near)) for i in range(8)], PAGE)
+    templates = spark.createDataFrame([(i, *_signature(rng, near)) for i in range(13)], TEMPLATE)
+    once = sorted(map(tuple, matching.score_pairs(pages, templates, True).collect()))
+    monkeypatch.setattr(matching, "MOST_TEMPLATES", 5)
+    assert sorted(map(tuple, matching.score_pairs(pages, templates, True).collect())) == once and len(once) == 8 * 13 * 6
+    plan = matching.best_of_templates(pages, templates, True)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
