@@ -99,19 +99,100 @@ def _fitted(pages: DataFrame) -> DataFrame:
     return out.withColumn("rx", F.expr("(su - ra * sx + rb * sy) / m")).withColumn("ry", F.expr("(sv - rb * sx - ra * sy) / m"))
 
 
-def fit_sql(points: str, config: EngineConfig = EngineConfig()) -> str:
-    """The same in SQL over points with a number i, as table expressions that end in ``fitted``."""
-    alias = lambda d: ", ".join(f"{e} AS {k}" for k, e in d.items())
+#: Up to so many pairs all minimal samples are tried, beyond that so many that are drawn: with two fifths of the pairs off, none of 120 draws is free of these with a chance of 2e-13.
+WHOLE, DRAWS, SEED = 9, 120, 11
+_STEPS = {"x2": "q.src_x - p.src_x", "y2": "q.src_y - p.src_y", "u2": "q.dst_x - p.dst_x", "v2": "q.dst_y - p.dst_y", "x3": "r.src_x - p.src_x", "y3": "r.src_y - p.src_y", "u3": "r.dst_x - p.dst_x", "v3": "r.dst_y - p.dst_y"}
+_THROUGH = [  # the affine transform through three pairs p, q, r, and the similarity through p and q
+    {"area": "nullif(x2 * y3 - x3 * y2, 0)", "long": "nullif(x2 * x2 + y2 * y2, 0)"},
+    {"a": "(u2 * y3 - u3 * y2) / area", "b": "(x2 * u3 - x3 * u2) / area", "c": "(v2 * y3 - v3 * y2) / area", "d": "(x2 * v3 - x3 * v2) / area", "ra": "(x2 * u2 + y2 * v2) / long", "rb": "(x2 * v2 - y2 * u2) / long"},
+    {"tx": "p.dst_x - a * p.src_x - b * p.src_y", "ty": "p.dst_y - c * p.src_x - d * p.src_y", "rx": "p.dst_x - ra * p.src_x + rb * p.src_y", "ry": "p.dst_y - rb * p.src_x - ra * p.src_y"},
+]
+
+
+#: How far an affine transform is from a similarity.
+_BENT = "round(coalesce(abs(a - d) + abs(b + c), 0), 3)"
+
+
+def _samples() -> str:
+    """Triples of places (i < j < k) of a page with n pairs; with two pairs k is null."""
+    whole = "flatten(transform(sequence(0, n - 3), i -> flatten(transform(sequence(i + 1, n - 2), j -> transform(sequence(j + 1, n - 1), k -> struct(i as i, j as j, k as k))))))"
+    place = lambda k: f"cast(pmod(xxhash64(doc_id, page, d, {SEED + k}), n) as int)"
+    drawn = f"filter(transform(transform(sequence(0, {DRAWS - 1}), d -> array_sort(array_distinct(array({place(0)}, {place(1)}, {place(2)})))), s -> struct(get(s, 0) as i, get(s, 1) as j, get(s, 2) as k)), s -> s.k is not null)"
+    return f"case when n = 2 then array(struct(0 as i, 1 as j, cast(null as int) as k)) when n < 2 then null when n <= {WHOLE} then {whole} else {drawn} end"
+
+
+def consensus_fit(pairs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """What :func:`fit_anchors` returns, by consensus: right with up to two fifths of the pairs off, wherever these lie.
+
+    Minimal samples, all of them or DRAWS drawn by a hash of page and number, are rows with the affine transform through three pairs and the
+    similarity through the first two of them. Each counts the page's pairs within OFF of it; of both kinds the one with most votes wins, of affine ones with as many the one
+    nearest to a similarity (any three pairs agree, so with few pairs votes alone say little), then the first, and the least-squares fit of its pairs is the result: the affine transform if it is sane, else the similarity if that is, else ``none``. n_used is how
+    many pairs agree. A page is gathered once; its samples stay where it is. One pair gives a translation; samples in a line say nothing.
+    """
+    point = F.struct(*[F.col(c).cast("double").alias(c) for c in ("src_x", "src_y", "dst_x", "dst_y")])
+    pages = pairs.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(point)).alias("ps"), F.count("*").cast("int").alias("n"))
+    rows = pages.select("*", F.explode_outer(F.expr(_samples())).alias("s"))
+    rows = rows.withColumns({name: F.expr(f"get(ps, s.{i})") for name, i in (("p", "i"), ("q", "j"), ("r", "k"))})
+    for step in (_STEPS, *_THROUGH):
+        rows = rows.withColumns({k: F.expr(e) for k, e in step.items()})
+    within = lambda off: f"filter(ps, p -> {off} <= {OFF * OFF}D)"
+    rows = rows.withColumn("agree_a", F.expr(f"if(a is null, null, {within(_OFF_AFFINE)})")).withColumn("agree_r", F.expr(f"if(ra is null, null, {within(_OFF_SIMILAR)})"))
+    first = lambda side, bent: F.struct(F.coalesce(F.size(side), F.lit(-1)), -F.expr(bent), *[-F.col(f"s.{c}") for c in "ij"], -F.coalesce("s.k", F.lit(0)))
+    won = rows.groupBy("doc_id", "page").agg(F.first("n").alias("n"), F.first("ps").alias("all"), F.max_by("agree_a", first("agree_a", _BENT)).alias("agree_a"), F.max_by("agree_r", first("agree_r", "0D")).alias("agree_r"))
+    mean = lambda e: f"sqrt(aggregate(ps, 0D, (s, p) -> s + {e}) / m) / nullif(extent, 0)"
+    side = lambda c: f"(array_max(transform(ps, p -> p.{c})) - array_min(transform(ps, p -> p.{c})))"
 
-    def fitted(name: str, source: str) -> str:
-        sums = ", ".join(f"sum({e}) AS {k}" for k, e in _SUMS.items())
-        return f"""{name}0 AS (SELECT doc_id, page, CAST(count(*) AS DOUBLE) AS m, {sums}, sqrt(pow(max(p.dst_x) - min(p.dst_x), 2) + pow(max(p.dst_y) - min(p.dst_y), 2)) AS extent FROM {source} p GROUP BY doc_id, page),
-            {name}1 AS (SELECT *, {alias(_MINORS)} FROM {name}0), {name}2 AS (SELECT *, CASE WHEN m >= 3 THEN nullif(sxx * m11 + sxy * m12 + sx * m13, 0) END AS det, nullif(m * (sxx + syy) - sx * sx - sy * sy, 0) AS spread FROM {name}1),
-            {name}3 AS (SELECT *, {alias(_AFFINE)}, {alias(_SIMILAR)} FROM {name}2), {name} AS (SELECT *, (su - ra * sx + rb * sy) / m AS rx, (sv - rb * sx - ra * sy) / m AS ry FROM {name}3)"""
+    def refined(df: DataFrame, points: str) -> DataFrame:
+        fit = _fitted(df.withColumn("ps", F.expr(points)))
+        fit = fit.withColumn("extent", F.expr(f"sqrt({side('dst_x')} * {side('dst_x')} + {side('dst_y')} * {side('dst_y')})"))
+        return fit.withColumn("off_a", F.expr(mean(_OFF_AFFINE))).withColumn("off_r", F.expr(mean(_OFF_SIMILAR))).withColumns({k: F.expr(v) for k, v in _PARTS.items()})
 
+    affine = refined(won, "coalesce(agree_a, all)").withColumn("sane", F.expr(f"m >= 3 and {_sane(config)}"))
+    kept = F.when(F.col("sane"), F.struct(F.lit("affine").alias("kind"), F.expr(_RESULT["scale"].replace("case kind", "case 'affine'")).cast("double").alias("scale"), F.expr("degrees(atan2(c, a))").alias("angle"), F.col("off_a").alias("residual"), F.col("m").cast("long").alias("n_used"), F.expr("array(array(a, b, tx), array(c, d, ty))").alias("matrix")))
+    similar = refined(affine.select("doc_id", "page", "n", "all", "agree_r", kept.alias("kept")), "coalesce(agree_r, all)")
+    # with the affine transform out of the way what is left is a similarity, a translation or nothing
+    similar = similar.withColumns({"sx_": F.lit(None).cast("double"), "sy_": F.lit(None).cast("double")}).withColumn("kind", F.expr(_kind(config))).withColumns({k: F.expr(v).cast("double") for k, v in _RESULT.items()})
+    matrix = F.expr("case kind when 'similarity' then array(array(ra, -rb, rx), array(rb, ra, ry)) when 'translation' then array(array(1D, 0D, su - sx), array(0D, 1D, sv - sy)) end")
+    other = F.struct("kind", "scale", "angle", "residual", F.col("m").cast("long").alias("n_used"), matrix.alias("matrix"))
+    return similar.withColumn("best", F.coalesce("kept", other)).select("doc_id", "page", F.col("n").cast("long").alias("n"), "best.n_used", "best.kind", "best.scale", "best.angle", "best.residual", "best.matrix")
+
+
+def _alias(d: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {k}" for k, e in d.items())
+
+
+def _fitted_sql(name: str, source: str) -> str:
+    sums = ", ".join(f"sum({e}) AS {k}" for k, e in _SUMS.items())
+    return f"""{name}0 AS (SELECT doc_id, page, CAST(count(*) AS DOUBLE) AS m, {sums}, sqrt(pow(max(p.dst_x) - min(p.dst_x), 2) + pow(max(p.dst_y) - min(p.dst_y), 2)) AS extent FROM {source} p GROUP BY doc_id, page),
+        {name}1 AS (SELECT *, {_alias(_MINORS)} FROM {name}0), {name}2 AS (SELECT *, CASE WHEN m >= 3 THEN nullif(sxx * m11 + sxy * m12 + sx * m13, 0) END AS det, nullif(m * (sxx + syy) - sx * sx - sy * sy, 0) AS spread FROM {name}1),
+        {name}3 AS (SELECT *, {_alias(_AFFINE)}, {_alias(_SIMILAR)} FROM {name}2), {name} AS (SELECT *, (su - ra * sx + rb * sy) / m AS rx, (sv - rb * sx - ra * sy) / m AS ry FROM {name}3)"""
+
+
+def fit_sql(points: str, config: EngineConfig = EngineConfig()) -> str:
+    """The same in SQL over points with a number i, as table expressions that end in ``fitted``."""
+    fitted, alias = _fitted_sql, _alias
     return f"""WITH pts AS ({points}), {fitted('f', 'pts')}, o AS (SELECT p.*, a IS NULL AS plain, sqrt({_OFF_AFFINE}) AS off FROM pts p JOIN f USING (doc_id, page)),
         med AS (SELECT doc_id, page, count(*) AS n, list_sort(list(off))[len(list(off)) // 2 + 1] AS mid FROM o GROUP BY ALL),
         used AS (SELECT o.*, n FROM o JOIN med USING (doc_id, page) WHERE plain OR off <= greatest({OFF}, {OFF_TIMES} * mid)), {fitted('g', 'used')},
         e AS (SELECT doc_id, page, any_value(n) AS n, sqrt(sum({_OFF_AFFINE}) / any_value(m)) / nullif(any_value(extent), 0) AS off_a, sqrt(sum({_OFF_SIMILAR}) / any_value(m)) / nullif(any_value(extent), 0) AS off_r FROM used p JOIN g USING (doc_id, page) GROUP BY ALL),
         h AS (SELECT *, {alias(_PARTS)} FROM g JOIN e USING (doc_id, page)), k AS (SELECT *, {_kind(config)} AS kind FROM h),
         fitted AS (SELECT doc_id, page, n, CAST(m AS BIGINT) AS n_used, kind, {alias(_RESULT)} FROM k)"""
+
+
+def consensus_sql(points: str, config: EngineConfig = EngineConfig()) -> str:
+    """:func:`consensus_fit` in SQL for pages of up to WHOLE pairs, as table expressions that end in ``fitted``."""
+    through = "".join(f", s{n + 1} AS (SELECT *, {_alias(step)} FROM s{n})" for n, step in enumerate((_STEPS, *_THROUGH)))
+
+    def won(name: str, off: str, known: str, bent: str) -> str:
+        return f"""{name}v AS (SELECT s.doc_id, s.page, s.i, s.j, s.k, any_value(s.{known}) IS NOT NULL AS known, any_value({bent}) AS bent, count(*) FILTER ({off} <= {OFF * OFF}) AS votes FROM (SELECT * EXCLUDE (p, q, r) FROM s4) s JOIN pts p USING (doc_id, page) GROUP BY ALL),
+        {name}w AS (SELECT * FROM {name}v WHERE known QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY votes DESC, bent, i, j, k) = 1),
+        {name}u AS (SELECT p.* FROM {name}w w JOIN (SELECT * EXCLUDE (p, q, r) FROM s4) s ON (s.doc_id, s.page, s.i, s.j) = (w.doc_id, w.page, w.i, w.j) AND s.k IS NOT DISTINCT FROM w.k JOIN pts p ON p.doc_id = w.doc_id AND p.page = w.page WHERE {off} <= {OFF * OFF} UNION ALL SELECT p.* FROM pts p ANTI JOIN {name}w w USING (doc_id, page)),
+        {_fitted_sql(name, name + 'u')}, {name}e AS (SELECT doc_id, page, sqrt(sum({_OFF_AFFINE}) / any_value(m)) / nullif(any_value(extent), 0) AS off_a, sqrt(sum({_OFF_SIMILAR}) / any_value(m)) / nullif(any_value(extent), 0) AS off_r FROM {name}u p JOIN {name} USING (doc_id, page) GROUP BY ALL),
+        {name}h AS (SELECT *, {_alias(_PARTS)} FROM {name} JOIN {name}e USING (doc_id, page))"""
+
+    return f"""WITH raw AS ({points}), pts AS (SELECT doc_id, page, src_x, src_y, dst_x, dst_y, row_number() OVER (PARTITION BY doc_id, page ORDER BY src_x, src_y, dst_x, dst_y) - 1 AS i FROM raw), c AS (SELECT doc_id, page, count(*) AS n FROM pts GROUP BY ALL),
+        s0 AS (SELECT p.doc_id, p.page, p.i AS i, q.i AS j, r.i AS k, p, q, r FROM pts p JOIN pts q ON p.doc_id = q.doc_id AND p.page = q.page AND p.i < q.i JOIN c ON c.doc_id = p.doc_id AND c.page = p.page LEFT JOIN pts r ON r.doc_id = p.doc_id AND r.page = p.page AND q.i < r.i WHERE c.n = 2 OR r.i IS NOT NULL){through},
+        {won('x', _OFF_AFFINE, 'a', _BENT)}, {won('z', _OFF_SIMILAR, 'ra', '0')},
+        x9 AS (SELECT *, m >= 3 AND {_sane(config)} AS sane FROM xh), z9 AS (SELECT * REPLACE (NULL::DOUBLE AS sx_, NULL::DOUBLE AS sy_) FROM zh), z10 AS (SELECT *, {_kind(config)} AS kind FROM z9),
+        chosen AS (SELECT doc_id, page, m, 'affine' AS kind, a, b, c, d, ra, rb, sx_, sy_, off_a, off_r FROM x9 WHERE sane UNION ALL SELECT doc_id, page, m, kind, a, b, c, d, ra, rb, sx_, sy_, off_a, off_r FROM z10 ANTI JOIN (SELECT * FROM x9 WHERE sane) USING (doc_id, page)),
+        fitted AS (SELECT doc_id, page, c.n, CAST(m AS BIGINT) AS n_used, kind, {_alias(_RESULT)} FROM chosen JOIN c USING (doc_id, page))"""

@@ -181,9 +181,20 @@ def fit_anchors(spark, sf):
     return fit.select("doc_id", "page", "n", "n_used", "kind", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("scale", 3), ("angle", 2), ("residual", 3))])
 
 
-def _points(spark, sf):
-    p = read(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "0 as page", "cast((l_partkey * 37) % 1000 as double) as src_x", "cast((l_suppkey * 61 + l_linenumber * 97) % 1400 as double) as src_y", "l_orderkey % 5 as form", "l_linenumber % 7 = 3 as off")
+SCATTERED = MOVED.replace("off AND form = 3", "i % 4 = 2 AND form > 1").replace("THEN 900", "THEN 900 + 61 * i").replace("THEN -700", "THEN -700 - 43 * i")
+
+
+@query(f"{transforms.consensus_sql(SCATTERED)} SELECT doc_id, page, n, n_used, kind, round(scale, 3) AS scale, round(angle, 2) + 0.0 AS angle, round(residual, 3) AS residual FROM fitted")
+def fit_anchors_by_consensus(spark, sf):
+    """Transforms of located anchors, up to two of five of which are off, each its own way."""
+    fit = transforms.consensus_fit(_points(spark, sf, True), CONFIG)
+    return fit.select("doc_id", "page", "n", "n_used", "kind", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("scale", 3), ("angle", 2), ("residual", 3))])
+
+
+def _points(spark, sf, scattered: bool = False):
+    p = read(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "0 as page", "cast((l_partkey * 37) % 1000 as double) as src_x", "cast((l_suppkey * 61 + l_linenumber * 97) % 1400 as double) as src_y", "l_orderkey % 5 as form", "l_linenumber as i", "l_linenumber % 4 = 2 and l_orderkey % 5 > 1 as off" if scattered else "l_linenumber % 7 = 3 and l_orderkey % 5 = 3 as off")
+    by_x, by_y = ("900 + 61 * i", "-700 - 43 * i") if scattered else ("900", "-700")
     return p.selectExpr(
-        "doc_id", "page", "src_x", "src_y", "case when form = 0 then 2 * src_x + 10 when form = 1 then src_x + 40 * src_y else 1.5D * src_x - 0.25D * src_y + 30 end + if(off and form = 3, 900, 0) as dst_x",
-        "case when form = 0 then src_y - 20 when form = 1 then src_y else 0.25D * src_x + 1.5D * src_y - 7 end + if(off and form = 3, -700, 0) as dst_y",
+        "doc_id", "page", "src_x", "src_y", f"case when form = 0 then 2 * src_x + 10 when form = 1 then src_x + 40 * src_y else 1.5D * src_x - 0.25D * src_y + 30 end + if(off, {by_x}, 0) as dst_x",
+        f"case when form = 0 then src_y - 20 when form = 1 then src_y else 0.25D * src_x + 1.5D * src_y - 7 end + if(off, {by_y}, 0) as dst_y",
     )

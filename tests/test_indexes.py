@@ -1,4 +1,4 @@
-"""Indexes against full comparison: nearest examples, and templates in blocks."""
+"""Indexes against full comparison: nearest examples, templates in groups; consensus among anchors."""
 
 import random
 
@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import matching, retrieval, retrieval_index, template_index
+from foliospark.operators import matching, retrieval, retrieval_index, template_index, transforms
 
 VECTORS = "id long, template long, vector array<double>"
 
@@ -98,3 +98,29 @@ def test_pairs_in_several_rounds(spark, monkeypatch):
     assert sorted(map(tuple, matching.score_pairs(pages, templates, True).collect())) == once and len(once) == 8 * 13 * 6
     plan = matching.best_of_templates(pages, templates, True)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_consensus_with_two_fifths_off(spark):
+    rng, rows, want = random.Random(12), [], {}
+    for doc in range(120):
+        n = rng.choice((7, 8, 9, 10, 15, 25, 40))
+        turn, scale = rng.uniform(-3, 3), rng.uniform(0.4, 3.5)
+        a, b = float(scale * np.cos(turn)), float(scale * np.sin(turn))
+        stretch = rng.choice((1.0, 1.0, 1.3))
+        m = [[a, -b * stretch, rng.uniform(-500, 500)], [b, a * stretch, rng.uniform(-500, 500)]]
+        want[doc] = (m, n - int(0.4 * n))
+        off = set(rng.sample(range(n), int(0.4 * n)))
+        for i in range(n):
+            x, y = rng.uniform(0, 1000), rng.uniform(0, 1400)
+            u, v = (m[k][0] * x + m[k][1] * y + m[k][2] for k in range(2))
+            rows.append((doc, 0, x, y, u + (rng.uniform(200, 3000) if i in off else rng.uniform(-0.5, 0.5)), v - (rng.uniform(200, 3000) if i in off else 0.0)))
+    rows += [(500, 0, 1.0, 2.0, 4.0, 7.0), (501, 0, 0.0, 0.0, 1.0, 1.0), (501, 0, 10.0, 0.0, 21.0, 1.0), (502, 0, 0.0, 0.0, 0.0, 0.0), (502, 0, 1.0, 1.0, 2.0, 2.0), (502, 0, 2.0, 2.0, 4.0, 4.0), (503, 0, 1.0, 1.0, 5.0, 5.0), (503, 0, 1.0, 1.0, 5.0, 5.0)]
+    pairs = spark.createDataFrame(rows, "doc_id long, page long, src_x double, src_y double, dst_x double, dst_y double").repartition(3)
+    got = {r.doc_id: r for r in transforms.consensus_fit(pairs).collect()}
+    for doc, (m, n_in) in want.items():
+        assert got[doc].kind == "affine" and got[doc].n_used >= n_in, (doc, got[doc])
+        assert np.allclose([row[:2] for row in got[doc].matrix], [row[:2] for row in m], atol=0.02), doc
+    assert (got[500].kind, got[500].matrix) == ("translation", [[1.0, 0.0, 3.0], [0.0, 1.0, 5.0]])
+    assert got[501].kind == "similarity" and got[501].scale == pytest.approx(2) and got[502].kind == "similarity" and got[502].n_used == 3
+    assert got[503].kind in ("none", "similarity") and got[503].n == 2
+    assert not transforms.consensus_fit(pairs.limit(0)).count()
