@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.rounding import exact_round
 from ..operators import retrieval_index, template_index
-from .queries import CONFIG, SQL, _pages, _templates, _topk_sql, _vectors, query, words
+from .queries import CONFIG, SQL, _pages, _templates, _topk_sql, _vectors, query, read, words
 
 
 @query(_topk_sql("").replace("q.vec_id % 20 = 0", "q.vec_id IS NOT NULL"))
@@ -23,3 +26,11 @@ def rag_topk_all_by_template(spark, sf):
 def best_of_many_templates(spark, sf):
     """The best template of each page and angle through groups of templates."""
     return template_index.best_of_many_templates(_pages(words(spark, sf)), _templates(spark, sf), angles=True)[0]
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(printf('%.4f', v) AS DOUBLE) AS four, CAST(printf('%.1f', v) AS DOUBLE) AS one, CAST(printf('%.2f', h) AS DOUBLE) AS two
+    FROM (SELECT *, l_extendedprice * l_discount / 7 AS v, l_quantity * 0.125::DOUBLE + l_linenumber * 0.375::DOUBLE AS h FROM lineitem)""")
+def exact_rounding(spark, sf):
+    """Amounts, and eighths that lie just in the middle, rounded by their exact values."""
+    rows = read(spark, sf, "lineitem").withColumn("v", F.col("l_extendedprice") * F.col("l_discount") / 7).withColumn("h", F.col("l_quantity") * 0.125 + F.col("l_linenumber") * 0.375)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[exact_round(F.col(c), d).alias(n) for c, d, n in (("v", 4, "four"), ("v", 1, "one"), ("h", 2, "two"))])
