@@ -21,12 +21,31 @@ KIND, DATA, FIELDS, CAMPOS = "tipo_documento", "datos", "fields", "campos"
 CONFIDENCE = 85.0
 
 
+def one_value(raw: Column) -> Column:
+    """An answer without code fences if it is one JSON value, else null.
+
+    Spark's readers stop behind the first value, so the text is read in brackets and in braces: if more follows, one of these breaks.
+    """
+    bare = bare_json(raw)
+    listed = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
+    named = F.from_json(F.concat(F.lit('{"v":'), bare, F.lit("}")), "map<string,string>")
+    return F.when((F.size(listed) == 1) & (F.size(F.map_keys(named)) == 1), bare)
+
+
+def _last_of_each(entries: Column) -> Column:
+    """A map of entries of which the last of each key counts."""
+    keys = F.reverse(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_entries(F.filter(entries, lambda e, i: i == F.size(keys) - F.array_position(keys, e["key"])))
+
+
 def free_answer(raw: Column) -> Column:
-    """kind and data (a map of strings) of a free answer; an answer that is no JSON object has the unknown kind and no data."""
-    v = F.try_parse_json(bare_json(raw))
-    data = F.coalesce(F.try_variant_get(v, f"$.{DATA}", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    plain = F.transform_values(data, lambda _, x: _as_text(x))
-    return F.struct(F.coalesce(F.try_variant_get(v, f"$.{KIND}", "string"), F.lit(UNKNOWN)).alias("kind"), plain.alias("data"))
+    """kind and data (a map of strings) of a free answer; an answer that is no JSON object, or has text around it, has the unknown kind and no data. Of repeated keys the last counts."""
+    top = _last_of_each(F.map_entries(F.from_json(one_value(raw), "map<string,string>")))
+    said = F.when(F.startswith(top[DATA], F.lit("{")), top[DATA])
+    typed = F.transform(F.map_entries(F.from_json(said, "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), _as_text(e["value"]).alias("value")))
+    plain = F.transform(F.map_entries(F.from_json(said, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value")))
+    data = F.coalesce(_last_of_each(F.coalesce(typed, plain)), F.create_map().cast("map<string,string>"))  # a value that repeats a key within itself is no variant
+    return F.struct(F.coalesce(top[KIND], F.lit(UNKNOWN)).alias("kind"), data.alias("data"))
 
 
 def _as_text(x: Column) -> Column:
@@ -40,7 +59,7 @@ def _as_text(x: Column) -> Column:
 
 def suggested(raw: Column) -> Column:
     """Suggestions in an answer, as structs of label, value and data_type: a list, or that under the first of two keys which isn't empty. Those without label or value are dropped; an unknown type is text."""
-    v = F.try_parse_json(bare_json(raw))
+    v = F.try_parse_json(one_value(raw))
     under = lambda key: F.try_variant_get(v, f"$.{key}", "array<variant>")
     some = lambda items: F.when(F.size(items) > 0, items)
     items = F.coalesce(some(under(FIELDS)), some(under(CAMPOS)), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))

@@ -168,3 +168,17 @@ def test_failed_answers_keep_their_rows(spark):
     asked = spark.createDataFrame([("p",), (None,)], "prompt string")
     got = {r["prompt"]: (r["answer"], r["error"]) for r in providers.answer(asked, Failing()).collect()}
     assert got == {"p": (None, "no model"), None: (None, None)}
+
+
+def test_free_answers_are_one_value_and_the_last_of_repeated_keys_counts(spark):
+    from foliospark.operators.answers import free_answer, suggested
+
+    unknown = ("desconocido", {})
+    cases = {
+        '{"tipo_documento":"a","tipo_documento":"b","datos":{"k":1},"datos":{"k":"x","k":2,"l":"0","m":0,"n":null}}': ("b", {"k": "2", "l": "0", "m": "", "n": ""}),
+        '{"tipo_documento":"a"} and more': unknown, '{"tipo_documento":"a"}{"datos":{}}': unknown, '{"tipo_documento":"a"}]': unknown, '{"tipo_documento":"a"}}': unknown, '{"tipo_documento":"a"},{"b":1}': unknown,
+        ' {"tipo_documento":"a","datos":{"o":{"x":1,"x":2},"k":3}} ': ("a", {"o": '{"x":1,"x":2}', "k": "3"}), "[1]": unknown, "": unknown, "x": unknown, '{"datos":[1]}': unknown, '```json\n{"tipo_documento":"f"}\n```': ("f", {}),
+    }
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cases)] + [(99, None)], "i int, c string").select("i", free_answer(F.col("c")).alias("f"), F.size(suggested(F.col("c"))).alias("n")).orderBy("i").collect()
+    assert [(r.f.kind, r.f.data) for r in got] == [*cases.values(), unknown] and {r.n for r in got} == {0}
+    assert spark.sql("select '[{\"label\":\"a\",\"value\":\"b\"}] tail' as c").select(F.size(suggested(F.col("c")))).first()[0] == 0
