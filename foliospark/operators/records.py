@@ -194,7 +194,11 @@ def learned(fields: DataFrame, confirmed: DataFrame) -> DataFrame:
 
 def token_stats(usage: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """docs, tokens in and out, their rounded averages, and the cost as text."""
-    s = usage.agg(F.count("*").alias("docs"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"))
+    return with_costs(usage.agg(F.count("*").alias("docs"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out")), config)
+
+
+def with_costs(s: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Counters (docs, tokens_in, tokens_out) with averages and the cost as text, as :func:`token_stats` has them."""
     cost = F.col("tokens_in") * config.price_in / 1e6 + F.col("tokens_out") * config.price_out / 1e6
     shown = lambda c: F.when(c < 0.01, F.format_string("%.5f", c)).otherwise(F.format_string("%.4f", c))
     avg = lambda c: F.when(F.col("docs") > 0, F.floor(F.col(c) / F.col("docs") + 0.5)).otherwise(0).cast("long")

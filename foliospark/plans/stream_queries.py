@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import records
 from ..storage import scratch
-from ..streaming import intake, job_machine, jobs
-from .queries import query, read
+from ..streaming import counters, intake, job_machine, jobs
+from .queries import CONFIG, query, read
 
 LIMIT_HOURS, DELAY_DAYS = 3, 5
 STATUS = ["processing", "review", "done", "error", "draft"]
@@ -67,3 +68,19 @@ def failing_uploads(spark, sf):
     done = spark.read.parquet(f"{base}/records").join(named, "upload_id").select("filename", F.lit(None).cast("string").alias("error"), "n_words", "page_no")
     failed = spark.read.parquet(f"{base}/errors").select("filename", F.when(F.col("error").contains("99999999999"), "bad number").otherwise(F.col("error")).alias("error"), F.lit(None).cast("long").alias("n_words"))
     return done.drop("page_no").unionByName(failed)
+
+
+@query("""WITH s AS (SELECT count(*) AS docs, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(turn), 0) AS BIGINT) AS tokens_out FROM conversations),
+    c AS (SELECT *, tokens_in / 1e6::DOUBLE * 0.27::DOUBLE + tokens_out / 1e6::DOUBLE * 1.10::DOUBLE AS usd FROM s)
+    SELECT docs, tokens_in, tokens_out, CAST(floor(tokens_in / docs + 0.5) AS BIGINT) AS avg_in, CAST(floor(tokens_out / docs + 0.5) AS BIGINT) AS avg_out,
+        CASE WHEN usd < 0.01 THEN printf('~$%.5f  (~%.5f €)', usd, usd * 0.93) ELSE printf('~$%.4f  (~%.4f €)', usd, usd * 0.93) END AS cost, 3 AS batches FROM c""")
+def token_counters(spark, sf):
+    """Turns as calls that come in three batches of a stream; their tokens are counted while they are written."""
+    base = scratch(spark, "calls")
+    calls = read(spark, sf, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("tokens_in"), F.col("turn").cast("long").alias("tokens_out"))
+    for k in range(3):
+        calls.where(F.pmod("conv_id", F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = counters.counted_stream(jobs.document_stream(spark, f"{base}/in", calls.schema, files_per_batch=1))
+    total = counters.logged(spark, lambda: stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    row = [(total["docs"], total["tokens_in"], total["tokens_out"], total["batches"])]
+    return records.with_costs(spark.createDataFrame(row, "docs long, tokens_in long, tokens_out long, batches int"), CONFIG)
