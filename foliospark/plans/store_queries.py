@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import layout, records
-from ..sources import files
+from ..sources import files, image_sink
+from ..storage import scratch
 from .queries import CONFIG, WORDS, query, read, words
 
 # Sources
@@ -186,3 +187,12 @@ def model_installed(spark, sf):
     p = read(spark, sf, "part")
     models = F.array(F.replace("p_brand", F.lit("Brand#11"), F.lit("m")), F.concat(F.replace(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("LARGE"), F.lit("m")), F.lit(":latest")))
     return p.select("p_partkey", installed(F.lit("m"), models).alias("installed"))
+
+
+@query("SELECT 'doc ' || doc_id AS key, octet_length(encode(text)) AS n_bytes, sha256(text) AS sha256, true AS same FROM documents WHERE text IS NOT NULL")
+def stored_files(spark, sf):
+    """Documents written as files, one each, and read back by the rows that refer to them."""
+    base = scratch(spark, "files")
+    d = read(spark, sf, "documents")
+    image_sink.write_files(d.select(F.concat(F.lit("doc "), "doc_id").alias("key"), F.lit("txt").alias("suffix"), F.encode("text", "utf-8").alias("content")), base)
+    return image_sink.read_files(spark, base).select("key", "n_bytes", "sha256", (F.sha2("content", 256) == F.col("sha256")).alias("same"))
