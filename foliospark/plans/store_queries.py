@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout, records
+from ..operators import change_feed, layout, records
 from ..sources import files, image_sink
 from ..storage import scratch
 from .queries import CONFIG, WORDS, query, read, words
@@ -196,3 +196,22 @@ def stored_files(spark, sf):
     d = read(spark, sf, "documents")
     image_sink.write_files(d.select(F.concat(F.lit("doc "), "doc_id").alias("key"), F.lit("txt").alias("suffix"), F.encode("text", "utf-8").alias("content")), base)
     return image_sink.read_files(spark, base).select("key", "n_bytes", "sha256", (F.sha2("content", 256) == F.col("sha256")).alias("same"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE o_orderkey % 7 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'update' END AS op,
+        CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS acct, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS segment FROM orders WHERE o_custkey % 5 < 2),
+    l AS (SELECT k, max(seq) FILTER (op <> 'update') AS since, arg_max(op, seq) FILTER (op <> 'update') AS last FROM e GROUP BY k),
+    n AS (SELECT e.k, any_value(last) AS last, arg_max(acct, seq) FILTER (acct IS NOT NULL AND op <> 'delete' AND seq >= coalesce(since, -1)) AS acct, arg_max(segment, seq) FILTER (segment IS NOT NULL AND op <> 'delete' AND seq >= coalesce(since, -1)) AS segment FROM e JOIN l USING (k) GROUP BY e.k)
+    SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN last = 'insert' THEN acct ELSE coalesce(acct, c_acctbal) END AS c_acctbal, CASE WHEN last = 'insert' THEN segment ELSE coalesce(segment, c_mktsegment) END AS c_mktsegment
+    FROM (SELECT * FROM customer WHERE c_custkey % 9 > 0) FULL JOIN n ON c_custkey = k WHERE CASE WHEN last = 'delete' THEN false WHEN last = 'insert' THEN true ELSE c_custkey IS NOT NULL END""")
+def changed_table(spark, sf):
+    """Customers as a stored table, orders as inserts, updates and deletes of two fifths of them; the table read back."""
+    c = read(spark, sf, "customer").where("c_custkey % 9 > 0").select("c_custkey", "c_acctbal", "c_mktsegment")
+    stored = change_feed.StoredTable(spark, scratch(spark, "customers"), c.schema, "c_custkey").create(c)
+    o = F.col("o_orderkey")
+    events = read(spark, sf, "orders").where("o_custkey % 5 < 2").select(
+        F.col("o_custkey").alias("c_custkey"), o.alias("seq"), F.when(o % 7 == 0, "delete").when(o % 7 == 1, "insert").otherwise("update").alias("op"),
+        F.when(o % 3 > 0, F.col("o_totalprice")).alias("c_acctbal"), F.when(o % 4 > 0, F.col("o_orderpriority")).alias("c_mktsegment"),
+    )
+    stored.apply(events)
+    return stored.read()
