@@ -15,6 +15,8 @@ from .common import broadcast, is_held_out
 #: Documents of each language that the regression learns from; the first LANDMARKS of them are landmarks too, fewer where there would be
 #: over MOST_LANDMARKS of all languages (but one of each), so that the dense matrix of landmarks by n-grams stays at a few hundred MB.
 FIT_ROWS, LANDMARKS, MOST_LANDMARKS = 400, 50, 400
+#: Documents of all languages together that are learned from (but one of each): with FIT_BYTES at most 250 MB go to the driver, however many languages there are.
+MOST_ROWS = 4000
 #: Longer documents are not used to learn from; every document is scored whole.
 FIT_BYTES = 1 << 16
 #: The spectrum: n-grams of 1 to 4 bytes of UTF-8.
@@ -143,13 +145,15 @@ class KernelLanguages:
 
 
 def fit(docs: DataFrame) -> KernelLanguages:
-    """Learn from about FIT_ROWS documents of each language, chosen by a hash of doc_id, none of them held out."""
+    """Learn from FIT_ROWS documents of each language, fewer where there would be over MOST_ROWS in all, chosen by a hash of doc_id, none of them held out."""
     named = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text rlike '\\\\p{L}'").where(~is_held_out(F.col("doc_id"))).where(F.octet_length("text") <= FIT_BYTES)
-    counts = named.groupBy("lang").count().select(F.col("lang").alias("l"), F.col("count").alias("n"))
+    of_each = named.groupBy("lang").count().collect()  # a row a language
+    most = max(1, min(FIT_ROWS, MOST_ROWS // max(1, len(of_each))))
+    counts = docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in of_each], "l string, n long")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = named.join(F.broadcast(counts), F.col("lang") == F.col("l")).where(draw * F.col("n") < F.lit(3 * FIT_ROWS << 30))
+    some = named.join(F.broadcast(counts), F.col("lang") == F.col("l")).where(draw * F.col("n") < F.lit(3 * most << 30))
     first = Window.partitionBy("lang").orderBy(draw, "doc_id", "text")
-    rows = some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIT_ROWS).select("lang", "text", "place").orderBy("place", "lang").collect()
+    rows = some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("lang", "text", "place").orderBy("place", "lang").collect()
     return KernelLanguages([r.text.encode() for r in rows], [r.lang for r in rows])
 
 
@@ -184,7 +188,10 @@ def _predict(model: KernelLanguages, texts: pa.Array, letter: pa.Array) -> tuple
 
 
 def drop_unknown_language(docs: DataFrame, model: KernelLanguages) -> DataFrame:
-    """The rows of ``docs`` in a learned language with a score of THRESHOLD or more, with all their columns."""
+    """The rows of ``docs`` in a learned language with a score of THRESHOLD or more, with all their columns, whatever these are called.
+
+    A text that is null or has no letter goes. Repeated rows stay or go together; an empty table gives an empty result.
+    """
     shared = broadcast(docs, model)
     names = docs.columns
     at = names.index("text")

@@ -103,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionClassifier:
     for q in texts:
         chosen = named.where(F.col("quality") == q).orderBy(F.xxhash64("i"), "i").limit(2 * FIT_ROWS)
         rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("i")).where(F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES))
-        texts[q] = [r.text.encode() for r in rows.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "text").collect()]
+        one = rows.groupBy("doc_id").agg(F.min("text").alias("text"))  # a repeated identifier counts once
+        texts[q] = [r.text.encode() for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     return CompressionClassifier(texts[1], texts[0])
 
 
@@ -127,7 +128,10 @@ def score_quality(docs: DataFrame, model: CompressionClassifier, id_col: str = "
 
 
 def drop_low_quality(docs: DataFrame, model: CompressionClassifier) -> DataFrame:
-    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns."""
+    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns, whatever these are called.
+
+    A null text is scored as an empty one. Repeated rows stay or go together; an empty table gives an empty result.
+    """
     shared = broadcast(docs, model)
     at = docs.columns.index("text")
 
