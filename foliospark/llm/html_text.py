@@ -321,9 +321,14 @@ class Layouts:
 
 
 def fit(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> BlockLabeller:
-    """Fit on at most FIT_PAGES pages that mark their article, and on FIT_LAYOUTS layouts of the same texts."""
-    some = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) <= FIT_BYTES)).select(F.xxhash64(url_col, html_col).alias("h"), F.col(html_col).alias("page"))
-    read = [blocks(r.page) for r in some.orderBy("h", "page").limit(FIT_PAGES).collect()]
+    """Fit on at most FIT_PAGES different pages that mark their article, and on FIT_LAYOUTS layouts of the same texts.
+
+    Pages are drawn by a hash, about three times FIT_PAGES of all there are, so that no more than these are sorted; equal ones count once.
+    """
+    draw = F.pmod(F.xxhash64(url_col, html_col), F.lit(1 << 30))
+    some = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) <= FIT_BYTES)).select(draw.alias("draw"), F.col(html_col).alias("page"))
+    drawn = some.where(F.col("draw") * F.lit(pages.count()) < F.lit(3 * FIT_PAGES << 30)).groupBy("draw").agg(F.min("page").alias("page"))
+    read = [blocks(r.page) for r in drawn.orderBy("draw").limit(FIT_PAGES).collect()]
     named = [(p, y) for p in read if p and (y := labels_of(p))]
     layouts = Layouts([b.text for p in read for b in p])
     model = BlockLabeller()
