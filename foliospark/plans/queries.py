@@ -291,13 +291,13 @@ def label_to_name_all(spark, sf):
     return label_to_name(spark, sf)
 
 
-@query("""WITH c AS (SELECT i, chr(CAST(i AS INTEGER)) AS v FROM (SELECT unnest(range(32, 1160)) AS i UNION ALL SELECT unnest(range(7680, 8192))))
-    SELECT i, v, strip_accents(v) AS plain, regexp_replace(strip_accents(lower(v)), '[^\\pL\\pN]', '', 'g') = '' AS dropped FROM c WHERE NOT i BETWEEN 127 AND 159""")
+@query("""WITH c AS (SELECT v, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, '')) AS v FROM documents) WHERE v <> '' GROUP BY v)
+    SELECT CAST(unicode(v) AS BIGINT) AS i, v, n, docs, strip_accents(v) AS plain, regexp_replace(strip_accents(lower(v)), '[^\\pL\\pN]', '', 'g') = '' AS dropped FROM c""")
 def unmarked_letters(spark, sf):
-    """Every Latin, Greek and Cyrillic letter, in its own words a table of code points."""
-    i = spark.range(32, 1160).union(spark.range(7680, 8192)).where("not id between 127 and 159").withColumnRenamed("id", "i")
-    c = i.withColumn("v", F.expr("decode(unhex(lpad(hex(i), 4, '0')), 'UTF-16BE')"))
-    return c.select("i", "v", tx.unmarked(F.col("v")).alias("plain"), (tx.normal_value(F.col("v")) == "").alias("dropped"))
+    """Every character of the documents: how often it occurs, without its marks, and whether a normalised value drops it."""
+    c = read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("v")).groupBy("v", "doc_id").agg(F.count("*").alias("n"))
+    c = c.groupBy("v").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return c.select(F.ascii("v").cast("long").alias("i"), "v", "n", "docs", tx.unmarked(F.col("v")).alias("plain"), (tx.normal_value(F.col("v")) == "").alias("dropped"))
 
 
 # Lines of orders with labels, and of parts with codes; a page holds the lines of one order or part.
