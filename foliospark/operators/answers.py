@@ -19,6 +19,7 @@ KINDS = ("text", "date", "number", "currency", "dni", "email", "phone")
 UNKNOWN, DETECTED = "desconocido", "detectado"
 KIND, DATA, FIELDS, CAMPOS = "tipo_documento", "datos", "fields", "campos"
 CONFIDENCE = 85.0
+KIND_KEY = "_" + KIND
 
 
 def one_value(raw: Column) -> Column:
