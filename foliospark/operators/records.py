@@ -200,6 +200,6 @@ def token_stats(usage: DataFrame, config: EngineConfig = EngineConfig()) -> Data
 def with_costs(s: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Counters (docs, tokens_in, tokens_out) with averages and the cost as text, as :func:`token_stats` has them."""
     cost = F.col("tokens_in") * config.price_in / 1e6 + F.col("tokens_out") * config.price_out / 1e6
-    shown = lambda c: F.when(c < 0.01, F.format_string("%.5f", c)).otherwise(F.format_string("%.4f", c))
+    shown = lambda c: F.when(cost < 0.01, F.format_string("%.5f", c)).otherwise(F.format_string("%.4f", c))
     avg = lambda c: F.when(F.col("docs") > 0, F.floor(F.col(c) / F.col("docs") + 0.5)).otherwise(0).cast("long")
     return s.select("*", avg("tokens_in").alias("avg_in"), avg("tokens_out").alias("avg_out"), F.when(F.col("docs") == 0, "—").otherwise(F.concat(F.lit("~$"), shown(cost), F.lit("  (~"), shown(cost * config.euro), F.lit(" €)"))).alias("cost"))
