@@ -57,7 +57,7 @@ ODD = [None, "", " \t\n", "a", "The The", "x" * 50_000, "word " * 20_000, "é ß
 
 def sql(name, sf):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings", "labels"):
+    for t in ("documents", "conversations", "embeddings", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con.execute(queries.SQL[name])
 

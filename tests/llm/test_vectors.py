@@ -147,3 +147,16 @@ def test_trees_assign_whole_nodes_and_lose_nothing():
     near = ((points[:, None] - centroids[None]) ** 2).sum(2).argmin(1)
     assert sums.n[0].tolist() == np.bincount(near, minlength=6).tolist()
     assert all((sums.total[0, k] == points[near == k].sum(0)).all() for k in range(6))
+
+
+@pytest.mark.parametrize("big", [1, 1 << 30, 1 << 50])
+def test_trees_are_exact_for_integers_of_any_size(big):
+    rng = np.random.default_rng(1)
+    points = rng.integers(-4, 5, (300, 64)) * big + rng.integers(0, 2, (300, 64))
+    centroids = points[rng.choice(300, 40, replace=False)].copy()
+    centroids[7] = centroids[3]
+    tree = KdTree.build(points)
+    cluster, least = tree.clusters(centroids)
+    all_far = ((tree.points.astype(object)[:, None] - centroids.astype(object)[None]) ** 2).sum(2).tolist()
+    assert cluster.tolist() == [min(range(40), key=lambda k: (row[k], k)) for row in all_far]
+    assert [int(x) for x in least] == [min(row) for row in all_far]
