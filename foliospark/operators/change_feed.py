@@ -83,3 +83,12 @@ class StoredTable:
     def reset(self) -> None:
         """Empty the table; its schema stays."""
         self.create(self.spark.createDataFrame([], self.schema))
+
+
+def reset_all(tables: dict[str, StoredTable], templates: str, universal: DataFrame) -> None:
+    """Empty all stored tables; that of ``templates`` keeps the ``universal`` row alone."""
+    for name, table in tables.items():
+        if name == templates:
+            table.create(universal)
+        else:
+            table.reset()

@@ -215,3 +215,15 @@ def changed_table(spark, sf):
     )
     stored.apply(events)
     return stored.read()
+
+
+@query("""SELECT 'templates' AS t, count(*) AS before, CAST(1 AS BIGINT) AS after, 'datos IA' AS names FROM nation UNION ALL SELECT 'documents', count(*), 0, '' FROM documents UNION ALL SELECT 'records', count(*), 0, '' FROM orders""")
+def reset_stored_tables(spark, sf):
+    """Three stored tables, how many rows each has, and what is left of them once all are emptied."""
+    rows = {"templates": _nations(spark, sf).select("id", "name"), "documents": read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("name")), "records": read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("").alias("name"))}
+    base = scratch(spark, "tables")
+    stored = {t: change_feed.StoredTable(spark, f"{base}/{t}", r.schema, "id").create(r) for t, r in rows.items()}
+    before = {t: s.read().count() for t, s in stored.items()}
+    change_feed.reset_all(stored, "templates", records.seeded(_nations(spark, sf).limit(0)).select("id", "name"))
+    parts = [s.read().agg(F.lit(t).alias("t"), F.lit(before[t]).alias("before"), F.count("*").alias("after"), F.concat_ws(", ", F.array_sort(F.collect_list("name"))).alias("names")) for t, s in stored.items()]
+    return parts[0].union(parts[1]).union(parts[2])
