@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import name_to_key, normal_value
+from ..functions.text import bound, name_to_key, normal_value
 from ..sources.providers import Provider, answer, embed
 from .anchors import find_values
 from .lines import TABLE_TOLERANCE, group_lines, labelled_values, line_texts, unique_keys
@@ -27,46 +27,54 @@ def one_value(raw: Column) -> Column:
 
     Spark's readers stop behind the first value, so the text is read in brackets and in braces: if more follows, one of these breaks.
     """
-    bare = bare_json(raw)
-    listed = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
-    named = F.from_json(F.concat(F.lit('{"v":'), bare, F.lit("}")), "map<string,string>")
-    return F.when((F.size(listed) == 1) & (F.size(F.map_keys(named)) == 1), bare)
+    def checked(bare: Column) -> Column:
+        listed = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
+        named = F.from_json(F.concat(F.lit('{"v":'), bare, F.lit("}")), "map<string,string>")
+        return F.when((F.size(listed) == 1) & (F.size(F.map_keys(named)) == 1), bare)
+
+    return bound(bare_json(raw), checked)
 
 
 def _last_of_each(entries: Column) -> Column:
     """A map of entries of which the last of each key counts."""
-    keys = F.reverse(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.filter(entries, lambda e, i: i == F.size(keys) - F.array_position(keys, e["key"])))
+    last = lambda es, keys: F.map_from_entries(F.filter(es, lambda e, i: i == F.size(keys) - F.array_position(keys, e["key"])))
+    return bound(entries, lambda es: bound(F.reverse(F.transform(es, lambda e: e["key"])), lambda keys: last(es, keys)))
 
 
 def free_answer(raw: Column) -> Column:
     """kind and data (a map of strings) of a free answer; an answer that is no JSON object, or has text around it, has the unknown kind and no data. Of repeated keys the last counts."""
-    top = _last_of_each(F.map_entries(F.from_json(one_value(raw), "map<string,string>")))
-    said = F.when(F.startswith(top[DATA], F.lit("{")), top[DATA])
-    typed = F.transform(F.map_entries(F.from_json(said, "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), _as_text(e["value"]).alias("value")))
-    plain = F.transform(F.map_entries(F.from_json(said, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value")))
-    data = F.coalesce(_last_of_each(F.coalesce(typed, plain)), F.create_map().cast("map<string,string>"))  # a value that repeats a key within itself is no variant
-    return F.struct(F.coalesce(top[KIND], F.lit(UNKNOWN)).alias("kind"), data.alias("data"))
+    def told(said: Column) -> Column:
+        typed = F.transform(F.map_entries(F.from_json(said, "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), _as_text(e["value"]).alias("value")))
+        plain = F.transform(F.map_entries(F.from_json(said, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value")))
+        return F.coalesce(_last_of_each(F.coalesce(typed, plain)), F.create_map().cast("map<string,string>"))  # a value that repeats a key within itself is no variant
+
+    def parts(top: Column) -> Column:
+        data = bound(F.when(F.startswith(top[DATA], F.lit("{")), top[DATA]), told)
+        return F.struct(F.coalesce(top[KIND], F.lit(UNKNOWN)).alias("kind"), data.alias("data"))
+
+    return bound(_last_of_each(F.map_entries(F.from_json(one_value(raw), "map<string,string>"))), parts)
 
 
 def _as_text(x: Column) -> Column:
     """A JSON value as text: nothing for null, false, zero and empty lists or objects; nested ones as JSON."""
-    kind, text = F.schema_of_variant(x), F.to_json(x)
-    number = kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
-    empty = x.isNull() | (kind == "VOID") | text.isin("{}", "[]", "false") | (number & (x.try_cast("double") == 0))
-    nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-    return F.when(empty, "").when(nested, text).otherwise(F.coalesce(x.try_cast("string"), F.lit("")))
+    def told(s: Column) -> Column:
+        kind, text = s["kind"], s["text"]
+        number = kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
+        empty = x.isNull() | (kind == "VOID") | text.isin("{}", "[]", "false") | (number & (x.try_cast("double") == 0))
+        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+        return F.when(empty, "").when(nested, text).otherwise(F.coalesce(x.try_cast("string"), F.lit("")))
+
+    return bound(F.struct(F.schema_of_variant(x).alias("kind"), F.to_json(x).alias("text")), told)
 
 
 def suggested(raw: Column) -> Column:
     """Suggestions in an answer, as structs of label, value and data_type: a list, or that under the first of two keys which isn't empty. Those without label or value are dropped; an unknown type is text."""
-    v = F.try_parse_json(one_value(raw))
-    under = lambda key: F.try_variant_get(v, f"$.{key}", "array<variant>")
-    some = lambda items: F.when(F.size(items) > 0, items)
-    items = F.coalesce(some(under(FIELDS)), some(under(CAMPOS)), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    under = lambda v, key: F.try_variant_get(v, f"$.{key}", "array<variant>")
+    some = lambda items: bound(items, lambda i: F.when(F.size(i) > 0, i))
+    listed = lambda v: F.coalesce(some(under(v, FIELDS)), some(under(v, CAMPOS)), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
     part = lambda x, key: F.trim(F.coalesce(F.try_variant_get(x, f"$.{key}", "string"), F.lit("")))
-    kind = lambda x: F.when(part(x, "data_type").isin(*KINDS), part(x, "data_type")).otherwise("text")
-    structs = F.transform(items, lambda x: F.struct(part(x, "label").alias("label"), part(x, "value").alias("value"), kind(x).alias("data_type")))
+    kind = lambda x: bound(part(x, "data_type"), lambda t: F.when(t.isin(*KINDS), t).otherwise("text"))
+    structs = F.transform(bound(F.try_parse_json(one_value(raw)), listed), lambda x: F.struct(part(x, "label").alias("label"), part(x, "value").alias("value"), kind(x).alias("data_type")))
     return F.filter(structs, lambda s: (s["label"] != "") & (s["value"] != ""))
 
 
