@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..cluster import ship_package
-from ..storage import materialize
+from ..storage import materialize, small_enough
 
 #: Examples that centroids are fitted on, the first by a hash of their identifier (at 64 components 10 MB); all examples are indexed.
 SAMPLE, ROUNDS, SEED = 20_000, 8, 5
-#: Most lists, lists that each query reads first, and rows of a list or of the queries for it that are compared at a time.
-MOST_LISTS, FIRST, BLOCK = 1024, 2, 2048
+#: Most lists (a query is sent once to each list that it reads), lists that each query reads first, rows of a list or of the queries for it that meet
+#: in a task, queries scored at a time, and columns of scores of which the greatest one is looked at first.
+MOST_LISTS, FIRST, BLOCK, AT_ONCE, STRIDE = 32, 2, 16_384, 256, 32
+#: Most pairs of list and template that are sent to every task.
+MOST_BLOCKS = 200_000
 #: Scores are rounded to so many digits; a list is skipped only if its bound is farther off than that.
 DIGITS, SLACK = 6, 2e-6
 ROWS = "id long, template string, size int, vector array<double>, norm double, list int, angle double"
@@ -114,36 +117,52 @@ def _visits(queries: DataFrame, centroids: Centroids, radius: np.ndarray, found:
     return queries.select(*columns).mapInArrow(choose, "query long, list int")
 
 
-def _compared(queries: DataFrame, examples: DataFrame, visits: DataFrame, counts: DataFrame, k: int, by_template: bool) -> DataFrame:
+def _compared(queries: DataFrame, examples: DataFrame, visits: DataFrame, k: int, by_template: bool) -> DataFrame:
     """query_id, example_id, score of the best k of each query in each block of the lists that it visits.
 
-    Lists, and the queries for one, are cut into blocks of about BLOCK rows, so that no task holds more than two of these, however hot a list is.
+    Lists (of each template, if only that counts), and the queries for one, are cut into blocks of about BLOCK rows, so that no task holds more than two of these, however
+    hot a list is. Queries with a known k-th score (``least``) get no lower ones.
     """
-    asked = visits.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")).join(counts, "list")
-    asked = materialize(asked.select("list", "q_blocks", F.ceil(F.col("n") / BLOCK).cast("int").alias("e_blocks")), "blocks")  # a row a list
+    own = ["template"] if by_template else []
+    asked = visits.join(queries.select(F.col("id").alias("query"), *own), "query") if by_template else visits
+    asked = asked.groupBy("list", *own).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")).join(examples.groupBy("list", *own).agg(F.count("*").alias("n")), ["list", *own])
+    asked = materialize(asked.select("list", *own, "q_blocks", F.ceil(F.col("n") / BLOCK).cast("int").alias("e_blocks")), "blocks")  # a row a list and template
+    asked = F.broadcast(asked) if small_enough(asked, MOST_BLOCKS) else asked
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = visits.join(F.broadcast(asked), "list").join(queries.select(F.col("id").alias("query"), "template", "vector", "norm"), "query")
-    q = q.withColumn("q_part", part("query", "q_blocks")).withColumn("e_part", all_of("e_blocks")).select("query", "template", "vector", "norm", "list", "q_part", "e_part")
-    e = examples.join(F.broadcast(asked), "list").withColumn("e_part", part("id", "e_blocks")).withColumn("q_part", all_of("q_blocks")).select("id", "template", "vector", "norm", "list", "q_part", "e_part")
-    key = ["list", "q_part", "e_part", *(["template"] if by_template else [])]
+    least = F.col("least") if "least" in queries.columns else F.lit(-2.0).alias("least")
+    q = visits.join(queries.select(F.col("id").alias("query"), "template", "vector", "norm", least), "query").join(asked, ["list", *own])
+    q = q.withColumn("q_part", part("query", "q_blocks")).withColumn("e_part", all_of("e_blocks")).select("query", "vector", "norm", "least", "list", "q_part", "e_part", *own)
+    e = examples.join(asked, ["list", *own]).withColumn("e_part", part("id", "e_blocks")).withColumn("q_part", all_of("q_blocks")).select("id", "vector", "norm", "list", "q_part", "e_part", *own)
+    key = ["list", "q_part", "e_part", *own]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "example_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return none
-        side = lambda t: np.array(t.column("vector").combine_chunks().flatten()).reshape(t.num_rows, -1)
-        ids, asked_ids = right.column("id").to_numpy(), left.column("query").to_numpy()
+        side = lambda t: np.array(t.column("vector").combine_chunks().flatten(), float).reshape(t.num_rows, -1)
+        ids, asked_ids, floor = right.column("id").to_numpy(), left.column("query").to_numpy(), left.column("least").to_numpy()
         order = np.argsort(ids, kind="stable")
-        x, y, norms = side(left), side(right)[order], right.column("norm").to_numpy()[order]
-        out_q, out_e, out_s = [], [], []
-        for lo in range(0, len(x), 256):
-            s = np.round(x[lo : lo + 256] @ y.T / (left.column("norm").to_numpy()[lo : lo + 256, None] * norms), DIGITS)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]  # of equal scores the smaller identifier
-            out_q.append(np.repeat(asked_ids[lo : lo + 256], top.shape[1]))
-            out_e.append(ids[order][top].ravel())
-            out_s.append(np.take_along_axis(s, top, 1).ravel())
-        return pa.table({"query_id": np.concatenate(out_q), "example_id": np.concatenate(out_e), "score": np.concatenate(out_s)})
+        ids, x, y, norms = ids[order], side(left), side(right)[order], right.column("norm").to_numpy()[order]
+        own_norms = left.column("norm").to_numpy()
+        near_x, near_y = (x / own_norms[:, None]).astype(np.float32), (y / norms[:, None]).astype(np.float32)
+        slack = 2 * SLACK + 2.4e-7 * (x.shape[1] + 2)  # twice what single precision is off, and the rounding
+        wide, out = -(-len(y) // STRIDE), []
+        for lo in range(0, len(x), AT_ONCE):
+            s = near_x[lo : lo + AT_ONCE] @ near_y.T
+            # the k greatest of some disjoint groups are no greater than the k greatest of all
+            tops = np.full((len(s), STRIDE * wide), -2, np.float32)
+            tops[:, : s.shape[1]] = s
+            tops = tops.reshape(len(s), STRIDE, wide).max(1)
+            bar = np.partition(tops, -k, axis=1)[:, -k] if wide > k else np.full(len(s), -2, np.float32)
+            i, j = np.nonzero(s >= (np.maximum(bar, floor[lo : lo + AT_ONCE]) - slack)[:, None])
+            exact = np.round(np.einsum("ij,ij->i", x[lo + i], y[j]) / (own_norms[lo + i] * norms[j]), DIGITS)
+            by = np.lexsort((j, -exact, i))  # of equal scores the smaller identifier
+            i, j, exact = i[by], j[by], exact[by]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = place < k
+            out.append((asked_ids[lo + i[keep]], ids[j[keep]], exact[keep]))
+        return pa.table(dict(zip(none.column_names, map(np.concatenate, zip(*out)))))
 
     return q.groupBy(*key).cogroup(e.groupBy(*key)).applyInArrow(score, "query_id long, example_id long, score double")
 
@@ -194,9 +213,9 @@ def top_examples_indexed(queries: DataFrame, examples: DataFrame, k: int, by_tem
         radius[r["list"]] = r["radius"] + 1e-7
     zero = _without_direction(q, e, k, by_template)
     first = materialize(_visits(q, centroids, radius, False), "visits")
-    near = materialize(_best(_compared(q, listed, first, counts, k, by_template).unionByName(zero), k), "near")
+    near = materialize(_best(_compared(q, listed, first, k, by_template).unionByName(zero), k), "near")
     least = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     known = q.join(least, F.col("id") == F.col("query_id"), "left").withColumn("least", F.when(F.col("n") == k, F.col("least")).otherwise(-2.0))
     then = materialize(_visits(known, centroids, radius, True), "visits")
-    found = _best(near.drop("rank").unionByName(_compared(q, listed, then, counts, k, by_template)), k)
+    found = _best(near.drop("rank").unionByName(_compared(known, listed, then, k, by_template)), k)
     return found, first.union(then)

@@ -14,3 +14,16 @@ def test_answers_are_parsed_once(spark):
     for of, most in ((free_answer, 6), (suggested, 4)):
         plan = plan_of(raw.select(of(F.col("raw")).alias("f")))
         assert plan.count("from_json") + plan.count("parse_json") <= most and plan.count("regexp_replace") == 2
+
+
+def test_queries_are_sent_to_few_lists(spark):
+    import random
+
+    from foliospark.operators import retrieval_index
+
+    rng = random.Random(3)
+    rows = [(i, str(i % 3), [rng.gauss(0, 1) for _ in range(8)]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, template string, vector array<double>")
+    asked = frame.where("id % 30 = 0")
+    found, read = retrieval_index.top_examples_indexed(asked, frame, 3)
+    assert read.count() <= 32 * 100 and found.count() == 300
