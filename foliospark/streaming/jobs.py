@@ -14,6 +14,13 @@ def document_stream(spark: SparkSession, path: str, schema, files_per_batch: int
     return spark.readStream.schema(schema).option("cleanSource", "delete" if delete else "off").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of them."""
+    name = path.rstrip("/")
+    # Spark takes the path of a plain stream for a folder; a pattern that only this name matches can be either
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{name[:-1]}[{name[-1]}]")
+
+
 def run_jobs(documents: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
     """Process every batch of documents into records under ``target``/batch=<number>.
 

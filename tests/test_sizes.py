@@ -27,3 +27,16 @@ def test_queries_are_sent_to_few_lists(spark):
     asked = frame.where("id % 30 = 0")
     found, read = retrieval_index.top_examples_indexed(asked, frame, 3)
     assert read.count() <= 32 * 100 and found.count() == 300
+
+
+def test_a_table_streams_as_a_file_and_as_a_folder(spark, sf):
+    from foliospark.storage import scratch
+    from foliospark.streaming import jobs
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    folder = scratch(spark, "events.parquet")
+    events.repartition(3).write.parquet(folder)
+    for path in (f"{sf}/events.parquet", folder):
+        base = scratch(spark, "stream")
+        jobs.run_jobs(jobs.table_stream(spark, path, events.schema, files_per_batch=2), lambda b: b, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+        assert spark.read.parquet(f"{base}/out").count() == events.count()
