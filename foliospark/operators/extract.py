@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.geometry import band, contains_centre, transformed
 from ..storage import small_enough
+from .layout import gathered
 
 #: Most fields of all templates that are sent to every task; beyond that the join shuffles.
 BROADCAST_FIELDS = 200_000
+#: What is kept of a word, behind its band.
+WORD = ("x", "word_no", "text", "conf", "y", "w", "h")
 
 
 def page_words(words: DataFrame, *more: str) -> DataFrame:
-    """doc_id, page, ws: the words of each page in reading order, and further columns that are the same for all words of a page. A page has a bounded number of words."""
-    row = F.struct(band(F.col("y")).alias("band"), "x", "word_no", "text", "conf", "y", "w", "h")
-    return words.groupBy("doc_id", "page").agg(*[F.first(c).alias(c) for c in more], F.array_sort(F.collect_list(row)).alias("ws"))
+    """doc_id, page, ws: the words of each page in reading order, and further columns that are the same for all words of a page."""
+    return gathered(words, lambda c: F.struct(band(c("y")).alias("band"), *[c(name) for name in WORD]), *more)
 
 
 def extract_fields(words: DataFrame, fields: DataFrame, padded: bool = True) -> DataFrame:
@@ -66,8 +68,7 @@ def better_values(values: DataFrame, again: DataFrame) -> DataFrame:
 
 def text_in_regions(words: DataFrame, fields: DataFrame) -> DataFrame:
     """doc_id, page, key, value: the words whose centres lie in each field of the page's template, without padding, from top to bottom by their exact y, then x."""
-    read = words.withColumn("band", F.col("y"))
-    pages = read.groupBy("doc_id", "page").agg(F.first("template_id").alias("template_id"), F.array_sort(F.collect_list(F.struct("band", "x", "word_no", "text", "conf", "y", "w", "h"))).alias("ws"))
+    pages = gathered(words, lambda c: F.struct(c("y").alias("band"), *[c(name) for name in WORD]), "template_id")
     return fields_of_pages(pages, fields, padded=False).select("doc_id", "page", "key", "value")
 
 

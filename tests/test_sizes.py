@@ -40,3 +40,13 @@ def test_a_table_streams_as_a_file_and_as_a_folder(spark, sf):
         base = scratch(spark, "stream")
         jobs.run_jobs(jobs.table_stream(spark, path, events.schema, files_per_batch=2), lambda b: b, f"{base}/out", f"{base}/checkpoint").awaitTermination()
         assert spark.read.parquet(f"{base}/out").count() == events.count()
+
+
+def test_words_of_a_text_are_gathered_without_a_shuffle(spark):
+    from foliospark.operators.layout import document_text, words_from_text
+
+    docs = spark.createDataFrame([(i, " ".join(["word"] * 700)) for i in range(5)], "doc_id long, text string")
+    pages = document_text(words_from_text(docs))
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_COL" in plan
+    assert pages.count() == 10
