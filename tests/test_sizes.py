@@ -48,5 +48,5 @@ def test_words_of_a_text_are_gathered_without_a_shuffle(spark):
     docs = spark.createDataFrame([(i, " ".join(["word"] * 700)) for i in range(5)], "doc_id long, text string")
     pages = document_text(words_from_text(docs))
     plan = pages._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_COL" in plan
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_NUM" in plan
     assert pages.count() == 10
