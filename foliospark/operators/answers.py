@@ -9,6 +9,7 @@ from ..config import EngineConfig
 from ..functions.text import bound, name_to_key, normal_value
 from ..sources.providers import Provider, answer, embed
 from .anchors import find_values
+from .layout import gathered
 from .lines import TABLE_TOLERANCE, group_lines, labelled_values, line_texts, unique_keys
 from .retrieval import bare_json, parse_answer, prompts, top_examples, value_hints
 
@@ -83,8 +84,7 @@ def scattered_regions(words: DataFrame, values: DataFrame) -> DataFrame:
 
     Normalised words match if they are equal or, for a word of the value of three characters or more, one holds the other.
     """
-    norm = normal_value(F.col("text"))
-    pages = words.withColumn("norm", norm).where("norm <> ''").groupBy("doc_id", "page").agg(F.collect_list(F.struct("norm", "x", "y", "w", "h")).alias("ws"))
+    pages = gathered(words, lambda c: F.struct(normal_value(c("text")).alias("norm"), *[c(name) for name in "xywh"])).withColumn("ws", F.filter("ws", lambda w: w["norm"] != ""))
     targets = F.filter(F.transform(F.split("value", "[ \\t\\n\\r]+"), lambda t: normal_value(t)), lambda t: t != "")
     met = values.withColumn("ts", targets).join(pages, ["doc_id", "page"], "left")
     near = lambda w, t: (w == t) | ((F.char_length(t) >= 3) & (F.contains(w, t) | F.contains(t, w)))

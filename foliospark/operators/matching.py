@@ -25,18 +25,23 @@ TURNS = [(0, False), (90, False), (90, True), (180, False), (270, False), (270,
 MOST_TEMPLATES, AT_ONCE = 10_000, 16
 
 
-def density_cells(words: DataFrame) -> DataFrame:
-    """doc_id, page, cell, v: the area of words by grid cell, as ten-thousandths of the fullest cell."""
+def _cells(words: DataFrame) -> DataFrame:
+    """doc_id, page, cells: a list of cells with the area of words in them, as ten-thousandths of the fullest cell."""
     c = lambda p, s: F.least(F.lit(GRID - 1), F.floor((2 * F.col(p) + F.col(s)) * GRID / (2 * PAGE)))
     inside = words.where(f"2 * x + w between 0 and {2 * PAGE} and 2 * y + h between 0 and {2 * PAGE}")
     area = inside.groupBy("doc_id", "page", (c("y", "h") * GRID + c("x", "w")).cast("int").alias("cell")).agg(F.sum(F.col("w") * F.col("h")).alias("area"))
-    most = area.groupBy("doc_id", "page").agg(F.max("area").alias("most"))
-    return area.join(most, ["doc_id", "page"]).where("most > 0").select("doc_id", "page", "cell", div_round(10_000 * F.col("area"), F.col("most")).alias("v"))
+    pages = area.groupBy("doc_id", "page").agg(F.max("area").alias("most"), F.collect_list(F.struct("cell", "area")).alias("cells")).where("most > 0")
+    return pages.select("doc_id", "page", F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), div_round(10_000 * c["area"], F.col("most")).alias("v"))).alias("cells"))
+
+
+def density_cells(words: DataFrame) -> DataFrame:
+    """doc_id, page, cell, v: the area of words by grid cell, as ten-thousandths of the fullest cell."""
+    return _cells(words).select("doc_id", "page", F.inline("cells"))
 
 
 def signatures(words: DataFrame) -> DataFrame:
     """doc_id, page, density: an array of CELLS ten-thousandths, row by row."""
-    cells = density_cells(words).groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"))
+    cells = _cells(words).select("doc_id", "page", F.map_from_entries("cells").alias("m"))
     return cells.select("doc_id", "page", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("density"))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answers
+from ..operators.layout import dealt
 from ..sources.providers import OfflineProvider
 from . import process
-from .queries import CONFIG, WORDS, _place, query, read, words
+from .queries import CONFIG, WORDS, _place, pages, query, read
 
 RAW = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"tipo_documento": "' || event_type || '", "datos": {"k": "v' || CAST(event_id AS VARCHAR) || '", "n": 0, "b": false, "z": null, "m": 12}}' WHEN 1 THEN '```json' || chr(10) || '{"datos": {"k": "v", "t": true, "o": {"p": [1, 2]}}}' || chr(10) || '```'
     WHEN 2 THEN '{"tipo_documento": "broken' WHEN 3 THEN '[1]' WHEN 4 THEN '{"tipo_documento": "x", "datos": [1]}' ELSE '{"tipo_documento": null, "datos": {"e": "", "l": [], "d": 1.5}}' END AS raw FROM events"""
@@ -46,8 +47,8 @@ NORM = "regexp_replace(strip_accents(lower({0})), '[^\\pL\\pN]', '', 'g')"
     SELECT DISTINCT v.doc_id, v.page, v.value, x, y, w, h FROM v LEFT JOIN b USING (doc_id, page, value)""")
 def scattered_values(spark, sf):
     """Where the words of values stand that a model has put in quotation marks: two words of every forty."""
-    w = words(spark, sf)
-    some = w.where("word_no % 40 in (3, 4)").groupBy("doc_id", "page", F.floor(F.col("word_no") / 40).alias("g")).agg(F.array_sort(F.collect_list(F.struct("word_no", F.concat(F.lit("«"), "text", F.lit("»")).alias("t")))).alias("ts"))
+    w = pages(spark, sf)
+    some = w.select("doc_id", "page", F.inline(F.filter("ws", lambda x: (x["word_no"] % 40).isin(3, 4)))).groupBy("doc_id", "page", F.floor(F.col("word_no") / 40).alias("g")).agg(F.array_sort(F.collect_list(F.struct("word_no", F.concat(F.lit("«"), "text", F.lit("»")).alias("t")))).alias("ts"))
     values = some.select("doc_id", "page", F.array_join(F.transform("ts", lambda s: s["t"]), " ").alias("value")).distinct()
     return answers.scattered_regions(w, values).select("doc_id", "page", "value", "box.x", "box.y", "box.w", "box.h")
 
@@ -65,13 +66,13 @@ def _customers(spark, sf, colon: str = "':'", *more):
     line = lambda label, value: F.array(F.concat(F.lit(label), F.expr(colon)), value)
     ws = F.array(line("Nombre", F.col("c_name")), line("Segmento", F.col("c_mktsegment")), line("Saldo", balance), *more)
     ws = F.filter(ws, lambda l: F.size(l) > 0)
-    return _place(c.select(F.col("c_custkey").alias("doc_id"), F.lit(0).cast("long").alias("page"), F.posexplode(ws).alias("line", "ws")))
+    return _place(c.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), "c_custkey", ws)
 
 
 def _texts(spark, sf):
     balance = F.floor(F.col("c_acctbal") * 100).cast("string")
     text = F.concat(F.lit("Nombre: "), "c_name", F.lit("\nSegmento: "), "c_mktsegment", F.lit("\nSaldo: "), balance)
-    return read(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).cast("long").alias("page"), F.col("c_nationkey").cast("long").alias("template"), text.alias("text"), "c_name", "c_mktsegment", balance.alias("balance"))
+    return dealt(read(spark, sf, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.lit(0).cast("long").alias("page"), F.col("c_nationkey").cast("long").alias("template"), text.alias("text"), "c_name", "c_mktsegment", balance.alias("balance"))
 
 
 @query(f"""WITH {FORM_WORDS_SQL}, f AS (SELECT doc_id, lower(label) AS key, value FROM lines JOIN customer ON c_custkey = doc_id WHERE c_nationkey % 3 = 0 OR line = c_nationkey % 3),

@@ -12,7 +12,7 @@ from ..functions.geometry import PAGE
 from ..operators.anchors import anchor_pairs, anchor_scores, find_text_anchors
 from ..operators.answers import KIND_KEY, extract_free, extract_with_examples, model_suggestions
 from ..operators.extract import BROADCAST_FIELDS, better_values, fields_of_pages, page_words, weak_fields
-from ..operators.layout import document_text
+from ..operators.layout import document_text, met_by_page
 from ..operators.lines import code_values, group_lines, labelled_values, merge_suggestions, TABLE_TOLERANCE
 from ..operators.matching import accepted, best_of_templates
 from ..operators.records import merged_data, needs_review, status
@@ -40,7 +40,8 @@ def process(words: DataFrame, pages: DataFrame, templates: DataFrame, fields: Da
     else:
         match = pages.select("doc_id", "page", F.lit(template_id).cast("long").alias("template_id"), F.lit(0).alias("angle"), F.lit(1.0).alias("score"))
     match = materialize(match, "match")
-    values = fields_of_pages(page_words(words).join(match.where("template_id is not null").select("doc_id", "page", "template_id"), ["doc_id", "page"]), fields)
+    known = met_by_page(page_words(words), match.where("template_id is not null").select("doc_id", "page", "template_id"), "of")
+    values = fields_of_pages(known.withColumn("template_id", F.col("of")[0]["template_id"]), fields)
     read = values.groupBy("doc_id", "page").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("data"),
         F.avg(F.when(F.col("value") != "", F.col("confidence"))).alias("avg_confidence"),
@@ -58,7 +59,8 @@ def suggest_fields(words: DataFrame, provider: Provider | None = None) -> DataFr
     Those of a model come first; a page for which it has none, or without a provider every page, has labelled values. The
     code values that overlap none of them follow. source is ``model`` or ``rules``, with ``+table`` where a page has code values.
     """
-    words = materialize(words.select("doc_id", "page", "word_no", "text", "conf", "x", "y", "w", "h"), "words")
+    if "ws" not in words.columns:
+        words = materialize(words.select("doc_id", "page", "word_no", "text", "conf", "x", "y", "w", "h"), "words")
     first = labelled_values(group_lines(words)).select("doc_id", "page", "ordinal", "key", "box", F.lit("rules").alias("source"))
     if provider is not None:
         model = materialize(model_suggestions(words, provider).select("doc_id", "page", "ordinal", "key", "box", F.lit("model").alias("source")), "suggested")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.geometry import band_sql
 from ..operators import anchors, extract, lines, matching, transforms
-from .queries import CONFIG, FIELDS_SQL, ONE, BEST_SQL, REGIONS, WORDS, _forms, _matching_sql, _pages, _regions, _templates, fields, query, read, words
+from .queries import CONFIG, FIELDS_SQL, ONE, BEST_SQL, REGIONS, WORDS, _forms, _matching_sql, _pages, _regions, _templates, fields, pages, query, read, words
 
 def _box():
     return F.struct("x", "y", "w", "h")
@@ -81,7 +81,7 @@ def quarter_turns(spark, sf):
         AND 2 * x + w BETWEEN 2 * fx AND 2 * (fx + fw) AND 2 * y + h BETWEEN 2 * fy AND 2 * (fy + fh) GROUP BY ALL)
     SELECT p.doc_id, p.page, f.key, coalesce(value, '') AS value FROM p JOIN fields f ON f.template_id = (p.doc_id + p.page) % 3 LEFT JOIN inside USING (doc_id, page, key)""")
 def text_in_regions(spark, sf):
-    return extract.text_in_regions(words(spark, sf).withColumn("template_id", F.pmod(F.col("doc_id") + F.col("page"), F.lit(3))), fields(spark))
+    return extract.text_in_regions(pages(spark, sf).withColumn("template_id", F.pmod(F.col("doc_id") + F.col("page"), F.lit(3))), fields(spark))
 
 
 @query(f"""{WORDS}, {FIELDS_SQL}, p AS (SELECT DISTINCT doc_id, page, 1.25::DOUBLE AS a, (doc_id % 3) / 32.0::DOUBLE AS b, CAST(page % 5 * 16 AS DOUBLE) AS tx, -(doc_id % 2) / 64.0::DOUBLE AS c, 0.75::DOUBLE AS d, -8.0::DOUBLE AS ty, doc_id % 4 > 0 AS moved FROM words),
@@ -94,7 +94,7 @@ def text_in_regions(spark, sf):
     SELECT b.doc_id, b.page, b.key, coalesce(value, '') AS value, coalesce(n, 0) AS n_words FROM b LEFT JOIN i USING (doc_id, page, key)""")
 def transformed_fields(spark, sf):
     """Fields on pages that a transform carries the template onto."""
-    w = extract.page_words(words(spark, sf).withColumn("template_id", F.pmod(F.col("doc_id") + F.col("page"), F.lit(3))), "template_id")
+    w = extract.page_words(pages(spark, sf).withColumn("template_id", F.pmod(F.col("doc_id") + F.col("page"), F.lit(3))), "template_id")
     matrix = F.expr("if(doc_id % 4 > 0, array(array(1.25D, (doc_id % 3) / 32D, cast(page % 5 * 16 as double)), array(-(doc_id % 2) / 64D, 0.75D, -8D)), null)")
     return extract.transformed_fields(w.select("doc_id", "page", "template_id", "ws", matrix.alias("matrix"), F.lit(1024).alias("width"), F.lit(2048).alias("height")), fields(spark))
 
@@ -107,7 +107,7 @@ JITTER = "(word_no * 7919 + doc_id * 31) % 2600"
     SELECT doc_id, page, CAST(line AS BIGINT) AS line, string_agg(text, ' ' ORDER BY x, y, text) AS text FROM l JOIN j USING (doc_id, page, r) GROUP BY ALL""")
 def group_lines_jittered(spark, sf):
     """Lines where each word's y is off by up to a row and more, so that only the first word of a line tells where it ends."""
-    w = words(spark, sf).withColumn("y", F.col("y") + (F.col("word_no") * 7919 + F.col("doc_id") * 31) % 2600)
+    w = pages(spark, sf).withColumn("ws", F.transform("ws", lambda v: v.withField("y", v["y"] + (v["word_no"] * 7919 + F.col("doc_id") * 31) % 2600)))
     return lines.line_texts(lines.group_lines(w))
 
 
