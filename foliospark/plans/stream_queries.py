@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import records
@@ -56,13 +60,13 @@ def failing_uploads(spark, sf):
     again.write.mode("append").parquet(f"{base}/spool")
 
     def process(uploads):
-        words = F.size(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda t: t != ""))
-        page = F.regexp_extract("text", "^page ([0-9]+) of", 1)
-        return uploads.select("upload_id", words.cast("long").alias("n_words"), F.when(page != "", page.cast("int")).alias("page_no"))
+        words = [sum(t != "" for t in re.split("[ \t\n\r]+", text)) for text in uploads["text"]]
+        pages = [re.match("page ([0-9]+) of", text) for text in uploads["text"]]
+        return pd.DataFrame({"upload_id": uploads["upload_id"], "n_words": words, "page_no": pd.array([np.int32(int(p[1])) if p else None for p in pages], dtype="Int32")})
 
     files = len(spark.read.parquet(f"{base}/spool").inputFiles())
     uploads = intake.upload_stream(spark, f"{base}/spool", "1 day", max(1, files // 3))
-    intake.take_in(uploads, process, base, f"{base}/checkpoint").awaitTermination()
+    intake.take_in(uploads, process, base, f"{base}/checkpoint", "upload_id long, n_words long, page_no int").awaitTermination()
     intake.clear_spool(spark, base)
     named = sent.select("upload_id", "filename")
     done = spark.read.parquet(f"{base}/records").join(named, "upload_id").select("filename", F.lit(None).cast("string").alias("error"), "n_words", "page_no")

@@ -127,3 +127,14 @@ def test_scratch_can_be_cleared(spark):
     with pytest.raises(Exception, match="(?i)not exist"):
         _files(spark, path)
     clear_scratch(spark)  # nothing there
+
+
+def test_failing_rows_cost_no_jobs(spark):
+    """Many failing rows are told apart within the tasks of one job, more of them than MOST_FAILED too."""
+    import pandas as pd
+
+    n = intake.MOST_FAILED + 500
+    rows = spark.range(2 * n).selectExpr("id as upload_id", "if(id % 2 = 0, 'x', string(id)) as text")
+    made, failed = intake.isolated_in_tasks(rows, lambda b: pd.DataFrame({"upload_id": b["upload_id"], "n": [int(t) for t in b["text"]]}), "upload_id long, n long", "upload_id")
+    assert made.count() == failed.count() == n and made.where("upload_id <> n").count() == 0
+    assert failed.where("upload_id % 2 = 0 and error like 'ValueError: invalid literal%'").count() == n
