@@ -50,3 +50,45 @@ def test_words_of_a_text_are_gathered_without_a_shuffle(spark):
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "REPARTITION_BY_NUM" in plan
     assert pages.count() == 10
+
+
+def test_pages_cut_from_texts_hold_the_same_words(spark):
+    """Pages are lists of the words that are rows elsewhere, made without sorting or gathering them."""
+    from foliospark.operators.layout import pages_from_text, words_from_text
+    from foliospark.operators.lines import group_lines, line_texts
+
+    docs = spark.createDataFrame([(1, "a  b\nc"), (2, " ".join(f"w{i}" for i in range(1250))), (3, " \n"), (4, None), (5, "é " * 600)], "doc_id long, text string")
+    pages = pages_from_text(docs)
+    columns = ["doc_id", "page", "word_no", "text", "conf", "x", "y", "w", "h"]
+    assert sorted(pages.selectExpr("doc_id", "page", "inline(ws)").select(columns).collect()) == sorted(words_from_text(docs).select(columns).collect())
+    texts = line_texts(group_lines(pages))
+    assert "Aggregate" not in texts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(texts.collect()) == sorted(line_texts(group_lines(words_from_text(docs))).collect())
+
+
+def test_a_phrase_is_normalised_once(spark):
+    """The look-up of a label's kind doesn't repeat what is looked up for each kind."""
+    from foliospark.functions.text import label_kind, normal_label
+
+    plan = plan_of(spark.createDataFrame([("Nº Expediente",)], "t string").select(label_kind(normal_label(F.col("t"))).alias("k")))
+    assert plan.count("lower(") == 1
+
+
+def test_a_page_is_searched_once_for_all_values(spark):
+    from foliospark.operators.anchors import find_values
+    from foliospark.operators.layout import pages_from_text
+
+    pages = pages_from_text(spark.createDataFrame([(1, "one two three four"), (2, "two")], "doc_id long, text string"))
+    values = spark.createDataFrame([(1, 0, "two three"), (1, 0, "four"), (2, 0, "two"), (2, 0, "seven")], "doc_id long, page long, value string")
+    found = find_values(pages, values)
+    assert sorted((r.doc_id, r.value, r.score) for r in found.collect()) == [(1, "four", 1.0), (1, "two three", 1.0), (2, "two", 1.0)]
+    assert "Aggregate" in found._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_reading_is_chosen_where_its_page_is(spark):
+    from foliospark.operators.layout import ensemble
+
+    ws = "array(named_struct('conf', {}L), named_struct('conf', {}L))"
+    rows = spark.range(1).selectExpr("id as doc_id", "0L as page", "array(" + ", ".join(f"named_struct('variant', {v}, 'ws', {ws.format(a, b)})" for v, a, b in ((0, 1, 2), (1, 5, 4), (2, 4, 5))) + ") as readings")
+    best = ensemble(rows)
+    assert best.first().variant == 1 and "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
