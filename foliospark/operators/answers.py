@@ -9,7 +9,7 @@ from ..config import EngineConfig
 from ..functions.text import bound, name_to_key, normal_value
 from ..sources.providers import Provider, answer, embed
 from .anchors import find_values
-from .layout import gathered
+from .layout import gathered, met_by_page
 from .lines import TABLE_TOLERANCE, group_lines, labelled_values, line_texts, unique_keys
 from .retrieval import bare_json, parse_answer, prompts, top_examples, value_hints
 
@@ -86,13 +86,14 @@ def scattered_regions(words: DataFrame, values: DataFrame) -> DataFrame:
     """
     pages = gathered(words, lambda c: F.struct(normal_value(c("text")).alias("norm"), *[c(name) for name in "xywh"])).withColumn("ws", F.filter("ws", lambda w: w["norm"] != ""))
     targets = F.filter(F.transform(F.split("value", "[ \\t\\n\\r]+"), lambda t: normal_value(t)), lambda t: t != "")
-    met = values.withColumn("ts", targets).join(pages, ["doc_id", "page"], "left")
+    met = met_by_page(pages, values.withColumn("ts", targets).select("doc_id", "page", "value", "ts").distinct(), "vs").select("doc_id", "page", "ws", F.inline("vs"))
     near = lambda w, t: (w == t) | ((F.char_length(t) >= 3) & (F.contains(w, t) | F.contains(t, w)))
     met = met.withColumn("hit", F.filter("ws", lambda w: F.exists("ts", lambda t: near(w["norm"], t))))
     low = lambda c: F.array_min(F.transform("hit", lambda w: w[c]))
     high = lambda c, s: F.array_max(F.transform("hit", lambda w: w[c] + w[s]))
     box = F.struct(low("x").alias("x"), low("y").alias("y"), (high("x", "w") - low("x")).alias("w"), (high("y", "h") - low("y")).alias("h"))
-    return met.withColumn("box", F.when(F.size("hit") > 0, box)).drop("ts", "ws", "hit")
+    boxes = met.select("doc_id", "page", "value", F.when(F.size("hit") > 0, box).alias("box"))
+    return values.join(boxes, ["doc_id", "page", "value"], "left")
 
 
 def extract_with_examples(texts: DataFrame, words: DataFrame, fields: DataFrame, examples: DataFrame, provider: Provider, config: EngineConfig = EngineConfig()) -> DataFrame:
