@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..cluster import ship_package
 from ..config import EngineConfig
 
 
@@ -99,8 +106,8 @@ def _fitted(pages: DataFrame) -> DataFrame:
     return out.withColumn("rx", F.expr("(su - ra * sx + rb * sy) / m")).withColumn("ry", F.expr("(sv - rb * sx - ra * sy) / m"))
 
 
-#: Up to so many pairs all minimal samples are tried, beyond that so many that are drawn: with two fifths of the pairs off, none of 120 draws is free of these with a chance of 2e-13.
-WHOLE, DRAWS, SEED = 9, 120, 11
+#: Squared distances from a page's pairs that are computed at a time.
+AT_ONCE = 1 << 20
 _STEPS = {"x2": "q.src_x - p.src_x", "y2": "q.src_y - p.src_y", "u2": "q.dst_x - p.dst_x", "v2": "q.dst_y - p.dst_y", "x3": "r.src_x - p.src_x", "y3": "r.src_y - p.src_y", "u3": "r.dst_x - p.dst_x", "v3": "r.dst_y - p.dst_y"}
 _THROUGH = [  # the affine transform through three pairs p, q, r, and the similarity through p and q
     {"area": "nullif(x2 * y3 - x3 * y2, 0)", "long": "nullif(x2 * x2 + y2 * y2, 0)"},
@@ -113,32 +120,117 @@ _THROUGH = [  # the affine transform through three pairs p, q, r, and the simila
 _BENT = "round(coalesce(abs(a - d) + abs(b + c), 0), 3)"
 
 
-def _samples() -> str:
-    """Triples of places (i < j < k) of a page with n pairs; with two pairs k is null."""
-    whole = "flatten(transform(sequence(0, n - 3), i -> flatten(transform(sequence(i + 1, n - 2), j -> transform(sequence(j + 1, n - 1), k -> struct(i as i, j as j, k as k))))))"
-    place = lambda k: f"cast(pmod(xxhash64(doc_id, page, d, {SEED + k}), n) as int)"
-    drawn = f"filter(transform(transform(sequence(0, {DRAWS - 1}), d -> array_sort(array_distinct(array({place(0)}, {place(1)}, {place(2)})))), s -> struct(get(s, 0) as i, get(s, 1) as j, get(s, 2) as k)), s -> s.k is not null)"
-    return f"case when n = 2 then array(struct(0 as i, 1 as j, cast(null as int) as k)) when n < 2 then null when n <= {WHOLE} then {whole} else {drawn} end"
+def _samples(n: int, most: int) -> Iterator[np.ndarray]:
+    """Triples of places i < j < k among n pairs in their order, up to about ``most`` at a time."""
+    some, size = [], 0
+    for i in range(n - 2):
+        for j in range(i + 1, n - 1):
+            k = np.arange(j + 1, n)
+            some.append(np.stack([np.full_like(k, i), np.full_like(k, j), k]))
+            size += len(k)
+            if size >= most:
+                yield np.concatenate(some, 1)
+                some, size = [], 0
+    if some:
+        yield np.concatenate(some, 1)
+
+
+@lru_cache(maxsize=32)
+def _all_samples(n: int) -> list[np.ndarray]:
+    return list(_samples(n, AT_ONCE))
+
+
+class _Best:
+    """The sample with most votes of each page, of as many the least bent one, then the first; and which pairs agree with it."""
+
+    def __init__(self, pages: int, n: int):
+        self.votes, self.bent, self.agree = np.full(pages, -1), np.full(pages, np.inf), np.zeros((pages, n), bool)
+
+    def add(self, rows: slice, known: np.ndarray, bent: np.ndarray, near: np.ndarray) -> None:
+        votes = np.where(known, near.sum(2), -1)
+        top = votes.max(1)
+        least = np.where(votes == top[:, None], np.where(np.isfinite(bent), bent, np.finfo(float).max), np.inf)
+        at, one = least.argmin(1), np.arange(len(top))
+        better = (top > self.votes[rows]) | ((top == self.votes[rows]) & (top >= 0) & (least[one, at] < self.bent[rows]))
+        self.votes[rows] = np.where(better, top, self.votes[rows])
+        self.bent[rows] = np.where(better, least[one, at], self.bent[rows])
+        self.agree[rows] = np.where(better[:, None], near[one, at], self.agree[rows])
+
+
+def _near(m: tuple, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of pages (rows) and transforms (columns) which pairs are within OFF."""
+    a, b, tx, c, d, ty = (e[..., None] for e in m)
+    off_x, off_y = a * x[:, None] + b * y[:, None] + tx - u[:, None], c * x[:, None] + d * y[:, None] + ty - v[:, None]
+    return off_x * off_x + off_y * off_y <= OFF * OFF
+
+
+def _bent(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """_BENT: in thousandths, halves up."""
+    thousandths = (np.abs(a - d) + np.abs(b + c)) * 1000
+    whole = np.floor(thousandths)
+    return (whole + (thousandths - whole >= 0.5)) / 1000
+
+
+def _winners(points: np.ndarray) -> tuple[_Best, _Best]:
+    """Of pages (rows) of as many pairs (columns) the best affine transform through three pairs, and the best similarity through the first two of any three, or through two."""
+    pages, n, _ = points.shape
+    affine, similar = _Best(pages, n), _Best(pages, n)
+    samples = [np.array([[0], [1], [-1]])] if n == 2 else _all_samples(n) if n <= 40 else _samples(n, max(1, AT_ONCE // n))
+    for i, j, k in samples if n > 1 else []:
+        pair = np.flatnonzero((k == j + 1) | (k < 0))  # one sample of each i and j
+        step = max(1, AT_ONCE // (len(i) * n))
+        for lo in range(0, pages, step):
+            rows = slice(lo, lo + step)
+            x, y, u, v = np.moveaxis(points[rows], 2, 0)
+            with np.errstate(all="ignore"):
+                if n > 2:
+                    (px, x2, x3), (py, y2, y3), (pu, u2, u3), (pv, v2, v3) = ((c[:, i], c[:, j] - c[:, i], c[:, k] - c[:, i]) for c in (x, y, u, v))
+                    area = x2 * y3 - x3 * y2
+                    a, b, c, d = (u2 * y3 - u3 * y2) / area, (x2 * u3 - x3 * u2) / area, (v2 * y3 - v3 * y2) / area, (x2 * v3 - x3 * v2) / area
+                    near = _near((a, b, pu - a * px - b * py, c, d, pv - c * px - d * py), x, y, u, v)
+                    affine.add(rows, (area != 0) & ~np.isnan(a + b + c + d), _bent(a, b, c, d), near)
+                if len(pair):
+                    (px, x2), (py, y2), (pu, u2), (pv, v2) = ((c[:, i[pair]], c[:, j[pair]] - c[:, i[pair]]) for c in (x, y, u, v))
+                    long = x2 * x2 + y2 * y2
+                    a, b = (x2 * u2 + y2 * v2) / long, (x2 * v2 - y2 * u2) / long
+                    near = _near((a, -b, pu - a * px + b * py, b, a, pv - b * px - a * py), x, y, u, v)
+                    similar.add(rows, (long != 0) & ~np.isnan(a + b), np.zeros(a.shape), near)
+    return affine, similar
+
+
+def _agreeing(pages: DataFrame) -> DataFrame:
+    """With agree_a and agree_r: the pairs of each page (ps) that agree with its best affine transform and with its best similarity; null where no sample says anything."""
+    ship_package(pages.sparkSession)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("ps"))
+            sizes = lists.value_lengths().to_numpy()
+            points = np.stack([c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()], 1)
+            start, agree = np.cumsum(sizes) - sizes, [[None] * len(sizes), [None] * len(sizes)]
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                for out, best in zip(agree, _winners(points[start[at][:, None] + np.arange(n)])):
+                    for row, votes, near in zip(at, best.votes, best.agree):
+                        out[row] = np.flatnonzero(near) if votes >= 0 else None
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(a, pa.list_(pa.int32())) for a in agree)], names=[*batch.schema.names, "agree_a", "agree_r"])
+
+    some = ArrayType(IntegerType())
+    found = pages.mapInArrow(vote, StructType([*pages.schema.fields, StructField("agree_a", some), StructField("agree_r", some)]))
+    return found.withColumns({c: F.transform(c, lambda i: F.get("ps", i)) for c in ("agree_a", "agree_r")})
 
 
 def consensus_fit(pairs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """What :func:`fit_anchors` returns, by consensus: right with up to two fifths of the pairs off, wherever these lie.
 
-    Minimal samples, all of them or DRAWS drawn by a hash of page and number, are rows with the affine transform through three pairs and the
+    Minimal samples, all of them however many a page has, are the affine transform through three pairs and the
     similarity through the first two of them. Each counts the page's pairs within OFF of it; of both kinds the one with most votes wins, of affine ones with as many the one
     nearest to a similarity (any three pairs agree, so with few pairs votes alone say little), then the first, and the least-squares fit of its pairs is the result: the affine transform if it is sane, else the similarity if that is, else ``none``. n_used is how
-    many pairs agree. A page is gathered once; its samples stay where it is. One pair gives a translation; samples in a line say nothing.
+    many pairs agree. A page is gathered once, and its samples are never rows; n pairs have about n^3 / 6 of them. One pair gives a translation; samples in a line say nothing.
     """
     point = F.struct(*[F.col(c).cast("double").alias(c) for c in ("src_x", "src_y", "dst_x", "dst_y")])
     pages = pairs.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(point)).alias("ps"), F.count("*").cast("int").alias("n"))
-    rows = pages.select("*", F.explode_outer(F.expr(_samples())).alias("s"))
-    rows = rows.withColumns({name: F.expr(f"get(ps, s.{i})") for name, i in (("p", "i"), ("q", "j"), ("r", "k"))})
-    for step in (_STEPS, *_THROUGH):
-        rows = rows.withColumns({k: F.expr(e) for k, e in step.items()})
-    within = lambda off: f"filter(ps, p -> {off} <= {OFF * OFF}D)"
-    rows = rows.withColumn("agree_a", F.expr(f"if(a is null, null, {within(_OFF_AFFINE)})")).withColumn("agree_r", F.expr(f"if(ra is null, null, {within(_OFF_SIMILAR)})"))
-    first = lambda side, bent: F.struct(F.coalesce(F.size(side), F.lit(-1)), -F.expr(bent), *[-F.col(f"s.{c}") for c in "ij"], -F.coalesce("s.k", F.lit(0)))
-    won = rows.groupBy("doc_id", "page").agg(F.first("n").alias("n"), F.first("ps").alias("all"), F.max_by("agree_a", first("agree_a", _BENT)).alias("agree_a"), F.max_by("agree_r", first("agree_r", "0D")).alias("agree_r"))
+    won = _agreeing(pages).withColumnRenamed("ps", "all")
     mean = lambda e: f"sqrt(aggregate(ps, 0D, (s, p) -> s + {e}) / m) / nullif(extent, 0)"
     side = lambda c: f"(array_max(transform(ps, p -> p.{c})) - array_min(transform(ps, p -> p.{c})))"
 
@@ -180,7 +272,7 @@ def fit_sql(points: str, config: EngineConfig = EngineConfig()) -> str:
 
 
 def consensus_sql(points: str, config: EngineConfig = EngineConfig()) -> str:
-    """:func:`consensus_fit` in SQL for pages of up to WHOLE pairs, as table expressions that end in ``fitted``."""
+    """:func:`consensus_fit` in SQL, as table expressions that end in ``fitted``."""
     through = "".join(f", s{n + 1} AS (SELECT *, {_alias(step)} FROM s{n})" for n, step in enumerate((_STEPS, *_THROUGH)))
 
     def won(name: str, off: str, known: str, bent: str) -> str:

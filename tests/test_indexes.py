@@ -124,3 +124,21 @@ def test_consensus_with_two_fifths_off(spark):
     assert got[501].kind == "similarity" and got[501].scale == pytest.approx(2) and got[502].kind == "similarity" and got[502].n_used == 3
     assert got[503].kind in ("none", "similarity") and got[503].n == 2
     assert not transforms.consensus_fit(pairs.limit(0)).count()
+
+
+def test_consensus_tries_all_samples_of_large_pages(spark, tmp_path):
+    """Pages of ten pairs and more end as in SQL, which compares all samples."""
+    import duckdb
+
+    rng, rows = random.Random(5), []
+    for doc in range(150):
+        turn = rng.choice((0.0, 0.5))
+        for i in range(rng.choice((10, 11, 14))):
+            x, y = float(rng.randrange(1000)), float(rng.randrange(1400))
+            far = 0.0 if rng.random() < 0.3 else float(rng.randrange(3000))  # most pairs are off
+            rows.append((doc, 0, i, x, y, 1.5 * x - turn * y + far, turn * x + 1.5 * y - far))
+    frame = spark.createDataFrame(rows, "doc_id long, page long, i long, src_x double, src_y double, dst_x double, dst_y double")
+    frame.write.parquet(f"{tmp_path}/points")
+    sql = f"{transforms.consensus_sql(f'SELECT * FROM read_parquet(' + chr(39) + str(tmp_path) + '/points/*.parquet' + chr(39) + ')')} SELECT doc_id, n, n_used, kind FROM fitted"
+    got = transforms.consensus_fit(frame.drop("i")).select("doc_id", "n", "n_used", "kind").collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
