@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -54,13 +54,22 @@ def fields_of_pages(pages: DataFrame, fields: DataFrame, padded: bool = True) ->
 
 def weak_fields(values: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Fields worth a second reading: blank, or read with little confidence."""
-    return values.where((F.trim("value") == "") | (F.col("confidence") < config.refine_below))
+    return values.where(is_weak(config))
+
+
+def is_weak(config: EngineConfig = EngineConfig()) -> Column:
+    return (F.trim("value") == "") | (F.col("confidence") < config.refine_below)
 
 
 def better_values(values: DataFrame, again: DataFrame) -> DataFrame:
     """Replace values by second readings (doc_id, page, key, new_value, new_confidence) that have text and are no worse, or fill a blank."""
+    return better_readings(values.join(again, ["doc_id", "page", "key"], "left"))
+
+
+def better_readings(values: DataFrame) -> DataFrame:
+    """The same for values with their second readings beside them (new_value and new_confidence, null where there is none): nothing is joined or shuffled."""
     taken = (F.coalesce(F.trim("new_value"), F.lit("")) != "") & ((F.trim("value") == "") | (F.col("new_confidence") >= F.col("confidence")))
-    return values.join(again, ["doc_id", "page", "key"], "left").select(
+    return values.select(
         "doc_id", "page", "key", F.when(taken, F.col("new_value")).otherwise(F.col("value")).alias("value"),
         F.when(taken, F.col("new_confidence")).otherwise(F.col("confidence")).alias("confidence"), F.coalesce(taken & (F.col("value") != F.col("new_value")), F.lit(False)).alias("replaced"),
     )

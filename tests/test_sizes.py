@@ -92,3 +92,15 @@ def test_a_reading_is_chosen_where_its_page_is(spark):
     rows = spark.range(1).selectExpr("id as doc_id", "0L as page", "array(" + ", ".join(f"named_struct('variant', {v}, 'ws', {ws.format(a, b)})" for v, a, b in ((0, 1, 2), (1, 5, 4), (2, 4, 5))) + ") as readings")
     best = ensemble(rows)
     assert best.first().variant == 1 and "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_second_readings_beside_their_values_are_not_joined(spark, sf):
+    from foliospark.operators.extract import better_readings, better_values
+    from foliospark.plans.queries import QUERIES
+
+    rows = [(1, 0, "a", "x", 50.0, "y", 60.0), (1, 0, "b", " ", 90.0, "z", 1.0), (1, 1, "a", "x", 70.0, "y", 60.0), (2, 0, "a", "x", 90.0, None, None), (2, 0, "b", "", 0.0, " ", 99.0)]
+    both = spark.createDataFrame(rows, "doc_id long, page long, key string, value string, confidence double, new_value string, new_confidence double")
+    joined = better_values(both.drop("new_value", "new_confidence"), both.drop("value", "confidence").where("new_value is not null"))
+    assert sorted(better_readings(both).collect()) == sorted(joined.collect())
+    plan = QUERIES["weak_fields"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
