@@ -16,10 +16,10 @@ from ..storage import materialize, small_enough
 
 #: Examples that centroids are fitted on, the first by a hash of their identifier (at 64 components 10 MB); all examples are indexed.
 SAMPLE, ROUNDS, SEED = 20_000, 8, 5
-#: Most lists (a query is sent once to each list that it reads), lists that each query reads first, rows of a list or of the queries for it that meet
-#: in a task, queries scored at a time, and columns of scores of which the greatest one is looked at first.
-MOST_LISTS, FIRST, BLOCK, AT_ONCE, STRIDE = 32, 2, 16_384, 256, 32
-#: Most pairs of list and template that are sent to every task.
+#: Most lists, lists that each query reads first, examples or queries that meet in a task (and bytes of the vectors of either), scores that are computed at a time,
+#: and columns of scores of which the greatest one is looked at first.
+MOST_LISTS, FIRST, BLOCK, BLOCK_BYTES, AT_ONCE, STRIDE = 32, 2, 65_536, 32 << 20, 1 << 22, 32
+#: Most groups (templates, or bundles of lists) whose sizes are sent to every task.
 MOST_BLOCKS = 200_000
 #: Scores are rounded to so many digits; a list is skipped only if its bound is farther off than that.
 DIGITS, SLACK = 6, 2e-6
@@ -117,56 +117,90 @@ def _visits(queries: DataFrame, centroids: Centroids, radius: np.ndarray, found:
     return queries.select(*columns).mapInArrow(choose, "query long, list int")
 
 
-def _compared(queries: DataFrame, examples: DataFrame, visits: DataFrame, k: int, by_template: bool) -> DataFrame:
+def _bundles(counts: dict[int, int], lists: int, block: int) -> list[str]:
+    """Of each list the bundle that it is in: neighbouring lists of about ``block`` examples in all."""
+    out, before = [], 0
+    for at in range(lists):
+        out.append(str(before // block))
+        before += counts.get(at, 0)
+    return out
+
+
+def _compared(queries: DataFrame, examples: DataFrame, visits: DataFrame, k: int, by_template: bool, bundles: list[str], block: int) -> DataFrame:
     """query_id, example_id, score of the best k of each query in each block of the lists that it visits.
 
-    Lists (of each template, if only that counts), and the queries for one, are cut into blocks of about BLOCK rows, so that no task holds more than two of these, however
-    hot a list is. Queries with a known k-th score (``least``) get no lower ones.
+    A query is sent once to each bundle of lists, however many of these it visits, or if only its template counts to that. Bundles and templates, and the queries for one, are
+    cut into blocks of about ``block`` rows, so that no task holds more than two of these, however hot one is, and a row is sent as often as the other side has blocks. Queries with a known k-th score (``least``) get no lower ones.
     """
-    own = ["template"] if by_template else []
-    asked = visits.join(queries.select(F.col("id").alias("query"), *own), "query") if by_template else visits
-    asked = asked.groupBy("list", *own).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")).join(examples.groupBy("list", *own).agg(F.count("*").alias("n")), ["list", *own])
-    asked = materialize(asked.select("list", *own, "q_blocks", F.ceil(F.col("n") / BLOCK).cast("int").alias("e_blocks")), "blocks")  # a row a list and template
+    bundle = lambda c: F.get(F.array(*[F.lit(b) for b in bundles]), c)
+    by_query = visits.groupBy("query").agg(F.collect_list("list").alias("lists"))
+    if by_template:
+        asked = by_query.select("query").join(queries.select(F.col("id").alias("query"), F.col("template").alias("grp")), "query")
+    else:
+        asked = visits.select("query", bundle(F.col("list")).alias("grp")).distinct()
+    e = examples.withColumn("grp", F.col("template") if by_template else bundle(F.col("list")))
+    asked = asked.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("q_blocks")).join(e.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("e_blocks")), "grp")
+    asked = materialize(asked, "blocks")  # a row a group
     asked = F.broadcast(asked) if small_enough(asked, MOST_BLOCKS) else asked
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     least = F.col("least") if "least" in queries.columns else F.lit(-2.0).alias("least")
-    q = visits.join(queries.select(F.col("id").alias("query"), "template", "vector", "norm", least), "query").join(asked, ["list", *own])
-    q = q.withColumn("q_part", part("query", "q_blocks")).withColumn("e_part", all_of("e_blocks")).select("query", "vector", "norm", "least", "list", "q_part", "e_part", *own)
-    e = examples.join(asked, ["list", *own]).withColumn("e_part", part("id", "e_blocks")).withColumn("q_part", all_of("q_blocks")).select("id", "vector", "norm", "list", "q_part", "e_part", *own)
-    key = ["list", "q_part", "e_part", *own]
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "example_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return none
-        side = lambda t: np.array(t.column("vector").combine_chunks().flatten(), float).reshape(t.num_rows, -1)
-        ids, asked_ids, floor = right.column("id").to_numpy(), left.column("query").to_numpy(), left.column("least").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x, y, norms = ids[order], side(left), side(right)[order], right.column("norm").to_numpy()[order]
-        own_norms = left.column("norm").to_numpy()
+    q = by_query.join(queries.select(F.col("id").alias("query"), F.col("template").alias("grp"), "vector", "norm", least), "query")
+    if not by_template:
+        q = q.withColumn("grp", F.explode(F.array_distinct(F.transform("lists", bundle))))
+    q = q.join(asked, "grp").withColumn("q_part", part("query", "q_blocks")).withColumn("e_part", all_of("e_blocks")).select("query", "vector", "norm", "least", "lists", "grp", "q_part", "e_part")
+    e = e.join(asked, "grp").withColumn("e_part", part("id", "e_blocks")).withColumn("q_part", all_of("q_blocks")).select("id", "vector", "norm", "list", "grp", "q_part", "e_part")
+
+    def best(x: np.ndarray, own_norms: np.ndarray, floor: np.ndarray, ids: np.ndarray, y: np.ndarray, norms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of queries, identifiers of examples and scores of the best k of some queries in one list, ordered by identifier."""
         near_x, near_y = (x / own_norms[:, None]).astype(np.float32), (y / norms[:, None]).astype(np.float32)
         slack = 2 * SLACK + 2.4e-7 * (x.shape[1] + 2)  # twice what single precision is off, and the rounding
-        wide, out = -(-len(y) // STRIDE), []
-        for lo in range(0, len(x), AT_ONCE):
-            s = near_x[lo : lo + AT_ONCE] @ near_y.T
+        wide, step = -(-len(y) // STRIDE), max(1, AT_ONCE // len(y))
+        for lo in range(0, len(x), step):
+            s = near_x[lo : lo + step] @ near_y.T
             # the k greatest of some disjoint groups are no greater than the k greatest of all
             tops = np.full((len(s), STRIDE * wide), -2, np.float32)
             tops[:, : s.shape[1]] = s
             tops = tops.reshape(len(s), STRIDE, wide).max(1)
             bar = np.partition(tops, -k, axis=1)[:, -k] if wide > k else np.full(len(s), -2, np.float32)
-            i, j = np.nonzero(s >= (np.maximum(bar, floor[lo : lo + AT_ONCE]) - slack)[:, None])
+            i, j = np.nonzero(s >= (np.maximum(bar, floor[lo : lo + step]) - slack)[:, None])
             exact = np.round(np.einsum("ij,ij->i", x[lo + i], y[j]) / (own_norms[lo + i] * norms[j]), DIGITS)
-            by = np.lexsort((j, -exact, i))  # of equal scores the smaller identifier
-            i, j, exact = i[by], j[by], exact[by]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = place < k
-            out.append((asked_ids[lo + i[keep]], ids[j[keep]], exact[keep]))
-        return pa.table(dict(zip(none.column_names, map(np.concatenate, zip(*out)))))
+            yield from _first(lo + i, ids[j], exact, k)
 
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"query_id": pa.array([], pa.int64()), "example_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        flat = lambda t: (np.asarray(t.column("vector").combine_chunks().flatten(), float), np.r_[0, np.cumsum(np.asarray(t.column("vector").combine_chunks().value_lengths()))])
+        (xs, x_at), (ys, y_at) = flat(left), flat(right)
+        ids, where, norms = (right.column(c).to_numpy() for c in ("id", "list", "norm"))
+        asked_ids, own_norms, floor = (left.column(c).to_numpy() for c in ("query", "norm", "least"))
+        lists = left.column("lists").combine_chunks()
+        read, reader = np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        some = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))]
+        for at in np.unique(where):
+            rows, askers = np.flatnonzero(where == at), reader[read == at]
+            if not len(askers):
+                continue
+            rows = rows[np.argsort(ids[rows], kind="stable")]
+            d = y_at[rows[0] + 1] - y_at[rows[0]]  # a list holds vectors of one length
+            y, x = ys[y_at[rows][:, None] + np.arange(d)], xs[x_at[askers][:, None] + np.arange(d)]
+            some += [(askers[i], e, s) for i, e, s in best(x, own_norms[askers], floor[askers], ids[rows], y, norms[rows])]
+        i, found, exact = next(_first(*map(np.concatenate, zip(*some)), k))
+        return pa.table(dict(zip(none.column_names, (asked_ids[i], found, exact))))
+
+    key = ["grp", "q_part", "e_part"]
     return q.groupBy(*key).cogroup(e.groupBy(*key)).applyInArrow(score, "query_id long, example_id long, score double")
 
 
+def _first(i: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k highest scores of each query, of equal ones the smaller identifier."""
+    by = np.lexsort((ids, -scores, i))
+    i, ids, scores = i[by], ids[by], scores[by]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    yield i[keep], ids[keep], scores[keep]
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "example_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -209,13 +243,16 @@ def top_examples_indexed(queries: DataFrame, examples: DataFrame, k: int, by_tem
     listed = e.where("list >= 0")
     counts = materialize(listed.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("radius")), "lists")
     radius = np.full(max(1, centroids.n), -np.inf)  # an empty list is never read
-    for r in counts.collect():
+    sizes = counts.collect()
+    for r in sizes:
         radius[r["list"]] = r["radius"] + 1e-7
+    block = max(1, min(BLOCK, BLOCK_BYTES // (8 * max([1, *centroids.by_size]))))
+    bundles = _bundles({r["list"]: r["n"] for r in sizes}, max(1, centroids.n), block)
     zero = _without_direction(q, e, k, by_template)
     first = materialize(_visits(q, centroids, radius, False), "visits")
-    near = materialize(_best(_compared(q, listed, first, k, by_template).unionByName(zero), k), "near")
+    near = materialize(_best(_compared(q, listed, first, k, by_template, bundles, block).unionByName(zero), k), "near")
     least = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     known = q.join(least, F.col("id") == F.col("query_id"), "left").withColumn("least", F.when(F.col("n") == k, F.col("least")).otherwise(-2.0))
     then = materialize(_visits(known, centroids, radius, True), "visits")
-    found = _best(near.drop("rank").unionByName(_compared(known, listed, then, k, by_template)), k)
+    found = _best(near.drop("rank").unionByName(_compared(known, listed, then, k, by_template, bundles, block)), k)
     return found, first.union(then)

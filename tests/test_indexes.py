@@ -142,3 +142,22 @@ def test_consensus_tries_all_samples_of_large_pages(spark, tmp_path):
     sql = f"{transforms.consensus_sql(f'SELECT * FROM read_parquet(' + chr(39) + str(tmp_path) + '/points/*.parquet' + chr(39) + ')')} SELECT doc_id, n, n_used, kind FROM fitted"
     got = transforms.consensus_fit(frame.drop("i")).select("doc_id", "n", "n_used", "kind").collect()
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_a_query_is_sent_to_bundles_of_lists(spark, monkeypatch):
+    """However many lists a query reads, it is sent once to those that a task holds together."""
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, i % 3, rng.standard_normal(8).tolist()) for i in range(1500)], VECTORS)
+    sent, plain = [], retrieval_index._compared
+
+    def counted(q, e, visits, *more):
+        out = plain(q, e, visits, *more)
+        sent.append((visits.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(retrieval_index, "_compared", counted)
+    for by_template in (False, True):
+        sent.clear()
+        found, read = retrieval_index.top_examples_indexed(frame, frame, 4, by_template)
+        assert found.count() == 6000 and sent[1][0] > 10 * 1500
+        assert sent[0][1] == 6000 and sent[1][1] <= 6000  # the best four of all lists that a query reads, not of each of them
