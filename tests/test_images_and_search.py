@@ -178,3 +178,34 @@ def text_of(t):
 
     t = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower()
     return " ".join(t.split())
+
+
+def test_local_contrast_counts_all_tiles_at_once(monkeypatch):
+    """The tables of all tiles come from one count of the image, and are those of each tile."""
+    import numpy as np
+
+    from foliospark.operators import images
+
+    rng = np.random.default_rng(8)
+    counted, plain = [], np.bincount
+    for h, w in ((1, 64), (7, 64), (8, 8), (64, 50), (333, 64)):
+        g = (rng.random((h, w)) ** 3 * 256).astype(np.uint8)
+        full = np.pad(g, ((0, -h % 8), (0, -w % 8)), mode="reflect" if min(h, w) > 8 else "edge")
+        th, tw = full.shape[0] // 8, full.shape[1] // 8
+        table = np.zeros((8, 8, 256))
+        for i in range(8):
+            for j in range(8):
+                n = plain(full[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256).astype(float)
+                top = max(1.0, 2.0 * n.sum() / 256)
+                n = np.minimum(n, top) + np.maximum(n - top, 0).sum() / 256
+                table[i, j] = np.cumsum(n) / n.sum() * 255
+        ty, tx = (np.clip((np.arange(s) + 0.5) / t - 0.5, 0, 7) for s, t in ((h, th), (w, tw)))
+        y0, x0 = ty.astype(int), tx.astype(int)
+        y1, x1 = np.minimum(y0 + 1, 7), np.minimum(x0 + 1, 7)
+        fy, fx = (ty - y0)[:, None], (tx - x0)[None]
+        at = lambda y, x: table[y[:, None], x[None], g]
+        want = np.clip(np.rint((1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x1)) + fy * ((1 - fx) * at(y1, x0) + fx * at(y1, x1))), 0, 255).astype(np.uint8)
+        monkeypatch.setattr(np, "bincount", lambda *a, **k: counted.append(1) or plain(*a, **k))
+        assert (images.equalise(g) == want).all()
+        monkeypatch.setattr(np, "bincount", plain)
+    assert len(counted) == 5
