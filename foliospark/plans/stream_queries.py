@@ -14,6 +14,7 @@ from ..streaming import counters, intake, job_machine, jobs
 from .queries import CONFIG, query, read
 
 LIMIT_HOURS, DELAY_DAYS = 3, 5
+MOST_FILES = 2**31 - 1
 STATUS = ["processing", "review", "done", "error", "draft"]
 
 
@@ -25,19 +26,18 @@ STATUS = ["processing", "review", "done", "error", "draft"]
         UNION ALL SELECT job_id, until, 0, 'error', true FROM k WHERE status = 'processing' AND (following > until OR following IS NULL AND epoch_us(until) // 1000 < passed))
     SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY moment, part, status) AS number, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS "at", status, timed_out FROM t""")
 def job_transitions(spark, sf):
-    """Events as changes of jobs, which come in four files, up to three days out of order; the stream ends in the middle and goes on from its checkpoint."""
+    """Events as changes of jobs, which come in four parts, up to three days out of order; the stream ends after each and goes on from its checkpoint."""
     base = scratch(spark, "jobs")
     s = F.when(F.col("event_id") % 35 == 34, "confirmed").otherwise(F.element_at(F.array(*[F.lit(x) for x in STATUS]), (F.col("event_id") % 5 + 1).cast("int")))
     changes = read(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), s.alias("status"), F.floor((F.dayofmonth("ts") + F.pmod(F.xxhash64("event_id"), F.lit(4))) / 9).alias("part"))
 
     def run():
-        stream = jobs.document_stream(spark, f"{base}/in", changes.drop("part").schema, files_per_batch=1)
+        stream = jobs.document_stream(spark, f"{base}/in", changes.drop("part").schema, files_per_batch=MOST_FILES)
         jobs.run_jobs(job_machine.job_transitions(stream, f"{LIMIT_HOURS} hours", f"{DELAY_DAYS} days"), lambda b: b, f"{base}/out", f"{base}/checkpoint").awaitTermination()
 
     for k in range(4):
-        changes.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        if k % 2:
-            run()
+        changes.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{base}/in")  # as many files as there are tasks, which are one batch
+        run()
     return spark.read.parquet(f"{base}/out").select("job_id", "number", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "status", "timed_out")
 
 

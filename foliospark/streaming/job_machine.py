@@ -34,7 +34,7 @@ class JobMachine(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at_us long, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        told = self.job.get() if self.job.exists() else None
+        told = self.job.get()  # null if there is none
         new = [(int(t), s) for some in rows for t, s in zip(some["at_us"], some["status"])]
         if new and not (told and told[0] == CONFIRMED):
             self.waiting.appendList(new)
@@ -43,7 +43,7 @@ class JobMachine(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        status, at, number = self.job.get() if self.job.exists() else (None, 0, 0)
+        status, at, number = self.job.get() or (None, 0, 0)
         waiting = sorted((t, s) for t, s in self.waiting.get())
         due, later = [c for c in waiting if c[0] // 1000 < passed], [c for c in waiting if c[0] // 1000 >= passed]
         out: list[tuple] = []

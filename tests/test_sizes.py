@@ -104,3 +104,27 @@ def test_second_readings_beside_their_values_are_not_joined(spark, sf):
     assert sorted(better_readings(both).collect()) == sorted(joined.collect())
     plan = QUERIES["weak_fields"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
+
+
+def test_signatures_are_made_once_for_a_match(spark, sf):
+    from foliospark.plans.process import match_pages
+    from foliospark.plans.queries import _pages, _templates, words
+
+    found = match_pages(_pages(words(spark, sf)), _templates(spark, sf))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "REPARTITION_BY_NUM" not in plan and found.count() > 0
+
+
+def test_changes_of_jobs_are_written_by_all_tasks(spark, sf, tmp_path, monkeypatch):
+    """No part of the changes goes through one task, and a part of several files is one batch."""
+    from foliospark.plans import all_queries  # noqa: F401
+    from foliospark.plans import stream_queries
+    from foliospark.plans.queries import QUERIES
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(stream_queries, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    got = sorted(map(tuple, QUERIES["job_transitions"](spark, str(tmp_path)).collect()))
+    files = list((tmp_path / "jobs/in").glob("part-*.parquet"))
+    assert len(files) > 4
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, QUERIES["job_transitions"](spark, sf).collect()))
