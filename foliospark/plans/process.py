@@ -23,6 +23,7 @@ from ..storage import materialize, small_enough
 
 def match_pages(pages: DataFrame, templates: DataFrame, config: EngineConfig = EngineConfig(), angles: bool = True, universal: int | None = None) -> DataFrame:
     """doc_id, page, template_id, angle, score: the best template; where no match is accepted the ``universal`` one (or null) with score 0."""
+    pages = materialize(pages, "signatures")  # read once to be compared and once to be kept
     best = best_of_templates(pages, templates, angles)
     ok = F.coalesce(accepted(F.col("score"), F.lit(0.0), config), F.lit(False))
     found = pages.select("doc_id", "page").join(best, ["doc_id", "page"], "left")
