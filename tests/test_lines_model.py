@@ -247,3 +247,55 @@ def test_nearest_examples_in_tasks_and_by_joins(spark, monkeypatch, by_template)
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
     assert direct == sorted(map(tuple, retrieval.top_examples(queries, examples, 3, by_template).collect())) and len(direct) > 30
     assert not retrieval.top_examples(queries.limit(0), examples, 3, by_template).count() and not retrieval.top_examples(queries, examples.limit(0), 3, by_template).count()
+
+
+def test_keys_of_one_list(spark):
+    """Repeats are numbered; a key that stands as a base too takes the next free number, as when one key is chosen after another."""
+    rng = random.Random(5)
+    lists = [[], ["a"], ["a", "a", "a"], ["a_2", "a", "a"], ["a", "a", "a_2"], ["a", "a_2", "a_2", "a", "a_2_2"]] + [[rng.choice(["a", "a_2", "a_3", "b", "a_2_2", "ab"]) for _ in range(rng.randint(1, 12))] for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i long, bases array<string>")
+    for r in df.withColumn("keys", lines.unique_keys(F.col("bases"))).collect():
+        used = []
+        for base in r.bases:
+            used.append(free_key(base, set(used)))
+        assert r["keys"] == used
+
+
+def test_fused_keys_are_free(spark):
+    """A second suggestion under a taken key gets the first free number, beside keys that stand for themselves."""
+    rng = random.Random(6)
+    row = lambda i, key, n: (i, 0, n, key, (9000 * n, 0, 500, 500))
+    first, second = [], []
+    for i in range(40):
+        first += [row(i, rng.choice(["a", "b", "a_2"]), n) for n in range(rng.randint(0, 3))]
+        second += [row(i, rng.choice(["a", "c", "a_2", "a_3", "b"]), 10 + n) for n in range(rng.randint(0, 5))]
+    schema = "doc_id long, page long, ordinal long, key string, box struct<x:long,y:long,w:long,h:long>"
+    got = {}
+    for r in sorted(lines.merge_suggestions(spark.createDataFrame(first, schema), spark.createDataFrame(second, schema)).collect(), key=lambda r: r.place):
+        got.setdefault(r.doc_id, []).append((r.key, r.origin))
+    for i in range(40):
+        out = [(key, 0) for d, _, _, key, _ in first if d == i]
+        for d, _, _, key, _ in second:
+            if d == i:
+                out.append((free_key(key, {k for k, _ in out}), 1))
+        assert got.get(i, []) == out
+
+
+def test_words_with_line_breaks(spark):
+    """Words of a line are normalised together; one that holds a line break itself doesn't move the others."""
+    words = [(0, 0, n, t, 90, 8000 * n, 0, 3000, 1500) for n, t in enumerate(["Fe\ncha", "\n", "x", "DNI:", "1", "Σ\n"])]
+    (r,) = lines.labelled_values(lines.group_lines(spark.createDataFrame(words, SCHEMA))).where("rule = 'keyword'").collect()
+    assert (r.key, r.sample_text) == ("fecha", "\n x DNI: 1 Σ\n")
+
+
+def test_lists_are_made_once(spark, sf):
+    """No list of words is made for a filter, below the shuffle or anywhere, and no word is tested again for each word of its line."""
+    from foliospark.plans import queries
+
+    lined = lines.group_lines(queries.pages(spark, sf), lines.TABLE_TOLERANCE)
+    for df in (queries.words(spark, sf), lined, lines.labelled_values(lined), lines.code_values(lined)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        made = [x for x in plan.splitlines() if re.match(r"[\s:+-]*Filter ", x) and re.search("lambdafunction|split\\(", x)]
+        assert not made, made[0][:300]
+    plan = lines.code_values(lined)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"filter\(sequence\([^()]*(\([^()]*\))?[^()]*\), lambdafunction\(transform", plan)
