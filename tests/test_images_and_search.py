@@ -209,3 +209,40 @@ def test_local_contrast_counts_all_tiles_at_once(monkeypatch):
         assert (images.equalise(g) == want).all()
         monkeypatch.setattr(np, "bincount", plain)
     assert len(counted) == 5
+
+
+def test_short_texts_match_as_sequences_do():
+    """The ratio of short texts is SequenceMatcher's, also where runs tie and beyond the bounds."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    for _ in range(5000):
+        letters = rng.choice(["ab", "abc ", "etaoin shrdlu", "é\U0001f600x"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, rng.choice([3, 12, 26, 110])))) for _ in "ab")
+        assert sequences.ratio_of(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_search_of_a_page_costs_its_letters(monkeypatch):
+    """Postings are looked up for the target's letters only, and short windows are compared without a matcher's tables."""
+
+    def none(*_):
+        raise AssertionError("a table was made")
+
+    monkeypatch.setattr(sequences, "SequenceMatcher", none)
+    words = ["of", "te", "ant", "", "\U0001f600", "the", "an"] * 80
+    page = sequences.Postings(words, " ")
+    score, size, start = sequences.best_window("of the and", words, [0] * len(words), [2, 3, 4], " ", None, True, 0.0, page)
+    assert 0.5 < score < 1 and size in (2, 3, 4) and set(page.sums) <= set("of the and") | {"of the and"[k : k + 2] for k in range(9)}
+
+
+def test_normal_forms_of_lists(spark):
+    """The normal forms of a list's words are those of each word, whatever a word holds."""
+    from foliospark.functions import text as tx
+
+    rng = random.Random(9)
+    letters = ["a", "B", "Σ", "É", "é", "́", " ", "\t", "\n", "\x01", "\x1c", ".", ":", "İ", "ß", "'", "­", "한", "1", "-", "\U0001f600", " ", "ΑΣ", "I"]
+    lists = [[], [""], [" "], ["ΑΣ", "Β"], ["ΑΣ", "", "Β"], [" a ", "\t", "b"], [None, "x"]] + [["".join(rng.choice(letters) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 8))] for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i long, ws array<string>")
+    for many, one in ((tx.normal_anchors, tx.normal_anchor), (tx.normal_values, tx.normal_value), (tx.normal_labels, tx.normal_label)):
+        for r in df.select("ws", many(F.col("ws")).alias("got"), F.transform("ws", lambda w: one(w)).alias("want")).collect():
+            assert r.got == r.want, (many.__name__, r.ws)
