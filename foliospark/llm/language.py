@@ -112,11 +112,13 @@ class KernelLanguages:
         p = np.zeros((len(texts), len(self.grams)), np.float32)
         raw = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         end = np.cumsum([len(t) for t in texts])
-        for n in LENGTHS:
-            at, num = self._find(_grams(raw, n))
-            doc = np.searchsorted(end, at, side="right")
-            whole = at + n <= end[doc]
-            p[doc[whole], num[whole]] = 1
+        for begin in range(0, len(raw), BYTES):  # a longer text than that is looked up piece by piece
+            for n in LENGTHS:
+                at, num = self._find(_grams(raw[begin : begin + BYTES + n - 1], n))
+                at += begin
+                doc = np.searchsorted(end, at, side="right")
+                whole = at + n <= end[doc]
+                p[doc[whole], num[whole]] = 1
         return p
 
     def _batches(self, texts: list) -> Iterator[list]:

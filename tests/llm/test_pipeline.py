@@ -74,3 +74,22 @@ def test_stages_with_odd_rows(spark, sf):
     packed = known["packing"](spark, clash, sf)
     check_packing(ROWS, [r.asDict() for r in packed.collect()])
     assert not known["packing"](spark, clash.limit(0), sf).count()
+
+
+def test_language_of_a_very_long_text(monkeypatch):
+    """A text is looked up piece by piece, n-grams across pieces included, so that a very long one takes memory for a piece."""
+    import tracemalloc
+
+    import numpy as np
+
+    texts = [(w * 40).encode() for w in ("the house on the hill ", "das Haus auf dem Berg ", "la maison sur la colline ", "the river and the boat ", "der Fluss und das Boot ", "le fleuve et le bateau ")]
+    model = language.KernelLanguages(texts, ["en", "de", "fr"] * 2)
+    want = model._presence(texts)
+    tracemalloc.start()
+    found, _ = model.predict([b"das Boot und der Berg " * 1_000_000])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == ["de"] and most < 200e6
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(language, "BYTES", size)
+        assert np.array_equal(model._presence(texts), want)
